@@ -57,3 +57,18 @@ def fresh(name: str) -> str:
 def keep_row(df: DataFrame, *columns: Column) -> DataFrame:
     """The caller's whole row as one struct, beside the columns that an operator works with."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW), *columns)
+
+
+def narrow(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` may be in the one column of ``ids``: all that are, and few others.
+
+    A bitmap of 2 ** bits bits, a fixed size whatever the number of ids, is broadcast as rows of 64
+    bits. It saves the shuffle of the other rows ahead of an exact join; it decides nothing.
+    """
+    (name,) = ids.columns
+    word = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit((1 << bits) // 64))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(`{c}`), 40) & 63L as int))")
+    words = ids.groupBy(word(name).alias("__word")).agg(F.bit_or(bit(name)).alias("__bits"))
+    at = df.withColumn("__at", word(key)).withColumn("__bit", bit(key))
+    hit = at.join(F.broadcast(words), (at["__at"] == words["__word"]) & (at["__bit"].bitwiseAND(words["__bits"]) != 0), "left_semi")
+    return hit.drop("__at", "__bit")

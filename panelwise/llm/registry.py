@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .lines import op1_line_dedup
+from .neardup import op10_near_duplicates
 from .quality import op2_quality
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {}
