@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontamination
 from .lines import op1_line_dedup
+from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_near_duplicates
 from .quality import op2_quality
+from .tokens import op3_token_counts
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
+    "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
+    "op7_mixing": op7_mixing,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
