@@ -72,3 +72,8 @@ def narrow(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame
     at = df.withColumn("__at", word(key)).withColumn("__bit", bit(key))
     hit = at.join(F.broadcast(words), (at["__at"] == words["__word"]) & (at["__bit"].bitwiseAND(words["__bits"]) != 0), "left_semi")
     return hit.drop("__at", "__bit")
+
+
+def held_out(parts: int, part: int):
+    """Whether crc32 of the doc_id as text, modulo ``parts``, is ``part``; false without a doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))

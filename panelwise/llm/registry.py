@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontamination
+from .language import op6_language
 from .lines import op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_near_duplicates
 from .quality import op2_quality
 from .tokens import op3_token_counts
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op6_language": op6_language,
     "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op10_near_duplicates": op10_near_duplicates,
 }
 

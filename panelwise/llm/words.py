@@ -59,12 +59,12 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``size`` bytes; each holds one row at least and no row is divided."""
+def slices(offsets: np.ndarray, size: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes and ``rows`` rows at most; each holds one row at least and no row is divided."""
     low, n = 0, len(offsets) - 1
     while low < n:
         high = int(np.searchsorted(offsets, offsets[low] + size, side="right")) - 1
-        high = min(n, max(high, low + 1))
+        high = min(n, low + rows, max(high, low + 1))
         yield low, high
         low = high
 
@@ -84,12 +84,16 @@ SPACED = byte_table(b" \t\n\x0b\x0c\r")
 LETTERED = byte_table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
-def words(body: np.ndarray, offsets: np.ndarray, table: np.ndarray):
-    """Hash, start and end byte of every word, and the first word of each row (one more than rows)."""
+def words(body: np.ndarray, offsets: np.ndarray, table: np.ndarray, stem: int = 0):
+    """Hash, start and end byte of every word, and the first word of each row (one more than rows).
+
+    With ``stem``, also the hash of each word's first ``stem`` bytes, mixed so that it differs from
+    the hash of a whole word of these bytes.
+    """
     n = len(body)
     if n == 0:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
+        none, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (hashes, none, none, np.zeros(len(offsets), np.int64)) + ((hashes,) if stem else ())
     mapped = table[body]
     # a NUL byte inside a text is an ordinary character of a word unless the table separates at it
     inside = mapped != 0
@@ -106,8 +110,12 @@ def words(body: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     ends = np.flatnonzero(inside & ~after) + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[mapped] * _power("p", _P, n), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power("i", _P_INVERSE, n)[starts])
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    back = _power("i", _P_INVERSE, n)[starts]
+    hashes = mix((sums[ends] - sums[starts]) * back)
+    found = hashes, starts, ends, np.searchsorted(starts, offsets)
+    if stem:
+        found += (mix((sums[np.minimum(starts + stem, ends)] - sums[starts]) * back ^ np.uint64(0xA0761D6478BD642F)),)
+    return found
 
 
 def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
