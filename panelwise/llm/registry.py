@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op4_decontamination
+from .html import op5_html_text
 from .language import op6_language
 from .lines import op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_html_text": op5_html_text,
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
