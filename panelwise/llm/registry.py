@@ -8,6 +8,7 @@ from .language import op6_language
 from .lines import op1_line_dedup
 from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_near_duplicates
+from .pii import op9_pii
 from .quality import op2_quality
 from .tokens import op3_token_counts
 from .toxicity import op8_toxicity
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language": op6_language,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_pii": op9_pii,
     "op10_near_duplicates": op10_near_duplicates,
 }
 
