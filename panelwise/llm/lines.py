@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, cut, keep_row, read, row_id
+from .common import ROW, SPACE, cut, keep_row, narrow, read, row_id
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def repeated_chunks(docs: DataFrame, min_words: int = 40, spread: int = 3) -> Da
     No text is shuffled here; a line's hash, count and place are. Counting by hash combines on the
     map side, so that a line in a third of all documents is a few rows for each task.
     """
-    again = _lines(docs).groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("pos").alias("p"), F.max("pos").alias("q")).filter("a < b or p < q").select("h")
+    again = cut(_lines(docs).groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("pos").alias("p"), F.max("pos").alias("q")).filter("a < b or p < q").select("h"))
     # repeated rows of one document are one document
     placed = _lines(docs).join(again, "h", "left_semi").repartition("rid").groupBy("rid", "pos").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("w").alias("w"))
     by = W.partitionBy("rid").orderBy("pos")
@@ -63,7 +63,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 40, spread: int = 3) -> DataFr
     chunks = cut(repeated_chunks(docs, min_words, spread))
     firsts = chunks.groupBy("k", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rid", "s")).alias("first")).filter("c > 1")
     firsts = firsts.select("k", "n", F.col("first.rid").alias("first_rid"), F.col("first.s").alias("first_s"))
-    texts = docs.select(row_id().alias("first_rid"), "text").join(firsts, "first_rid").groupBy("k", "n", "first_rid", "first_s")
+    texts = narrow(docs.select(row_id().alias("first_rid"), "text"), "first_rid", firsts.select("first_rid")).join(firsts, "first_rid").groupBy("k", "n", "first_rid", "first_s")
     texts = texts.agg(F.first(F.array_join(F.slice(F.split("text", "\n"), F.col("first_s") + 1, F.col("n")), "\n")).alias("bytes"))
     later = chunks.join(texts, ["k", "n"]).filter("rid != first_rid or s != first_s")
     going = later.groupBy("rid").agg(F.collect_list(F.struct("s", "n", "bytes")).alias("going")).withColumnRenamed("rid", "__rid")
