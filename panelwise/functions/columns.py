@@ -109,3 +109,11 @@ def parse_gate(name: str) -> tuple[float, float]:
     if not m or float(m[1]) > float(m[2]):
         raise ValueError(f"no gate: {name!r}")
     return float(m[1]), float(m[2])
+
+
+def corr(a: Column | str, b: Column | str, over=None) -> Column:
+    """Correlation of the rows where both are present, null where either has no spread; over a window on demand."""
+    x, y = _col(a), _col(b)
+    w = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    spread = w(F.stddev_pop(F.when(y.isNotNull(), x))) * w(F.stddev_pop(F.when(x.isNotNull(), y)))
+    return w(F.covar_pop(x, y)) / F.when(spread > 0, spread)

@@ -124,7 +124,7 @@ def block_panel(changes: DataFrame, size: str = "fund_size", market: Sequence[st
 
 def block_counts(df: DataFrame, size: str, values: Sequence) -> DataFrame:
     """security, qi and the number of holders of each fund size, by a pivot with given values."""
-    return df.groupBy(SECURITY, PERIOD).pivot(size, list(values)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(SECURITY, PERIOD).pivot(size, list(values)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def sum_abs_aw(df: DataFrame, aw: str = "active_weight") -> DataFrame:

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.columns import compounded, log_return
+from ..functions.columns import compounded, corr, log_return
 
 
 def number_dates(df: DataFrame, date: str, name: str = "date_no") -> DataFrame:
@@ -68,7 +69,7 @@ def rolling_corr(df: DataFrame, keys: Sequence[str], a: str, b: str, w: int, ord
     """Adds ``corr_<a>_<b>`` of the last ``w`` rows, from ``min_n`` complete pairs on."""
     f = W.partitionBy(*keys).orderBy(order).rowsBetween(-(w - 1), 0)
     both = F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).over(f)
-    return df.withColumn(f"corr_{a}_{b}", F.when(both >= min_n, F.corr(a, b).over(f)))
+    return df.withColumn(f"corr_{a}_{b}", F.when(both >= min_n, corr(a, b, f)))
 
 
 def ewm(df: DataFrame, keys: Sequence[str], column: str, span: int, order: str) -> DataFrame:
@@ -77,7 +78,7 @@ def ewm(df: DataFrame, keys: Sequence[str], column: str, span: int, order: str)
     The recursion has no closed form that stays finite on long series, so one asset at a time goes
     through pandas; an asset's series has one row a date.
     """
-    schema = df.schema.add(f"{column}_ewm", "double").add(f"{column}_ewmstd", "double")
+    schema = StructType([*df.schema.fields, StructField(f"{column}_ewm", DoubleType()), StructField(f"{column}_ewmstd", DoubleType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")

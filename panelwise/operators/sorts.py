@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import corr
 from .lags import lag_column, realised_trade
 from .stats import abnormal, information_coefficient, newey_west, performance
 from .xsec import average_rank, bucket, size_groups
@@ -91,7 +92,7 @@ def bucket_table(df: DataFrame, signal: str, ret: str, n: int = 5, id: str = "se
 def monotonicity(table: DataFrame, bucket_column: str = "bucket", value: str = "t") -> DataFrame:
     """rho: rank correlation of bucket and value."""
     ranked = average_rank(average_rank(table.withColumn("__k", F.lit(1)), bucket_column, ["__k"], "__a"), value, ["__k"], "__b")
-    return ranked.agg(F.corr("__a", "__b").alias("rho"), F.count("*").alias("n"))
+    return ranked.agg(corr("__a", "__b").alias("rho"), F.count("*").alias("n"))
 
 
 def double_sort(df: DataFrame, a: str, b: str, ret: str, n: int = 3, id: str = "security", period: str = PERIOD, lags: int = 0) -> DataFrame:
@@ -203,7 +204,7 @@ def pred_vs_turnover(variables: DataFrame, a: str = "precision", b: str = "value
     """pooled and within-period correlation of two fund variables."""
     good = variables.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     means = good.groupBy(period).agg(F.avg(a).alias("__ma"), F.avg(b).alias("__mb"))
-    return good.join(means, period).agg(F.corr(a, b).alias("pooled"), F.corr(F.col(a) - F.col("__ma"), F.col(b) - F.col("__mb")).alias("within"), F.count("*").alias("n"))
+    return good.join(means, period).agg(corr(a, b).alias("pooled"), corr(F.col(a) - F.col("__ma"), F.col(b) - F.col("__mb")).alias("within"), F.count("*").alias("n"))
 
 
 def age_buckets(df: DataFrame, age: str, ret: str, edges: Sequence[int] = (1, 2, 4, 8), period: str = PERIOD) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import corr
 from .xsec import average_rank, rank_pct
 
 
@@ -64,7 +65,7 @@ def information_coefficient(df: DataFrame, score: str, ret: str, keys: Sequence[
     good = df.filter(F.col(score).isNotNull() & F.col(ret).isNotNull())
     ranked = average_rank(average_rank(good, score, keys, "__a"), ret, keys, "__b")
     spread = (F.stddev_samp(score) > 0) & (F.stddev_samp(ret) > 0) & (F.count("*") >= min_n)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(spread, F.corr("__a", "__b")).alias("rank_ic"), F.when(spread, F.corr(score, ret)).alias("pearson_ic"))
+    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(spread, corr("__a", "__b")).alias("rank_ic"), F.when(spread, corr(score, ret)).alias("pearson_ic"))
 
 
 def ic_summary(ic: DataFrame, keys: Sequence[str], column: str = "rank_ic", period: str = "qi", lags: int = 0) -> DataFrame:
@@ -122,7 +123,7 @@ def blend_report(a: DataFrame, b: DataFrame, ann: float, period: str = "qi") ->
     """Two return series (period, ret): their correlation, Sharpe ratios, the blend's Sharpe and the one predicted for it."""
     both = a.select(period, F.col("ret").alias("a")).join(b.select(period, F.col("ret").alias("b")), period)
     sharpe = lambda c: F.avg(c) / F.nullif(F.stddev_samp(c), F.lit(0.0)) * ann**0.5
-    agg = both.agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"), sharpe("a").alias("sharpe_a"), sharpe("b").alias("sharpe_b"), sharpe((F.col("a") / F.lit(2) + F.col("b") / F.lit(2))).alias("sharpe_blend"))
+    agg = both.agg(F.count("*").alias("n"), corr("a", "b").alias("rho"), sharpe("a").alias("sharpe_a"), sharpe("b").alias("sharpe_b"), sharpe((F.col("a") / F.lit(2) + F.col("b") / F.lit(2))).alias("sharpe_blend"))
     return agg.withColumn("predicted", (F.col("sharpe_a") + F.col("sharpe_b")) / F.sqrt(2 + 2 * F.col("rho")))
 
 
@@ -163,9 +164,9 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson")
         for more in parts[1:]:
             every = every.union(more)
         ranked = average_rank(average_rank(every, "__x", ["__pair"], "__rx"), "__y", ["__pair"], "__ry")
-        out = ranked.groupBy("__pair").agg(F.corr("__rx", "__ry").alias("corr"))
+        out = ranked.groupBy("__pair").agg(corr("__rx", "__ry").alias("corr"))
         return out.select(F.split("__pair", r"\|")[0].alias("a"), F.split("__pair", r"\|")[1].alias("b"), "corr")
-    one = df.agg(*[F.corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"__{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
     return one.select(F.inline(rows))
 
@@ -222,7 +223,7 @@ def describe_by(df: DataFrame, keys: Sequence[str], columns: Sequence[str], quan
 def signal_profile(df: DataFrame, signals: Sequence[str], base: str) -> DataFrame:
     """signal, defined share, distinct values, share of zeros and correlation with ``base``."""
     long = df.select(base, F.inline(F.array(*[F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("x")) for c in signals])))
-    return long.groupBy("signal").agg((F.count("x") / F.count("*")).alias("defined"), F.count_distinct("x").alias("distinct_values"), (F.count_if(F.col("x") == 0) / F.count("*")).alias("zeros"), F.corr("x", base).alias("corr_base"))
+    return long.groupBy("signal").agg((F.count("x") / F.count("*")).alias("defined"), F.count_distinct("x").alias("distinct_values"), (F.count_if(F.col("x") == 0) / F.count("*")).alias("zeros"), corr("x", base).alias("corr_base"))
 
 
 def data_check(df: DataFrame, entity: str, date: str, targets: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
