@@ -60,6 +60,8 @@ def _profiles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
 
 def codewords(languages: int) -> np.ndarray:
     """Codewords of +1 and -1, a row a language: every split of few languages, otherwise spread random ones."""
+    if not languages:
+        return np.zeros((0, 1), int)
     if languages <= 5:
         bits = max(1, 2 ** (languages - 1) - 1)
         return np.array([[1 if not k or not (b + 1) >> (k - 1) & 1 else -1 for b in range(bits)] for k in range(languages)])

@@ -70,8 +70,12 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES, rows: int = 4096) -> It
 
 
 def byte_table(separators: bytes, lower: bool = True) -> np.ndarray:
-    """The table for ``words``: 0 for a separator, otherwise the byte, A-Z lower-cased on demand."""
+    """The table for ``words``: 0 for a separator, otherwise the byte, A-Z lower-cased on demand.
+
+    A NUL byte that is no separator becomes 255, which is no byte of UTF-8.
+    """
     table = np.arange(256, dtype=np.uint8)
+    table[0] = 255
     if lower:
         table[65:91] += 32
     table[np.frombuffer(separators, np.uint8)] = 0
@@ -95,10 +99,7 @@ def words(body: np.ndarray, offsets: np.ndarray, table: np.ndarray, stem: int =
         none, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return (hashes, none, none, np.zeros(len(offsets), np.int64)) + ((hashes,) if stem else ())
     mapped = table[body]
-    # a NUL byte inside a text is an ordinary character of a word unless the table separates at it
     inside = mapped != 0
-    if table is not LETTERED and not inside.all():
-        inside |= body == 0
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
     rows = offsets[:-1][offsets[:-1] < n]
