@@ -69,6 +69,18 @@ def sweep(df: DataFrame, signal: str, ret: str, ties: Sequence[str] = ("random",
     return performance(cells, ["tie", "size_groups", "nonzero", "missing"], "ret", ann)
 
 
+def sweep_definitions(df: DataFrame, definitions: Sequence[str], returns: DataFrame, ret: str, signal: str = "frac_buy", ann: float = 4.0, **options) -> DataFrame:
+    """definition and performance of the breadth signal for each way to measure a position (a level column of holdings)."""
+    from .holdings import buying_breadth
+
+    cells = None
+    for d in definitions:
+        panel = returns.join(buying_breadth(df, d), ["security", PERIOD])
+        s = decile_spread(panel, signal, ret, **options).select(F.lit(d).alias("definition"), PERIOD, "ret")
+        cells = s if cells is None else cells.unionByName(s)
+    return performance(cells, ["definition"], "ret", ann)
+
+
 def sweep_verdict(table: DataFrame, t: str = "t", least: float = 2.0) -> DataFrame:
     """One row: cells, how many are significant, of each sign, and whether all agree."""
     big = F.abs(t) >= least

@@ -434,3 +434,23 @@ def _(p):
     select security, qi, round((rank() over (partition by qi order by ret) + (count(*) over (partition by qi, ret) - 1) / 2) / count(*) over (partition by qi) - 0.5, 8) as ret from {stocks}""")
 def _(p):
     return rounded(xsec.transform_target(p["stocks"].select("security", "qi", "ret"), "ret", ["qi"], "rank"), 8)
+
+
+@query("u3_grid", "select qi, n, flag, count(*) as rows from {stocks}, (values (3), (5)) a(n), (values (true), (false)) b(flag) group by qi, n, flag")
+def _(p):
+    cells = joins.grid(p.spark, n=[3, 5], flag=[True, False]).withColumn("n", F.col("n").cast("int"))
+    return joins.apply_grid(p["stocks"], cells).groupBy("qi", "n", "flag").agg(F.count("*").alias("rows"))
+
+
+@query("j3_attach", "select h.fund, h.qi, count(*) as n, count(s.ret) as matched, round(avg(s.ret), 8) as ret from {holdings} h left join {stocks} s on s.security = h.security and s.qi = h.qi group by h.fund, h.qi")
+def _(p):
+    out = joins.attach(p["holdings"], p["stocks"].select("security", "qi", "ret"), SQ)
+    return rounded(out.groupBy("fund", "qi").agg(F.count("*").alias("n"), F.count("ret").alias("matched"), F.avg("ret").alias("ret")), 8)
+
+
+@query("j13_expand_holdings", """
+    with d as (select day, cast(row_number() over (order by day) - 1 as int) as date_no from (select distinct day from {daily})) select e.security, d.date_no, d.day from (select distinct security, 3 as start_no from {daily}) e join d on d.date_no between e.start_no and e.start_no + 4""")
+def _(p):
+    calendar = clean.dense_index(p["daily"].select("day").distinct(), "day", "date_no")
+    events = p["daily"].select("security").distinct().withColumn("start_no", F.lit(3))
+    return joins.expand_holdings(events, calendar, 5).select("security", "date_no", "day")

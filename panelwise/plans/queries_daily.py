@@ -344,6 +344,25 @@ def _(p):
     return rounded(model.model_table(_model_panel(p), _folds(p), specs, "fwd_1q", "fwd_1q", ["trades"]), 4)
 
 
+@query("m7_predict_returns")
+def _(p):
+    x = p.panel.withColumn("trades", F.col("trades").cast("double"))
+    return rounded(model.predict_returns(x, _folds(p).filter("fold = 0"), ["trades", "tax", "frac_buy"], {"fwd_1q": 1, "fwd_2q": 2}, ["trades"]), 4)
+
+
+@query("m8_permutation_importance")
+def _(p):
+    x = _model_panel(p).filter("fwd_1q is not null").withColumn("__y", F.col("fwd_1q"))
+    fitted = model.feature_pipeline(["trades", "tax", "frac_buy"], model.make_estimator("boosting", maxIter=5)).fit(x.filter("qi < 7995"))
+    return rounded(model.permutation_importance(fitted, x.filter("qi >= 7995").drop("__y"), ["trades", "tax", "frac_buy"], "fwd_1q"), 4)
+
+
+@query("m9_ablate")
+def _(p):
+    groups = {"flow": ["frac_buy", "net_buy"], "size": ["market_cap"]}
+    return rounded(model.ablate(_model_panel(p), _folds(p).filter("fold = 0"), ["trades", "tax", "frac_buy", "net_buy", "market_cap"], groups, "fwd_1q", "fwd_1q"), 4)
+
+
 @query("m10_bucketed_walk_forward")
 def _(p):
     out = model.bucketed_walk_forward(_model_panel(p).filter("fwd_1q is not null"), _folds(p), ["trades", "tax"], "fwd_1q", "market_cap", 2)

@@ -277,6 +277,12 @@ def _(p):
     return sorts.sweep_verdict(sorts.sweep(p.panel, "net_buy", "fwd_1q", sizes=(1,), missing=("drop",)))
 
 
+@query("e5_sweep_definitions", None)
+def _(p):
+    stocks = H.forward_returns(p["stocks"], ["security"], "ret", (1,)).select("security", "qi", "fwd_1q")
+    return perf(sorts.sweep_definitions(p.weighted, ["active_weight", "weight", "market_weight", "shares"], stocks, "fwd_1q"))
+
+
 @query("e6_combine_signal", """
     with z as (select security, qi, (frac_buy - avg(frac_buy) over w) / nullif(stddev_samp(frac_buy) over w, 0) as a, (ret - avg(ret) over w) / nullif(stddev_samp(ret) over w, 0) as b from {sql_panel} window w as (partition by qi)) select security, qi, round(a + 0.5 * b, 6) as combined from z""")
 def _(p):

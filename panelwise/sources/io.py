@@ -11,9 +11,9 @@ from pyspark.sql.types import StructType
 from ..functions.columns import norm_id, to_bool, to_num
 from ..operators.clean import clean_domain, resolve
 
-#: Columns that a holdings file may have, by the names that the operators use.
+#: Columns that a holdings file may have, and the names that the operators use.
 HOLDINGS = {"LgcyInvestorId": "fund", "day": "day", "security": "security", "InvTypeCode": "inv_type", "isUs": "is_us", "SharesHld": "shares", "SHsHldChg": "shares_change", "ShsHldVal": "position_value", "ShsHldValChg": "value_change", "MARKET_CAP": "market_cap", "VOLUME": "volume"}
-#: Long signal files.
+#: Columns of long signal files.
 SIGNAL_SCHEMA = "date date, perm_id string, trade_id string, signal_name string, signal_val double"
 
 
