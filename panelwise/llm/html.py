@@ -124,7 +124,7 @@ def blocks(page: str) -> list[Block]:
         if tag in EMPTY or m.group(3).rstrip().endswith("/"):
             continue
         if tag == "p" or tag == "li":  # an open one ends where the next begins
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
                 if stack[i][0] == tag:
                     while len(stack) > i:
                         pop()
