@@ -18,14 +18,31 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     which adaptive execution splits.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")))
+    labels, before = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c"))), None
     for _ in range(rounds):
-        seen = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("c").alias("m"))
-        near = labels.join(seen, labels["v"] == seen["a"]).select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        target = labels.select(F.col("v").alias("t"), F.col("c").alias("tc"))
-        fresh = cut(near.join(target, near["c"] == target["t"]).select("v", "old", F.least("c", "tc").alias("c")))
-        moved = fresh.filter("c != old").limit(1).count()
-        labels = fresh.select("v", "c")
-        if not moved:
+        heard = both.join(labels, both["b"] == labels["v"]).select(F.col("a").alias("v"), "c").union(labels)
+        near = heard.groupBy("v").agg(F.min("c").alias("c"))
+        target = near.select(F.col("v").alias("t"), F.col("c").alias("tc"))
+        labels = cut(near.join(target, near["c"] == target["t"]).select("v", F.least("c", "tc").alias("c")))
+        # labels only ever fall, so that their sum tells whether any moved
+        total = labels.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return labels
+        before = total
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``edges`` between the components that ``labels`` (v, c) gives their ends, without those inside one."""
+    a, b = (labels.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}")) for end in "ab")
+    out = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    return out.filter("a != b").distinct()
+
+
+def extended(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """The components when edges are added: only the graph of the old components is worked on."""
+    moved = components(relabelled(more, labels)).select("v", F.col("c").alias("to"))
+    old = labels.join(moved.withColumnRenamed("v", "c"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+    # a vertex that had no edge so far is its own component
+    new = moved.join(labels, "v", "left_anti").select("v", F.col("to").alias("c"))
+    return cut(old.union(new))

@@ -7,10 +7,11 @@ independent tables would need. Two sets of similarity s meet in some table with
 (1 - (1 - s ** width) ** bands) ** 2: 0.9995 at s = 0.75 for the defaults, more above.
 
 Equal sets form one class first, and only one document of a class goes on. Members of a table bucket
-of up to ``small`` classes are all paired. In a larger bucket each member is paired with one centre;
-where that leaves more than one component in the bucket, its members go through an exact search:
-sets of the wanted similarity share one of their rarest quarter of shingles, so pairs of different
-components that do are confirmed too. No bucket is capped and no pair of two different components
+of up to ``small`` classes are all paired. In a larger bucket each member is paired with one centre,
+and then the members of all such buckets go through an exact search for links between components:
+sets of the wanted similarity share one of their rarest quarter of shingles, and what stands behind
+the shared one in both leaves room for the overlap needed; pairs of different components for which
+this holds are confirmed too. No bucket is capped and no pair of two different components
 that any bucket offers is left out.
 """
 
@@ -21,10 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ROW, cut, keep_row, narrow, read
-from .graph import components
+from .graph import components, extended
 from .words import SPACED, buffer_of, mix, slices, windows, words
 
 SHINGLE, PERCENT = 5, 75
@@ -128,7 +130,8 @@ def _confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> D
             mask = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    sets = cut(_shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct(), shingle))
+    ends = cut(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
+    sets = cut(_shingle_sets(docs, ends, shingle))
     with_b = pairs.join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b")
     with_both = with_b.join(sets.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a")
     return with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -139,19 +142,26 @@ def _close(n: str, m: str, percent: int):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _pairs_within(grouped: DataFrame, percent: int, apart: bool = False) -> DataFrame:
-    """All pairs a < b of ``members`` (structs v, n and c) that sizes allow; with ``apart``, of different c only."""
-    ok = lambda x, y: (x["v"] < y["v"]) & (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent) & ((x["c"] != y["c"]) if apart else F.lit(True))
-    pairs = F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: ok(x, y)), lambda y: F.struct(x["v"].alias("a"), y["v"].alias("b")))))
-    return grouped.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
+def _pairs_within(grouped: DataFrame, percent: int, room=None) -> DataFrame:
+    """All pairs a < b of ``members`` (structs v, n) that sizes allow; with ``room``, of different c whose places i leave room for the overlap."""
+
+    def ok(x, y):
+        good = (x["v"] < y["v"]) & (x["n"] * 100 >= y["n"] * percent) & (y["n"] * 100 >= x["n"] * percent)
+        return good & (x["c"] != y["c"]) & room(x["n"], x["i"], y["n"], y["i"]) if room else good
+
+    most = (lambda x, y: F.least(x["n"] - x["i"], y["n"] - y["i"])) if room else (lambda x, y: F.lit(0).cast("long"))
+    pairs = F.flatten(F.transform("members", lambda x: F.transform(F.filter("members", lambda y: ok(x, y)), lambda y: F.struct(x["v"].alias("a"), y["v"].alias("b"), most(x, y).alias("most")))))
+    return grouped.select(F.explode(pairs).alias("p")).select("p.a", "p.b", "p.most")
 
 
 def _rare_pairs(docs: DataFrame, rest: DataFrame, shingle: int, percent: int, small: int, cells: int = 1 << 18) -> DataFrame:
-    """Pairs of ``rest`` (v, n, c) with different c that share one of their rarest shingles.
+    """Pairs of ``rest`` (v, n, c) with different c that share one of their rarest shingles: a, b, most (how much more they may share).
 
     Any order of all shingles that is the same for every set allows the search; the order here is by
     the count of the shingle's cell, of a fixed number of cells, then by hash. A set of n shingles
-    gives its first n - ceil(n * percent / 100) + 1.
+    gives its first n - ceil(n * percent / 100) + 1. If the first shingle that two sets share stands
+    at places i and j, they share 1 + min(n - i, m - j) at most, counting places from 1. In a large
+    bucket the members of its largest component are not held against each other.
     """
     sets = cut(_shingle_sets(docs, rest.select("v").distinct(), shingle).join(rest, "v"))
     low = np.uint64(cells - 1)
@@ -171,24 +181,49 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, shingle: int, percent: int, sm
 
     def prefix(batches):
         for batch in batches:
-            out, rows = [], []
+            out, rows, places = [], [], []
             for i, x in enumerate(batch.column(0)):
                 h = np.frombuffer(x.as_buffer(), np.uint64)
                 take = len(h) - -(-len(h) * percent // 100) + 1
                 out.append(h[np.lexsort((h, shared.value[(h & low).astype(np.int64)]))[:take]])
                 rows.append(np.full(len(out[-1]), i))
+                places.append(np.arange(1, len(out[-1]) + 1))
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             values = np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(batch.column(k).take(at) for k in (1, 2, 3))], names=["h", "v", "n", "c"])
+            place = pa.array(np.concatenate(places) if places else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(batch.column(k).take(at) for k in (1, 2, 3)), place], names=["h", "v", "n", "c", "i"])
 
-    spread = sets.select("hashes", "v", "n", "c").mapInArrow(prefix, "h long, v long, n long, c long")
+    spread = sets.select("hashes", "v", "n", "c").mapInArrow(prefix, "h long, v long, n long, c long, i long")
     sizes = spread.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("k > 1 and lo != hi")
     met = cut(spread.join(sizes.select("h", "k"), "h"))
-    few = met.filter(F.col("k") <= small).groupBy("h").agg(F.collect_list(F.struct("v", "n", "c")).alias("members"))
-    many = met.filter(F.col("k") > small).select("h", "v", "n", "c")
-    other = many.select("h", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    crossed = many.join(other, "h").filter("v < v2 and c != c2").filter(_close("n", "n2", percent))
-    return _pairs_within(few, percent, apart=True).union(crossed.select(F.col("v").alias("a"), F.col("v2").alias("b"))).distinct()
+    room = lambda n, i, m, j: (1 + F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
+    few = met.filter(F.col("k") <= small).groupBy("h").agg(F.collect_list(F.struct("v", "n", "c", "i")).alias("members"))
+    many = met.filter(F.col("k") > small).select("h", "v", "n", "c", "i")
+    largest = many.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
+    tagged = many.join(largest, "h")
+    other = tagged.filter("c != main").select("h", "main", *[F.col(x).alias(f"{x}2") for x in ("v", "n", "c", "i")])
+    apart = (F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("v") < F.col("v2")))
+    crossed = many.join(other, "h").filter(apart & room(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")) & _close("n", "n2", percent))
+    crossed = crossed.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b"), F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")).alias("most"))
+    return _pairs_within(few, percent, room).union(crossed).groupBy("a", "b").agg(F.max("most").alias("most"))
+
+
+def _labelled(pairs: DataFrame, labels: DataFrame, end: str, name: str) -> DataFrame:
+    """Adds the component of one end of each pair."""
+    return pairs.join(labels.select(F.col("v").alias(end), F.col("c").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+
+
+def _likeliest(pairs: DataFrame, rest: DataFrame, most: int = 3) -> DataFrame:
+    """For each member of the smaller of two components the ``most`` likeliest pairs with the larger one.
+
+    One link joins two components, and then their other pairs need no confirmation.
+    """
+    sized = rest.join(rest.groupBy("c").agg(F.count("*").alias("size")), "c").select("v", F.struct("size", "c").alias("own"))
+    both = pairs.join(sized.select(F.col("v").alias("a"), F.col("own").alias("x")), "a").join(sized.select(F.col("v").alias("b"), F.col("own").alias("y")), "b")
+    swap = F.col("x") > F.col("y")
+    turned = both.select("a", "b", "most", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("member"), F.when(swap, F.col("x.c")).otherwise(F.col("y.c")).alias("against"))
+    place = F.row_number().over(W.partitionBy("member", "against").orderBy(F.desc("most"), "a", "b"))
+    return turned.withColumn("place", place).filter(F.col("place") <= most).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = 10, width: int = 2, small: int = 12) -> DataFrame:
@@ -211,20 +246,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     buckets = tables.groupBy("key").agg(F.count("*").alias("k"), F.min_by("v", "r").alias("centre"), F.min_by("n", "r").alias("nc")).filter("k > 1")
     members = cut(tables.select("key", "v", "n").join(buckets, "key").select("key", "k", "v", "n", "centre", "nc"))
 
-    few = members.filter(F.col("k") <= small).groupBy("key").agg(F.collect_list(F.struct("v", "n", F.lit(0).alias("c"))).alias("members"))
+    few = members.filter(F.col("k") <= small).groupBy("key").agg(F.collect_list(F.struct("v", "n")).alias("members"))
     star = members.filter(F.col("k") > small).filter("v != centre").filter(_close("n", "nc", percent)).select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b"))
-    pairs = cut(_pairs_within(few, percent).union(star).distinct())
+    pairs = cut(_pairs_within(few, percent).select("a", "b").union(star).distinct())
     links = cut(_confirm(docs, pairs, shingle, percent))
     labels = components(links)
 
-    large = members.filter(F.col("k") > small).select("key", "v", "n").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    split = large.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("key")
-    rest = cut(large.join(split, "key", "left_semi").select("v", "n", "c").distinct())
+    crowded = members.filter(F.col("k") > small).select("v", "n").distinct()
+    rest = cut(crowded.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")))
     if rest.limit(1).count():
         more = cut(_rare_pairs(docs, rest, shingle, percent, small).join(pairs, ["a", "b"], "left_anti"))
-        found = cut(_confirm(docs, more, shingle, percent))
+        tried = cut(_likeliest(more, rest))
+        labels = extended(labels, cut(_confirm(docs, tried, shingle, percent)))
+        # the others matter only where the components are still apart
+        apart = _labelled(_labelled(more.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b").join(tried, ["a", "b"], "left_anti")
+        found = cut(_confirm(docs, cut(apart), shingle, percent))
         if found.limit(1).count():
-            labels = components(links.union(found))
+            labels = extended(labels, found)
 
     named = classes.select("f1", "f2", "n_shingles", "v").join(labels, "v", "left").select("f1", "f2", "n_shingles", F.coalesce("c", "v").alias("component_id"))
     rows = marks.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
@@ -234,7 +272,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    gone = near_duplicates(docs.select("doc_id", "text"), **options).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    judged = near_duplicates(docs.select("doc_id", "text"), **options).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
+    gone = judged.agg(F.bool_or("kept").alias("stays")).filter("not stays").select("__id")
     return keep_row(docs, F.col("doc_id").alias("__id")).join(gone, "__id", "left_anti").select(f"{ROW}.*")
 
 
