@@ -1,83 +1,103 @@
-"""Line dedup with content-defined chunks of lines, in DataFrame functions only.
-
-Lines that occur in more than one place form runs. A line of ``min_words`` words or more is a chunk
-of its own; a run of shorter lines is cut where a rolling hash over the hashes of two successive
-lines is 0 modulo ``spread``, so that a boundary depends on nearby content alone and inserted lines
-shift no boundary further on. Chunks of two lines or more, and long lines, that occur again are
-removed everywhere but at their first place (by doc_id, then row, then position), and only after
-their bytes have been compared with those of the first place.
+"""Line dedup by windows of two lines, in DataFrame functions only.
+
+A line's place counts the lines that have a word, so that blank lines neither divide a passage nor
+belong to it. Every two successive lines of which both occur again make a window, keyed by a hash
+over the hashes of the two; a line of ``min_words`` words or more is also a key of its own. A repeated
+passage of any two lines or more is thus found line by line, whatever stands beside it. Windows that
+occur again are removed everywhere but at their first place (by doc_id, then row, then place).
+Successive ones that follow the same stretch of the same document are made one stretch, which goes
+only after its bytes have been compared with those of the first place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ROW, SPACE, cut, keep_row, narrow, read, row_id
 
 
+def _worded(line: Column) -> Column:
+    return line.rlike(f"[^{SPACE}]")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that has a word: rid, doc_id, pos, h (64-bit hash), w (words)."""
-    lines = F.split(F.col("text"), "\n")
-    each = docs.filter(F.col("text").isNotNull()).select(row_id().alias("rid"), "doc_id", F.posexplode(lines).alias("pos", "line"))
+    """A row for each line that has a word: rid, doc_id, i (its place among these), h (64-bit hash), w (words)."""
+    lines = F.filter(F.split(F.col("text"), "\n"), _worded)
+    each = docs.filter(F.col("text").isNotNull()).select(row_id().alias("rid"), "doc_id", F.posexplode(lines).alias("i", "line"))
     bare = F.trim(F.regexp_replace("line", f"[{SPACE}]+", " "))
     words = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
-    return each.filter(F.col("line").rlike(f"[^{SPACE}]")).select("rid", "doc_id", "pos", F.xxhash64("line").alias("h"), words.alias("w"))
+    return each.select("rid", "doc_id", "i", F.xxhash64("line").alias("h"), words.alias("w"))
 
 
-def repeated_chunks(docs: DataFrame, min_words: int = 40, spread: int = 3) -> DataFrame:
-    """Chunks of repeated lines: rid, doc_id, s (first line), n (lines), k (hash of the line hashes).
+def line_windows(docs: DataFrame, min_words: int = 40) -> DataFrame:
+    """Windows of repeated lines: rid, doc_id, i (first line), n (lines: 2, or 1 for a long line), k (hash of the line hashes).
 
     No text is shuffled here; a line's hash, count and place are. Counting by hash combines on the
     map side, so that a line in a third of all documents is a few rows for each task.
     """
-    again = cut(_lines(docs).groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("pos").alias("p"), F.max("pos").alias("q")).filter("a < b or p < q").select("h"))
+    again = cut(_lines(docs).groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("i").alias("p"), F.max("i").alias("q")).filter("a < b or p < q").select("h"))
     # repeated rows of one document are one document
-    placed = _lines(docs).join(again, "h", "left_semi").repartition("rid").groupBy("rid", "pos").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("w").alias("w"))
-    by = W.partitionBy("rid").orderBy("pos")
-    long_line = F.col("w") >= min_words
-    broken = (F.lag("pos").over(by).isNull()) | (F.col("pos") != F.lag("pos").over(by) + 1) | long_line | F.coalesce(F.lag("w").over(by) >= min_words, F.lit(True))
-    runs = placed.withColumn("broken", broken).withColumn("roll", F.pmod(F.xxhash64(F.lag("h").over(by), F.col("h")), F.lit(spread)) == 0)
-    # a cut after the line before this one: two lines of the run stand before it, and this line isn't the run's last
-    candidate = F.lag("roll").over(by) & ~F.col("broken") & ~F.lag("broken").over(by) & ~F.coalesce(F.lead("broken").over(by), F.lit(True))
-    marked = runs.withColumn("may", F.coalesce(candidate, F.lit(False)))
-    marked = marked.withColumn("start", F.col("broken") | (F.col("may") & ~F.coalesce(F.lag("may").over(by), F.lit(False))))
-    numbered = marked.withColumn("chunk", F.sum(F.col("start").cast("int")).over(by.rowsBetween(W.unboundedPreceding, 0)))
-    chunks = numbered.groupBy("rid", "chunk").agg(
-        F.first("doc_id").alias("doc_id"), F.min("pos").alias("s"), F.count("*").alias("n"), F.sum("w").alias("words"), F.sort_array(F.collect_list(F.struct("pos", "h"))).alias("hs")
-    )
-    return chunks.filter((F.col("n") >= 2) | (F.col("words") >= min_words)).select("rid", "doc_id", "s", "n", F.xxhash64(F.col("hs.h")).alias("k"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = 40, spread: int = 3) -> DataFrame:
-    """The document rows without repeated chunks: their columns, text replaced, and n_lines, n_removed (long).
-
-    Null text stays null with counts 0. Empty texts and texts of one short line stay as they are.
-    Rows of equal doc_id and text are one document and all get its result. Null doc_ids come first
-    in the order that decides which place is kept. Blank lines end a run and are never removed. A
-    text from which every line goes becomes empty. An empty table gives an empty result. Columns
-    other than doc_id and text are carried along whatever their names; a column n_lines or n_removed
-    is replaced.
+    placed = _lines(docs).join(again, "h", "left_semi").repartition("rid").groupBy("rid", "i").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("w").alias("w"))
+    by = W.partitionBy("rid").orderBy("i")
+    pair = F.when(F.lead("i").over(by) == F.col("i") + 1, F.struct(F.lit(2).alias("n"), F.xxhash64("h", F.lead("h").over(by)).alias("k")))
+    alone = F.when(F.col("w") >= min_words, F.struct(F.lit(1).alias("n"), F.col("h").alias("k")))
+    paired = placed.withColumn("pair", pair).withColumn("alone", alone)
+    return paired.select("rid", "doc_id", "i", F.explode(F.array_compact(F.array("pair", "alone"))).alias("x")).select("rid", "doc_id", "i", "x.n", "x.k")
+
+
+def repeated_stretches(docs: DataFrame, min_words: int = 40) -> DataFrame:
+    """Lines to remove: rid, s (first line), n (lines), first_rid, first_s (the same lines' first place).
+
+    A window that overlaps its own first place is no repeat. A long line alone counts where no
+    repeated window of two lines covers it.
+    """
+    every = cut(line_windows(docs, min_words))
+    firsts = every.groupBy("k", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rid", "i")).alias("first")).filter("c > 1")
+    firsts = firsts.select("k", "n", F.col("first.rid").alias("first_rid"), F.col("first.i").alias("first_i"))
+    later = every.join(firsts, ["k", "n"]).filter("rid != first_rid or i >= first_i + n").select("rid", "i", "n", "first_rid", "first_i")
+    covered = F.max("n").over(W.partitionBy("rid").orderBy("i").rangeBetween(-1, 0))
+    later = later.withColumn("covered", covered).filter("n = 2 or covered = 1")
+    by = W.partitionBy("rid", "n").orderBy("i")
+    goes_on = (F.lag("i").over(by) == F.col("i") - 1) & (F.lag("first_i").over(by) == F.col("first_i") - 1) & (F.lag("first_rid").over(by) == F.col("first_rid"))
+    begun = later.withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    numbered = begun.withColumn("stretch", F.sum("begins").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    found = numbered.groupBy("rid", "n", "stretch").agg(F.min("i").alias("s"), F.count("*").alias("c"), F.first("first_rid").alias("first_rid"), F.min("first_i").alias("first_s"))
+    return found.select("rid", "s", (F.col("c") + F.col("n") - 1).cast("int").alias("n"), "first_rid", "first_s")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 40) -> DataFrame:
+    """The document rows without repeated passages: their columns, text replaced, and n_lines, n_removed (long).
+
+    A passage is two successive lines or more, or a line of ``min_words`` words. Every line that goes
+    stays at an earlier place; a passage put together from pieces of earlier ones stays as these
+    pieces. Null text stays null with counts 0. Empty texts and texts of one short line stay as they
+    are. Rows of equal doc_id and text are one document and all get its result. Null doc_ids come
+    first in the order that decides which place is kept. Blank lines inside a removed stretch go and
+    count as removed, others stay. A text from which every line goes becomes empty. An empty table
+    gives an empty result. Columns other than doc_id and text are carried along whatever their names;
+    a column n_lines or n_removed is replaced.
     """
-    chunks = cut(repeated_chunks(docs, min_words, spread))
-    firsts = chunks.groupBy("k", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rid", "s")).alias("first")).filter("c > 1")
-    firsts = firsts.select("k", "n", F.col("first.rid").alias("first_rid"), F.col("first.s").alias("first_s"))
-    texts = narrow(docs.select(row_id().alias("first_rid"), "text"), "first_rid", firsts.select("first_rid")).join(firsts, "first_rid").groupBy("k", "n", "first_rid", "first_s")
-    texts = texts.agg(F.first(F.array_join(F.slice(F.split("text", "\n"), F.col("first_s") + 1, F.col("n")), "\n")).alias("bytes"))
-    later = chunks.join(texts, ["k", "n"]).filter("rid != first_rid or s != first_s")
+    found = cut(repeated_stretches(docs, min_words))
+    firsts = found.select("first_rid", "first_s", "n").distinct()
+    texts = narrow(docs.select(row_id().alias("first_rid"), "text"), "first_rid", firsts.select("first_rid")).join(firsts, "first_rid").groupBy("first_rid", "first_s", "n")
+    texts = texts.agg(F.first(F.array_join(F.slice(F.filter(F.split("text", "\n"), _worded), F.col("first_s") + 1, F.col("n")), "\n")).alias("bytes"))
+    later = found.join(texts, ["first_rid", "first_s", "n"])
     going = later.groupBy("rid").agg(F.collect_list(F.struct("s", "n", "bytes")).alias("going")).withColumnRenamed("rid", "__rid")
 
     rows = keep_row(docs, row_id().alias("__rid"), F.split("text", "\n").alias("__lines")).join(going, "__rid", "left")
-    same = F.filter("going", lambda g: F.array_join(F.slice(F.col("__lines"), g["s"] + 1, g["n"]), "\n") == g["bytes"])
-    places = F.flatten(F.transform(same, lambda g: F.sequence(g["s"].cast("long"), g["s"] + g["n"] - 1)))
+    line = lambda i: F.get(F.col("__lines"), i.cast("int"))
+    rows = rows.withColumn("__worded", F.when(F.col("going").isNotNull(), F.filter(F.sequence(F.lit(0).cast("long"), F.size("__lines").cast("long") - 1), lambda i: _worded(line(i)))))
+    same = F.filter("going", lambda g: F.array_join(F.transform(F.slice(F.col("__worded"), g["s"] + 1, g["n"]), line), "\n") == g["bytes"])
+    places = F.flatten(F.transform(same, lambda g: F.sequence(F.get(F.col("__worded"), g["s"]), F.get(F.col("__worded"), g["s"] + g["n"] - 1))))
     rows = rows.withColumn("__places", F.when(F.col("going").isNotNull(), F.array_distinct(places)))
     stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("__lines").cast("long") - 1), F.col("__places"))
-    text = F.when(F.col("__places").isNull(), F.col(f"{ROW}.text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i.cast("int"))), "\n"))
+    text = F.when(F.col("__places").isNull(), F.col(f"{ROW}.text")).otherwise(F.array_join(F.transform(stay, line), "\n"))
     columns = [text.alias("text") if c == "text" else F.col(f"{ROW}.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return rows.select(*columns, F.coalesce(F.array_size("__lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.array_size("__places"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document with its repeated chunks removed."""
+    """Every document with its repeated passages removed."""
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")
