@@ -40,6 +40,15 @@ def test_a_passage_beside_another_repeated_line(spark):
     assert all(got[i] == (dict(data)[i], 0) for i in (1, 3, 5))
 
 
+def test_paragraphs_between_blank_lines_and_beside_long_ones(spark):
+    short = [" ".join(f"p{k}w{i}" for i in range(15)) for k in range(4)]
+    long = " ".join(f"word{i}" for i in range(55))
+    data = [(1, "\n\n".join(["a", *short, "b"])), (2, "\n\n".join(["c", *short, "d"])), (3, f"heading\n{long}\nclosing\ne"), (4, f"f\nheading\n \n{long}\nclosing\ng")]
+    got = dedup(spark, data)
+    assert got[2] == ("c\n\n\nd", 7) and got[4] == ("f\ng", 4)
+    assert got[1] == (data[0][1], 0) and got[3] == (data[2][1], 0)
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = random.Random(1)
     pool = [f"line {k}" for k in range(25)] + [" ".join(f"long{k}w{i}" for i in range(45)) for k in range(4)] + ["", " "]
