@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,12 @@ BLOCKS = frozenset(
 )
 #: Elements without an end tag.
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Start tags that end an open paragraph.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Start tag -> open elements that it ends within their list or table.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",)} | dict.fromkeys(("thead", "tbody", "tfoot"), ("thead", "tbody", "tfoot"))
+#: Blocks across which a list item or a definition is looked for.
+_LOOSE = frozenset("address div p li dt dd".split())
 #: Elements that hold anything but the article.
 ASIDE = frozenset("nav aside footer form menu dialog".split())
 #: Words in an element's class, id or role that say the same.
@@ -44,6 +51,7 @@ ARTICLE, ARTICLE_NAMES = frozenset(("article", "main")), re.compile(r"(?:^|[\s_-
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _STOP = frozenset(STOP_WORDS)
 
@@ -68,6 +76,10 @@ def blocks(page: str) -> list[Block]:
     # open elements: (tag, makes aside, number of the article that it opens or 0)
     stack: list[tuple[str, bool, int]] = []
     asides, links, articles, inside = 0, 0, 0, 0
+    # places in the stack: of each tag, of blocks, of blocks that hold list items
+    opened: defaultdict[str, list[int]] = defaultdict(list)
+    open_blocks: list[int] = []
+    holders: list[int] = []
 
     def close_block() -> None:
         nonlocal parts, linked
@@ -87,6 +99,10 @@ def blocks(page: str) -> list[Block]:
     def pop() -> str:
         nonlocal asides, links, inside
         tag, aside, article = stack.pop()
+        opened[tag].pop()
+        for places in (open_blocks, holders):
+            if places and places[-1] == len(stack):
+                places.pop()
         asides -= aside
         links -= tag == "a"
         if article:
@@ -107,36 +123,40 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCKS:
             close_block()
         if closing:
-            depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == tag), None)
-            while depth is not None and len(stack) > depth:
+            depth = opened[tag][-1] if opened[tag] else len(stack)
+            while len(stack) > depth:
                 pop()
             continue
-        if tag in _RAW_END:
-            raw = _RAW_END[tag].search(page, at)
-            at = raw.end() if raw else end
-            continue
+        self_closed = bool(_SELF_CLOSED.search(m.group(3)))
         if tag in HIDDEN and tag != "head":
-            depth, close = 1, re.compile(rf"<(/?){tag}\b[^>]*>", re.I)
-            while depth and (x := close.search(page, at)):
-                depth, at = depth + (-1 if x.group(1) else 1), x.end()
-            at = end if depth else at
+            raw = _RAW_END[tag].search(page, at) if tag in _RAW_END and not (self_closed and tag in ("iframe", "noscript", "template")) else None
+            if raw:
+                at = raw.end()
+            elif not self_closed or tag in ("script", "style", "textarea", "title"):
+                at = _hidden_end(page, at, tag, opened)
             continue
-        if tag in EMPTY or m.group(3).rstrip().endswith("/"):
+        if tag in EMPTY or self_closed or m.group(3).rstrip().endswith("/"):
             continue
-        if tag == "p" or tag == "li":  # an open one ends where the next begins
-            for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[i][0] == tag:
-                    while len(stack) > i:
-                        pop()
-                    break
-                if stack[i][0] in BLOCKS and stack[i][0] != tag:
-                    break
+        if tag in ENDS_P and open_blocks and stack[open_blocks[-1]][0] == "p":
+            while len(stack) > open_blocks[-1] + 1:
+                pop()
+            pop()
+        if tag in ENDS:  # an open one ends where the next begins
+            last = lambda places: places[-1] if places else -1
+            depth = max(last(opened[t]) for t in ENDS[tag])
+            while depth > last(holders if tag in ("li", "dt", "dd") else opened["table"]) and len(stack) > depth:
+                pop()
         names = " ".join(" ".join(filter(None, x)) for x in _NAMED.findall(m.group(3))) if "=" in m.group(3) else ""
         article = (tag in ARTICLE or bool(names and ARTICLE_NAMES.search(names))) and not (names and COMMENT_NAMES.search(names))
         aside = not article and (tag in ASIDE or (tag == "header" and not inside) or bool(names and tag != "body" and tag != "html" and ASIDE_NAMES.search(names)))
         if article:
             articles += 1
             inside = articles
+        opened[tag].append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
+            if tag not in _LOOSE:
+                holders.append(len(stack))
         stack.append((tag, aside, articles if article else 0))
         asides += aside
         links += tag == "a"
@@ -144,16 +164,47 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def _hidden_end(page: str, at: int, hidden: str, opened: dict[str, list[int]]) -> int:
+    """Where a hidden element that begins before ``at`` ends: after its end tag, before the end tag of an element around it, or with the page."""
+    nested: dict[str, int] = defaultdict(int)
+    depth, end = 1, len(page)
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if m.group(2) is None:
+            continue
+        tag, closing = m.group(2).lower(), bool(m.group(1))
+        if tag == hidden:
+            if not closing and hidden == "option":
+                return m.start()
+            depth += -1 if closing else not _SELF_CLOSED.search(m.group(3))
+            if not depth:
+                return at
+        elif closing and opened.get(tag) and not nested[tag]:
+            return m.start()
+        elif closing:
+            nested[tag] = max(0, nested[tag] - 1)
+        elif tag in _RAW_END and (raw := _RAW_END[tag].search(page, at)):
+            at = raw.end()
+        elif tag not in EMPTY and tag not in ENDS and tag != "p":
+            nested[tag] += 1
+    return end
+
+
 def classify(page_blocks: list[Block]) -> None:
     """Labels every block True (article) or False, in two passes."""
     any_article = any(b.inside and not b.aside for b in page_blocks)
+    shares = []
     for b in page_blocks:
         words = b.text.lower().split()
-        stop = sum(w.strip(".,;:!?") in _STOP for w in words) / max(1, len(words))
+        shares.append(sum(w.strip(".,;:!?") in _STOP for w in words) / max(1, len(words)))
+    known = any(share for b, share in zip(page_blocks, shares) if not b.aside)
+    for b, stop in zip(page_blocks, shares):
         if b.aside or any_article and not b.inside:
             b.label = False
         elif b.links > LINKS * len(b.text):
             b.label = False
+        elif not known:  # a language of other stop words: length and links decide
+            b.label = True if len(b.text) >= LONG else None
         elif len(b.text) >= LONG and stop >= FEW or len(b.text) >= SHORT and stop >= MANY:
             b.label = True
         elif not b.inside and len(b.text) >= LONG and stop < FEW / 4:
