@@ -347,7 +347,7 @@ def _(p):
 @query("m7_predict_returns")
 def _(p):
     x = p.panel.withColumn("trades", F.col("trades").cast("double"))
-    return rounded(model.predict_returns(x, _folds(p).filter("fold = 0"), ["trades", "tax", "frac_buy"], {"fwd_1q": 1, "fwd_2q": 2}, ["trades"]), 4)
+    return rounded(model.predict_returns(x, _folds(p), ["trades", "tax", "frac_buy"], {"fwd_1q": 1, "fwd_2q": 2}, ["trades"]), 4)
 
 
 @query("m8_permutation_importance")
@@ -360,7 +360,7 @@ def _(p):
 @query("m9_ablate")
 def _(p):
     groups = {"flow": ["frac_buy", "net_buy"], "size": ["market_cap"]}
-    return rounded(model.ablate(_model_panel(p), _folds(p).filter("fold = 0"), ["trades", "tax", "frac_buy", "net_buy", "market_cap"], groups, "fwd_1q", "fwd_1q"), 4)
+    return rounded(model.ablate(_model_panel(p), _folds(p), ["trades", "tax", "frac_buy", "net_buy", "market_cap"], groups, "fwd_1q", "fwd_1q"), 4)
 
 
 @query("m10_bucketed_walk_forward")
