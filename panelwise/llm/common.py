@@ -39,8 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_ids(first: str = "r1", second: str = "r2") -> tuple[Column, Column]:
+    """Identity of a document row, by two 64-bit hashes of its doc_id and text in either order: rows equal in both count as one document. Never null."""
+    id_, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce(F.col("text"), F.lit("\x00"))
+    return F.xxhash64(id_, text).alias(first), F.xxhash64(text, id_, F.lit(1)).alias(second)
+
+
 def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Identity of a document row: rows of equal doc_id and text count as one document. Never null."""
+    """The first of the hashes of ``row_ids``."""
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit("\x00")))
 
 

@@ -1,48 +1,58 @@
-"""Connected components of a graph of long ids as DataFrame joins."""
+"""Connected components of a graph of long ids: union-find inside bounded partitions, joins between them."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(v, c): each vertex of ``edges`` (a, b: long) with the smallest vertex that it can reach.
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c) for each vertex of a partition's edges that is not itself c, the smallest vertex that these edges reach."""
+    above: dict[int, int] = {}
 
-    Rounds of two steps: a vertex takes the smallest label among its neighbours and itself, then the
-    label of its label. The second step halves the distance to the smallest vertex, so that a chain
-    of length n ends after about log2(n) rounds. Each round's labels are checkpointed. Labels meet in
-    aggregates that combine on the map side; a vertex with very many edges is a hot join key only,
-    which adaptive execution splits.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
-    labels, before = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c"))), None
-    for _ in range(rounds):
-        heard = both.join(labels, both["b"] == labels["v"]).select(F.col("a").alias("v"), "c").union(labels)
-        near = heard.groupBy("v").agg(F.min("c").alias("c"))
-        target = near.select(F.col("v").alias("t"), F.col("c").alias("tc"))
-        labels = cut(near.join(target, near["c"] == target["t"]).select("v", F.least("c", "tc").alias("c")))
-        # labels only ever fall, so that their sum tells whether any moved
-        total = labels.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
-        if total == before:
-            return labels
-        before = total
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
-
-
-def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """``edges`` between the components that ``labels`` (v, c) gives their ends, without those inside one."""
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = x = above.get(up, up)
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = top(a), top(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    low = [(x, top(x)) for x in list(above)]
+    pairs = np.array([p for p in low if p[0] != p[1]], np.int64).reshape(-1, 2)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["v", "c"])
+
+
+def _renamed(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``edges`` with both ends replaced by their label, without those inside one label."""
     a, b = (labels.select(F.col("v").alias(end), F.col("c").alias(f"c_{end}")) for end in "ab")
     out = edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    return out.filter("a != b").distinct()
+    return out.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def components(edges: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """(v, c): each vertex of ``edges`` (a, b: long; computed already) that is not the smallest of its component, with that smallest one.
 
-def extended(labels: DataFrame, more: DataFrame) -> DataFrame:
-    """The components when edges are added: only the graph of the old components is worked on."""
-    moved = components(relabelled(more, labels)).select("v", F.col("c").alias("to"))
-    old = labels.join(moved.withColumnRenamed("v", "c"), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
-    # a vertex that had no edge so far is its own component
-    new = moved.join(labels, "v", "left_anti").select("v", F.col("to").alias("c"))
-    return cut(old.union(new))
+    Edges are dealt out evenly into partitions of about ``most``, whatever a vertex's degree, and a
+    union-find in each leaves a forest. One partition ends the work. Else each vertex takes the
+    smallest of the roots that it got, the forests' edges are renamed by these labels, and the
+    smaller graph that remains is treated alike; its largest vertex is gone each time, so that the
+    loop ends. Memory of a task is bounded by ``most`` edges. No edges give no rows.
+    """
+    n = edges.count()
+    parts = -(-n // most)
+    if parts <= 1:
+        return cut(edges.select("a", "b").repartition(1).mapInArrow(_forest, "v long, c long"))
+    forest = cut(edges.select("a", "b").repartition(parts).mapInArrow(_forest, "v long, c long"))
+    labels = cut(forest.groupBy("v").agg(F.min("c").alias("c")))
+    rest = cut(_renamed(forest.select(F.col("v").alias("a"), F.col("c").alias("b")), labels))
+    to = components(rest, most).select(F.col("v").alias("c"), F.col("c").alias("to"))
+    return cut(labels.join(to, "c", "left").select("v", F.coalesce("to", "c").alias("c")).union(to.select(F.col("c").alias("v"), F.col("to").alias("c"))).groupBy("v").agg(F.min("c").alias("c")))

@@ -6,17 +6,18 @@ so that bands ** 2 tables of 2 * width minhashes come from the square root of th
 independent tables would need. Two sets of similarity s meet in some table with probability
 (1 - (1 - s ** width) ** bands) ** 2: 0.9995 at s = 0.75 for the defaults, more above.
 
-Equal sets form one class first, and only one document of a class goes on. Members of a table bucket
-of up to ``small`` classes are all paired. In a larger bucket each member is paired with one centre,
-and then the members of all such buckets go through an exact search for links between components:
-sets of the wanted similarity share one of their rarest quarter of shingles, and what stands behind
-the shared one in both leaves room for the overlap needed; pairs of different components for which
-this holds are confirmed too. No bucket is capped and no pair of two different components
-that any bucket offers is left out.
+Equal sets, by SHA-256 over the whole set, form one class first, and only one document of a class
+goes on. Members of a table bucket of up to ``small`` classes are all paired. In a larger bucket each
+member is paired with one centre, and then the members of all such buckets go through an exact search
+for links between components: sets of the wanted similarity share one of their rarest quarter of
+shingles, and what stands behind the shared one in both leaves room for the overlap needed; pairs of
+different components for which this holds are confirmed too. No bucket is capped and no pair of two
+different components that any bucket offers is left out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, cut, keep_row, narrow, read
-from .graph import components, extended
+from .common import ROW, cut, keep_row, narrow, read, row_ids
+from .graph import components
 from .words import SPACED, buffer_of, mix, slices, windows, words
 
 SHINGLE, PERCENT = 5, 75
+#: Rows of one shingle that a task joins; a shingle with more is dealt to several tasks.
+SHARE = 256
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -72,37 +75,40 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = 10, width: int = 2) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (fingerprint of the set), keys (2 * bands longs; null for an empty set)."""
+    """doc_id, r1 and r2 (the row's ids), n_shingles, f1 and f2 (128 bits of the set's SHA-256), keys (2 * bands longs; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, times = _seeds(2 * bands * width)
         for batch in batches:
-            for low, high, values, counts in _sets(batch.column(1), shingle):
+            for low, high, values, counts in _sets(batch.column(3), shingle):
                 some = counts > 0
-                begins = (np.cumsum(counts) - counts)[some]
+                ends = np.cumsum(counts)
+                begins = (ends - counts)[some]
                 n, m = high - low, int(some.sum())
-                prints = np.zeros((2, n), np.uint64)
+                prints = np.zeros((n, 2), np.int64)
                 keys = np.zeros((m, 2 * bands), np.uint64)
                 if m:
-                    prints[0, some] = np.add.reduceat(mix(values), begins)
-                    prints[1, some] = np.add.reduceat(mix(values ^ np.uint64(0x5851F42D4C957F2D)), begins)
+                    digests = (hashlib.sha256(values[b:e]).digest()[:16] for b, e in zip(begins.tolist(), ends[some].tolist()))
+                    prints[some] = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                     for k in range(2 * bands):
                         key = np.zeros(m, np.uint64)
                         for j in range(k * width, k * width + width):
                             key = mix(key ^ np.minimum.reduceat((values ^ xor[j]) * times[j], begins))
                         keys[:, k] = key
-                ends = np.concatenate(([0], np.cumsum(some * 2 * bands))).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                starts = np.concatenate(([0], np.cumsum(some * 2 * bands))).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(starts), pa.array(keys.reshape(-1).view(np.int64)))
+                own = [batch.column(k).slice(low, n) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, n), pa.array(counts.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), listed],
-                    names=["doc_id", "n_shingles", "f1", "f2", "keys"],
+                    [*own, pa.array(counts.astype(np.int64)), pa.array(np.ascontiguousarray(prints[:, 0])), pa.array(np.ascontiguousarray(prints[:, 1])), listed],
+                    names=["doc_id", "r1", "r2", "n_shingles", "f1", "f2", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_ids("r1", "r2"), F.col("text"))
+    return rows.mapInArrow(run, "doc_id long, r1 long, r2 long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """v, hashes (sorted uint64 as binary) of the documents whose doc_id is in the column v of ``ids``."""
+    """v, hashes (sorted uint64 as binary) of the documents whose r1 and r2 are in ``ids`` (v, r1, r2); repeated rows give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,11 +116,11 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 ends = np.concatenate(([0], np.cumsum(counts))) * 8
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([values[a // 8 : b // 8].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())], names=["v", "hashes"])
 
-    texts = narrow(docs.select(F.col("doc_id").cast("long").alias("v"), "text"), "v", ids).join(ids, "v", "left_semi")
-    return texts.mapInArrow(run, "v long, hashes binary")
+    texts = narrow(docs.select(*row_ids("r1", "r2"), "text"), "r1", ids.select("r1")).groupBy("r1", "r2").agg(F.first("text").alias("text"))
+    return texts.join(ids, ["r1", "r2"]).select("v", "text").mapInArrow(run, "v long, hashes binary")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +136,9 @@ def _confirm(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> D
             mask = pa.array(good)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    ends = cut(pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct())
-    sets = cut(_shingle_sets(docs, ends, shingle))
     with_b = pairs.join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b")
     with_both = with_b.join(sets.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a")
-    return with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return cut(with_both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
 def _close(n: str, m: str, percent: int):
@@ -154,16 +158,16 @@ def _pairs_within(grouped: DataFrame, percent: int, room=None) -> DataFrame:
     return grouped.select(F.explode(pairs).alias("p")).select("p.a", "p.b", "p.most")
 
 
-def _rare_pairs(docs: DataFrame, rest: DataFrame, shingle: int, percent: int, small: int, cells: int = 1 << 18) -> DataFrame:
+def _rare_pairs(sets: DataFrame, rest: DataFrame, percent: int, small: int, cells: int = 1 << 18) -> DataFrame:
     """Pairs of ``rest`` (v, n, c) with different c that share one of their rarest shingles: a, b, most (how much more they may share).
 
     Any order of all shingles that is the same for every set allows the search; the order here is by
     the count of the shingle's cell, of a fixed number of cells, then by hash. A set of n shingles
     gives its first n - ceil(n * percent / 100) + 1. If the first shingle that two sets share stands
     at places i and j, they share 1 + min(n - i, m - j) at most, counting places from 1. In a large
-    bucket the members of its largest component are not held against each other.
+    bucket the members of its largest component are not held against each other, and its rows are
+    dealt to tasks of about ``SHARE``.
     """
-    sets = cut(_shingle_sets(docs, rest.select("v").distinct(), shingle).join(rest, "v"))
     low = np.uint64(cells - 1)
 
     def count(batches):
@@ -174,10 +178,10 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, shingle: int, percent: int, sm
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    counted = sets.select("hashes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counted = sets.select("hashes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     order = np.zeros(cells, np.uint32)
-    order[counted["cell"]] = np.minimum(counted["n"], 2**32 - 1)
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+    order[counted["cell"].to_numpy()] = np.minimum(counted["n"].to_numpy(), 2**32 - 1)
+    shared = sets.sparkSession.sparkContext.broadcast(order)
 
     def prefix(batches):
         for batch in batches:
@@ -193,24 +197,24 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, shingle: int, percent: int, sm
             place = pa.array(np.concatenate(places) if places else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(batch.column(k).take(at) for k in (1, 2, 3)), place], names=["h", "v", "n", "c", "i"])
 
-    spread = sets.select("hashes", "v", "n", "c").mapInArrow(prefix, "h long, v long, n long, c long, i long")
-    sizes = spread.groupBy("h").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("k > 1 and lo != hi")
-    met = cut(spread.join(sizes.select("h", "k"), "h"))
+    spread = cut(sets.join(rest, "v").select("hashes", "v", "n", "c").mapInArrow(prefix, "h long, v long, n long, c long, i long"))
+    owned = spread.groupBy("h", "c").agg(F.count("*").alias("k"))
+    sizes = cut(owned.groupBy("h").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("owners")).filter("owners > 1").select("h", "k", "main"))
+    met = cut(spread.join(sizes, "h"))
     room = lambda n, i, m, j: (1 + F.least(n - i, m - j)) * (100 + percent) >= (n + m) * percent
     few = met.filter(F.col("k") <= small).groupBy("h").agg(F.collect_list(F.struct("v", "n", "c", "i")).alias("members"))
-    many = met.filter(F.col("k") > small).select("h", "v", "n", "c", "i")
-    largest = many.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
-    tagged = many.join(largest, "h")
-    other = tagged.filter("c != main").select("h", "main", *[F.col(x).alias(f"{x}2") for x in ("v", "n", "c", "i")])
+    shares = F.ceil(F.col("k") / SHARE)
+    many = met.filter(F.col("k") > small).withColumn("s", F.pmod(F.xxhash64("v"), shares))
+    other = many.filter("c != main").select("h", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("s"), *[F.col(x).alias(f"{x}2") for x in ("v", "n", "c", "i")])
     apart = (F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("v") < F.col("v2")))
-    crossed = many.join(other, "h").filter(apart & room(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")) & _close("n", "n2", percent))
+    crossed = many.join(other, ["h", "s"]).filter(apart & room(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")) & _close("n", "n2", percent))
     crossed = crossed.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b"), F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")).alias("most"))
     return _pairs_within(few, percent, room).union(crossed).groupBy("a", "b").agg(F.max("most").alias("most"))
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame, end: str, name: str) -> DataFrame:
-    """Adds the component of one end of each pair."""
-    return pairs.join(labels.select(F.col("v").alias(end), F.col("c").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
+def _with_label(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> DataFrame:
+    """Adds the component of the column ``vertex``; a vertex without a label is its own."""
+    return rows.join(labels.select(F.col("v").alias(vertex), F.col("c").alias(name)), vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
 
 def _likeliest(pairs: DataFrame, rest: DataFrame, most: int = 3) -> DataFrame:
@@ -226,15 +230,13 @@ def _likeliest(pairs: DataFrame, rest: DataFrame, most: int = 3) -> DataFrame:
     return turned.withColumn("place", place).filter(F.col("place") <= most).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = 10, width: int = 2, small: int = 12) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
-
-    Texts without words, or null, have no shingles, are linked with nothing and are kept. A row
-    without a doc_id has no component and is kept. Rows are treated by their own text; repeated rows
-    share their result. Other columns are not read. An empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, width: int, small: int) -> DataFrame:
+    """doc_id, r1, r2, n_shingles of every row, and best: the row (struct of none, doc_id, r1, r2) that stands for its component; null for an empty set."""
     marks = cut(signatures(docs, shingle, bands, width))
-    classes = cut(marks.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("v"), F.first("keys").alias("keys")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2"))
+    classes = marks.filter("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(least.alias("best"), F.first("keys").alias("keys"))
+    # the checkpoint fixes the numbers
+    classes = cut(classes.withColumn("v", F.monotonically_increasing_id()))
 
     half = classes.select("v", F.posexplode(F.slice("keys", 1, bands)).alias("i", "a"))
     met = half.groupBy("i", "a").agg(F.count("*").alias("k")).filter("k > 1").select("i", "a")
@@ -249,32 +251,64 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     few = members.filter(F.col("k") <= small).groupBy("key").agg(F.collect_list(F.struct("v", "n")).alias("members"))
     star = members.filter(F.col("k") > small).filter("v != centre").filter(_close("n", "nc", percent)).select(F.least("v", "centre").alias("a"), F.greatest("v", "centre").alias("b"))
     pairs = cut(_pairs_within(few, percent).select("a", "b").union(star).distinct())
-    links = cut(_confirm(docs, pairs, shingle, percent))
+    crowded = members.filter(F.col("k") > small).select("v", "n")
+    wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).union(crowded.select("v")).distinct()
+    sets = cut(_shingle_sets(docs, cut(classes.join(wanted, "v", "left_semi").select("v", "best.r1", "best.r2")), shingle))
+    links = _confirm(sets, pairs, percent)
     labels = components(links)
 
-    crowded = members.filter(F.col("k") > small).select("v", "n").distinct()
-    rest = cut(crowded.join(labels, "v", "left").withColumn("c", F.coalesce("c", "v")))
-    if rest.limit(1).count():
-        more = cut(_rare_pairs(docs, rest, shingle, percent, small).join(pairs, ["a", "b"], "left_anti"))
-        tried = cut(_likeliest(more, rest))
-        labels = extended(labels, cut(_confirm(docs, tried, shingle, percent)))
-        # the others matter only where the components are still apart
-        apart = _labelled(_labelled(more.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        found = cut(_confirm(docs, cut(apart), shingle, percent))
-        if found.limit(1).count():
-            labels = extended(labels, found)
-
-    named = classes.select("f1", "f2", "n_shingles", "v").join(labels, "v", "left").select("f1", "f2", "n_shingles", F.coalesce("c", "v").alias("component_id"))
-    rows = marks.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
+    rest = cut(_with_label(crowded.distinct(), labels, "v", "c"))
+    if not rest.isEmpty():
+        more = cut(_rare_pairs(sets, rest, percent, small).join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tried = cut(_likeliest(more, rest))
+            links = links.union(_confirm(sets, tried, percent))
+            labels = components(links)
+            # the others matter only where the components are still apart
+            apart = _with_label(_with_label(more.select("a", "b"), labels, "a", "ca"), labels, "b", "cb").filter("ca != cb").select("a", "b")
+            apart = cut(apart.join(tried, ["a", "b"], "left_anti"))
+            if not apart.isEmpty():
+                labels = components(links.union(_confirm(sets, apart, percent)))
+
+    named = _with_label(classes.select("v", "best", "f1", "f2", "n_shingles"), labels, "v", "c")
+    # few classes are linked; the others stand for themselves
+    linked = named.join(labels.select("c").union(labels.select("v")).distinct(), "c", "left_semi")
+    heads = cut(linked.groupBy("c").agg(F.min("best").alias("head")))
+    named = cut(named.join(heads, "c", "left").select("f1", "f2", "n_shingles", F.coalesce("head", "best").alias("best")))
+    return marks.select("doc_id", "r1", "r2", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left").drop("f1", "f2")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = 10, width: int = 2, small: int = 12) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Texts without words, or null, have no shingles, are linked with nothing and are kept. Rows are
+    treated by their own text, those of one doc_id with different texts too; repeated rows share
+    their result. A row without a doc_id is linked by its text: its component_id is the smallest
+    doc_id reachable, null where there is none, but nothing names it and it counts as kept;
+    ``drop_near_duplicates`` judges rows instead. Other columns are not read. An empty table gives an
+    empty result.
+    """
+    rows = _judged(docs, shingle, percent, bands, width, small)
+    component = F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    judged = near_duplicates(docs.select("doc_id", "text"), **options).filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id"))
-    gone = judged.agg(F.bool_or("kept").alias("stays")).filter("not stays").select("__id")
-    return keep_row(docs, F.col("doc_id").alias("__id")).join(gone, "__id", "left_anti").select(f"{ROW}.*")
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = 10, width: int = 2, small: int = 12) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: of the smallest doc_id, then the smallest row id.
+
+    Rows without a doc_id come after those with one. Of rows with equal doc_id and text one stays,
+    whichever. Rows without words stay, all of them. An empty table gives an empty result.
+    """
+    rows = _judged(docs.select("doc_id", "text"), shingle, percent, bands, width, small).filter("best is not null")
+    stays = F.max((F.col("r1") == F.col("best.r1")) & (F.col("r2") == F.col("best.r2")))
+    judged = cut(rows.groupBy("r1", "r2").agg(stays.alias("stays"), F.count("*").alias("k")).filter("not stays or k > 1").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), "stays"))
+    each = keep_row(docs, *row_ids("__r1", "__r2"))
+    once = each.join(judged.drop("stays"), ["__r1", "__r2"], "left_anti").select(ROW)
+    repeated = judged.filter("stays").drop("stays")
+    if repeated.isEmpty():
+        return once.select(f"{ROW}.*")
+    again = narrow(each, "__r1", repeated.select("__r1")).groupBy("__r1", "__r2").agg(F.first(ROW).alias(ROW)).join(repeated, ["__r1", "__r2"], "left_semi").select(ROW)
+    return once.union(again).select(f"{ROW}.*")
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
