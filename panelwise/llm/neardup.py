@@ -23,7 +23,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ROW, cut, keep_row, narrow, read, row_ids
@@ -217,8 +216,8 @@ def _with_label(rows: DataFrame, labels: DataFrame, vertex: str, name: str) -> D
     return rows.join(labels.select(F.col("v").alias(vertex), F.col("c").alias(name)), vertex, "left").withColumn(name, F.coalesce(name, vertex))
 
 
-def _likeliest(pairs: DataFrame, rest: DataFrame, most: int = 3) -> DataFrame:
-    """For each member of the smaller of two components the ``most`` likeliest pairs with the larger one.
+def _likeliest(pairs: DataFrame, rest: DataFrame, picks: int = 3) -> DataFrame:
+    """For each member of the smaller of two components up to ``picks`` likely pairs with the larger one: the best of each hash part.
 
     One link joins two components, and then their other pairs need no confirmation.
     """
@@ -226,8 +225,8 @@ def _likeliest(pairs: DataFrame, rest: DataFrame, most: int = 3) -> DataFrame:
     both = pairs.join(sized.select(F.col("v").alias("a"), F.col("own").alias("x")), "a").join(sized.select(F.col("v").alias("b"), F.col("own").alias("y")), "b")
     swap = F.col("x") > F.col("y")
     turned = both.select("a", "b", "most", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("member"), F.when(swap, F.col("x.c")).otherwise(F.col("y.c")).alias("against"))
-    place = F.row_number().over(W.partitionBy("member", "against").orderBy(F.desc("most"), "a", "b"))
-    return turned.withColumn("place", place).filter(F.col("place") <= most).select("a", "b")
+    best = F.max(F.struct("most", "a", "b")).alias("best")
+    return turned.groupBy("member", "against", F.pmod(F.xxhash64("a", "b"), F.lit(picks)).alias("part")).agg(best).select("best.a", "best.b")
 
 
 def _judged(docs: DataFrame, shingle: int, percent: int, bands: int, width: int, small: int) -> DataFrame:
