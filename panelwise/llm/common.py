@@ -23,13 +23,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own in local mode, and an error on a cluster."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -45,11 +49,6 @@ def row_ids(first: str = "r1", second: str = "r2") -> tuple[Column, Column]:
     return F.xxhash64(id_, text).alias(first), F.xxhash64(text, id_, F.lit(1)).alias(second)
 
 
-def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The first of the hashes of ``row_ids``."""
-    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00")), F.coalesce(F.col(text), F.lit("\x00")))
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often a lambda inside ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -66,12 +65,12 @@ def keep_row(df: DataFrame, *columns: Column) -> DataFrame:
 
 
 def narrow(df: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """Rows of ``df`` whose long ``key`` may be in the one column of ``ids``: all that are, and few others.
+    """Rows of ``df`` whose long ``key`` may be in the first column of ``ids``: all that are, and few others.
 
     A bitmap of 2 ** bits bits, a fixed size whatever the number of ids, is broadcast as rows of 64
     bits. It saves the shuffle of the other rows ahead of an exact join; it decides nothing.
     """
-    (name,) = ids.columns
+    name = ids.columns[0]
     word = lambda c: F.pmod(F.xxhash64(F.col(f"`{c}`")), F.lit((1 << bits) // 64))
     bit = lambda c: F.expr(f"shiftleft(1L, cast(shiftright(xxhash64(`{c}`), 40) & 63L as int))")
     words = ids.groupBy(word(name).alias("__word")).agg(F.bit_or(bit(name)).alias("__bits"))

@@ -1,9 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
-The first pass classifies each block of text by stop-word density, length and link density, and by
-the element that holds it where that element says what it is for. The second pass gives the blocks
-that stay undecided, short ones mostly, the label of the nearest decided neighbours in the same
-container.
+The first pass gives each block of text a score from its stop-word density, length and link density,
+to which a mark of ownership and the element that holds it, where that says what it is for, add
+evidence; a high score is text, a low one is not. The second pass gives the blocks in between, short
+ones mostly, the label of the nearest decided neighbours in the same container, those of the same
+element first.
 """
 
 from __future__ import annotations
@@ -49,23 +50,84 @@ COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comment|comments|reply|related|recom
 #: Elements, and words in class, id or role, that hold the article.
 ARTICLE, ARTICLE_NAMES = frozenset(("article", "main")), re.compile(r"(?:^|[\s_-])(?:article|main|post-body|entry-content|article-body|post-content)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+#: How notices of ownership begin.
+OWNED = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
+
+_BEGIN = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _STOP = frozenset(STOP_WORDS)
 
-#: Limits of the first pass: link share, characters of a short and of a long block, stop-word shares.
-LINKS, SHORT, LONG, FEW, MANY = 0.33, 70, 200, 0.1, 0.2
+#: The first pass: stop-word share that is full evidence, characters at which a block's stop words and its length count in full,
+#: weights of links, of a mark of ownership, of standing in an article, outside of the one that there is, and in an aside.
+STOPS, ENOUGH, LONG, LINKS, MARK, INSIDE, OUTSIDE, BESIDE = 0.2, 140, 800, 3.0, 2.0, 3.0, 3.0, 4.0
+#: Scores from which a block is text, and up to which it is not.
+TEXT, NO_TEXT = 0.8, -0.5
+
+
+class Tokens:
+    """Tags of a page one after the other, in time that is linear in the page whatever its quotes and ends are."""
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.bare, self.endless, self.raw = page, set(), len(page) + 1, len(page) + 1, set()
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(start, end, tag or None for a comment or declaration, closing, attributes) of what begins at or after ``at``."""
+        page = self.page
+        while m := _BEGIN.search(page, at):
+            if m.group(1):
+                end = page.find("-->", m.end() - 2)
+                return m.start(), len(page) if end < 0 else end + 3, None, False, ""
+            end = self._first_end(m.end()) if m.group(2) else self._tag_end(m.end())
+            if end >= 0:
+                return m.start(), end, m.group(4) and m.group(4).lower(), bool(m.group(3)), page[m.end() : end - 1]
+            at = m.end()
+        return None
+
+    def _first_end(self, at: int) -> int:
+        end = self.page.find(">", at) if at < self.endless else -1
+        if end < 0:
+            self.endless = min(self.endless, at)
+        return end + 1 if end >= 0 else -1
+
+    def _tag_end(self, at: int) -> int:
+        """After the first > outside of quotes; where quotes never close, after the first > of all."""
+        pos, seen = at, []
+        while pos < self.bare:
+            m = _QUOTE_OR_END.search(self.page, pos)
+            if not m:
+                self.bare = pos
+                break
+            if m.group() == ">":
+                return m.end()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            close = self.page.find(m.group(), m.end())
+            if close < 0:
+                break
+            pos = close + 1
+        self.dead.update(seen)
+        return self._first_end(at)
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """After the end tag of an element whose content is no markup; -1 where there is none."""
+        m = None if tag in self.raw else _RAW_END[tag].search(self.page, at)
+        if not m:
+            self.raw.add(tag)
+        return m.end() if m else -1
 
 
 class Block:
     """Text of one block with its shares and its container."""
 
-    __slots__ = ("text", "links", "inside", "aside", "label")
+    __slots__ = ("text", "links", "inside", "aside", "tag", "label")
 
-    def __init__(self, text: str, links: int, inside: int, aside: bool):
-        self.text, self.links, self.inside, self.aside, self.label = text, links, inside, aside, None
+    def __init__(self, text: str, links: int, inside: int, aside: bool, tag: str):
+        self.text, self.links, self.inside, self.aside, self.tag, self.label = text, links, inside, aside, tag, None
 
 
 def blocks(page: str) -> list[Block]:
@@ -76,7 +138,8 @@ def blocks(page: str) -> list[Block]:
     # open elements: (tag, makes aside, number of the article that it opens or 0)
     stack: list[tuple[str, bool, int]] = []
     asides, links, articles, inside = 0, 0, 0, 0
-    # places in the stack: of each tag, of blocks, of blocks that hold list items
+    # the articles that are open; places in the stack: of each tag, of blocks, of blocks that hold list items
+    within: list[int] = []
     opened: defaultdict[str, list[int]] = defaultdict(list)
     open_blocks: list[int] = []
     holders: list[int] = []
@@ -86,7 +149,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(references.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, linked, inside, asides > 0))
+                found.append(Block(text, linked, inside, asides > 0, stack[open_blocks[-1]][0] if open_blocks else ""))
         parts, linked = [], 0
 
     def text_of(piece: str) -> None:
@@ -106,20 +169,17 @@ def blocks(page: str) -> list[Block]:
         asides -= aside
         links -= tag == "a"
         if article:
-            inside = next((a for _, _, a in reversed(stack) if a), 0)
+            within.pop()
+            inside = within[-1] if within else 0
         return tag
 
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text_of(page[at:])
-            break
-        text_of(page[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
+    at, tokens = 0, Tokens(page)
+    while token := tokens.next(at):
+        start, end, tag, closing, attributes = token
+        text_of(page[at:start])
+        at = end
+        if tag is None:
             continue
-        tag, closing = m.group(2).lower(), bool(m.group(1))
         if tag in BLOCKS:
             close_block()
         if closing:
@@ -127,15 +187,15 @@ def blocks(page: str) -> list[Block]:
             while len(stack) > depth:
                 pop()
             continue
-        self_closed = bool(_SELF_CLOSED.search(m.group(3)))
+        self_closed = bool(_SELF_CLOSED.search(attributes))
         if tag in HIDDEN and tag != "head":
-            raw = _RAW_END[tag].search(page, at) if tag in _RAW_END and not (self_closed and tag in ("iframe", "noscript", "template")) else None
-            if raw:
-                at = raw.end()
+            raw = tokens.raw_end(tag, at) if tag in _RAW_END and not (self_closed and tag in ("iframe", "noscript", "template")) else -1
+            if raw >= 0:
+                at = raw
             elif not self_closed or tag in ("script", "style", "textarea", "title"):
-                at = _hidden_end(page, at, tag, opened)
+                at = _hidden_end(tokens, at, tag, opened)
             continue
-        if tag in EMPTY or self_closed or m.group(3).rstrip().endswith("/"):
+        if tag in EMPTY or self_closed or attributes.rstrip().endswith("/"):
             continue
         if tag in ENDS_P and open_blocks and stack[open_blocks[-1]][0] == "p":
             while len(stack) > open_blocks[-1] + 1:
@@ -146,12 +206,13 @@ def blocks(page: str) -> list[Block]:
             depth = max(last(opened[t]) for t in ENDS[tag])
             while depth > last(holders if tag in ("li", "dt", "dd") else opened["table"]) and len(stack) > depth:
                 pop()
-        names = " ".join(" ".join(filter(None, x)) for x in _NAMED.findall(m.group(3))) if "=" in m.group(3) else ""
+        names = " ".join(" ".join(filter(None, x)) for x in _NAMED.findall(attributes)) if "=" in attributes else ""
         article = (tag in ARTICLE or bool(names and ARTICLE_NAMES.search(names))) and not (names and COMMENT_NAMES.search(names))
         aside = not article and (tag in ASIDE or (tag == "header" and not inside) or bool(names and tag != "body" and tag != "html" and ASIDE_NAMES.search(names)))
         if article:
             articles += 1
             inside = articles
+            within.append(articles)
         opened[tag].append(len(stack))
         if tag in BLOCKS:
             open_blocks.append(len(stack))
@@ -160,55 +221,57 @@ def blocks(page: str) -> list[Block]:
         stack.append((tag, aside, articles if article else 0))
         asides += aside
         links += tag == "a"
+    text_of(page[at:])
     close_block()
     return found
 
 
-def _hidden_end(page: str, at: int, hidden: str, opened: dict[str, list[int]]) -> int:
+def _hidden_end(tokens: Tokens, at: int, hidden: str, opened: dict[str, list[int]]) -> int:
     """Where a hidden element that begins before ``at`` ends: after its end tag, before the end tag of an element around it, or with the page."""
     nested: dict[str, int] = defaultdict(int)
-    depth, end = 1, len(page)
-    while m := _TOKEN.search(page, at):
-        at = m.end()
-        if m.group(2) is None:
+    depth = 1
+    while token := tokens.next(at):
+        start, at, tag, closing, attributes = token
+        if tag is None:
             continue
-        tag, closing = m.group(2).lower(), bool(m.group(1))
         if tag == hidden:
             if not closing and hidden == "option":
-                return m.start()
-            depth += -1 if closing else not _SELF_CLOSED.search(m.group(3))
+                return start
+            depth += -1 if closing else not _SELF_CLOSED.search(attributes)
             if not depth:
                 return at
         elif closing and opened.get(tag) and not nested[tag]:
-            return m.start()
+            return start
         elif closing:
             nested[tag] = max(0, nested[tag] - 1)
-        elif tag in _RAW_END and (raw := _RAW_END[tag].search(page, at)):
-            at = raw.end()
+        elif tag in _RAW_END and (raw := tokens.raw_end(tag, at)) >= 0:
+            at = raw
         elif tag not in EMPTY and tag not in ENDS and tag != "p":
             nested[tag] += 1
-    return end
+    return len(tokens.page)
+
+
+def score(block: Block, known: bool, article: bool) -> float:
+    """Evidence that a block is text. ``known``: the page has known stop words; ``article``: it has an article element."""
+    words, length = _LETTERS.findall(block.text.lower()), len(block.text)
+    stops = sum(w in _STOP for w in words) / max(1, len(words))
+    fluent = min(stops / STOPS, 1.5) if known else 1.0
+    value = fluent * min(length / ENOUGH, 1.0) + min(length / LONG, 0.5)
+    value -= LINKS * block.links / max(1, length)
+    if OWNED.match(block.text):
+        value -= MARK
+    if block.aside:
+        return value - BESIDE
+    return value + INSIDE if block.inside else value - OUTSIDE if article else value
 
 
 def classify(page_blocks: list[Block]) -> None:
-    """Labels every block True (article) or False, in two passes."""
-    any_article = any(b.inside and not b.aside for b in page_blocks)
-    shares = []
+    """Labels every block True (text) or False, in two passes; what nothing around it decides stays only in an article."""
+    article = any(b.inside and not b.aside for b in page_blocks)
+    known = any(w in _STOP for b in page_blocks if not b.aside for w in _LETTERS.findall(b.text.lower()))
     for b in page_blocks:
-        words = b.text.lower().split()
-        shares.append(sum(w.strip(".,;:!?") in _STOP for w in words) / max(1, len(words)))
-    known = any(share for b, share in zip(page_blocks, shares) if not b.aside)
-    for b, stop in zip(page_blocks, shares):
-        if b.aside or any_article and not b.inside:
-            b.label = False
-        elif b.links > LINKS * len(b.text):
-            b.label = False
-        elif not known:  # a language of other stop words: length and links decide
-            b.label = True if len(b.text) >= LONG else None
-        elif len(b.text) >= LONG and stop >= FEW or len(b.text) >= SHORT and stop >= MANY:
-            b.label = True
-        elif not b.inside and len(b.text) >= LONG and stop < FEW / 4:
-            b.label = False
+        value = score(b, known, article)
+        b.label = True if value >= TEXT else False if value <= NO_TEXT else None
     decided = [b.label for b in page_blocks]
     for low, high in _runs(page_blocks):
         before, last = {}, None
@@ -219,12 +282,10 @@ def classify(page_blocks: list[Block]) -> None:
         for i in range(high - 1, low - 1, -1):
             last = i if decided[i] is not None else last
             if decided[i] is None:
-                near = [k for k in (before[i], last) if k is not None]
-                if near:
-                    close = min(abs(k - i) for k in near)
-                    page_blocks[i].label = any(decided[k] for k in near if abs(k - i) == close)
-                else:  # nothing decided in the container: an article's own blocks are its text
-                    page_blocks[i].label = bool(page_blocks[i].inside)
+                # a neighbour in another element counts as one place further away
+                near = [(abs(k - i) + (page_blocks[k].tag != page_blocks[i].tag), decided[k]) for k in (before[i], last) if k is not None]
+                close = min((d for d, _ in near), default=0)
+                page_blocks[i].label = any(label for d, label in near if d == close) if near else bool(page_blocks[i].inside)
 
 
 def _runs(page_blocks: list[Block]) -> Iterator[tuple[int, int]]:

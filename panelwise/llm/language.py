@@ -13,10 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, read, row_id
+from .common import held_out, read, row_ids
 from .words import buffer_of, slices
 
 CELLS = 1 << 12
@@ -107,39 +106,45 @@ class Codes:
         return best, p[np.arange(len(p)), best], margin
 
 
-def train_language(docs: DataFrame, each: int = 500, longest: int = 50_000, most: int = 4000) -> Codes:
-    """The codes learned from at most ``each`` texts a language and ``most`` in all.
+def train_language(docs: DataFrame, each: int = 500, longest: int = 50_000, most: int = 4000, languages: int = 1000) -> Codes:
+    """The codes learned from about ``each`` texts a language, ``most`` in all at most.
 
-    The sample is bounded: the first rows of each language by a hash of doc_id, among training rows
-    (crc32 of doc_id modulo 4 is not 2) with a lang and a text of 20 to ``longest`` characters. The
-    sample is chosen by ids alone; with more languages than most / each, each has fewer rows.
+    The sample is bounded: of each language the rows whose hash of doc_id and text falls below the
+    share that gives ``each`` different rows, among training rows (crc32 of doc_id modulo 4 is not 2)
+    with a lang and a text of 20 to ``longest`` characters; repeated rows count once. Shares come from
+    counts that combine on the map side, so that no task sorts a language. With more languages than
+    most / each, each has fewer rows; of more than ``languages`` languages those with most rows are
+    learned.
     """
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(20, longest)).filter(~held_out(4, 2))
-    languages = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    codes = Codes(languages)
-    if len(languages) < 2:
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(20, longest)).filter(~held_out(4, 2))
+    rows = known.select("lang", "text", *row_ids())
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("r1", 0.02).alias("d")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    codes = Codes(sorted(r["lang"] for r in counted))
+    if len(counted) < 2:
         return codes
-    each = max(1, min(each, most // len(languages)))
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit("language")), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= each).select("doc_id", F.col("lang").alias("label"))
-    texts = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    each = max(1, min(each, most // len(counted)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], each / max(1, r["d"])) for r in counted], "lang string, share double")
+    place = F.shiftrightunsigned(F.xxhash64("r1", "r2", F.lit("language")), 11) * F.lit(2.0**-53)
+    chosen = rows.join(F.broadcast(shares), "lang").withColumn("place", place / F.col("share")).filter("place < 1")
+    texts = chosen.groupBy("lang", "r1", "r2").agg(F.first("text").alias("text"), F.first("place").alias("place")).select("text", "lang", "place")
 
     def run(batches):
         for batch in batches:
             for low, high, profile, _ in _profiles(batch.column(0)):
                 # a byte a cell is enough for fitting: values of a unit vector in steps of 1/255
                 small = np.rint(profile * 255).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in small], pa.binary()), batch.column(1).slice(low, high - low)], names=["profile", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in small], pa.binary()), *(batch.column(k).slice(low, high - low) for k in (1, 2))], names=["profile", "label", "place"])
 
-    number = {lang: i for i, lang in enumerate(languages)}
-    found = sorted((number[r["label"]], bytes(r["profile"])) for r in texts.mapInArrow(run, "profile binary, label string").toLocalIterator())
+    number = {lang: i for i, lang in enumerate(codes.languages)}
+    sample = texts.mapInArrow(run, "profile binary, label string, place double").orderBy("place").limit(most).toArrow()
+    found = sorted((number[k], p) for k, p in zip(sample["label"].to_pylist(), sample["profile"].to_pylist()))
     x = np.frombuffer(b"".join(p for _, p in found), np.uint8).reshape(len(found), CELLS).astype(np.float32) / 255
     codes.fit(x, np.array([k for k, _ in found]))
     return codes
 
 
 def identify_language(docs: DataFrame, codes: Codes, ambiguous_below: float = 0.2) -> DataFrame:
-    """rid, doc_id, held_out, lang_pred, score, ambiguous of every row (doc_id, text).
+    """r1 and r2 (the row's ids), doc_id, held_out, lang_pred, score, ambiguous of every row (doc_id, text).
 
     Null texts and texts without a letter are 'und' with score 0. A letter alone is enough for a
     guess, which is then ambiguous as a rule. With one learned language all texts with a letter get
@@ -151,7 +156,7 @@ def identify_language(docs: DataFrame, codes: Codes, ambiguous_below: float = 0.
     def run(batches):
         names = sent.value.languages
         for batch in batches:
-            for low, high, profile, letter in _profiles(batch.column(2)):
+            for low, high, profile, letter in _profiles(batch.column(3)):
                 n = high - low
                 if names:
                     best, score, margin = sent.value.decode(profile)
@@ -159,16 +164,16 @@ def identify_language(docs: DataFrame, codes: Codes, ambiguous_below: float = 0.
                     best, score, margin, letter = np.zeros(n, int), np.zeros(n), np.zeros(n), np.zeros(n, bool)
                 langs = [names[k] if ok else "und" for k, ok in zip(best.tolist(), letter.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).slice(low, n) for k in (0, 1)), pa.array(langs, pa.string()), pa.array(np.where(letter, score, 0.0).astype(np.float64)), pa.array(~letter | (margin < ambiguous_below))],
-                    names=["rid", "doc_id", "lang_pred", "score", "ambiguous"],
+                    [*(batch.column(k).slice(low, n) for k in range(3)), pa.array(langs, pa.string()), pa.array(np.where(letter, score, 0.0).astype(np.float64)), pa.array(~letter | (margin < ambiguous_below))],
+                    names=["r1", "r2", "doc_id", "lang_pred", "score", "ambiguous"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = docs.select(row_id().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, lang_pred string, score double, ambiguous boolean")
-    return found.select("rid", "doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+    found = docs.select(*row_ids(), "doc_id", "text").mapInArrow(run, f"r1 long, r2 long, doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    return found.select("r1", "r2", "doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
     """The digest that the contract of operator 6 names."""
     docs = read(spark, sf_dir, "documents")
-    return identify_language(docs.select("doc_id", "text"), train_language(docs)).drop("rid")
+    return identify_language(docs.select("doc_id", "text"), train_language(docs)).drop("r1", "r2")

@@ -2,11 +2,10 @@
 
 A line's place counts the lines that have a word, so that blank lines neither divide a passage nor
 belong to it. Every two successive lines of which both occur again make a window, keyed by a hash
-over the hashes of the two; a line of ``min_words`` words or more is also a key of its own. A repeated
-passage of any two lines or more is thus found line by line, whatever stands beside it. Windows that
-occur again are removed everywhere but at their first place (by doc_id, then row, then place).
-Successive ones that follow the same stretch of the same document are made one stretch, which goes
-only after its bytes have been compared with those of the first place.
+over the hashes of the two. A repeated passage of any two lines or more is thus found line by line,
+whatever stands beside it. Windows that occur again are removed everywhere but at their first place
+(by doc_id, then row, then place). Successive ones that follow the same stretch of the same document
+are made one stretch, which goes only after its bytes have been compared with those of the first place.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, cut, keep_row, narrow, read, row_id
+from .common import ROW, SPACE, cut, keep_row, narrow, read, row_ids
 
 
 def _worded(line: Column) -> Column:
@@ -23,70 +22,77 @@ def _worded(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that has a word: rid, doc_id, i (its place among these), h (64-bit hash), w (words)."""
+    """A row for each line that has a word: r1, r2, doc_id, i (its place among these), h (64-bit hash), line."""
     lines = F.filter(F.split(F.col("text"), "\n"), _worded)
-    each = docs.filter(F.col("text").isNotNull()).select(row_id().alias("rid"), "doc_id", F.posexplode(lines).alias("i", "line"))
-    bare = F.trim(F.regexp_replace("line", f"[{SPACE}]+", " "))
-    words = F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
-    return each.select("rid", "doc_id", "i", F.xxhash64("line").alias("h"), words.alias("w"))
+    return docs.filter(F.col("text").isNotNull()).select(*row_ids(), "doc_id", F.posexplode(lines).alias("i", "line")).withColumn("h", F.xxhash64("line"))
 
 
-def line_windows(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """Windows of repeated lines: rid, doc_id, i (first line), n (lines: 2, or 1 for a long line), k (hash of the line hashes).
+def _word_number(line: Column) -> Column:
+    bare = F.trim(F.regexp_replace(line, f"[{SPACE}]+", " "))
+    return F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
+
+
+def line_windows(docs: DataFrame, long_line: int | None = None) -> DataFrame:
+    """Windows of repeated lines: r1, r2, doc_id, i (first line), n (lines), k (hash of the line hashes).
 
     No text is shuffled here; a line's hash, count and place are. Counting by hash combines on the
     map side, so that a line in a third of all documents is a few rows for each task.
     """
-    again = cut(_lines(docs).groupBy("h").agg(F.min("rid").alias("a"), F.max("rid").alias("b"), F.min("i").alias("p"), F.max("i").alias("q")).filter("a < b or p < q").select("h"))
+    again = cut(_lines(docs).groupBy("h").agg(F.min("r1").alias("a"), F.max("r1").alias("b"), F.min("i").alias("p"), F.max("i").alias("q")).filter("a < b or p < q").select("h"))
+    words = _word_number(F.col("line")) if long_line else F.lit(0)
     # repeated rows of one document are one document
-    placed = _lines(docs).join(again, "h", "left_semi").repartition("rid").groupBy("rid", "i").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("w").alias("w"))
-    by = W.partitionBy("rid").orderBy("i")
+    placed = _lines(docs).select("r1", "r2", "doc_id", "i", "h", words.alias("w")).join(again, "h", "left_semi").repartition("r1", "r2").groupBy("r1", "r2", "i").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("w").alias("w"))
+    by = W.partitionBy("r1", "r2").orderBy("i")
     pair = F.when(F.lead("i").over(by) == F.col("i") + 1, F.struct(F.lit(2).alias("n"), F.xxhash64("h", F.lead("h").over(by)).alias("k")))
-    alone = F.when(F.col("w") >= min_words, F.struct(F.lit(1).alias("n"), F.col("h").alias("k")))
+    if not long_line:
+        return placed.withColumn("pair", pair).filter("pair is not null").select("r1", "r2", "doc_id", "i", "pair.n", "pair.k")
+    alone = F.when(F.col("w") >= long_line, F.struct(F.lit(1).alias("n"), F.col("h").alias("k")))
     paired = placed.withColumn("pair", pair).withColumn("alone", alone)
-    return paired.select("rid", "doc_id", "i", F.explode(F.array_compact(F.array("pair", "alone"))).alias("x")).select("rid", "doc_id", "i", "x.n", "x.k")
+    return paired.select("r1", "r2", "doc_id", "i", F.explode(F.array_compact(F.array("pair", "alone"))).alias("x")).select("r1", "r2", "doc_id", "i", "x.n", "x.k")
 
 
-def repeated_stretches(docs: DataFrame, min_words: int = 40) -> DataFrame:
-    """Lines to remove: rid, s (first line), n (lines), first_rid, first_s (the same lines' first place).
+def repeated_stretches(docs: DataFrame, long_line: int | None = None) -> DataFrame:
+    """Lines to remove: r1, r2, s (first line), n (lines), f1 and f2 (row of the same lines' first place), first_s.
 
     A window that overlaps its own first place is no repeat. A long line alone counts where no
     repeated window of two lines covers it.
     """
-    every = cut(line_windows(docs, min_words))
-    firsts = every.groupBy("k", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "rid", "i")).alias("first")).filter("c > 1")
-    firsts = firsts.select("k", "n", F.col("first.rid").alias("first_rid"), F.col("first.i").alias("first_i"))
-    later = every.join(firsts, ["k", "n"]).filter("rid != first_rid or i >= first_i + n").select("rid", "i", "n", "first_rid", "first_i")
-    covered = F.max("n").over(W.partitionBy("rid").orderBy("i").rangeBetween(-1, 0))
-    later = later.withColumn("covered", covered).filter("n = 2 or covered = 1")
-    by = W.partitionBy("rid", "n").orderBy("i")
-    goes_on = (F.lag("i").over(by) == F.col("i") - 1) & (F.lag("first_i").over(by) == F.col("first_i") - 1) & (F.lag("first_rid").over(by) == F.col("first_rid"))
+    every = cut(line_windows(docs, long_line))
+    firsts = every.groupBy("k", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "r1", "r2", "i")).alias("first")).filter("c > 1")
+    firsts = cut(firsts.select("k", "n", F.col("first.r1").alias("f1"), F.col("first.r2").alias("f2"), F.col("first.i").alias("first_i")))
+    later = every.join(firsts, ["k", "n"]).filter("r1 != f1 or r2 != f2 or i >= first_i + n").select("r1", "r2", "i", "n", "f1", "f2", "first_i")
+    if long_line:
+        covered = F.max("n").over(W.partitionBy("r1", "r2").orderBy("i").rangeBetween(-1, 0))
+        later = later.withColumn("covered", covered).filter("n = 2 or covered = 1")
+    by = W.partitionBy("r1", "r2", "n").orderBy("i")
+    goes_on = (F.lag("i").over(by) == F.col("i") - 1) & (F.lag("first_i").over(by) == F.col("first_i") - 1) & (F.lag("f1").over(by) == F.col("f1")) & (F.lag("f2").over(by) == F.col("f2"))
     begun = later.withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
     numbered = begun.withColumn("stretch", F.sum("begins").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    found = numbered.groupBy("rid", "n", "stretch").agg(F.min("i").alias("s"), F.count("*").alias("c"), F.first("first_rid").alias("first_rid"), F.min("first_i").alias("first_s"))
-    return found.select("rid", "s", (F.col("c") + F.col("n") - 1).cast("int").alias("n"), "first_rid", "first_s")
+    found = numbered.groupBy("r1", "r2", "n", "stretch").agg(F.min("i").alias("s"), F.count("*").alias("c"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.min("first_i").alias("first_s"))
+    return found.select("r1", "r2", "s", (F.col("c") + F.col("n") - 1).cast("int").alias("n"), "f1", "f2", "first_s")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 40) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_line: int | None = None) -> DataFrame:
     """The document rows without repeated passages: their columns, text replaced, and n_lines, n_removed (long).
 
-    A passage is two successive lines or more, or a line of ``min_words`` words. Every line that goes
-    stays at an earlier place; a passage put together from pieces of earlier ones stays as these
-    pieces. Null text stays null with counts 0. Empty texts and texts of one short line stay as they
-    are. Rows of equal doc_id and text are one document and all get its result. Null doc_ids come
-    first in the order that decides which place is kept. Blank lines inside a removed stretch go and
-    count as removed, others stay. A text from which every line goes becomes empty. An empty table
+    A passage is two successive lines or more; with ``long_line`` also one line of so many words.
+    Every line that goes stays at an earlier place; a passage put together from pieces of earlier ones
+    stays as these pieces. Null text stays null with counts 0. Empty texts and texts of one line stay
+    as they are. Rows of equal doc_id and text are one document and all get its result. Null doc_ids
+    come first in the order that decides which place is kept. Blank lines inside a removed stretch go
+    and count as removed, others stay. A text from which every line goes becomes empty. An empty table
     gives an empty result. Columns other than doc_id and text are carried along whatever their names;
     a column n_lines or n_removed is replaced.
     """
-    found = cut(repeated_stretches(docs, min_words))
-    firsts = found.select("first_rid", "first_s", "n").distinct()
-    texts = narrow(docs.select(row_id().alias("first_rid"), "text"), "first_rid", firsts.select("first_rid")).join(firsts, "first_rid").groupBy("first_rid", "first_s", "n")
-    texts = texts.agg(F.first(F.array_join(F.slice(F.filter(F.split("text", "\n"), _worded), F.col("first_s") + 1, F.col("n")), "\n")).alias("bytes"))
-    later = found.join(texts, ["first_rid", "first_s", "n"])
-    going = later.groupBy("rid").agg(F.collect_list(F.struct("s", "n", "bytes")).alias("going")).withColumnRenamed("rid", "__rid")
-
-    rows = keep_row(docs, row_id().alias("__rid"), F.split("text", "\n").alias("__lines")).join(going, "__rid", "left")
+    found = cut(repeated_stretches(docs, long_line))
+    firsts = found.select("f1", "f2", "first_s", "n").distinct()
+    texts = narrow(docs.select(*row_ids("f1", "f2"), "text"), "f1", firsts.select("f1")).join(firsts, ["f1", "f2"]).groupBy("f1", "f2", "first_s", "n")
+    stretch = F.array_join(F.slice(F.filter(F.split("text", "\n"), _worded), F.col("first_s") + 1, F.col("n")), "\n")
+    # computed before the join, which then meets a stretch that very many documents repeat as plain shuffled rows, to be dealt anew
+    later = found.join(cut(texts.agg(F.first(stretch).alias("bytes"))), ["f1", "f2", "first_s", "n"])
+    going = later.groupBy("r1", "r2").agg(F.collect_list(F.struct("s", "n", "bytes")).alias("going")).withColumnsRenamed({"r1": "__r1", "r2": "__r2"})
+
+    rows = keep_row(docs, *row_ids("__r1", "__r2"), F.split("text", "\n").alias("__lines")).join(going, ["__r1", "__r2"], "left")
     line = lambda i: F.get(F.col("__lines"), i.cast("int"))
     rows = rows.withColumn("__worded", F.when(F.col("going").isNotNull(), F.filter(F.sequence(F.lit(0).cast("long"), F.size("__lines").cast("long") - 1), lambda i: _worded(line(i)))))
     same = F.filter("going", lambda g: F.array_join(F.transform(F.slice(F.col("__worded"), g["s"] + 1, g["n"]), line), "\n") == g["bytes"])

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document gets a place in a shuffled order of its source (by md5 of its doc_id). Its virtual
+Every document gets a place in a shuffled order of its source (by md5 of its doc_id and text). Its virtual
 finish time is the number of source words up to and including it, divided by the source's target;
 a source whose target exceeds its size is queued up to three times. All copies are sorted by finish
 time together and taken until the total budget is spent, so that each source advances towards its
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, cut, keep_row, read, row_id
+from .common import ROW, SPACE, cut, keep_row, read, row_ids
 
 WEIGHTS, MOST_COPIES = (5, 2, 1), 3
 
@@ -46,33 +46,37 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -
     return chosen.select("source", "sid", "source_size", F.least(most * F.col("source_size").cast("double"), F.col("at") * F.col("w")).alias("target"))
 
 
-def _finish_times(sized: DataFrame, targets: DataFrame, bits: int = 12) -> DataFrame:
-    """Adds ``cum``: words of the source up to and including the row in shuffled order."""
+def _finish_times(sized: DataFrame, targets: DataFrame, digits: int) -> DataFrame:
+    """Adds ``cum``: words of the source up to and including the row in shuffled order, in 16 ** digits hash ranges."""
     ranged = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    ranged = ranged.withColumn("part", F.conv(F.substring("h", 1, bits // 4), 16, 10).cast("int"))
+    ranged = ranged.withColumn("part", F.conv(F.substring("h", 1, digits), 16, 10).cast("long"))
     sums = ranged.groupBy("sid", "part").agg(F.sum("size").alias("s"))
     over = W.partitionBy("sid").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("sid", "part", F.coalesce(F.sum("s").over(over), F.lit(0)).alias("offset"))
-    within = W.partitionBy("sid", "part").orderBy("h", "doc_id", "rid").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("sid", "part").orderBy("h", "doc_id", "r1", "r2").rowsBetween(W.unboundedPreceding, 0)
     return ranged.withColumn("own", F.sum("size").over(within)).join(offsets, ["sid", "part"]).withColumn("cum", F.col("offset") + F.col("own"))
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, rows_at_once: int = 50_000) -> DataFrame:
-    """rid, doc_id, source, size, source_size, target, copies, taken for every row (doc_id, text, source).
+    """r1 and r2 (the row's ids), doc_id, source, size, source_size, target, copies, taken for every row (doc_id, text, source).
 
     Null text has size 0; rows of size 0 are taken 0 times and count for nothing. A source without
-    words has target 0. Rows without a doc_id share one place in the shuffled order and are ordered
-    by their text's hash. Repeated rows are documents of their own. Reruns agree. An empty table
-    gives an empty result.
+    words has target 0. Rows without a doc_id, or with a repeated one, are placed by their text too.
+    Repeated rows are documents of their own, one after the other in the shuffled order. Reruns
+    agree. An empty table gives an empty result. The number of hash ranges follows the number of
+    rows, about ``rows_at_once`` a range.
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = cut(docs.select("doc_id", "source", row_id().alias("rid"), word_count(F.col("text")).alias("size"), key.alias("h")))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    sized = cut(docs.select("doc_id", "source", *row_ids(), word_count(F.col("text")).alias("size"), key.alias("h")))
     targets = cut(source_targets(sized, weights, most))
-    budget = sized.agg(F.sum("size")).first()[0] or 0
-    timed = cut(_finish_times(sized.filter("size > 0"), targets).select("doc_id", "source", "rid", "h", "size", "sid", "source_size", "target", "cum"))
+    whole = sized.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
+    budget, digits = whole["s"] or 0, 3
+    while 16**digits * rows_at_once < whole["n"]:
+        digits += 1
+    timed = cut(_finish_times(sized.filter("size > 0"), targets, digits).select("doc_id", "source", "r1", "r2", "h", "size", "sid", "source_size", "target", "cum"))
 
     copies = timed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    queued = copies.select("size", "sid", "h", "doc_id", "rid", "copy", ((F.col("cum") + F.col("copy") * F.col("source_size")).cast("double") / F.col("target")).alias("finish"))
+    queued = copies.select("size", "sid", "h", "doc_id", "r1", "r2", "copy", ((F.col("cum") + F.col("copy") * F.col("source_size")).cast("double") / F.col("target")).alias("finish"))
     # narrow the cut down: ranges of finish time, each time 1024 of the range in which the budget ends
     low, high, spent = 0.0, float(most * 1024), 0
     while True:
@@ -90,9 +94,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, rows_
         if end is None:
             break
         high = end
-    order = W.orderBy("finish", "sid", "copy", "h", "doc_id", "rid").rowsBetween(W.unboundedPreceding, 0)
+    order = W.orderBy("finish", "sid", "copy", "h", "doc_id", "r1", "r2").rowsBetween(W.unboundedPreceding, 0)
     last = here.withColumn("run", F.sum("size").over(order)).filter(F.col("run") > budget - spent)
-    first_out = last.orderBy("finish", "sid", "copy", "h", "doc_id", "rid").limit(1).select("finish", "sid", "copy", "h", "doc_id", "rid").first()
+    first_out = last.orderBy("finish", "sid", "copy", "h", "doc_id", "r1", "r2").limit(1).select("finish", "sid", "copy", "h", "doc_id", "r1", "r2").first()
 
     finish = lambda e: (F.col("cum") + e * F.col("source_size")).cast("double") / F.col("target")
     if first_out is None:
@@ -100,7 +104,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, rows_
     else:
         null_first = lambda c, v: F.lit(False) if v is None else F.coalesce(F.col(c) < v, F.lit(True))
         same = lambda c, v: F.col(c).isNull() if v is None else F.coalesce(F.col(c) == v, F.lit(False))
-        fields = ["h", "doc_id", "rid"]
+        fields = ["h", "doc_id", "r1", "r2"]
 
         def earlier(e: int) -> Column:
             before, equal = F.lit(False), F.lit(True)
@@ -111,27 +115,27 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, rows_
             return ((finish(e) < first_out["finish"]) | ((finish(e) == first_out["finish"]) & rank)).cast("int")
 
         number = sum((earlier(e) for e in range(1, most)), earlier(0))
-    taken = timed.select("rid", "doc_id", "source", "size", "source_size", "target", number.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
+    taken = timed.select("r1", "r2", "doc_id", "source", "size", "source_size", "target", number.cast("long").alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
     zero = F.lit(0).cast("long")
     empty = sized.filter("size = 0")
     empty = empty.join(targets, empty["source"].eqNullSafe(targets["source"]), "left").select(
-        "rid", "doc_id", empty["source"], "size", F.coalesce("source_size", zero).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), zero.alias("copies"), zero.alias("taken")
+        "r1", "r2", "doc_id", empty["source"], "size", F.coalesce("source_size", zero).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), zero.alias("copies"), zero.alias("taken")
     )
     return taken.union(empty)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The taken rows of ``docs`` with all their columns, and size, source_size, target, copies and taken."""
-    mix = mix_sources(docs, **options).filter("copies > 0").groupBy(F.col("rid").alias("__rid"))
+    mix = mix_sources(docs, **options).filter("copies > 0").groupBy(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"))
     mix = mix.agg(*[F.first(c).alias(f"__{c}") for c in ("size", "source_size", "target")], *[F.sum(c).alias(f"__{c}") for c in ("copies", "taken")])
-    rows = keep_row(docs, row_id().alias("__rid")).dropDuplicates(["__rid"]).join(mix, "__rid")
+    rows = keep_row(docs, *row_ids("__r1", "__r2")).dropDuplicates(["__r1", "__r2"]).join(mix, ["__r1", "__r2"])
     added = ("size", "source_size", "target", "copies", "taken")
     return rows.select(*[F.col(f"{ROW}.`{c}`") for c in docs.columns if c not in added], *[F.col(f"__{c}").alias(c) for c in added])
 
 
 #: The same mix in DuckDB: the order of the queue and the cut are those of ``mix_sources``.
 OP7_SQL = r"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '')) as h from documents),
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5(coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as h from documents),
 t as (select source, sum(size)::bigint as source_size from d group by source),
 r as (select *, row_number() over (order by source is null, source) as sid from t),
 k as (select *, [5, 2, 1][((sid - 1) % 3 + 1)::int] as w from r where source_size > 0),
@@ -144,7 +148,7 @@ e as (select *, (cum + copy * source_size)::double / target as finish from q, ra
 f as (select *, sum(size) over (order by finish, sid, copy, h, doc_id rows unbounded preceding) as run from e),
 n as (select doc_id, h, count(*) filter (where run <= (select sum(size) from d)) as copies from f group by doc_id, h)
 select d.doc_id, d.size::bigint as size, coalesce(g.source_size, 0)::bigint as source_size, coalesce(g.target, 0)::double as target, (d.size * coalesce(n.copies, 0))::bigint as taken
-from d left join g on d.source is not distinct from g.source left join n on d.doc_id = n.doc_id
+from d left join g on d.source is not distinct from g.source left join n on d.doc_id is not distinct from n.doc_id and d.h = n.h
 """
 
 

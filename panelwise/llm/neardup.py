@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ROW, cut, keep_row, narrow, read, row_ids
@@ -32,6 +33,8 @@ from .words import SPACED, buffer_of, mix, slices, windows, words
 SHINGLE, PERCENT = 5, 75
 #: Rows of one shingle that a task joins; a shingle with more is dealt to several tasks.
 SHARE = 256
+#: Longs of a sketch.
+SKETCH = 8
 
 
 def _sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -165,9 +168,12 @@ def _rare_pairs(sets: DataFrame, rest: DataFrame, percent: int, small: int, cell
     gives its first n - ceil(n * percent / 100) + 1. If the first shingle that two sets share stands
     at places i and j, they share 1 + min(n - i, m - j) at most, counting places from 1. In a large
     bucket the members of its largest component are not held against each other, and its rows are
-    dealt to tasks of about ``SHARE``.
+    dealt to tasks of about ``SHARE``. There each set also brings a sketch, the bits of its shingles
+    among 64 * ``SKETCH``: each bit that one has and the other lacks is a shingle that they do not
+    share, and pairs with too many of these are ruled out.
     """
     low = np.uint64(cells - 1)
+    bits = [f"s{k}" for k in range(SKETCH)]
 
     def count(batches):
         total = np.zeros(cells, np.int64)
@@ -185,8 +191,10 @@ def _rare_pairs(sets: DataFrame, rest: DataFrame, percent: int, small: int, cell
     def prefix(batches):
         for batch in batches:
             out, rows, places = [], [], []
+            sketch = np.zeros((batch.num_rows, SKETCH), np.uint64)
             for i, x in enumerate(batch.column(0)):
                 h = np.frombuffer(x.as_buffer(), np.uint64)
+                np.bitwise_or.at(sketch[i], (h >> np.uint64(40)).astype(np.int64) % SKETCH, np.uint64(1) << (h >> np.uint64(58)))
                 take = len(h) - -(-len(h) * percent // 100) + 1
                 out.append(h[np.lexsort((h, shared.value[(h & low).astype(np.int64)]))[:take]])
                 rows.append(np.full(len(out[-1]), i))
@@ -194,9 +202,9 @@ def _rare_pairs(sets: DataFrame, rest: DataFrame, percent: int, small: int, cell
             at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
             values = np.concatenate(out) if out else np.zeros(0, np.uint64)
             place = pa.array(np.concatenate(places) if places else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(batch.column(k).take(at) for k in (1, 2, 3)), place], names=["h", "v", "n", "c", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), *(batch.column(k).take(at) for k in (1, 2, 3)), place, *(pa.array(np.ascontiguousarray(sketch[:, k]).view(np.int64)).take(at) for k in range(SKETCH))], names=["h", "v", "n", "c", "i", *bits])
 
-    spread = cut(sets.join(rest, "v").select("hashes", "v", "n", "c").mapInArrow(prefix, "h long, v long, n long, c long, i long"))
+    spread = cut(sets.join(rest, "v").select("hashes", "v", "n", "c").mapInArrow(prefix, ", ".join(f"{x} long" for x in ("h", "v", "n", "c", "i", *bits))))
     owned = spread.groupBy("h", "c").agg(F.count("*").alias("k"))
     sizes = cut(owned.groupBy("h").agg(F.sum("k").alias("k"), F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("owners")).filter("owners > 1").select("h", "k", "main"))
     met = cut(spread.join(sizes, "h"))
@@ -204,9 +212,12 @@ def _rare_pairs(sets: DataFrame, rest: DataFrame, percent: int, small: int, cell
     few = met.filter(F.col("k") <= small).groupBy("h").agg(F.collect_list(F.struct("v", "n", "c", "i")).alias("members"))
     shares = F.ceil(F.col("k") / SHARE)
     many = met.filter(F.col("k") > small).withColumn("s", F.pmod(F.xxhash64("v"), shares))
-    other = many.filter("c != main").select("h", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("s"), *[F.col(x).alias(f"{x}2") for x in ("v", "n", "c", "i")])
+    other = many.filter("c != main").select("h", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("s"), *[F.col(x).alias(f"{x}2") for x in ("v", "n", "c", "i", *bits)])
     apart = (F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("v") < F.col("v2")))
-    crossed = many.join(other, ["h", "s"]).filter(apart & room(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")) & _close("n", "n2", percent))
+    lacks = lambda x, y: reduce(Column.__add__, (F.bit_count(F.col(f"{b}{x}").bitwiseAND(F.bitwise_not(F.col(f"{b}{y}")))) for b in bits))
+    enough = lambda n, gone: (F.col(n) - gone) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    alike = enough("n", lacks("", "2")) & enough("n2", lacks("2", ""))
+    crossed = many.join(other, ["h", "s"]).filter(apart & room(F.col("n"), F.col("i"), F.col("n2"), F.col("i2")) & _close("n", "n2", percent) & alike)
     crossed = crossed.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b"), F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")).alias("most"))
     return _pairs_within(few, percent, room).union(crossed).groupBy("a", "b").agg(F.max("most").alias("most"))
 

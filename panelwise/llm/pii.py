@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import read, row_id
+from .common import read, row_ids
 from .words import buffer_of, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -143,9 +143,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _shape(word: str) -> str:
     """The word's shape: runs of d (digit), x (lower), X (upper), and other signs as they are."""
-    out = re.sub(r"[0-9]+", "d", word[:60])
-    out = re.sub(r"[^\W\d_A-Z]+", "x", out)
-    return re.sub(r"[A-Z]+", "X", out)[:16]
+    out = re.sub(r"[^\W\d_A-Z]+", "x", word)
+    return re.sub(r"[0-9]+", "d", re.sub(r"[A-Z]+", "X", out))
 
 
 def _features(word: str) -> tuple[list[str], list[str]]:
@@ -323,14 +322,24 @@ def _added(words: list[tuple[str, int]], path: np.ndarray) -> Iterator[tuple[int
         i = j
 
 
+def _batches(todo: list, words: int = 1 << 16) -> Iterator[list]:
+    """Successive sequences, shortest first, of ``words`` padded words at most; a longer one goes alone."""
+    low = 0
+    while low < len(todo):
+        high = low + 1
+        while high < len(todo) and (high + 1 - low) * len(todo[high][1]) <= words:
+            high += 1
+        yield todo[low:high]
+        low = high
+
+
 def find_pii(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
     """For each text its pattern spans and all spans, as (kind, start, end) sorted."""
     base = [base_spans(t) if t and _ANCHOR.search(t) else [] for t in texts]
     todo = [(i, s) for i, t in enumerate(texts) if t for s in _sequences(t)]
     every = [list(b) for b in base]
     todo.sort(key=lambda x: len(x[1]))
-    for low in range(0, len(todo), 256):
-        part = todo[low : low + 256]
+    for part in _batches(todo):
         for (i, words), path in zip(part, field.viterbi([field.scores([w for w, _ in s]) for _, s in part])):
             if path.any():
                 for kind, start, end in _added(words, path):
@@ -340,7 +349,7 @@ def find_pii(texts: list[str | None], field: Field) -> list[tuple[list, list]]:
 
 
 def detect_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """rid, doc_id, counts of pattern spans by kind, base (their list) and spans (all), as kind:start:end strings.
+    """r1 and r2 (the row's ids), doc_id, counts of pattern spans by kind, base (their list) and spans (all), as kind:start:end strings.
 
     Places are code points, ends exclusive; lists go by kind as in KINDS, then by start, joined by
     commas. Null and empty texts have none. An added span overlaps no pattern span. Repeated rows
@@ -351,19 +360,19 @@ def detect_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = buffer_of(batch.column(2))
+            _, offsets = buffer_of(batch.column(3))
             for low, high in slices(offsets):
-                found = find_pii(batch.column(2).slice(low, high - low).to_pylist(), sent.value)
+                found = find_pii(batch.column(3).slice(low, high - low).to_pylist(), sent.value)
                 counts = [pa.array([sum(k == kind for k, _, _ in b) for b, _ in found], pa.int64()) for kind in range(len(KINDS))]
                 texts = [pa.array([joined(f[k]) for f in found], pa.string()) for k in (0, 1)]
                 sha = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts[0].to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in (0, 1)), *counts, sha, *texts], names=["rid", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "spans"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in range(3)), *counts, sha, *texts], names=["r1", "r2", "doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"rid long, doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base string, spans string"
-    return docs.select(row_id().alias("rid"), "doc_id", "text").mapInArrow(run, schema)
+    schema = f"r1 long, r2 long, doc_id {kind}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base string, spans string"
+    return docs.select(*row_ids(), "doc_id", "text").mapInArrow(run, schema)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     """The digest that the contract of operator 9 names."""
-    return detect_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("rid", "base")
+    return detect_pii(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("r1", "r2", "base")

@@ -14,7 +14,7 @@ from math import exp, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, SPACE, cut, keep_row, let, row_id
+from .common import ROW, SPACE, cut, keep_row, let, row_ids
 
 #: Common function words of the languages that the rules know.
 STOP_WORDS = (
@@ -113,7 +113,7 @@ def _without(text: Column, characters: str) -> Column:
 def quality_features(docs: DataFrame) -> DataFrame:
     """Counts of each row: the base counts and what the rules read. Null text has no words.
 
-    Adds to the row identity ``rid``: n_words, word_chars, n_symbols, n_dup_lines, n_lines,
+    Adds to the row's ids r1 and r2: n_words, word_chars, n_symbols, n_dup_lines, n_lines,
     n_repeat_words, n_upper, n_stop, n_shout, n_distinct (all long). Whole texts are counted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -133,14 +133,14 @@ def quality_features(docs: DataFrame) -> DataFrame:
 
     counted = docs.select(
         F.col("doc_id"),
-        row_id().alias("rid"),
+        *row_ids(),
         let(_words(text), of_words).alias("c"),
         _without(text, r"#*$%&|<>").alias("n_symbols"),
         _without(text, r"\p{Lu}").alias("n_upper"),
         _without(text, "!").alias("n_shout"),
     )
     return counted.select(
-        "doc_id", "rid", "c.n_words", "c.word_chars", "n_symbols", "c.lines.n_dup_lines", "c.n_repeat_words", "c.lines.n_lines", "n_upper", "c.n_stop", "n_shout", "c.n_distinct"
+        "doc_id", "r1", "r2", "c.n_words", "c.word_chars", "n_symbols", "c.lines.n_dup_lines", "c.n_repeat_words", "c.lines.n_lines", "n_upper", "c.n_stop", "n_shout", "c.n_distinct"
     )
 
 
@@ -203,8 +203,8 @@ def score_quality(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataF
 
 def filter_quality(docs: DataFrame, **options) -> DataFrame:
     """The document rows that ``score_quality`` keeps, with all their columns."""
-    kept = score_quality(docs, **options).filter("kept").select(F.col("rid").alias("__rid")).distinct()
-    return keep_row(docs, row_id().alias("__rid")).join(kept, "__rid", "left_semi").select(f"{ROW}.*")
+    kept = score_quality(docs, **options).filter("kept").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).distinct()
+    return keep_row(docs, *row_ids("__r1", "__r2")).join(kept, ["__r1", "__r2"], "left_semi").select(f"{ROW}.*")
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, held_out, keep_row, read, row_id
+from .common import ROW, cut, held_out, keep_row, read, row_ids
 from .words import LETTERED, buffer_of, slices, words
 
 STEM, THRESHOLD = 5, 0.7
@@ -71,7 +71,7 @@ class Machine:
             order = rng.permutation(len(y))
             for low in range(0, len(order), batch):
                 rows = order[low : low + batch]
-                xb, step = x[rows], step + 1
+                xb, step = x[rows].astype(np.float32), step + 1
                 s = xb @ self.v
                 raw = self.bias + xb @ self.w + 0.5 * ((s * s).sum(1) - xb @ (self.v * self.v).sum(1))
                 g = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]).astype(np.float32) / len(rows)
@@ -90,51 +90,56 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000, longest
     """The machine fitted on at most ``most`` toxic and twice as many other labelled rows.
 
     The sample is bounded: the first rows of each label by a hash of doc_id, among training rows
-    (held-out rows never count) with texts of ``longest`` characters at most. The ``terms`` terms
-    whose presence differs most between the labels, for the sample's size, are kept. The bias is
-    then set for the share of toxic rows among all training labels. Without rows of both labels the
-    machine knows no term and gives that share.
+    (held-out rows never count) with texts of ``longest`` characters at most; where doc_ids repeat
+    with different texts, an even part of these. The ``terms`` terms whose presence differs most
+    between the labels, for the sample's size, are counted and chosen by Spark; the driver gets them
+    and, for each text, which of them it has. The bias is then set for the share of toxic rows among
+    all training labels. Without rows of both labels the machine knows no term and gives that share.
     """
     rows = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out(3, 1)).select("doc_id", "toxic").distinct()
     shares = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     share = min(1 - 1e-6, max(1e-6, (shares["t"] or 0) / shares["n"])) if shares["n"] else 1e-6
     order = F.xxhash64(F.col("doc_id"), F.lit("toxicity"))
     chosen = rows.filter("toxic = 1").orderBy(order, "doc_id").limit(most).union(rows.filter("toxic = 0").orderBy(order, "doc_id").limit(2 * most))
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select("doc_id", "text", *row_ids()).filter(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    texts = cut(texts.groupBy("r1", "r2", "toxic").agg(F.first("text").alias("text")))
+    n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if sum(n.values()) > 3 * most:
+        texts = texts.filter(F.shiftrightunsigned(F.xxhash64("r1", "r2"), 11) * F.lit(2.0**-53) < 3 * most / sum(n.values()))
+        n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if len(n) < 2:
+        machine = Machine(np.zeros(0, np.uint64))
+        machine.bias = float(np.log(share / (1 - share)))
+        return machine
 
-    def run(batches):
+    def count(batches):
         for batch in batches:
             for low, high, row, term in _terms(batch.column(0)):
-                ends = np.searchsorted(row, np.arange(high - low + 1)) * 8
-                data = term.tobytes()
+                toxic = batch.column(1).slice(low, high - low).to_numpy().astype(bool)[row]
+                distinct, place = np.unique(term, return_inverse=True)
+                every, hit = np.bincount(place, minlength=len(distinct)), np.bincount(place[toxic], minlength=len(distinct))
+                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(hit), pa.array(every - hit)], names=["term", "c1", "c0"])
+
+    counted = texts.select("text", "toxic").mapInArrow(count, "term long, c1 long, c0 long").groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).filter("c1 + c0 >= 3")
+    p = (F.col("c1") + F.col("c0")) / sum(n.values())
+    z = F.abs(F.col("c1") / n[1] - F.col("c0") / n[0]) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n[1] + 1 / n[0]))
+    best = counted.withColumn("z", z).filter("z > 2.5").orderBy(F.desc("z"), "term").limit(terms).select("term").toArrow()
+    known = np.sort(best["term"].to_numpy().view(np.uint64))
+
+    def place(batches):
+        for batch in batches:
+            for low, high, row, at in _terms(batch.column(0), known):
+                ends = np.searchsorted(row, np.arange(high - low + 1)) * 2
+                data = at.astype(np.uint16).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([data[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary()), batch.column(1).slice(low, high - low)], names=["terms", "toxic"])
 
-    found = sorted((r["toxic"], bytes(r["terms"])) for r in texts.mapInArrow(run, "terms binary, toxic int").toLocalIterator())
+    sample = texts.select("text", "toxic").mapInArrow(place, "terms binary, toxic int").limit(3 * most).toArrow()
+    found = sorted(zip(sample["toxic"].to_pylist(), sample["terms"].to_pylist()))
     y = np.array([t for t, _ in found], np.float32)
-    if len(found) < 2 or y.min() == y.max():
-        machine = Machine(np.zeros(0, np.uint64))
-        machine.bias = float(np.log(share / (1 - share)))
-        return machine
-    sizes = np.array([len(b) // 8 for _, b in found])
-    every = np.frombuffer(b"".join(b for _, b in found), np.uint64)
-    del found
-    distinct, place = np.unique(every, return_inverse=True)
-    del every
-    row = np.repeat(np.arange(len(y)), sizes)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    c1 = np.bincount(place, weights=y[row], minlength=len(distinct))
-    c0 = np.bincount(place, minlength=len(distinct)) - c1
-    p = (c1 + c0) / len(y)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[c1 + c0 < 3] = 0
-    best = np.sort(np.argsort(-z, kind="stable")[:terms])
-    best = best[z[best] > 2.5]
-    column = np.full(len(distinct), -1)
-    column[best] = np.arange(len(best))
-    at = column[place]
-    x = np.zeros((len(y), len(best)), np.float32)
-    x[row[at >= 0], at[at >= 0]] = 1
-    machine = Machine(distinct[best])
+    x = np.zeros((len(y), len(known)), np.uint8)
+    for i, (_, at) in enumerate(found):
+        x[i, np.frombuffer(at, np.uint16)] = 1
+    machine = Machine(known)
     machine.fit(x, y)
     sampled = float(y.mean())
     machine.bias += float(np.log(share / (1 - share)) - np.log(sampled / (1 - sampled)))
@@ -142,7 +147,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000, longest
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """rid, doc_id, held_out, score, predicted of every row (doc_id, text).
+    """r1 and r2 (the row's ids), doc_id, held_out, score, predicted of every row (doc_id, text).
 
     Null and empty texts have no terms and get the score of the bias. Repeated rows each get their
     row; an empty table gives an empty result. Other columns are not read.
@@ -151,22 +156,22 @@ def score_toxicity(docs: DataFrame, machine: Machine, threshold: float = THRESHO
 
     def run(batches):
         for batch in batches:
-            for low, high, row, at in _terms(batch.column(2), sent.value.known):
+            for low, high, row, at in _terms(batch.column(3), sent.value.known):
                 raw = np.clip(sent.value.raw(high - low, row, at.astype(np.int64)), -500, 500)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in (0, 1)), pa.array(1 / (1 + np.exp(-raw)))], names=["rid", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(low, high - low) for k in range(3)), pa.array(1 / (1 + np.exp(-raw)))], names=["r1", "r2", "doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select(row_id().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, score double")
-    return scored.select("rid", "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = docs.select(*row_ids(), "doc_id", "text").mapInArrow(run, f"r1 long, r2 long, doc_id {kind}, score double")
+    return scored.select("r1", "r2", "doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    bad = score_toxicity(docs, machine, threshold).filter("predicted = 1").select(F.col("rid").alias("__rid")).distinct()
-    return keep_row(docs, row_id().alias("__rid")).join(bad, "__rid", "left_anti").select(f"{ROW}.*")
+    bad = score_toxicity(docs, machine, threshold).filter("predicted = 1").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).distinct()
+    return keep_row(docs, *row_ids("__r1", "__r2")).join(bad, ["__r1", "__r2"], "left_anti").select(f"{ROW}.*")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     """The digest that the contract of operator 8 names."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_toxicity(docs, train_toxicity(docs, read(spark, sf_dir, "labels"))).drop("rid")
+    return score_toxicity(docs, train_toxicity(docs, read(spark, sf_dir, "labels"))).drop("r1", "r2")

@@ -7,13 +7,13 @@ from panelwise.llm import common, lines
 SF = "/root/testdata/sf0.001"
 
 
-def brute(docs, min_words=40):
+def brute(docs, long_line=None):
     """{doc_id: text} by looking up every window; doc_ids are distinct and not null."""
     split = {i: [(p, x) for p, x in enumerate(t.split("\n")) if x.split()] for i, t in sorted(docs)}
     first, out = {}, {}
     for i, own in split.items():
         for k in range(len(own)):
-            if len(own[k][1].split()) >= min_words:
+            if long_line and len(own[k][1].split()) >= long_line:
                 first.setdefault((own[k][1],), (i, k))
             if k + 1 < len(own):
                 first.setdefault((own[k][1], own[k + 1][1]), (i, k))
@@ -28,8 +28,8 @@ def brute(docs, min_words=40):
     return out
 
 
-def dedup(spark, data):
-    return {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+def dedup(spark, data, long_line=None):
+    return {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), long_line).collect()}
 
 
 def test_a_passage_beside_another_repeated_line(spark):
@@ -55,4 +55,10 @@ def test_line_dedup_equals_brute_force(spark):
     data = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {i} {k}" for k in range(rng.randrange(1, 25)))) for i in range(60)]
     given = [(r.doc_id, r.text) for r in common.read(spark, SF, "documents").collect()]
     for docs in (data, given):
-        assert {i: t for i, (t, _) in dedup(spark, docs).items()} == brute(docs)
+        for long_line in (None, 40):
+            assert {i: t for i, (t, _) in dedup(spark, docs, long_line).items()} == brute(docs, long_line)
+
+
+def test_one_line_is_no_passage_whatever_its_length(spark):
+    data = [(i, f"own {i}\n" + " ".join(f"w{k}" for k in range(n)) + f"\nend {i}") for i in range(3) for n in (39, 40, 400)]
+    assert all(r.n_removed == 0 for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect())

@@ -88,7 +88,7 @@ def test_decontamination(spark, odd, docs):
 def test_a_large_benchmark_takes_several_passes(spark, docs):
     bench = common.read(spark, SF, "benchmark")
     one = {(r.doc_id, r.n_words, tuple(sorted(map(tuple, r.spans))), tuple(sorted(r["items"]))) for r in decontaminate.benchmark_hits(docs, bench).collect()}
-    many = {(r.doc_id, r.n_words, tuple(sorted(map(tuple, r.spans))), tuple(sorted(r["items"]))) for r in decontaminate.benchmark_hits(docs, bench, most_bytes=2000).collect()}
+    many = {(r.doc_id, r.n_words, tuple(sorted(map(tuple, r.spans))), tuple(sorted(r["items"]))) for r in decontaminate.benchmark_hits(docs, bench, most_words=300).collect()}
     assert one == many
 
 
@@ -122,7 +122,7 @@ def test_line_dedup(spark, odd):
     a = "first line of a passage that is long\nsecond line of it, also with words\nthird line and then the end of it"
     single = " ".join(f"word{i}" for i in range(55))
     data = [(3, f"unique beginning\n{a}\nown end three"), (1, f"{a}\nown end one"), (2, "short line\nof a clean text"), (4, "short line\nwith another end"), (5, f"x\n{single}\ny"), (6, f"{single}"), (7, None), (8, "")]
-    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), long_line=40).collect()}
     assert got[1] == (data[1][1], 0) and got[2] == (data[2][1], 0) and got[4] == (data[3][1], 0)
     assert got[3] == ("unique beginning\nown end three", 3)
     assert got[5] == (data[4][1], 0) and got[6] == ("", 1) and got[7] == (None, 0) and got[8] == ("", 0)
@@ -132,7 +132,7 @@ def test_line_dedup(spark, odd):
 
 
 def test_line_dedup_loses_no_line_and_leaves_no_long_repeat(docs):
-    before, out = dict(plain(docs)), dict(plain(lines.dedup_lines(docs)))
+    before, out = dict(plain(docs)), dict(plain(lines.dedup_lines(docs, long_line=40)))
     kept = {x for t in out.values() for x in (t or "").split("\n")}
     assert all(x in kept for t in before.values() for x in (t or "").split("\n") if x.strip())
     seen = {}
