@@ -73,88 +73,81 @@ def _cells(h: int, w: int, body: Callable[[Column, Column], Column]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: body(F.floor(i / F.lit(w)).cast("int"), F.pmod(i, F.lit(w))))
 
 
-def surface_roughness(a: Column, h: int, w: int) -> Column:
-    """Struct of laplacian (mean absolute second difference inside the grid), variation (mean absolute first
-    difference along both axes) and calendar (mean absolute second difference down the columns)."""
-    at = lambda b, r, c: F.get(b, r * w + c).cast("double")
+def surface_roughness(a: Column, h: int, w: int, order: Sequence[int] | None = None) -> Column:
+    """Struct of laplacian (root mean square of the second differences in both directions, inside the grid),
+    variation (mean absolute first difference across plus that down) and calendar (root mean square second
+    difference down the columns). ``order`` lists the columns in the order of the strike, for the first two."""
+    of_column = (lambda c: F.array(*map(F.lit, order))[c]) if order else (lambda c: c)
+    plain = lambda b, r, c: F.get(b, r * w + c).cast("double")
+    at = lambda b, r, c: plain(b, r, of_column(c))
+    rms = lambda cells: F.sqrt(array_mean(F.transform(cells, lambda x: x * x)))
 
     def of(b: Column) -> Column:
-        inner = _cells(h - 2, w - 2, lambda r, c: F.abs(at(b, r, c + 1) + at(b, r + 2, c + 1) + at(b, r + 1, c) + at(b, r + 1, c + 2) - 4 * at(b, r + 1, c + 1)))
+        inner = _cells(h - 2, w - 2, lambda r, c: at(b, r, c + 1) + at(b, r + 2, c + 1) + at(b, r + 1, c) + at(b, r + 1, c + 2) - 4 * at(b, r + 1, c + 1))
         across = _cells(h, w - 1, lambda r, c: F.abs(at(b, r, c + 1) - at(b, r, c)))
         down = _cells(h - 1, w, lambda r, c: F.abs(at(b, r + 1, c) - at(b, r, c)))
-        bend = _cells(h - 2, w, lambda r, c: F.abs(at(b, r, c) + at(b, r + 2, c) - 2 * at(b, r + 1, c)))
-        return F.struct(array_mean(inner).alias("laplacian"), ((array_mean(across) + array_mean(down)) / 2).alias("variation"), array_mean(bend).alias("calendar"))
+        bend = _cells(h - 2, w, lambda r, c: plain(b, r, c) + plain(b, r + 2, c) - 2 * plain(b, r + 1, c))
+        return F.struct(rms(inner).alias("laplacian"), (array_mean(across) + array_mean(down)).alias("variation"), rms(bend).alias("calendar"))
 
     return _let(a, of)
 
 
-def neighbour_median(a: Column, h: int, w: int) -> Column:
-    """Array of the medians of each cell's 3 x 3 surroundings, cut at the border."""
+def _near(b: Column, h: int, w: int, r: Column, c: Column) -> list[Column]:
+    """The 3 x 3 surroundings of a cell, row by row; beyond the border the nearest cell stands again."""
+    inside = lambda x, n: F.least(F.greatest(x, F.lit(0)), F.lit(n - 1))
+    return [F.get(b, inside(r + i, h) * w + inside(c + j, w)).cast("double") for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
-    def of(b: Column) -> Column:
-        def around(r: Column, c: Column) -> Column:
-            near = [F.when((r + i >= 0) & (r + i < h) & (c + j >= 0) & (c + j < w), F.get(b, (r + i) * w + c + j).cast("double")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-            return array_median(F.array(*near))
 
-        return _cells(h, w, around)
+def neighbour_median(a: Column, h: int, w: int) -> Column:
+    """Array of the medians of each cell's 3 x 3 surroundings, the border repeated outwards."""
+    return _let(a, lambda b: _cells(h, w, lambda r, c: array_median(F.array(*_near(b, h, w, r, c)))))
 
-    return _let(a, of)
 
+def _robust_scale(b: Column) -> Column:
+    """1.4826 times the median distance of the cells from their median, which is never 0."""
+    return _let(array_median(b), lambda m: (array_median(F.transform(b, lambda x: F.abs(x - m))) + 1e-6) * 1.4826)
 
-def surface_spike(a: Column, h: int, w: int, k: float = 3.0) -> Column:
-    """Struct of spikes (cells further than ``k`` scaled median deviations from their surroundings) and worst (the largest such distance)."""
+
+def surface_spike(a: Column, h: int, w: int, k: float = 4.0) -> Column:
+    """Struct of spikes (cells further than ``k`` robust scales of the grid from the median of their surroundings) and worst (the largest such distance in scales)."""
 
     def of(b: Column) -> Column:
-        away = F.zip_with(b, neighbour_median(b, h, w), lambda x, m: F.abs(x - m))
-        return _let(away, lambda d: _let(array_median(d) * 1.4826, lambda s: F.struct(F.size(F.filter(d, lambda x: (s > 0) & (x > k * s))).alias("spikes"), (F.array_max(d) / F.nullif(s, F.lit(0.0))).alias("worst"))))
+        z = _let(_robust_scale(b), lambda s: F.zip_with(b, neighbour_median(b, h, w), lambda x, m: F.abs(x - m) / s))
+        return _let(z, lambda z: F.struct(F.size(F.filter(z, lambda x: x > k)).alias("spikes"), F.array_max(z).alias("worst")))
 
     return _let(a, of)
 
 
-def spike_repair(a: Column, h: int, w: int, k: float = 3.0) -> Column:
+def spike_repair(a: Column, h: int, w: int, k: float = 4.0) -> Column:
     """The grid with spiking cells replaced by the median of their surroundings."""
-
-    def of(b: Column) -> Column:
-        def with_medians(m: Column) -> Column:
-            scale = array_median(F.zip_with(b, m, lambda x, y: F.abs(x - y))) * 1.4826
-            return _let(scale, lambda s: F.zip_with(b, m, lambda x, y: F.when((s > 0) & (F.abs(x - y) > k * s), y).otherwise(x.cast("double"))))
-
-        return _let(neighbour_median(b, h, w), with_medians)
-
-    return _let(a, of)
+    return _let(a, lambda b: _let(_robust_scale(b), lambda s: F.zip_with(b, neighbour_median(b, h, w), lambda x, m: F.when(F.abs(x - m) > k * s, m).otherwise(x.cast("double")))))
 
 
-def smooth(a: Column, h: int, w: int, strength: float = 1.0, kernel: str = "box") -> Column:
-    """The grid mixed with its 3 x 3 weighted mean; kernel 'box' or 'gaussian' (1-2-1 twice)."""
+def smooth(a: Column, h: int, w: int, strength: float = 0.5, kernel: str = "box") -> Column:
+    """The grid mixed with its 3 x 3 weighted mean, the border repeated outwards; kernel 'box' or 'gaussian' (1-2-1 twice)."""
     weights = {"box": [1] * 9, "gaussian": [1, 2, 1, 2, 4, 2, 1, 2, 1]}[kernel]
 
     def of(b: Column) -> Column:
         def around(r: Column, c: Column) -> Column:
-            total, norm = F.lit(0.0), F.lit(0.0)
-            for (i, j), k in zip([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)], weights):
-                inside = (r + i >= 0) & (r + i < h) & (c + j >= 0) & (c + j < w)
-                total = total + F.when(inside, F.get(b, (r + i) * w + c + j).cast("double") * k).otherwise(0.0)
-                norm = norm + F.when(inside, F.lit(float(k))).otherwise(0.0)
-            return (1 - strength) * F.get(b, r * w + c).cast("double") + strength * total / norm
+            total = sum((x * k for x, k in zip(_near(b, h, w, r, c), weights)), F.lit(0.0))
+            return (1 - strength) * F.get(b, r * w + c).cast("double") + strength * total / sum(weights)
 
         return _cells(h, w, around)
 
     return _let(a, of)
 
 
-def image_metrics(a: Column, h: int, w: int, ph: int) -> Column:
-    """Struct for a 0/1 image whose first ``ph`` rows hold prices: white, price_white, blank_columns, extent
-    (rows from the first to the last white price row), balance (share of price pixels in the upper half)."""
+def image_metrics(a: Column, h: int, w: int, ph: int, vh: int) -> Column:
+    """Struct for a 0/1 image with prices in its first ``ph`` rows and volume in its last ``vh``: white, price_white (shares),
+    blank_columns (share of columns without a white price pixel), extent (share of price rows with one), balance (white volume over white price pixels)."""
 
     def of(b: Column) -> Column:
-        price = F.slice(b, 1, ph * w)
+        price, volume = F.slice(b, 1, ph * w), F.slice(b, (h - vh) * w + 1, vh * w)
         rows = F.transform(F.sequence(F.lit(0), F.lit(ph - 1)), lambda r: array_sum(F.slice(b, r * w + 1, w)))
         columns = F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda c: array_sum(F.transform(F.sequence(F.lit(0), F.lit(ph - 1)), lambda r: F.get(b, r * w + c).cast("double"))))
-        lit = F.filter(F.transform(rows, lambda x, i: F.when(x > 0, i)), lambda x: x.isNotNull())
-        upper = array_sum(F.slice(b, 1, (ph // 2) * w))
         return F.struct(
-            (array_sum(b) / (h * w)).alias("white"), (array_sum(price) / (ph * w)).alias("price_white"), F.size(F.filter(columns, lambda x: x == 0)).alias("blank_columns"),
-            F.coalesce(F.array_max(lit) - F.array_min(lit) + 1, F.lit(0)).alias("extent"), (upper / F.nullif(array_sum(price), F.lit(0.0))).alias("balance"),
+            (array_sum(b) / (h * w)).alias("white"), (array_sum(price) / (ph * w)).alias("price_white"), (F.size(F.filter(columns, lambda x: x <= 0)) / w).alias("blank_columns"),
+            (F.size(F.filter(rows, lambda x: x > 0)) / ph).alias("extent"), (array_sum(volume) / (array_sum(price) + 1e-9)).alias("balance"),
         )
 
     return _let(a, of)

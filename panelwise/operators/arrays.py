@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import is_complete
+from .clean import whole_quantile
 from .joins import asof_series
 from .lags import month_end
 
@@ -22,13 +23,13 @@ def read_array_panel(df: DataFrame, column: str, n: int, entity: str, date: str)
     return good.join(ends, [entity, date], "left").withColumn("is_month_end", F.coalesce("is_month_end", F.lit(False)))
 
 
-def fit_quality(train: DataFrame, metrics: Sequence[str], flipped: Sequence[str] = (), q: float = 0.95) -> DataFrame:
-    """One row: median and scaled median deviation of each metric over training rows, and the score at quantile ``q``."""
-    medians = train.agg(*[F.percentile(m, 0.5).alias(f"__med_{m}") for m in metrics])
+def fit_quality(train: DataFrame, metrics: Sequence[str], flipped: Sequence[str] = (), q: float = 0.95, exact: bool = False) -> DataFrame:
+    """One row: median and scaled median deviation of each metric over training rows, and the score at quantile ``q``; ``exact`` as in ``whole_quantile``."""
+    medians = train.agg(*[whole_quantile(m, 0.5, exact).alias(f"__med_{m}") for m in metrics])
     away = train.crossJoin(F.broadcast(medians))
-    scales = away.agg(*[F.first(f"__med_{m}").alias(f"__med_{m}") for m in metrics], *[(F.percentile(F.abs(F.col(m) - F.col(f"__med_{m}")), 0.5) * 1.4826).alias(f"__mad_{m}") for m in metrics])
+    scales = away.agg(*[F.first(f"__med_{m}").alias(f"__med_{m}") for m in metrics], *[(whole_quantile(F.abs(F.col(m) - F.col(f"__med_{m}")), 0.5, exact) * 1.4826).alias(f"__mad_{m}") for m in metrics])
     scored = _score(train, scales, metrics, flipped)
-    cut = scored.agg(F.percentile("noise", q).alias("__cut"))
+    cut = scored.agg(whole_quantile("noise", q, exact).alias("__cut"))
     return scales.crossJoin(F.broadcast(cut))
 
 
@@ -46,9 +47,9 @@ def score_quality(df: DataFrame, fitted: DataFrame, metrics: Sequence[str], flip
     return out.drop(*[f"__{p}_{m}" for m in metrics for p in ("med", "mad")], "__cut")
 
 
-def drop_noisy(df: DataFrame, metrics: Sequence[str], q: float = 0.95) -> DataFrame:
-    """Rows that are at or below the ``q`` quantile in each of the metrics."""
-    cuts = df.agg(*[F.percentile(m, q).alias(f"__q_{m}") for m in metrics])
+def drop_noisy(df: DataFrame, metrics: Sequence[str], q: float = 0.95, exact: bool = False) -> DataFrame:
+    """Rows that are at or below the ``q`` quantile in each of the metrics; ``exact`` as in ``whole_quantile``."""
+    cuts = df.agg(*[whole_quantile(m, q, exact).alias(f"__q_{m}") for m in metrics])
     keep = None
     for m in metrics:
         ok = F.col(m) <= F.col(f"__q_{m}")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import compounded, log_return
-from .lags import lag_column, union_grid
+from .lags import dense_ffill, lag_column, union_grid
+from .xsec import zscore
 
 FUND, SECURITY, PERIOD = "fund", "security", "qi"
 
@@ -39,17 +40,33 @@ def forward_returns(df: DataFrame, keys: Sequence[str], ret: str, horizons: Sequ
 
 
 def trade_flags(grid: DataFrame, definition: str = "active_weight") -> DataFrame:
-    """Adds buy and sell of a union grid: a rise while held now, a fall while held before."""
+    """Adds change, buy and sell of a union grid: a rise while held now, a fall while held before."""
     change = F.col(definition) - F.col(f"{definition}_prev")
     return grid.withColumn("change", change).withColumn("buy", F.col("held_now") & (change > 0)).withColumn("sell", F.col("held_prev") & (change < 0))
 
 
+#: The ways to measure a position, and what their flags and counts end in.
+DEFINITIONS = {"active_weight": "aw", "weight": "w", "market_weight": "mw", "shares": "sh"}
+
+
+def trade_flags_by(grid: DataFrame, definitions: Mapping[str, str] = DEFINITIONS) -> DataFrame:
+    """change, buy and sell by the first definition, d_<end>, buy_<end> and sell_<end> by each, and hold_<end>: held with a positive level."""
+    out = trade_flags(grid, next(iter(definitions)))
+    for level, end in definitions.items():
+        change = F.col(level) - F.col(f"{level}_prev")
+        out = out.withColumns({f"d_{end}": change, f"buy_{end}": F.col("held_now") & (change > 0), f"sell_{end}": F.col("held_prev") & (change < 0), f"hold_{end}": F.col("held_now") & (F.col(level) > 0)})
+    return out
+
+
 def breadth_signals(flags: DataFrame) -> DataFrame:
-    """security, qi: n_funds, n_buy, n_sell, frac_buy, net_buy of a grid with trade flags."""
+    """security, qi: n_funds (held now), n_active (held now or before), n_buy, n_sell, frac_buy (n_buy over n_active), net_buy (n_buy less n_sell).
+
+    Flags by several definitions add n_buy_<end>, and hold_w and hold_aw add n_funds_w and n_funds_aw.
+    """
     n = lambda c: F.sum(F.col(c).cast("long"))
-    agg = flags.groupBy(SECURITY, PERIOD).agg(n("held_now").alias("n_funds"), n("buy").alias("n_buy"), n("sell").alias("n_sell"))
-    traded = F.nullif((F.col("n_buy") + F.col("n_sell")).cast("double"), F.lit(0.0))
-    return agg.withColumn("frac_buy", F.col("n_buy") / F.nullif(F.col("n_funds").cast("double"), F.lit(0.0))).withColumn("net_buy", (F.col("n_buy") - F.col("n_sell")) / traded)
+    more = [n(c).alias(f"n_{c}") for c in flags.columns if c.startswith("buy_")] + [n(f"hold_{e}").alias(f"n_funds_{e}") for e in ("w", "aw") if f"hold_{e}" in flags.columns]
+    agg = flags.groupBy(SECURITY, PERIOD).agg(n("held_now").alias("n_funds"), F.count("*").alias("n_active"), n("buy").alias("n_buy"), n("sell").alias("n_sell"), *more)
+    return agg.withColumn("frac_buy", F.col("n_buy") / F.col("n_active")).withColumn("net_buy", F.col("n_buy") - F.col("n_sell"))
 
 
 def buying_breadth(df: DataFrame, definition: str = "active_weight") -> DataFrame:
@@ -57,6 +74,11 @@ def buying_breadth(df: DataFrame, definition: str = "active_weight") -> DataFram
     return breadth_signals(trade_flags(union_grid(df, FUND, SECURITY, [definition], PERIOD), definition))
 
 
+def breadth_by_definition(df: DataFrame, definitions: Mapping[str, str] = DEFINITIONS) -> DataFrame:
+    """The same with the counts by every definition, from one grid."""
+    return breadth_signals(trade_flags_by(union_grid(df, FUND, SECURITY, list(definitions), PERIOD), definitions))
+
+
 def intensity_signals(df: DataFrame, z: str, threshold: float = 1.0) -> DataFrame:
     """security, qi: share and number above the threshold (null scores count as below), |z| alike, mean, sum, mean |z|, defined."""
     above, far = F.coalesce(F.col(z) > threshold, F.lit(False)).cast("int"), F.coalesce(F.abs(z) > threshold, F.lit(False)).cast("int")
@@ -65,43 +87,56 @@ def intensity_signals(df: DataFrame, z: str, threshold: float = 1.0) -> DataFram
     )
 
 
-def own_disp_signals(df: DataFrame, aw: str = "active_weight", top: int = 5) -> DataFrame:
-    """security, qi: ownership (sum, max, mean, top sum, Herfindahl) and disagreement (sd, sum and mean |aw|, variation)."""
-    by = W.partitionBy(SECURITY, PERIOD).orderBy(F.col("weight").desc(), FUND)
-    ranked = df.withColumn("__r", F.row_number().over(by))
+def own_disp_signals(df: DataFrame, value: str = "position_value", cap: str = "market_cap", top: int = 5) -> DataFrame:
+    """security, qi: ownership as shares of market value (sum, max, mean, top sum, sum of squares) and disagreement.
+
+    Over rows with positive amounts; active weights are taken over these rows. disp_aw is the
+    deviation of active weights among holders, disp_z_aw that of each fund's scores of them,
+    disp_aw_cv is disp_aw over the mean |active weight|.
+    """
+    rows = zscore(active_weight(df.filter((F.col(value) > 0) & (F.col(cap) > 0)), value, cap), ["active_weight"], [FUND, PERIOD]).withColumn("own_frac", F.col(value) / F.col(cap))
+    ranked = rows.withColumn("__r", F.row_number().over(W.partitionBy(SECURITY, PERIOD).orderBy(F.col("own_frac").desc(), FUND)))
+    own, aw = F.col("own_frac"), F.abs("active_weight")
     agg = ranked.groupBy(SECURITY, PERIOD).agg(
-        F.count("*").alias("n_holders"), F.sum("weight").alias("own_sum"), F.max("weight").alias("own_max"), F.avg("weight").alias("own_mean"),
-        F.sum(F.when(F.col("__r") <= top, F.col("weight"))).alias("own_top"), F.sum(F.col("weight") * F.col("weight")).alias("__sq"),
-        F.stddev_samp(aw).alias("disp_sd"), F.sum(F.abs(aw)).alias("disp_sum"), F.avg(F.abs(aw)).alias("disp_mean"), F.avg(aw).alias("__m"),
+        F.count("*").alias("n_funds"), F.sum(own).alias("inst_own"), F.max(own).alias("max_own"), F.avg(own).alias("mean_own"), F.sum(F.when(F.col("__r") <= top, own)).alias("top_own"), F.sum(own * own).alias("hhi_own"),
+        F.stddev_samp("active_weight").alias("disp_aw"), F.sum(aw).alias("sum_abs_aw"), F.avg(aw).alias("mean_abs_aw"), F.stddev_samp("active_weight_z").alias("disp_z_aw"), F.max(cap).alias("market_cap"),
     )
-    total = F.nullif(F.col("own_sum"), F.lit(0.0))
-    return agg.withColumn("own_hhi", F.col("__sq") / total / total).withColumn("disp_cv", F.col("disp_sd") / F.nullif(F.abs("__m"), F.lit(0.0))).drop("__sq", "__m")
+    return agg.withColumn("disp_aw_cv", F.col("disp_aw") / F.nullif(F.col("mean_abs_aw"), F.lit(0.0)))
 
 
-def position_changes(df: DataFrame, value: str = "position_value", shares: str = "shares", ret: str = "ret") -> DataFrame:
-    """Adds next_weight, weight_chg and drift_chg (change beyond the drift by returns) and dollar_flow, for rows held in the next period.
+def position_changes(df: DataFrame, value: str = "position_value", shares: str = "shares", ret: str = "next_ret", band: float = 0.01) -> DataFrame:
+    """Adds, from this period to the next, share_chg, label, dollar_flow, next_weight, weight_chg and drift_chg.
 
-    Drift: the weight that the position would have if nobody traded, w * (1 + r) / (1 + fund's return).
+    share_chg is (S' - S) / (|S| + 1) for rows held in exactly the next period, label its sign beyond
+    plus and minus ``band``, dollar_flow its product with the position's value. drift_chg is the
+    weight's change beyond what prices did: the weight of a manager who does nothing is
+    w * (1 + r) / (1 + fund's return), with ``ret`` the security's return from this period to the
+    next and the fund's return over positions that have one.
     """
     keys = [FUND, SECURITY]
     base = df.withColumn("next_weight", lag_column("weight", keys, -1)).withColumn("__ns", lag_column(shares, keys, -1))
     book = W.partitionBy(FUND, PERIOD)
-    wr = F.when(F.col(ret).isNotNull(), F.col("weight") * F.col(ret))
-    fund_ret = F.sum(wr).over(book) / F.nullif(F.sum(F.when(F.col(ret).isNotNull(), F.col("weight"))).over(book), F.lit(0.0))
+    has = F.col(ret).isNotNull() & F.col("weight").isNotNull()
+    fund_ret = F.sum(F.when(has, F.col("weight") * F.col(ret))).over(book) / F.nullif(F.sum(F.when(has, F.col("weight"))).over(book), F.lit(0.0))
     out = base.withColumn("fund_ret", fund_ret).withColumn("weight_chg", F.col("next_weight") - F.col("weight"))
     drifted = F.col("weight") * (1 + F.col(ret)) / F.nullif(1 + F.col("fund_ret"), F.lit(0.0))
-    price = F.col(value) / F.nullif(F.col(shares), F.lit(0.0))
-    return out.withColumn("drift_chg", F.col("next_weight") - drifted).withColumn("dollar_flow", (F.col("__ns") - F.col(shares)) * price).drop("__ns")
+    out = out.withColumn("drift_chg", F.col("next_weight") - drifted).withColumn("share_chg", (F.col("__ns") - F.col(shares)) / (F.abs(shares) + 1))
+    label = F.when(F.col("share_chg") <= -band, -1).when(F.col("share_chg") >= band, 1).when(F.col("share_chg").isNotNull(), 0)
+    return out.withColumn("label", label).withColumn("dollar_flow", F.col("share_chg") * F.col(value)).drop("__ns")
 
 
-def pressure(changes: DataFrame, cap: str = "market_cap") -> DataFrame:
-    """security, qi: breadth, dollar breadth, net, gross and buy dollars, flow over cap, mean weight and drift-free changes."""
-    flow = F.col("dollar_flow")
-    agg = changes.filter(flow.isNotNull()).groupBy(SECURITY, PERIOD).agg(
-        F.count("*").alias("n_owning"), F.avg((flow > 0).cast("int")).alias("breadth"), F.sum(flow).alias("net"), F.sum(F.abs(flow)).alias("gross"), F.sum(F.greatest(flow, F.lit(0.0))).alias("buys"),
-        F.max(cap).alias("cap"), F.avg("weight_chg").alias("weight_chg"), F.avg("drift_chg").alias("drift_chg"),
+def pressure(changes: DataFrame, value: str = "position_value", cap: str = "market_cap") -> DataFrame:
+    """security, qi over labelled positions: buy_frac, sell_frac, net and gross dollars, mean weight and drift-free changes, dollar_buy_frac, flow_cap.
+
+    dollar_buy_frac weighs each holder's vote by the value held, flow_cap is net dollars over market value.
+    """
+    buy = (F.col("label") > 0).cast("int")
+    agg = changes.filter("label is not null").groupBy(SECURITY, PERIOD).agg(
+        F.count("*").alias("n_owning"), F.avg(buy).alias("buy_frac"), F.avg((F.col("label") < 0).cast("int")).alias("sell_frac"), F.sum("dollar_flow").alias("net"), F.sum(F.abs("dollar_flow")).alias("gross"),
+        F.sum(buy * F.col(value)).alias("__bought"), F.sum(value).alias("__held"), F.max(cap).alias("__cap"), F.avg("weight_chg").alias("weight_chg"), F.avg("drift_chg").alias("drift_chg"),
     )
-    return agg.withColumn("dollar_breadth", F.col("buys") / F.nullif(F.col("gross"), F.lit(0.0))).withColumn("flow_cap", F.col("net") / F.nullif(F.col("cap"), F.lit(0.0))).drop("cap")
+    positive = F.when(F.col("__held") > 0, F.col("__held"))
+    return agg.withColumn("dollar_buy_frac", F.col("__bought") / positive).withColumn("flow_cap", F.col("net") / F.nullif(F.abs("__cap"), F.lit(0.0))).drop("__bought", "__held", "__cap")
 
 
 def set_pressure(df: DataFrame, measure: str, name: str = "pressure") -> DataFrame:
@@ -133,11 +168,10 @@ def sum_abs_aw(df: DataFrame, aw: str = "active_weight") -> DataFrame:
 
 
 def peer_rates(df: DataFrame, category: str, label: str = "label") -> DataFrame:
-    """category, qi, buy_rate, sell_rate of exactly the period before; where that is missing, the last known."""
-    rates = df.filter(F.col(label).isNotNull()).groupBy(category, PERIOD).agg(F.avg((F.col(label) == 1).cast("int")).alias("buy_rate"), F.avg((F.col(label) == -1).cast("int")).alias("sell_rate"))
-    from .lags import dense_ffill
-
-    dense = dense_ffill(rates, [category], ["buy_rate", "sell_rate"])
+    """category, qi, buy_rate, sell_rate, hold_rate of exactly the period before; where that is missing, the last known."""
+    rate = lambda k: F.avg((F.col(label) == k).cast("int"))
+    rates = df.filter(F.col(label).isNotNull()).groupBy(category, PERIOD).agg(rate(1).alias("buy_rate"), rate(-1).alias("sell_rate"), rate(0).alias("hold_rate"))
+    dense = dense_ffill(rates, [category], ["buy_rate", "sell_rate", "hold_rate"])
     return dense.withColumn(PERIOD, F.col(PERIOD) + 1)
 
 

@@ -28,21 +28,25 @@ def lookup_at(df: DataFrame, aggregate: DataFrame, keys: Sequence[str], k: int,
 
 
 def union_grid(df: DataFrame, fund: str, security: str, levels: Sequence[str], period: str = "qi") -> DataFrame:
-    """Rows held now or one period before, where the fund reports now: levels now and before (0 if absent), held_now, held_prev."""
-    now = df.select(fund, security, period, *levels, F.lit(True).alias("held_now"))
-    before = df.select(fund, security, (F.col(period) + 1).alias(period), *[F.col(c).alias(f"{c}_prev") for c in levels], F.lit(True).alias("held_prev"))
-    reports = df.select(fund, period).distinct()
-    grid = now.join(before, [fund, security, period], "full_outer").join(reports, [fund, period], "left_semi")
-    zero = {c: F.coalesce(c, F.lit(0.0)) for level in levels for c in (level, f"{level}_prev")}
-    return grid.withColumns(zero | {c: F.coalesce(c, F.lit(False)) for c in ("held_now", "held_prev")})
+    """Rows held now or one period before, where the fund reports now: levels now and before (0 if absent), held_now, held_prev.
+
+    Each holding stands for its own period and for the next one, so that one aggregate makes the grid
+    from one scan; fund and period keep rows together for the test of reporting too.
+    """
+    turns = F.array(F.struct(F.col(period).alias("__p"), F.lit(True).alias("__now")), F.struct((F.col(period) + 1).cast(df.schema[period].dataType).alias("__p"), F.lit(False).alias("__now")))
+    each = df.select(fund, security, *levels, F.inline(turns)).withColumnRenamed("__p", period).repartition(fund, period)
+    now = F.col("__now")
+    of = [F.coalesce(F.max(F.when(w, F.col(c))), F.lit(0.0)).alias(c + end) for c in levels for w, end in ((now, ""), (~now, "_prev"))]
+    grid = each.groupBy(fund, security, period).agg(*of, F.bool_or(now).alias("held_now"), F.bool_or(~now).alias("held_prev"))
+    return grid.withColumn("__reports", F.max("held_now").over(W.partitionBy(fund, period))).filter("__reports").drop("__reports")
 
 
 def dense_ffill(df: DataFrame, keys: Sequence[str], columns: Sequence[str], period: str = "qi") -> DataFrame:
-    """Every key at every observed period from its first, missing values filled forward."""
-    spans = df.groupBy(*keys).agg(F.min(period).alias("__first"))
-    calendar = df.select(period).distinct()
-    # an interval on a calendar of distinct periods; the calendar is small beside the entities
-    grid = spans.join(calendar, F.col(period) >= F.col("__first")).drop("__first")
+    """Every key at every observed (whole-number) period from its first, missing values filled forward."""
+    last = df.agg(F.max(period).alias("__last"))
+    spans = df.groupBy(*keys).agg(F.min(period).alias("__first")).crossJoin(F.broadcast(last))
+    steps = spans.select(*keys, F.explode(F.sequence("__first", "__last")).alias(period))
+    grid = steps.join(df.select(period).distinct(), period, "left_semi")
     by = W.partitionBy(*keys).orderBy(period)
     return grid.join(df.select(*keys, period, *columns), [*keys, period], "left").withColumns({c: F.last(c, ignorenulls=True).over(by) for c in columns})
 
@@ -68,7 +72,7 @@ def feasible(df: DataFrame, keys: Sequence[str], t: int, period: str = "qi") ->
 
 
 def lag_block(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ks: Sequence[int] = (1, 2, 3, 4), period: str = "qi") -> DataFrame:
-    """Exact lags of many columns in one window, with ``<c>_ma`` (mean of those present) and ``<c>_chg`` (first minus last lag)."""
+    """Exact lags of many columns in one window, with ``<c>_ma`` (mean of those present) and ``<c>_chg`` (first minus second lag)."""
     lags = {f"{c}_lag{k}": lag_column(c, keys, k, period) for c in columns for k in ks}
     out = df.withColumns(lags)
     made: dict[str, Column] = {}
@@ -77,7 +81,7 @@ def lag_block(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ks: Se
         total = sum((F.coalesce(F.col(n), F.lit(0.0)) for n in names[1:]), F.coalesce(F.col(names[0]), F.lit(0.0)))
         count = sum((F.col(n).isNotNull().cast("int") for n in names[1:]), F.col(names[0]).isNotNull().cast("int"))
         made[f"{c}_ma"] = total / F.nullif(count, F.lit(0))
-        made[f"{c}_chg"] = F.col(names[0]) - F.col(names[-1])
+        made[f"{c}_chg"] = F.col(names[0]) - F.col(names[min(1, len(names) - 1)])
     return out.withColumns(made)
 
 
@@ -100,9 +104,10 @@ def run_length(df: DataFrame, keys: Sequence[str], period: str = "qi") -> DataFr
 
 
 def past_rates(df: DataFrame, keys: Sequence[str], flags: Sequence[str], period: str = "qi") -> DataFrame:
-    """Adds ``<flag>_rate``: the mean of a 0/1 flag over the key's strictly earlier periods."""
+    """Adds ``<flag>_n`` and ``<flag>_rate``: number and mean of a 0/1 flag over the key's strictly earlier periods."""
     past = W.partitionBy(*keys).orderBy(period).rangeBetween(W.unboundedPreceding, -1)
-    return df.withColumns({f"{f}_rate": F.avg(F.col(f).cast("double")).over(past) for f in flags})
+    counts = {f"{f}_n": F.count(f).over(past) for f in flags}
+    return df.withColumns(counts).withColumns({f"{f}_rate": F.sum(F.col(f).cast("double")).over(past) / F.nullif(F.col(f"{f}_n"), F.lit(0)) for f in flags})
 
 
 def lag_vol(df: DataFrame, keys: Sequence[str], column: str, k: int = 4, period: str = "qi") -> DataFrame:

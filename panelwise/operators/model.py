@@ -36,6 +36,17 @@ def make_estimator(kind: str = "ridge", label: str = "__y", seed: int = 7, **opt
     raise ValueError(kind)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once, where the session names a checkpoint folder; otherwise ``df`` as it is. Spark frees the files when the result is no longer used."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            return df
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def feature_pipeline(features: Sequence[str], estimator: Estimator, scale: bool = False) -> Pipeline:
     """Median imputation, assembly, optional scaling and the estimator; all are fitted on training rows only."""
     filled = [f"__f_{f}" for f in features]
@@ -49,9 +60,9 @@ def walk_forward(df: DataFrame, folds: DataFrame, features: Sequence[str], targe
     """Out-of-sample rows with ``fold`` and ``y_pred``: each fold's model is fitted on its training rows and scores its test rows.
 
     Training rows whose label window passes the fold's end (``label_end``) or without target are left
-    out; ``prepare`` transforms training rows only. Folds are few; the panel is cached for them.
+    out; ``prepare`` transforms training rows only. Folds are few; the panel is computed once for them where there is a checkpoint folder.
     """
-    panel = assign_folds(df.withColumns({f: F.col(f).cast("double") for f in features}), folds, period, label_end).withColumn("__y", F.col(target).cast("double")).persist()
+    panel = settled(assign_folds(df.withColumns({f: F.col(f).cast("double") for f in features}), folds, period, label_end).withColumn("__y", F.col(target).cast("double")))
     out = None
     for (fold,) in sorted(folds.select("fold").collect()):
         train = panel.filter((F.col("fold") == fold) & (F.col("role") == "train") & F.col("__y").isNotNull())
@@ -68,7 +79,7 @@ def walk_forward(df: DataFrame, folds: DataFrame, features: Sequence[str], targe
 def walk_forward_class(df: DataFrame, folds: DataFrame, features: Sequence[str], label: str, feasible: str | None = None, period: str = "qi", trees: int = 20, depth: int = 5, seed: int = 7) -> DataFrame:
     """Probabilities p_sell, p_hold, p_buy of a forest on labels -1, 0, 1, and ``pred``, with selling ruled out where not feasible."""
     forest = lambda: RandomForestClassifier(featuresCol="__x", labelCol="__y", probabilityCol="__p", predictionCol="y_pred", numTrees=trees, maxDepth=depth, seed=seed)
-    panel = assign_folds(df.withColumns({f: F.col(f).cast("double") for f in features}), folds, period).withColumn("__y", F.col(label).cast("double") + 1).persist()
+    panel = settled(assign_folds(df.withColumns({f: F.col(f).cast("double") for f in features}), folds, period).withColumn("__y", F.col(label).cast("double") + 1))
     out = None
     for (fold,) in sorted(folds.select("fold").collect()):
         train = panel.filter((F.col("fold") == fold) & (F.col("role") == "train") & F.col("__y").isNotNull())
@@ -142,6 +153,19 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], target
     return out
 
 
+def gain_importance(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, estimator: Callable[[], Estimator], period: str = "qi") -> DataFrame:
+    """feature, gain (mean over folds of a tree model's importance), gain_share: one row a feature, from each fold's model."""
+    panel = settled(assign_folds(df.withColumns({f: F.col(f).cast("double") for f in features}), folds, period).withColumn("__y", F.col(target).cast("double")))
+    rows = []
+    for (fold,) in sorted(folds.select("fold").collect()):
+        train = panel.filter((F.col("fold") == fold) & (F.col("role") == "train") & F.col("__y").isNotNull())
+        if not train.isEmpty():
+            gains = feature_pipeline(features, estimator()).fit(train).stages[-1].featureImportances
+            rows += [(fold, f, float(gains[i])) for i, f in enumerate(features)]
+    each = df.sparkSession.createDataFrame(rows, "fold int, feature string, gain double").groupBy("feature").agg(F.avg("gain").alias("gain"))
+    return each.crossJoin(F.broadcast(each.agg(F.sum("gain").alias("__all")))).withColumn("gain_share", F.col("gain") / F.nullif(F.col("__all"), F.lit(0.0))).drop("__all")
+
+
 def bucketed_walk_forward(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, by: str, n: int, floor: int = 50, id: str = "security", period: str = "qi", estimator: Callable[[], Estimator] = make_estimator) -> DataFrame:
     """A model of its own for each per-period bucket of ``by``; buckets with fewer than ``floor`` rows are left out."""
     placed = pct_bucket(df, by, n, [period], id, "model_bucket")

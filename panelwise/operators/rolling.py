@@ -12,6 +12,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import compounded, corr, log_return
 
+#: Fixed value: what stands in for a zero divisor.
+EPS = 1e-10
+
 
 def number_dates(df: DataFrame, date: str, name: str = "date_no") -> DataFrame:
     """Adds the number of the date among the market's dates, from 0."""
@@ -56,13 +59,13 @@ def forward_return(df: DataFrame, keys: Sequence[str], ret: str, h: int, order:
 
 
 def rolling(df: DataFrame, keys: Sequence[str], column: str, w: int, order: str) -> DataFrame:
-    """Adds mean, deviation, maximum, Bollinger %B and drawdown from the peak of the last ``w`` rows; null until there are ``w``."""
+    """Adds mean, deviation (0 for one row), maximum, Bollinger %B within 0 and 1, and drawdown from the peak, of the last ``w`` rows or as many as there are."""
     f = W.partitionBy(*keys).orderBy(order).rowsBetween(-(w - 1), 0)
-    full = F.count(column).over(f) == w
-    out = df.withColumns({f"{column}_mean{w}": F.when(full, F.avg(column).over(f)), f"{column}_std{w}": F.when(full, F.stddev_samp(column).over(f)), f"{column}_max{w}": F.when(full, F.max(column).over(f))})
-    low = F.col(f"{column}_mean{w}") - 2 * F.col(f"{column}_std{w}")
-    out = out.withColumn(f"{column}_pctb{w}", (F.col(column) - low) / F.nullif(4 * F.col(f"{column}_std{w}"), F.lit(0.0)))
-    return out.withColumn(f"{column}_dd{w}", F.col(column) / F.nullif(F.col(f"{column}_max{w}"), F.lit(0.0)) - 1)
+    mean, std, peak = F.col(f"{column}_mean{w}"), F.col(f"{column}_std{w}"), F.col(f"{column}_max{w}")
+    out = df.withColumns({f"{column}_mean{w}": F.avg(column).over(f), f"{column}_std{w}": F.coalesce(F.stddev_samp(column).over(f), F.lit(0.0)), f"{column}_max{w}": F.max(column).over(f)})
+    some = lambda c: F.when(c == 0, F.lit(EPS)).otherwise(c)
+    pctb = (F.col(column) - (mean - 2 * std)) / some(4 * std)
+    return out.withColumns({f"{column}_pctb{w}": F.when(pctb.isNotNull(), F.least(F.greatest(pctb, F.lit(0.0)), F.lit(1.0))), f"{column}_dd{w}": (F.col(column) - peak) / some(peak)})
 
 
 def rolling_corr(df: DataFrame, keys: Sequence[str], a: str, b: str, w: int, order: str, min_n: int = 5) -> DataFrame:
@@ -73,7 +76,7 @@ def rolling_corr(df: DataFrame, keys: Sequence[str], a: str, b: str, w: int, ord
 
 
 def ewm(df: DataFrame, keys: Sequence[str], column: str, span: int, order: str) -> DataFrame:
-    """Adds ``<column>_ewm`` and ``<column>_ewmstd``: recursive exponentially weighted mean and deviation.
+    """Adds ``<column>_ewm`` and ``<column>_ewmstd``: recursive exponentially weighted mean and deviation (0 for one row, plus ``EPS``).
 
     The recursion has no closed form that stays finite on long series, so one asset at a time goes
     through pandas; an asset's series has one row a date.
@@ -83,16 +86,16 @@ def ewm(df: DataFrame, keys: Sequence[str], column: str, span: int, order: str)
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         weighted = rows[column].ewm(span=span, adjust=False)
-        rows[f"{column}_ewm"], rows[f"{column}_ewmstd"] = weighted.mean(), weighted.std()
+        rows[f"{column}_ewm"], rows[f"{column}_ewmstd"] = weighted.mean(), weighted.std().fillna(0.0) + EPS
         return rows
 
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def momentum_ratio(df: DataFrame, mean: str, std: str, value: str, limit: float = 5.0, name: str = "mom_ratio") -> DataFrame:
-    """Adds (value - mean) / std within plus and minus ``limit``."""
-    x = (F.col(value) - F.col(mean)) / F.nullif(F.col(std), F.lit(0.0))
-    return df.withColumn(name, F.greatest(F.least(x, F.lit(limit)), F.lit(-limit)))
+def momentum_ratio(df: DataFrame, mean: str, std: str, limit: float = 5.0, name: str = "mom_ratio") -> DataFrame:
+    """Adds mean / std within plus and minus ``limit``."""
+    x = F.col(mean) / F.nullif(F.col(std), F.lit(0.0))
+    return df.withColumn(name, F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(limit)), F.lit(-limit))))
 
 
 def har_features(df: DataFrame, keys: Sequence[str], column: str, order: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,74 +12,98 @@ from pyspark.sql import functions as F
 from ..functions.columns import corr
 from .lags import lag_column, realised_trade
 from .stats import abnormal, information_coefficient, newey_west, performance
-from .xsec import average_rank, bucket, size_groups
+from .xsec import average_rank, bucket, equal_bucket, rank_pct, size_groups
 
 PERIOD = "qi"
 
 
+def _spreads(placed: DataFrame, by: Sequence[str], ret: str, min_names: int, bucket_column: str = "__b") -> DataFrame:
+    """by, ret, n_top, n_bottom of bucketed rows: mean of the highest bucket present less that of the lowest; two buckets and ``min_names`` names at least."""
+    means = placed.groupBy(*by, bucket_column).agg(F.avg(ret).alias("__m"), F.count("*").alias("__k"))
+    top, bottom = (lambda c: F.max_by(c, bucket_column)), (lambda c: F.min_by(c, bucket_column))
+    out = means.groupBy(*by).agg((top("__m") - bottom("__m")).alias("ret"), top("__k").alias("n_top"), bottom("__k").alias("n_bottom"), F.count("*").alias("__buckets"), F.sum("__k").alias("__names"))
+    return out.filter((F.col("__buckets") >= 2) & (F.col("__names") >= min_names)).drop("__buckets", "__names")
+
+
 def decile_spread(
     df: DataFrame, signal: str, ret: str, n: int = 5, id: str = "security", keys: Sequence[str] = (), size: str | None = None, n_size: int = 3,
     nonzero: bool = False, missing: str = "drop", min_names: int = 20, tie: str = "random", seed: int = 0, period: str = PERIOD,
 ) -> DataFrame:
-    """keys, qi, ret, n_top, n_bottom: mean return of the top bucket less that of the bottom one.
+    """keys, qi, ret, n_top, n_bottom: mean return of the highest bucket less that of the lowest one.
 
     ``keys`` may hold the name of a melted signal, so that all signals are sorted in one job. With
     ``size`` the signal is sorted within ``n_size`` size buckets and their spreads are averaged.
     ``missing`` returns are dropped before the sort ('drop') or counted as 0 ('zero').
-    Periods with fewer than ``min_names`` names give no row.
+    Periods, and size buckets, with fewer than ``min_names`` names give no spread.
     """
     rows = df.filter(F.col(signal).isNotNull())
     rows = rows.filter(F.col(ret).isNotNull()) if missing == "drop" else rows.withColumn(ret, F.coalesce(ret, F.lit(0.0)))
     if nonzero:
         rows = rows.filter(F.col(signal) != 0)
-    by = [*keys, period]
-    rows = rows.withColumn("__names", F.count("*").over(W.partitionBy(*by))).filter(F.col("__names") >= min_names)
-    group = []
+    by, group = [*keys, period], []
     if size:
-        rows, group = bucket(rows.filter(F.col(size).isNotNull()), size, n_size, by, id, tie, seed, "__size"), ["__size"]
-    sorted_ = bucket(rows, signal, n, [*by, *group], id, tie, seed, "__b")
-    top, bottom = F.col("__b") == n - 1, F.col("__b") == 0
-    spreads = sorted_.groupBy(*by, *group).agg(F.avg(F.when(top, F.col(ret))).alias("__t"), F.avg(F.when(bottom, F.col(ret))).alias("__l"), F.count_if(top).alias("n_top"), F.count_if(bottom).alias("n_bottom"))
-    spreads = spreads.withColumn("ret", F.col("__t") - F.col("__l"))
+        rows, group = bucket(rows.filter(F.col(size).isNotNull()), size, n_size, by, id, tie, seed, "__size", complete=True), ["__size"]
+    spreads = _spreads(bucket(rows, signal, n, [*by, *group], id, tie, seed, "__b", complete=True), [*by, *group], ret, min_names)
     if group:
         spreads = spreads.groupBy(*by).agg(F.avg("ret").alias("ret"), F.sum("n_top").alias("n_top"), F.sum("n_bottom").alias("n_bottom"))
-    return spreads.filter(F.col("ret").isNotNull()).select(*by, "ret", "n_top", "n_bottom")
+    return spreads.select(*by, "ret", "n_top", "n_bottom")
+
 
+def evaluate(df: DataFrame, signals: Sequence[str], returns: Sequence[str], split: Column | None = None, id: str = "security", period: str = PERIOD, ann: float = 4.0, horizons: Sequence[int] | None = None, **options) -> DataFrame:
+    """signal, horizon, sample and performance of each signal's spread at each horizon, all in one job.
 
-def evaluate(df: DataFrame, signals: Sequence[str], returns: Sequence[str], split: Column | None = None, id: str = "security", period: str = PERIOD, ann: float = 4.0, **options) -> DataFrame:
-    """signal, horizon, sample and performance of each signal's spread at each horizon, all in one job."""
+    A return that reaches ``h`` periods ahead (1, 2, .. unless ``horizons`` says otherwise) has a t
+    value with h - 1 lags.
+    """
     from .stats import with_samples
 
+    horizons = list(horizons or range(1, len(returns) + 1))
     long = df.select(id, period, F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("x")) for s in signals])), *returns)
-    long = long.select(id, period, "signal", "x", F.inline(F.array(*[F.struct(F.lit(r).alias("horizon"), F.col(r).cast("double").alias("y")) for r in returns])))
-    spreads = decile_spread(long, "x", "y", id=id, keys=["signal", "horizon"], period=period, **options)
+    long = long.select(id, period, "signal", "x", F.inline(F.array(*[F.struct(F.lit(r).alias("horizon"), F.lit(h).alias("__h"), F.col(r).cast("double").alias("y")) for r, h in zip(returns, horizons)])))
+    spreads = decile_spread(long, "x", "y", id=id, keys=["signal", "horizon", "__h"], period=period, **options)
     spreads = with_samples(spreads, split) if split is not None else spreads.withColumn("sample", F.lit("all"))
-    return performance(spreads, ["signal", "horizon", "sample"], "ret", ann, period)
+    return performance(spreads, ["signal", "horizon", "sample"], "ret", ann, period, F.col("__h") - 1, most=max(horizons) - 1)
+
 
+def sweep(
+    df: DataFrame, signal: str, ret: str, ties: Sequence[str] = ("random", "first", "average"), sizes: Sequence[int] = (1, 3), nonzero: Sequence[bool] = (False, True), missing: Sequence[str] = ("drop", "zero"),
+    size: str = "market_cap", n: int = 5, id: str = "security", period: str = PERIOD, min_names: int = 20, seed: int = 0, ann: float = 4.0,
+) -> DataFrame:
+    """tie, size_groups, nonzero, missing and performance for every combination.
+
+    Each row is repeated for the combinations that it takes part in and the combination is part of
+    the sort's key: one sort for all that split ties, and one for those that keep them together for
+    each number of size groups.
+    """
+    keys = ["tie", "size_groups", "nonzero", "missing"]
+    cells = [F.struct(F.lit(t).alias("tie"), F.lit(k).alias("size_groups"), F.lit(z).alias("nonzero"), F.lit(m).alias("missing")) for t in ties for k in sizes for z in nonzero for m in missing]
+    rows = df.select(id, period, F.col(signal).alias("__x"), F.col(ret).cast("double").alias("__y"), F.col(size).alias("__cap"), F.inline(F.array(*cells))).filter("__x is not null and (missing = 'zero' or __y is not null) and (not nonzero or __x != 0)")
+    # one size group is a group in which all have the same size
+    rows = rows.withColumn("__y", F.coalesce("__y", F.lit(0.0))).withColumn("__cap", F.when(F.col("size_groups") == 1, F.lit(0.0)).otherwise(F.col("__cap"))).filter("__cap is not null")
+    by, parts = [*keys, period], []
+    if set(ties) - {"average"}:
+        split = rows.filter("tie != 'average'").withColumn("__t", F.when(F.col("tie") == "random", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string")))))
 
-def sweep(df: DataFrame, signal: str, ret: str, ties: Sequence[str] = ("random", "first"), sizes: Sequence[int] = (1, 3), nonzero: Sequence[bool] = (False, True), missing: Sequence[str] = ("drop", "zero"), size: str = "market_cap", ann: float = 4.0, **options) -> DataFrame:
-    """tie, size_groups, nonzero, missing and performance for every combination; one union, one job."""
-    cells = None
-    for t in ties:
-        for k in sizes:
-            for z in nonzero:
-                for m in missing:
-                    s = decile_spread(df, signal, ret, tie=t, size=size if k > 1 else None, n_size=k, nonzero=z, missing=m, **options)
-                    s = s.select(F.lit(t).alias("tie"), F.lit(k).alias("size_groups"), F.lit(z).alias("nonzero"), F.lit(m).alias("missing"), PERIOD, "ret")
-                    cells = s if cells is None else cells.unionByName(s)
-    return performance(cells, ["tie", "size_groups", "nonzero", "missing"], "ret", ann)
+        def placed(frame: DataFrame, column: str, number: Column, group: Sequence[str], name: str) -> DataFrame:
+            at, of = F.row_number().over(W.partitionBy(*group).orderBy(column, "__t", id)), F.count("*").over(W.partitionBy(*group))
+            return frame.withColumn("__r", at).withColumn("__n", of).withColumn(name, equal_bucket(F.col("__r"), F.col("__n"), number))
 
+        parts.append(placed(placed(split, "__cap", F.col("size_groups"), by, "__size"), "__x", F.lit(n), [*by, "__size"], "__b"))
+    for k in sizes if "average" in ties else ():
+        own = bucket(rows.filter((F.col("tie") == "average") & (F.col("size_groups") == k)), "__cap", k, by, id, "average", name="__size", complete=True)
+        parts.append(bucket(own, "__x", n, [*by, "__size"], id, "average", name="__b", complete=True))
+    spreads = reduce(DataFrame.unionByName, (_spreads(x.select(*by, "__size", "__b", "__y"), [*by, "__size"], "__y", min_names) for x in parts))
+    return performance(spreads.groupBy(*by).agg(F.avg("ret").alias("ret")), keys, "ret", ann, period)
 
-def sweep_definitions(df: DataFrame, definitions: Sequence[str], returns: DataFrame, ret: str, signal: str = "frac_buy", ann: float = 4.0, **options) -> DataFrame:
-    """definition and performance of the breadth signal for each way to measure a position (a level column of holdings)."""
-    from .holdings import buying_breadth
 
-    cells = None
-    for d in definitions:
-        panel = returns.join(buying_breadth(df, d), ["security", PERIOD])
-        s = decile_spread(panel, signal, ret, **options).select(F.lit(d).alias("definition"), PERIOD, "ret")
-        cells = s if cells is None else cells.unionByName(s)
-    return performance(cells, ["definition"], "ret", ann)
+def sweep_definitions(df: DataFrame, definitions: Mapping[str, str], returns: DataFrame, ret: str, ann: float = 4.0, **options) -> DataFrame:
+    """definition and performance of the share of buyers for each way to measure a position: level column of holdings -> short name, from one grid and one sort."""
+    from .holdings import breadth_by_definition
+
+    counts = breadth_by_definition(df, definitions)
+    shares = [F.struct(F.lit(level).alias("definition"), (F.col(f"n_buy_{end}") / F.col("n_active")).alias("x")) for level, end in definitions.items()]
+    panel = returns.join(counts, ["security", PERIOD]).select("security", PERIOD, ret, F.inline(F.array(*shares)))
+    return performance(decile_spread(panel, "x", ret, keys=["definition"], **options), ["definition"], "ret", ann)
 
 
 def sweep_verdict(table: DataFrame, t: str = "t", least: float = 2.0) -> DataFrame:
@@ -120,10 +145,19 @@ def double_sort(df: DataFrame, a: str, b: str, ret: str, n: int = 3, id: str = "
 
 def strategy_spread(df: DataFrame, signal: str, ret: str, condition: str, which: int, n: int = 5, n_cond: int = 3, id: str = "security", period: str = PERIOD, min_names: int = 10) -> DataFrame:
     """The signal's spread series inside one condition bucket."""
-    inside = bucket(df.filter(F.col(condition).isNotNull()), condition, n_cond, [period], id, name="__cond").filter(F.col("__cond") == which)
+    inside = bucket(df.filter(F.col(condition).isNotNull()), condition, n_cond, [period], id, name="__cond", complete=True).filter(F.col("__cond") == which)
     return decile_spread(inside, signal, ret, n, id, min_names=min_names, period=period)
 
 
+def report_strategy(spread: DataFrame, split: Column, horizon: int = 1, label: str = "strategy", ann: float = 4.0, period: str = PERIOD) -> DataFrame:
+    """strategy, sample (discovery, validation, all), first and last period, and performance of one spread series with horizon - 1 lags."""
+    from .stats import with_samples
+
+    rows = with_samples(spread, split)
+    spans = rows.groupBy("sample").agg(F.min(period).alias("first"), F.max(period).alias("last"))
+    return spans.join(performance(rows, ["sample"], "ret", ann, period, horizon - 1), "sample").select(F.lit(label).alias("strategy"), "*")
+
+
 def alpha_sort(df: DataFrame, score: str, returns: Sequence[str], n: int = 5, id: str = "security", period: str = PERIOD, lags: int = 0) -> DataFrame:
     """timing, bucket, n, mean, t for each named return; bucket -1 is top less bottom."""
     long = df.select(id, period, score, F.inline(F.array(*[F.struct(F.lit(r).alias("timing"), F.col(r).cast("double").alias("y")) for r in returns]))).filter(F.col("y").isNotNull() & F.col(score).isNotNull())
@@ -142,23 +176,57 @@ def score_row(df: DataFrame, pred: str, target: str, ret: str, n: int = 5, horiz
     return ic.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(fingerprint(good, [id, period])))
 
 
-def fund_sort(df: DataFrame, variable: str, fund_returns: DataFrame, hmax: int = 4, start: int = 0, n: int = 5, fund: str = "fund", category: Sequence[str] = (), period: str = PERIOD, lags: int | None = None) -> DataFrame:
-    """h, bucket, n, mean, t: cumulative benchmark-adjusted fund returns over t + start .. t + start + h - 1 by buckets of a variable.
-
-    ``df`` has fund, qi and the variable; ``fund_returns`` fund, qi, fund_ret. All periods of the
-    window must be there. Bucket -1 is top less bottom.
-    """
-    ab = abnormal(fund_returns, "fund_ret", [*category, period])
+def _cumulative(fund_returns: DataFrame, hmax: int, start: int, fund: str, period: str, category: Sequence[str]) -> DataFrame:
+    """fund, qi, __h1 ..: sums of benchmark-adjusted returns over qi + start .. qi + start + h - 1; null unless all are there."""
     made = {}
     for h in range(1, hmax + 1):
         frame = W.partitionBy(fund).orderBy(period).rangeBetween(start, start + h - 1)
         made[f"__h{h}"] = F.when(F.count("abnormal").over(frame) == h, F.sum("abnormal").over(frame))
-    joined = df.filter(F.col(variable).isNotNull()).join(ab.withColumns(made), [fund, period])
-    long = joined.select(fund, period, variable, F.inline(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"__h{h}").alias("y")) for h in range(1, hmax + 1)]))).filter("y is not null")
-    means = bucket(long, variable, n, ["h", period], fund).groupBy("h", "bucket", period).agg(F.avg("y").alias("m"))
-    spread = means.groupBy("h", period).agg((F.max(F.when(F.col("bucket") == n - 1, F.col("m"))) - F.max(F.when(F.col("bucket") == 0, F.col("m")))).alias("m"))
-    every = means.unionByName(spread.select("h", F.lit(-1).alias("bucket"), period, "m"))
-    return newey_west(every, ["h", "bucket"], "m", hmax - 1 if lags is None else lags, period)
+    return abnormal(fund_returns, "fund_ret", [*category, period]).withColumns(made)
+
+
+def _frozen(df: DataFrame, returns: DataFrame, hmax: int, start: int, fund: str, security: str, period: str) -> DataFrame:
+    """fund, qi, __h1 ..: benchmark-adjusted return of the holdings of qi, each security compounded over its whole window or left out."""
+    grown = {}
+    for h in range(1, hmax + 1):
+        frame = W.partitionBy(security).orderBy(period).rangeBetween(start, start + h - 1)
+        grown[f"__g{h}"] = F.when(F.count("ret").over(frame) == h, F.product(1 + F.col("ret")).over(frame) - 1)
+    held = df.filter(F.col("weight").isNotNull()).select(fund, security, period, "weight").join(returns.select(security, period, "ret").withColumns(grown).drop("ret"), [security, period])
+    has = lambda h: F.col(f"__g{h}").isNotNull()
+    value = [(F.sum(F.when(has(h), F.col("weight") * F.col(f"__g{h}"))) / F.nullif(F.sum(F.when(has(h), F.col("weight"))), F.lit(0.0))).alias(f"__h{h}") for h in range(1, hmax + 1)]
+    by_fund = held.groupBy(fund, period).agg(*value)
+    means = by_fund.groupBy(period).agg(*[F.avg(f"__h{h}").alias(f"__m{h}") for h in range(1, hmax + 1)])
+    return by_fund.join(means, period).withColumns({f"__h{h}": F.col(f"__h{h}") - F.col(f"__m{h}") for h in range(1, hmax + 1)})
+
+
+def _sorted_funds(rows: DataFrame, variable: str, hmax: int, n: int, fund: str, period: str, lags: int | None) -> DataFrame:
+    """h, bucket, n, mean, t, t_ols of __h1 .. by buckets of the variable, sorted once a period; bucket -1 is top less bottom."""
+    placed = bucket(rows.filter(F.col(variable).isNotNull()), variable, n, [period], fund, complete=True)
+    long = placed.select(period, "bucket", F.inline(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"__h{h}").alias("y")) for h in range(1, hmax + 1)]))).filter("y is not null")
+    means = long.groupBy("h", "bucket", period).agg(F.avg("y").alias("m"))
+    ends = F.array(F.struct("bucket", "m"), F.struct(F.lit(-1).alias("bucket"), F.when(F.col("bucket") == n - 1, F.col("m")).when(F.col("bucket") == 0, -F.col("m")).alias("m")))
+    # the spread is the sum of both ends' signed means, where both are there
+    every = means.select("h", period, F.inline(ends)).filter("m is not null").groupBy("h", "bucket", period).agg(F.sum("m").alias("m"), F.count("*").alias("__k")).filter("bucket >= 0 or __k = 2")
+    t = newey_west(every, ["h", "bucket"], "m", F.lit(lags) if lags is not None else F.col("h") - 1, period, most=hmax - 1 if lags is None else lags)
+    plain = newey_west(every, ["h", "bucket"], "m", 0, period).select("h", "bucket", F.col("t").alias("t_ols"))
+    return t.join(plain, ["h", "bucket"])
+
+
+def fund_sort(df: DataFrame, variable: str, fund_returns: DataFrame, hmax: int = 4, start: int = 0, n: int = 5, fund: str = "fund", category: Sequence[str] = (), period: str = PERIOD, lags: int | None = None) -> DataFrame:
+    """h, bucket, n, mean, t, t_ols: cumulative benchmark-adjusted fund returns over t + start .. t + start + h - 1 by buckets of a variable.
+
+    ``df`` has fund, qi and the variable; ``fund_returns`` fund, qi, fund_ret. Funds with a return at
+    t are sorted once; all periods of a window must be there for it to count. t has h - 1 lags unless
+    ``lags`` says otherwise, t_ols none. Bucket -1 is top less bottom.
+    """
+    joined = df.select(fund, period, variable).join(_cumulative(fund_returns.filter("fund_ret is not null"), hmax, start, fund, period, category), [fund, period])
+    return _sorted_funds(joined, variable, hmax, n, fund, period, lags)
+
+
+def frozen_fund_sort(df: DataFrame, variable: str, holdings: DataFrame, returns: DataFrame, hmax: int = 4, start: int = 0, n: int = 5, fund: str = "fund", security: str = "security", period: str = PERIOD, lags: int | None = None) -> DataFrame:
+    """The same sort with holdings (fund, security, qi, weight) frozen at t: each security compounds by itself over its whole window."""
+    joined = _frozen(holdings, returns, hmax, start, fund, security, period).join(df.select(fund, period, variable), [fund, period])
+    return _sorted_funds(joined, variable, hmax, n, fund, period, lags)
 
 
 def frozen_fund_return(df: DataFrame, returns: DataFrame, h: int, fund: str = "fund", security: str = "security", period: str = PERIOD, start: int = 0) -> DataFrame:
@@ -172,19 +240,32 @@ def frozen_fund_return(df: DataFrame, returns: DataFrame, h: int, fund: str = "f
     )
 
 
+def _accuracy_sort(rows: DataFrame, ret: str, n: int, security: str, period: str, lags: int) -> DataFrame:
+    """bucket, n, mean, t of a return by buckets of acc; bucket -1 is bottom less top."""
+    means = bucket(rows.filter(F.col(ret).isNotNull() & F.col("acc").isNotNull()), "acc", n, [period], security, complete=True).groupBy("bucket", period).agg(F.avg(ret).alias("m"))
+    ends = F.array(F.struct("bucket", "m"), F.struct(F.lit(-1).alias("bucket"), F.when(F.col("bucket") == 0, F.col("m")).when(F.col("bucket") == n - 1, -F.col("m")).alias("m")))
+    every = means.select(period, F.inline(ends)).filter("m is not null").groupBy("bucket", period).agg(F.sum("m").alias("m"), F.count("*").alias("__k")).filter("bucket >= 0 or __k = 2")
+    return newey_west(every, ["bucket"], "m", lags, period)
+
+
 def stock_sort(predictions: DataFrame, returns: DataFrame, hit: str, ret: str, n: int = 5, security: str = "security", period: str = PERIOD, lags: int = 0) -> DataFrame:
     """Buckets of a security's accuracy (mean of ``hit``) and their mean returns with t; bucket -1 is bottom less top."""
-    accuracy = predictions.groupBy(security, period).agg(F.avg(hit).alias("acc"), F.count(hit).alias("k"))
-    rows = bucket(accuracy.join(returns.select(security, period, ret), [security, period]).filter(F.col(ret).isNotNull()), "acc", n, [period], security)
-    means = rows.groupBy("bucket", period).agg(F.avg(ret).alias("m"))
-    spread = means.groupBy(period).agg((F.max(F.when(F.col("bucket") == 0, F.col("m"))) - F.max(F.when(F.col("bucket") == n - 1, F.col("m")))).alias("m"))
-    return newey_west(means.unionByName(spread.select(F.lit(-1).alias("bucket"), period, "m")), ["bucket"], "m", lags, period)
+    accuracy = predictions.groupBy(security, period).agg(F.avg(hit).alias("acc"))
+    return _accuracy_sort(accuracy.join(returns.select(security, period, ret), [security, period]), ret, n, security, period, lags)
 
 
-def stock_sort_holders(predictions: DataFrame, fund_returns: DataFrame, hit: str, n: int = 5, security: str = "security", fund: str = "fund", period: str = PERIOD, lags: int = 0) -> DataFrame:
-    """The same buckets, with the mean return of the funds that hold the security."""
-    holders = predictions.select(security, fund, period).join(fund_returns, [fund, period]).groupBy(security, period).agg(F.avg("fund_ret").alias("holders_ret"))
-    return stock_sort(predictions, holders, hit, "holders_ret", n, security, period, lags)
+def stock_sort_holders(
+    predictions: DataFrame, fund_returns: DataFrame, hit: str, hmax: int = 4, start: int = 0, n: int = 5, returns: DataFrame | None = None, security: str = "security", fund: str = "fund", period: str = PERIOD,
+) -> DataFrame:
+    """The same buckets, with what the security's holders earn: their cumulative benchmark-adjusted returns over ``hmax`` periods, weighted by their weight in the security.
+
+    ``predictions`` has fund, security, qi, weight and ``hit``. Accuracy counts holders with a return
+    only. With ``returns`` the holdings are frozen at t. t has hmax - 1 lags.
+    """
+    cumulative = _cumulative(fund_returns.filter("fund_ret is not null"), hmax, start, fund, period, ()) if returns is None else _frozen(predictions, returns, hmax, start, fund, security, period)
+    held = predictions.filter(F.col("weight").isNotNull()).join(cumulative.select(fund, period, F.col(f"__h{hmax}").alias("__c")).filter("__c is not null"), [fund, period])
+    stocks = held.groupBy(security, period).agg(F.avg(hit).alias("acc"), (F.sum(F.col("weight") * F.col("__c")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("holders_ret"))
+    return _accuracy_sort(stocks, "holders_ret", n, security, period, hmax - 1)
 
 
 def correct_incorrect(predictions: DataFrame, hit: str, ret: str, keys: Sequence[str] = ("fund", "security"), k: int = 0, period: str = PERIOD, lags: int = 0) -> DataFrame:
@@ -232,6 +313,17 @@ def filter_effect(df: DataFrame, keep: Column, ret: str, period: str = PERIOD) -
     return newey_west(long.groupBy("group", period).agg(F.avg(ret).alias("m")), ["group"], "m", 0, period)
 
 
+def continuity_signal(df: DataFrame, flag: str, windows: Mapping[str, tuple[str, int]], period: str = PERIOD, min_n: int = 8) -> DataFrame:
+    """window, n, spread, t, hit: mean return where the flag holds less where it does not, by period, for each named (return, lags)."""
+    cells = [F.struct(F.lit(name).alias("window"), F.lit(lags).alias("__lags"), F.col(ret).cast("double").alias("y")) for name, (ret, lags) in windows.items()]
+    long = df.filter(F.col(flag).isNotNull()).select(period, F.col(flag).alias("__f"), F.inline(F.array(*cells))).filter("y is not null")
+    gap = (F.avg(F.when(F.col("__f"), F.col("y"))) - F.avg(F.when(~F.col("__f"), F.col("y")))).alias("spread")
+    series = long.groupBy("window", "__lags", period).agg(gap).filter("spread is not null")
+    t = newey_west(series, ["window"], "spread", F.col("__lags"), period, most=max(k for _, k in windows.values())).filter(F.col("n") >= min_n)
+    hits = series.groupBy("window").agg(F.avg((F.col("spread") > 0).cast("int")).alias("hit"))
+    return t.withColumnRenamed("mean", "spread").join(hits, "window")
+
+
 def selling_asymmetry(df: DataFrame, fund: str, security: str, value: str, ret: str, period: str = PERIOD) -> DataFrame:
     """One row: shares of buys, sells and exits among rows whose fund reports next period, exits' share of sells, mean returns of each."""
     t = realised_trade(df, fund, security, value, period).filter("fund_reports")
@@ -260,17 +352,35 @@ def compare_universes(df: DataFrame, specs: dict[str, Column]) -> DataFrame:
     return df.withColumn("universe", F.explode(names))
 
 
-def long_only(df: DataFrame, score: str, returns: Sequence[str], keys: Sequence[str], id: str, q: float = 0.1, ann: float = 12.0, period: str = "month") -> DataFrame:
-    """series, performance of the top share by score, for each return; periods below half the median cross-section are left out."""
-    from .xsec import tail_count
+def universe_performance(df: DataFrame, specs: dict[str, Column], signal: str, ret: str, ann: float = 4.0, period: str = PERIOD, **options) -> DataFrame:
+    """universe and performance of the signal's spread sorted inside each universe by itself, all in one job."""
+    return performance(decile_spread(compare_universes(df, specs), signal, ret, keys=["universe"], period=period, **options), ["universe"], "ret", ann, period)
+
 
-    good = df.filter(F.col(score).isNotNull())
-    sizes = good.groupBy(*keys).agg(F.count("*").alias("__n"))
-    median = sizes.agg(F.percentile("__n", 0.5).alias("__m"))
-    whole = sizes.crossJoin(F.broadcast(median)).filter(F.col("__n") * 2 >= F.col("__m")).select(*keys)
-    top = tail_count(good.join(whole, list(keys), "left_semi"), score, q, keys, id)
-    means = top.groupBy(*keys).agg(*[F.avg(r).alias(r) for r in returns])
-    long = means.select(*keys, F.inline(F.array(*[F.struct(F.lit(r).alias("series"), F.col(r).alias("ret")) for r in returns])))
+def universe_precision(predictions: DataFrame, specs: dict[str, Column], hit: str, fund: str = "fund") -> DataFrame:
+    """universe, funds, n, pooled and fund-average precision of the same predictions in each universe."""
+    per = compare_universes(predictions.filter(F.col(hit).isNotNull()), specs).groupBy("universe", fund).agg(F.avg(hit).alias("__p"), F.sum(hit).alias("__h"), F.count("*").alias("__n"))
+    return per.groupBy("universe").agg(F.count("*").alias("funds"), F.sum("__n").alias("n"), (F.sum("__h") / F.sum("__n")).alias("pooled"), F.avg("__p").alias("fund_average"))
+
+
+def long_only(df: DataFrame, score: str, returns: Sequence[str], keys: Sequence[str], q: float = 0.1, ann: float = 12.0, period: str = "month", floor: int = 15) -> DataFrame:
+    """series, performance of the rows with percentile rank of 1 - q or more (ties share their rank), for each return.
+
+    Periods with fewer complete rows than half the median cross-section, or than ``floor``, or
+    without spread in the score are left out.
+    """
+    scored = df.filter(F.col(score).isNotNull())
+    complete = F.lit(True)
+    for r in returns:
+        complete = complete & F.col(r).isNotNull()
+    sizes = scored.groupBy(*keys).agg(F.count("*").alias("__n"))
+    least = sizes.agg(F.greatest(F.lit(floor), F.floor(F.percentile("__n", 0.5) / 2)).alias("__least"))
+    good = scored.filter(complete)
+    placed = rank_pct(good, score, keys, "__p")
+    top = F.col("__p") >= 1 - q
+    means = placed.groupBy(*keys).agg(F.count("*").alias("__n"), F.stddev_samp(score).alias("__sd"), *[F.avg(F.when(top, F.col(r))).alias(r) for r in returns])
+    kept = means.crossJoin(F.broadcast(least)).filter("__n >= __least and __sd >= 1e-12")
+    long = kept.select(*keys, F.inline(F.array(*[F.struct(F.lit(r).alias("series"), F.col(r).alias("ret")) for r in returns])))
     return performance(long, ["series"], "ret", ann, period)
 
 

@@ -9,28 +9,40 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import corr
-from .xsec import average_rank, rank_pct
+from .clean import whole_quantile
+from .xsec import average_rank, bucket, rank_pct
 
 
-def newey_west(df: DataFrame, keys: Sequence[str], column: str, lags: int, period: str = "qi", min_n: int = 5, sample: bool = False) -> DataFrame:
+def _lagged_errors(df: DataFrame, keys: Sequence[str], column: str, most: int, period: str) -> DataFrame:
+    """Adds __e, the value less the mean of its key, and __p1 .. : its products with the values before it."""
+    demeaned = df.withColumn("__e", F.col(column) - F.avg(column).over(W.partitionBy(*keys)))
+    by = W.partitionBy(*keys).orderBy(period)
+    return demeaned.withColumns({f"__p{k}": F.col("__e") * F.lag("__e", k).over(by) for k in range(1, most + 1)})
+
+
+def _mean_and_t(column: str, lags: int | Column, most: int, min_n: int, sample: bool = False) -> tuple[Column, Column, Column]:
+    """n, mean and t as aggregates over the rows of ``_lagged_errors``; ``lags`` may differ by key."""
+    each = F.max(lags) if isinstance(lags, Column) else None
+    total = F.sum(F.col("__e") * F.col("__e"))
+    for k in range(1, most + 1):
+        weight = F.greatest(1 - k / (each + 1), F.lit(0.0)) if each is not None else 1 - k / (most + 1)
+        total = total + 2 * weight * F.coalesce(F.sum(f"__p{k}"), F.lit(0.0))
+    n = F.count("*")
+    variance = total / (n - 1 if sample and not most else n) / n
+    return n, F.avg(column), F.when((n >= min_n) & (variance > 1e-18), F.avg(column) / F.sqrt(variance))
+
+
+def newey_west(df: DataFrame, keys: Sequence[str], column: str, lags: int | Column, period: str = "qi", min_n: int = 5, sample: bool = False, most: int | None = None) -> DataFrame:
     """keys, n, mean, t: the t value of a mean with ``lags`` Bartlett-weighted autocovariances.
 
     Null for fewer than ``min_n`` values or a variance of 0. ``sample`` divides by n - 1 where there
-    are no lags. Autocovariances pair successive values in the order of ``period``.
+    are no lags. Autocovariances pair successive values in the order of ``period``. ``lags`` may be a
+    column that is the same within a key, and ``most`` is then its largest value.
     """
-    good = df.filter(F.col(column).isNotNull())
-    demeaned = good.withColumn("__e", F.col(column) - F.avg(column).over(W.partitionBy(*keys)))
-    by = W.partitionBy(*keys).orderBy(period)
-    products = demeaned.withColumns({f"__p{k}": F.col("__e") * F.lag("__e", k).over(by) for k in range(1, lags + 1)})
-    sums = [F.sum(F.col("__e") * F.col("__e")).alias("__s0"), *[F.sum(f"__p{k}").alias(f"__s{k}") for k in range(1, lags + 1)]]
-    agg = products.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), *sums)
-    total = F.col("__s0")
-    for k in range(1, lags + 1):
-        total = total + 2 * (1 - k / (lags + 1)) * F.coalesce(F.col(f"__s{k}"), F.lit(0.0))
-    divisor = F.col("n") - 1 if sample and not lags else F.col("n")
-    variance = total / divisor / F.col("n")
-    t = F.when((F.col("n") >= min_n) & (variance > 1e-18), F.col("mean") / F.sqrt(variance))
-    return agg.withColumn("t", t).select(*keys, "n", "mean", "t")
+    most = lags if isinstance(lags, int) else most
+    rows = _lagged_errors(df.filter(F.col(column).isNotNull()), keys, column, most, period)
+    n, mean, t = _mean_and_t(column, lags, most, min_n, sample)
+    return rows.groupBy(*keys).agg(n.alias("n"), mean.alias("mean"), t.alias("t"))
 
 
 def wealth(df: DataFrame, keys: Sequence[str], ret: str, period: str = "qi", peak_at_one: bool = False) -> DataFrame:
@@ -41,23 +53,27 @@ def wealth(df: DataFrame, keys: Sequence[str], ret: str, period: str = "qi", pea
     return grown.withColumn("drawdown", F.col("wealth") / (F.greatest(peak, F.lit(1.0)) if peak_at_one else peak) - 1)
 
 
-def performance(df: DataFrame, keys: Sequence[str], ret: str, ann: float, period: str = "qi", lags: int = 0, min_n: int = 8) -> DataFrame:
-    """One record a strategy: n, mean, t, hit, ann_ret, ann_vol, sharpe, geo, cum, max_dd; null figures below ``min_n`` periods."""
-    grown = wealth(df.filter(F.col(ret).isNotNull()), keys, ret, period)
-    agg = grown.groupBy(*keys).agg(
-        F.avg((F.col(ret) > 0).cast("int")).alias("hit"), F.stddev_samp(ret).alias("__sd"), F.product(1 + F.col(ret)).alias("__w"), F.sum(ret).alias("cum"), F.min("drawdown").alias("max_dd"), F.count("*").alias("__n")
-    )
-    t = newey_west(df, keys, ret, lags, period)
-    out = agg.join(t, list(keys)) if keys else agg.crossJoin(F.broadcast(t))
+def performance(df: DataFrame, keys: Sequence[str], ret: str, ann: float, period: str = "qi", lags: int | Column = 0, min_n: int = 8, most: int | None = None) -> DataFrame:
+    """One record a strategy: n, mean, t, t_naive, hit, ann_ret, ann_vol, sharpe, geo, cum, max_dd; null figures below ``min_n`` periods.
+
+    t has ``lags`` autocovariances (as in ``newey_west``), t_naive none and the sample deviation; cum
+    is the final wealth less 1. One pass: all windows share the strategies' shuffle.
+    """
+    most = lags if isinstance(lags, int) else most
+    rows = _lagged_errors(wealth(df.filter(F.col(ret).isNotNull()), keys, ret, period), keys, ret, most, period)
+    n, mean, t = _mean_and_t(ret, lags, most, 5)
+    agg = rows.groupBy(*keys).agg(n.alias("n"), mean.alias("mean"), t.alias("t"), F.avg((F.col(ret) > 0).cast("int")).alias("hit"), F.stddev_samp(ret).alias("__sd"), F.product(1 + F.col(ret)).alias("__w"), F.min("drawdown").alias("max_dd"))
+    sd = F.nullif(F.col("__sd"), F.lit(0.0))
     figures = {
+        "t_naive": F.col("mean") / (sd / F.sqrt("n")),
         "ann_ret": F.col("mean") * ann,
         "ann_vol": F.col("__sd") * ann**0.5,
-        "sharpe": F.col("mean") / F.nullif(F.col("__sd"), F.lit(0.0)) * ann**0.5,
-        "geo": F.when(F.col("__w") > 0, F.pow("__w", ann / F.col("__n")) - 1),
+        "sharpe": F.col("mean") / sd * ann**0.5,
+        "geo": F.when(F.col("__w") > 0, F.pow("__w", ann / F.col("n")) - 1),
+        "cum": F.col("__w") - 1,
     }
-    out = out.withColumns(figures)
-    enough = F.col("n") >= min_n
-    return out.select(*keys, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "t", "hit", "ann_ret", "ann_vol", "sharpe", "geo", "cum", "max_dd")])
+    out, enough = agg.withColumns(figures), F.col("n") >= min_n
+    return out.select(*keys, "n", *[F.when(enough, F.col(c)).alias(c) for c in ("mean", "t", "t_naive", "hit", "ann_ret", "ann_vol", "sharpe", "geo", "cum", "max_dd")])
 
 
 def information_coefficient(df: DataFrame, score: str, ret: str, keys: Sequence[str], min_n: int = 10) -> DataFrame:
@@ -153,24 +169,38 @@ def precision_report(df: DataFrame, y: str, pred: str, fund: str, by: Sequence[s
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
-    """a, b, corr for each pair of columns, over rows where both are present. One aggregate."""
+    """a, b, corr for each pair of columns, over rows where both are present.
+
+    Pearson is one aggregate. Spearman counts each pair's distinct values first, on the map side;
+    ranks come from running sums over these counts in value ranges, so that no task sorts the table.
+    """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     if method == "spearman":
-        parts = []
-        for a, b in pairs:
-            both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.lit(f"{a}|{b}").alias("__pair"), F.col(a).cast("double").alias("__x"), F.col(b).cast("double").alias("__y"))
-            parts.append(both)
-        every = parts[0]
-        for more in parts[1:]:
-            every = every.union(more)
-        ranked = average_rank(average_rank(every, "__x", ["__pair"], "__rx"), "__y", ["__pair"], "__ry")
+        both = [F.struct(F.lit(i).alias("__pair"), F.col(a).cast("double").alias("__x"), F.col(b).cast("double").alias("__y")) for i, (a, b) in enumerate(pairs)]
+        every = df.select(F.inline(F.array(*both))).filter("__x is not null and __y is not null")
+        ranked = _pair_rank(_pair_rank(every, "__x", "__rx"), "__y", "__ry")
         out = ranked.groupBy("__pair").agg(corr("__rx", "__ry").alias("corr"))
-        return out.select(F.split("__pair", r"\|")[0].alias("a"), F.split("__pair", r"\|")[1].alias("b"), "corr")
+        names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+        return out.select(names[F.col("__pair")]["a"].alias("a"), names[F.col("__pair")]["b"].alias("b"), "corr")
     one = df.agg(*[corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"__{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])
     return one.select(F.inline(rows))
 
 
+def _pair_rank(df: DataFrame, column: str, name: str, ranges: int = 1024) -> DataFrame:
+    """Adds the average rank of a column within ``__pair`` by sums over ``ranges`` value ranges, then inside a range."""
+    counts = df.groupBy("__pair", column).agg(F.count("*").alias("__k"))
+    cuts = df.groupBy("__pair").agg(F.percentile_approx(column, [i / ranges for i in range(1, ranges)], 4 * ranges).alias("__cuts"))
+    # the place of the value among the cuts, by bisection
+    place = F.expr(f"aggregate(sequence(1, {ranges.bit_length()}), named_struct('lo', 0, 'hi', size(__cuts)), (s, i) -> if(s.lo < s.hi, if(__cuts[cast((s.lo + s.hi) / 2 as int)] < `{column}`, named_struct('lo', cast((s.lo + s.hi) / 2 as int) + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', cast((s.lo + s.hi) / 2 as int))), s), s -> s.lo)")
+    ranged = counts.join(F.broadcast(cuts), "__pair").withColumn("__range", place).drop("__cuts")
+    sums = ranged.groupBy("__pair", "__range").agg(F.sum("__k").alias("__s"))
+    before = sums.select("__pair", "__range", F.coalesce(F.sum("__s").over(W.partitionBy("__pair").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum("__k").over(W.partitionBy("__pair", "__range").orderBy(column).rowsBetween(W.unboundedPreceding, 0))
+    ranks = ranged.withColumn("__in", inside).join(before, ["__pair", "__range"]).select("__pair", column, (F.col("__before") + F.col("__in") - (F.col("__k") - 1) / 2).alias(name))
+    return df.join(ranks, ["__pair", column])
+
+
 def missing_report(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """column, n, missing, share for each column, by group."""
     agg = df.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"__{c}") for c in columns])
@@ -178,6 +208,22 @@ def missing_report(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
     return agg.select(*by, "n", F.inline(rows)).withColumn("share", F.col("missing") / F.col("n"))
 
 
+def missing_by_bucket(df: DataFrame, signal: str, columns: Sequence[str], n: int = 10, keys: Sequence[str] = ("qi",), id: str = "security", tie: str = "random") -> DataFrame:
+    """column, bucket, n, missing, share: a share that slopes over a signal's buckets says that dropping rows is biased.
+
+    Buckets are made within ``keys``, so that no task sorts the whole table; without keys over all rows.
+    """
+    placed = bucket(df.filter(F.col(signal).isNotNull()), signal, n, keys, id, tie, name="bucket", complete=True)
+    return missing_report(placed, columns, ["bucket"])
+
+
+def partial_periods(df: DataFrame, days: str = "days", stub: int = 20, short: int = 40) -> DataFrame:
+    """One row: median days behind a period's return, the shares under ``stub`` and ``short`` days, and the number of stubs."""
+    x = F.col(days)
+    under = lambda k: F.avg((x < k).cast("int"))
+    return df.filter(x.isNotNull()).agg(F.percentile(x, 0.5).alias("median_days"), under(stub).alias("under_stub"), under(short).alias("under_short"), F.count_if(x < stub).alias("stubs"))
+
+
 def bucket_balance(df: DataFrame, bucket: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct values, buckets, and the smallest and largest bucket's share of rows."""
     sizes = df.filter(F.col(bucket).isNotNull()).groupBy(*keys, bucket).agg(F.count("*").alias("k"))
@@ -226,15 +272,33 @@ def signal_profile(df: DataFrame, signals: Sequence[str], base: str) -> DataFram
     return long.groupBy("signal").agg((F.count("x") / F.count("*")).alias("defined"), F.count_distinct("x").alias("distinct_values"), (F.count_if(F.col("x") == 0) / F.count("*")).alias("zeros"), corr("x", base).alias("corr_base"))
 
 
-def data_check(df: DataFrame, entity: str, date: str, targets: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:
-    """One row: rows, entities, first and last date, duplicate keys, and for each target its null and negative shares, mean, sd and median."""
+def data_check(df: DataFrame, entity: str, date: str, targets: Sequence[str], keys: Sequence[str] | None = None, exact: bool = False) -> DataFrame:
+    """One row: rows, entities, first and last date, duplicate keys, and for each target its null and negative shares, mean, sd, p1, median and p99.
+
+    ``exact`` quantiles as in ``whole_quantile``.
+    """
     keys = list(keys or (entity, date))
     parts = [F.count("*").alias("rows"), F.count_distinct(entity).alias("entities"), F.min(date).alias("first"), F.max(date).alias("last"), (F.count("*") - F.count_distinct(*keys)).alias("duplicates")]
     for c in targets:
-        parts += [F.avg(F.col(c).isNull().cast("int")).alias(f"{c}_null"), F.avg((F.col(c) < 0).cast("int")).alias(f"{c}_negative"), F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"), F.percentile(c, 0.5).alias(f"{c}_median")]
+        parts += [F.avg(F.col(c).isNull().cast("int")).alias(f"{c}_null"), F.avg((F.col(c) < 0).cast("int")).alias(f"{c}_negative"), F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd")]
+        parts += [whole_quantile(c, q, exact).alias(f"{c}_{name}") for q, name in ((0.01, "p1"), (0.5, "median"), (0.99, "p99"))]
     return df.agg(*parts)
 
 
+def target_coverage(df: DataFrame, targets: Sequence[str], entity: str, period: Column, need: int, low: str, high: str) -> DataFrame:
+    """target, n, null_share, median and least number of entities a period, periods in [low, high) and those with twice ``need`` entities.
+
+    ``period`` is text that sorts by time. Rows without the target do not count: they are what can
+    make a cross-section too small to sort.
+    """
+    long = df.select(period.alias("__p"), entity, F.inline(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("x")) for t in targets])))
+    totals = long.groupBy("target").agg(F.count("x").alias("n"), F.avg(F.col("x").isNull().cast("int")).alias("null_share"))
+    per = long.filter("x is not null").groupBy("target", "__p").agg(F.count_distinct(entity).alias("k"))
+    inside = (F.col("__p") >= low) & (F.col("__p") < high)
+    months = per.groupBy("target").agg(F.percentile("k", 0.5).alias("median_names"), F.min("k").alias("least_names"), F.count_if(inside).alias("periods"), F.count_if(inside & (F.col("k") >= 2 * need)).alias("enough"))
+    return totals.join(months, "target", "left").na.fill(0, ["median_names", "least_names", "periods", "enough"])
+
+
 def coverage_by_month(df: DataFrame, date: str, need: int) -> DataFrame:
     """month, n and whether the cross-section has twice the rows that ``need`` buckets ask for."""
     month = F.date_format(date, "yyyy-MM").alias("month")
@@ -259,6 +323,14 @@ def leaderboard(table: DataFrame, by: str, metric: str, name: str, k: int | None
     return ranked.filter(F.col("place") <= k) if k else ranked
 
 
+def side_by_side(table: DataFrame, by: str, name: str, names: Sequence, metrics: Sequence[str]) -> DataFrame:
+    """One row a target, with each metric of each named configuration beside the others, and their difference from the first one's."""
+    wide = table.groupBy(by).pivot(name, list(names)).agg(*[F.first(m).alias(m) for m in metrics])
+    if len(metrics) == 1:
+        wide = wide.select(by, *[F.col(f"`{x}`").alias(f"{x}_{metrics[0]}") for x in names])
+    return wide.withColumns({f"{x}_{m}_diff": F.col(f"`{x}_{m}`") - F.col(f"`{names[0]}_{m}`") for x in names[1:] for m in metrics})
+
+
 def beats_naive(table: DataFrame, target: str, model: str, ic: str, is_model: str) -> DataFrame:
     """target, best model and best raw characteristic by |IC|, and whether the model wins."""
     best = lambda flag: F.max(F.when(F.col(is_model) == flag, F.struct(F.abs(ic).alias("v"), F.col(model).alias("m"))))

@@ -57,30 +57,30 @@ def transform_target(df: DataFrame, target: str, keys: Sequence[str], how: str =
     raise ValueError(how)
 
 
-def equal_bucket(rank: Column, count: Column, n: int) -> Column:
+def equal_bucket(rank: Column, count: Column, n: int | Column) -> Column:
     """Bucket 0 .. n - 1 of the ``rank``-th (from 1) of ``count`` distinct places; sizes differ by 1 at most. Not ntile."""
     # integer ceiling of (rank - 1) * n / (count - 1)
     up = F.floor(((rank - 1) * n + count - 2) / F.nullif(count - 1, F.lit(0)))
     return F.when(rank.isNotNull(), F.greatest(F.coalesce(up, F.lit(1)), F.lit(1)) - 1).cast("int")
 
 
-def bucket(df: DataFrame, column: str, n: int, keys: Sequence[str], id: str, tie: str = "random", seed: int = 0, name: str = "bucket") -> DataFrame:
+def bucket(df: DataFrame, column: str, n: int, keys: Sequence[str], id: str, tie: str = "random", seed: int = 0, name: str = "bucket", complete: bool = False) -> DataFrame:
     """Adds equal-frequency buckets within the period; null values get none.
 
     Ties: 'random' orders equal values by md5 of seed and id, 'first' by id, and 'average' cuts tied
     average ranks at their percentiles, distinct edges only, so that equal values share a bucket.
+    ``complete`` says that there are no nulls; then rows of a period need no second shuffle.
     """
-    good = F.col(column).isNotNull()
+    good = F.lit(True) if complete else F.col(column).isNotNull()
+    group = list(keys) if complete else [*keys, good]
     if tie == "average":
-        ranked = average_rank(df.filter(good), column, keys, "__r")
-        edges = F.array_distinct(F.percentile("__r", F.array(*[F.lit(i / n) for i in range(n + 1)])))
-        cut = _joined(ranked, keys, edges.alias("__e"))
+        ranked = df.withColumn("__r", F.rank().over(W.partitionBy(*group).orderBy(column)) + (F.count("*").over(W.partitionBy(*group, column)) - 1) / 2)
+        edges = F.array_distinct(F.percentile("__r", F.array(*[F.lit(i / n) for i in range(n + 1)])).over(W.partitionBy(*group)))
         inner = F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0)))
-        cut = cut.withColumn(name, F.size(F.filter(inner, lambda e: F.col("__r") > e)).cast("int"))
-        return cut.drop("__r", "__e").unionByName(df.filter(~good).withColumn(name, F.lit(None).cast("int")))
+        number = F.size(F.filter(inner, lambda e: F.col("__r") > e)).cast("int")
+        return ranked.withColumn("__e", edges).withColumn(name, F.when(good, number)).drop("__r", "__e")
     second = [F.md5(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string"))), F.col(id)] if tie == "random" else [F.col(id)]
-    by = W.partitionBy(*keys, good).orderBy(column, *second)
-    r, m = F.row_number().over(by), F.count("*").over(W.partitionBy(*keys, good))
+    r, m = F.row_number().over(W.partitionBy(*group).orderBy(column, *second)), F.count("*").over(W.partitionBy(*group))
     return df.withColumn("__r", r).withColumn("__m", m).withColumn(name, F.when(good, equal_bucket(F.col("__r"), F.col("__m"), n))).drop("__r", "__m")
 
 
@@ -114,9 +114,10 @@ def decile_profile(df: DataFrame, score: str, value: str, keys: Sequence[str], i
     return placed.groupBy("decile").agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("count"))
 
 
-def quantile_legs(df: DataFrame, score: str, n: int, keys: Sequence[str]) -> DataFrame:
-    """Adds ``leg``: 'long' above the top 1/n quantile of the rank, 'short' below the bottom one, else null."""
-    ranked = average_rank(df.filter(F.col(score).isNotNull()), score, keys, "__r").withColumn("__n", F.count("*").over(W.partitionBy(*keys)))
+def quantile_legs(df: DataFrame, score: str, n: int, keys: Sequence[str], id: str) -> DataFrame:
+    """Adds ``leg``: 'long' from the 1 - 1/n quantile of the rank up, 'short' up to the 1/n quantile, else null; ties are ranked by id."""
+    by = W.partitionBy(*keys)
+    ranked = df.filter(F.col(score).isNotNull()).withColumn("__r", F.row_number().over(by.orderBy(score, id))).withColumn("__n", F.count("*").over(by))
     high, low = 1 + (F.col("__n") - 1) * (1 - 1 / n), 1 + (F.col("__n") - 1) * (1 / n)
     return ranked.withColumn("leg", F.when(F.col("__r") >= high, "long").when(F.col("__r") <= low, "short")).drop("__r", "__n")
 

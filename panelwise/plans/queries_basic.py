@@ -272,9 +272,9 @@ def _(p):
 
 @query("w1_lag_block", """
     with a as (select security, qi, """ + ", ".join(f"max(ret) over (partition by security order by qi range between {k} preceding and {k} preceding) as ret_lag{k}" for k in (1, 2, 3, 4)) + """ from {stocks})
-    select *, round((coalesce(ret_lag1, 0) + coalesce(ret_lag2, 0) + coalesce(ret_lag3, 0) + coalesce(ret_lag4, 0)) / nullif((ret_lag1 is not null)::int + (ret_lag2 is not null)::int + (ret_lag3 is not null)::int + (ret_lag4 is not null)::int, 0), 8) as ret_ma, round(ret_lag1 - ret_lag4, 8) as ret_chg from a""")
+    select *, (coalesce(ret_lag1, 0) + coalesce(ret_lag2, 0) + coalesce(ret_lag3, 0) + coalesce(ret_lag4, 0)) / nullif((ret_lag1 is not null)::int + (ret_lag2 is not null)::int + (ret_lag3 is not null)::int + (ret_lag4 is not null)::int, 0) as ret_ma, ret_lag1 - ret_lag2 as ret_chg from a""")
 def _(p):
-    return rounded(lags.lag_block(p["stocks"].select("security", "qi", "ret"), ["security"], ["ret"]).drop("ret"), 8, "ret_ma", "ret_chg")
+    return lags.lag_block(p["stocks"].select("security", "qi", "ret"), ["security"], ["ret"]).drop("ret")
 
 
 @query("w2_observed_lag", "select fund, security, qi, coalesce(lag(shares) over (partition by fund, security order by qi), shares) as shares_obs1 from {holdings}")
@@ -308,10 +308,10 @@ def _(p):
 
 
 @query("w7_past_rates", """
-    with a as (select fund, qi, security, case when shares > 25 then 1 else 0 end as big from {holdings}) select fund, security, qi, round(avg(big) over (partition by fund order by qi range between unbounded preceding and 1 preceding), 6) as big_rate from a""")
+    with a as (select fund, qi, security, case when shares > 25 then 1 else 0 end as big from {holdings}) select fund, security, qi, count(big) over w as big_n, cast(sum(big) over w as double) / nullif(count(big) over w, 0) as big_rate from a window w as (partition by fund order by qi range between unbounded preceding and 1 preceding)""")
 def _(p):
     h = p["holdings"].select("fund", "security", "qi", (F.col("shares") > 25).cast("int").alias("big"))
-    return rounded(lags.past_rates(h, ["fund"], ["big"]).drop("big"))
+    return lags.past_rates(h, ["fund"], ["big"]).drop("big")
 
 
 @query("w12_winsorize", """
@@ -400,10 +400,10 @@ def _(p):
 
 
 @query("t5_quantile_legs", """
-    with a as (select security, qi, rank() over (partition by qi order by ret) + (count(*) over (partition by qi, ret) - 1) / 2 as r, count(*) over (partition by qi) as n from {stocks})
+    with a as (select security, qi, row_number() over (partition by qi order by ret, security) as r, count(*) over (partition by qi) as n from {stocks})
     select security, qi, case when r >= 1 + (n - 1) * (1 - 1 / 10) then 'long' when r <= 1 + (n - 1) * (1 / 10) then 'short' end as leg from a""")
 def _(p):
-    return xsec.quantile_legs(p["stocks"], "ret", 10, ["qi"]).select("security", "qi", "leg")
+    return xsec.quantile_legs(p["stocks"], "ret", 10, ["qi"], "security").select("security", "qi", "leg")
 
 
 @query("t6_size_groups", """

@@ -9,10 +9,11 @@ from ..functions import arrays as X
 from ..functions import columns as C
 from ..operators import arrays as A
 from ..operators import backtest as B
-from ..operators import folds, joins, model, regime, rolling, sorts, stats
+from ..operators import clean, folds, joins, lags, model, regime, rolling, sorts, stats
 from ..operators import holdings as H
 from ..sources import io
 from ..streaming import incremental
+from .queries_signals import perf, perf_sql
 from .registry import query, rounded
 
 _N = "with d as (select day, cast(row_number() over (order by day) - 1 as int) as date_no from (select distinct day from {daily})), x as (select security, day, ret, turnover, market_cap, date_no from {daily} join d using (day))"
@@ -38,16 +39,21 @@ def _(p):
     return rounded(rolling.forward_return(p.numbered, ["security"], "ret", 5).select("security", "date_no", "fwd_5"), 8)
 
 
-@query("w14_ewm")
+@query("w14_ewm", """
+    with recursive m as (select day, level, row_number() over (order by day) as k from {market}),
+      r as (select k, day, level, level as mean, 0.0::double as var, 1.0::double as sq from m where k = 1 union all
+        select m.k, m.day, m.level, r.mean + 2 / 11 * (m.level - r.mean), (1 - 2 / 11) * (r.var + 2 / 11 * (m.level - r.mean) * (m.level - r.mean)), (1 - 2 / 11) * (1 - 2 / 11) * r.sq + 2 / 11 * (2 / 11) from r join m on m.k = r.k + 1),
+      e as (select day, level, mean, case when k = 1 then 0 else sqrt(var / (1 - sq)) end + 1e-10 as std from r)
+    select day, round(level, 4) as level, round(mean, 4) as level_ewm, round(std, 4) as level_ewmstd, round(greatest(least(mean / std, 5), -5), 6) as mom_ratio from e""")
 def _(p):
     series = p["market"].withColumn("k", F.lit("m"))
-    out = rolling.ewm(series, ["k"], "level", 10, "day")
-    return rounded(rolling.momentum_ratio(out, "level_ewm", "level_ewmstd", "level").drop("k"))
+    out = rolling.momentum_ratio(rolling.ewm(series, ["k"], "level", 10, "day"), "level_ewm", "level_ewmstd").drop("k")
+    return rounded(rounded(out, 4, "level", "level_ewm", "level_ewmstd"), 6, "mom_ratio")
 
 
 @query("w15_rolling", """
-    with a as (select day, level, count(level) over w as n, avg(level) over w as m, stddev_samp(level) over w as s, max(level) over w as x from {market} window w as (order by day rows between 4 preceding and current row))
-    select day, round(case when n = 5 then m end, 4) as mean, round(case when n = 5 then s end, 4) as std, round(case when n = 5 then x end, 4) as max, round(case when n = 5 then (level - (m - 2 * s)) / nullif(4 * s, 0) end, 6) as pctb, round(case when n = 5 then level / x - 1 end, 6) as dd from a""")
+    with a as (select day, level, avg(level) over w as m, coalesce(stddev_samp(level) over w, 0) as s, max(level) over w as x from {market} window w as (order by day rows between 4 preceding and current row))
+    select day, round(m, 4) as mean, round(s, 4) as std, round(x, 4) as max, round(greatest(least((level - (m - 2 * s)) / case when s = 0 then 1e-10 else 4 * s end, 1), 0), 6) as pctb, round((level - x) / case when x = 0 then 1e-10 else x end, 6) as dd from a""")
 def _(p):
     r = rolling.rolling(p["market"].withColumn("k", F.lit(1)), ["k"], "level", 5, "day")
     out = r.select("day", F.col("level_mean5").alias("mean"), F.col("level_std5").alias("std"), F.col("level_max5").alias("max"), F.col("level_pctb5").alias("pctb"), F.col("level_dd5").alias("dd"))
@@ -81,12 +87,15 @@ def _(p):
     return B.selections(_scores(p), 3, 1, 5)
 
 
-@query("e21_strategy_path", _SEL + """, h as (select e.*, start_no + i as date_no from e, range(3) q(i)), v as (select h.*, s.ret from h join (select distinct date_no from s) c using (date_no) left join s on s.security = h.security and s.date_no = h.date_no)
-    select cast(date_no as int) as date_no, round(avg(case when leg = 'top' then ret end), 8) as top, round(avg(case when leg = 'bottom' then ret end), 8) as bottom, round(avg(case when leg = 'top' then ret end) - avg(case when leg = 'bottom' then ret end), 8) as spread, count(case when leg = 'top' then 1 end) as n_top, count(case when leg = 'bottom' then 1 end) as n_bottom from v group by date_no
-      having avg(case when leg = 'top' then (ret is not null)::int end) >= 0.6 and avg(case when leg = 'bottom' then (ret is not null)::int end) >= 0.6""")
+_PATH = """h as (select e.*, start_no + i as date_no from e, range(3) q(i)), v as (select h.*, s.ret from h join (select distinct date_no from s) c using (date_no) left join s on s.security = h.security and s.date_no = h.date_no),
+    path as (select cast(date_no as int) as date_no, avg(case when leg = 'top' then ret end) as top, avg(case when leg = 'bottom' then ret end) as bottom, avg(case when leg = 'top' then ret end) - avg(case when leg = 'bottom' then ret end) as spread, count(case when leg = 'top' then 1 end) as n_top, count(case when leg = 'bottom' then 1 end) as n_bottom,
+      avg(case when leg = 'top' then (ret is not null)::int end) as cover_top, avg(case when leg = 'bottom' then (ret is not null)::int end) as cover_bottom from v group by date_no having cover_top >= 0.6 and cover_bottom >= 0.6)"""
+
+
+@query("e21_strategy_path", _SEL + ", " + _PATH + " select date_no, round(top, 12) as top, round(bottom, 12) as bottom, round(spread, 12) as spread, n_top, n_bottom, round(cover_top, 12) as cover_top, round(cover_bottom, 12) as cover_bottom from path")
 def _(p):
     s = _scores(p)
-    return rounded(B.strategy_path(s, s.select("date_no", "security", "ret"), 3, 1, 5, min_share=0.6), 8)
+    return rounded(B.strategy_path(s, s.select("date_no", "security", "ret"), 3, 1, 5, min_share=0.6), 12)
 
 
 @query("e21_block_returns", _SEL + """, h as (select e.*, start_no + i as date_no from e, range(3) q(i)), v as (select h.*, s.ret from h join (select distinct date_no from s) c using (date_no) left join s on s.security = h.security and s.date_no = h.date_no),
@@ -96,10 +105,14 @@ def _(p):
     return rounded(B.block_returns(s, s.select("date_no", "security", "ret"), 3, 1, 5), 8)
 
 
-@query("e22_summarize_strategy")
+@query("e22_summarize_strategy", _SEL + ", " + _PATH + """, legs as (select date_no, unnest([{'leg': 'top', 'ret': top, 'cover': cover_top}, {'leg': 'bottom', 'ret': bottom, 'cover': cover_bottom}, {'leg': 'spread', 'ret': spread, 'cover': least(cover_top, cover_bottom)}], recursive := true) from path),
+    c as (select leg, avg(cover) as coverage from legs group by leg), nm as (select leg, signal_no, list(security) as names, count(*) as k from e group by leg, signal_no), lg as (select *, lag(names) over (partition by leg order by signal_no) as b from nm),
+    tn as (select leg, signal_no, case when b is not null then 1 - len(list_intersect(names, b)) / k end as t from lg), t3 as (select leg, signal_no, t from tn union all select 'spread', signal_no, (max(case when leg = 'top' then t end) + max(case when leg = 'bottom' then t end)) / 2 from tn group by signal_no),
+    tt as (select leg, count(*) as rebalances, avg(t) as turnover, sum(t) as total from t3 group by leg), yr as (select greatest((max(date_no) - min(date_no)) / 252, 1 / 252) as years from path), pf as (with """ + perf_sql("legs", "leg", 252.0, "date_no", 2, 2) + ") select pf.*, round(coverage, 6) as coverage, rebalances, round(turnover, 6) as turnover, round(total / years, 4) as ann_turnover from pf join c using (leg) join tt using (leg), yr")
 def _(p):
     s = _scores(p)
-    return rounded(B.summarize_strategy(B.strategy_path(s, s.select("date_no", "security", "ret"), 3, 1, 5, min_share=0.6)))
+    out = B.summarize_strategy(B.strategy_path(s, s.select("date_no", "security", "ret"), 3, 1, 5, min_share=0.6), B.selections(s, 3, 1, 5), lags=2)
+    return rounded(rounded(perf(out), 6, "coverage", "turnover"), 4, "ann_turnover")
 
 
 @query("a26_name_turnover", _SEL + """, h as (select leg, signal_no, list(security) as names, count(*) as k from e group by leg, signal_no), l as (select *, lag(names) over (partition by leg order by signal_no) as b from h)
@@ -115,15 +128,24 @@ def _(p):
     return rounded(H.selection_profile(e, ["ret", "market_cap"], date="date_no"), 8)
 
 
-@query("e23_build_portfolio")
+def _portfolio_sql(source: str, keys: str, order: str, n: int, score: str, weight: str = "1.0", cost: float = 0.0) -> str:
+    """CTEs that end in pf: the quantile portfolio of a relation with columns security, y and the score."""
+    over, group = f"partition by {keys}", keys.replace(f", {order}", "").replace(order, "")
+    legs = f"{group}, leg" if group else "leg"
+    return f"""pa as (select *, row_number() over ({over} order by {score}, security) as r, count(*) over ({over}) as m from {source} where y is not null and {score} is not null),
+      pl as (select *, {weight} as w, case when r >= 1 + (m - 1) * (1 - 1 / {n}) then 'long' when r <= 1 + (m - 1) * (1 / {n}) then 'short' end as leg from pa where m >= 2 * {n}),
+      pg as (select {keys}, leg, coalesce(sum(w * y) / nullif(sum(w), 0), avg(y)) as ret, list(distinct security) as ids, any_value(m) as m from pl where leg is not null group by {keys}, leg),
+      pt as (select *, lag(ids) over (partition by {legs} order by {order}) as b from pg), pu as (select {keys}, leg, ret, m, case when b is null then 1 else 1 - len(list_intersect(ids, b)) / len(ids) end as fresh from pt),
+      pf as (select {keys}, max(case when leg = 'long' then ret end) as long, max(case when leg = 'short' then ret end) as short, avg(fresh) as turnover, any_value(m) as n, max(case when leg = 'long' then ret end) - max(case when leg = 'short' then ret end) as gross,
+        max(case when leg = 'long' then ret end) - max(case when leg = 'short' then ret end) - avg(fresh) * {2 * cost} as net from pu group by {keys})"""
+
+
+@query("e23_build_portfolio", "with src as (select security, qi, trades, fwd_1q as y, market_cap from {sql_panel}), " + _portfolio_sql("src", "qi", "qi", 10, "trades", "greatest(coalesce(market_cap, 0), 0)", 0.001) + " select qi, round(long, 8) as long, round(short, 8) as short, round(gross, 8) as gross, round(turnover, 8) as turnover, round(net, 8) as net, n from pf")
 def _(p):
-    return rounded(B.build_portfolio(p.panel.filter("trades is not null"), "trades", "fwd_1q", ["qi"], 10, tcost=0.001, cap="market_cap"))
+    return rounded(B.build_portfolio(p.panel, "trades", "fwd_1q", ["qi"], 10, tcost=0.001, cap="market_cap"), 8)
 
 
-@query("e23_gross_returns", """
-    with r as (select qi, fwd_1q as y, rank() over (partition by qi order by ret) + (count(*) over (partition by qi, ret) - 1) / 2 as r, count(*) over (partition by qi) as n from {sql_panel} where fwd_1q is not null and ret is not null),
-      l as (select *, case when r >= 1 + (n - 1) * (1 - 1 / 10) then 'long' when r <= 1 + (n - 1) * (1 / 10) then 'short' end as leg from r)
-    select qi, round(avg(case when leg = 'long' then y end), 8) as long, round(avg(case when leg = 'short' then y end), 8) as short, round(avg(case when leg = 'long' then y end) - avg(case when leg = 'short' then y end), 8) as gross from l where leg is not null group by qi""")
+@query("e23_gross_returns", "with src as (select security, qi, ret, fwd_1q as y from {sql_panel}), " + _portfolio_sql("src", "qi", "qi", 10, "ret") + " select qi, round(long, 8) as long, round(short, 8) as short, round(gross, 8) as gross from pf")
 def _(p):
     return rounded(B.build_portfolio(p.panel, "ret", "fwd_1q", ["qi"], 10).select("qi", "long", "short", "gross"), 8)
 
@@ -133,9 +155,10 @@ def _(p):
     return rounded(B.periods_per_year(p["market"], "day"))
 
 
-@query("e24_size_groups")
+@query("e24_size_groups", """with pts as (select qi, quantile_cont(market_cap, [0.2, 0.5, 0.8]) as q from {sql_panel} group by qi), sg as (select security, p.qi, ret, fwd_1q as y, case when market_cap <= q[1] then 'micro' when market_cap <= q[2] then 'small' when market_cap <= q[3] then 'mid' else 'large' end as g from {sql_panel} p join pts using (qi) where market_cap is not null),
+    src as (select security, qi, ret, y, g as "group" from sg union all select security, qi, ret, y, 'all' from sg union all select security, qi, ret, y, 'non_micro' from sg where g <> 'micro'), """ + _portfolio_sql("src", '"group", qi', "qi", 5, "ret") + """, fin as (select "group", qi, gross as ret from pf), """ + perf_sql("fin", '"group"'))
 def _(p):
-    return rounded(B.size_group_analysis(p.panel.filter("market_cap is not null"), "ret", "fwd_1q", "market_cap", ["qi"], ann=4.0))
+    return perf(B.size_group_analysis(p.panel.filter("market_cap is not null"), "ret", "fwd_1q", "market_cap", ["qi"], ann=4.0))
 
 
 @query("e25_beta_over_time", """
@@ -147,12 +170,14 @@ def _(p):
 
 
 @query("e26_period_diagnostics", """
-    with r as (select qi, trades, fwd_1q, rank() over (partition by qi order by trades) + (count(*) over (partition by qi, trades) - 1) / 2 as a, rank() over (partition by qi order by fwd_1q) + (count(*) over (partition by qi, fwd_1q) - 1) / 2 as b, count(*) over (partition by qi) as n from {sql_panel} where fwd_1q is not null)
-    select qi, count(*) as n, round(corr(a, b), 6) as rank_ic, round(avg(case when a / n >= 0.9 then fwd_1q end), 8) as high, round(avg(case when a / n <= 0.1 then fwd_1q end), 8) as low, round(avg(case when a / n >= 0.9 then (fwd_1q > 0)::int end), 6) as hit_high, round(avg(case when a / n <= 0.1 then (fwd_1q < 0)::int end), 6) as hit_low,
-      avg(case when a / n >= 0.9 then fwd_1q end) < avg(case when a / n <= 0.1 then fwd_1q end) as wrong_tail from r group by qi""")
+    with r as (select qi, trades, fwd_1q as y, rank() over (partition by qi order by trades) + (count(*) over (partition by qi, trades) - 1) / 2 as a, rank() over (partition by qi order by fwd_1q) + (count(*) over (partition by qi, fwd_1q) - 1) / 2 as b,
+        row_number() over (partition by qi order by trades desc, security) as t, row_number() over (partition by qi order by trades, security) as l, greatest(1, ceil(0.1 * count(*) over (partition by qi))) as k from {sql_panel} where fwd_1q is not null and trades is not null)
+    select qi, count(*) as n, round(avg(trades), 6) as score_mean, round(stddev_samp(trades), 6) as score_sd, round(corr(a, b), 6) as rank_ic, round(corr(trades, y), 6) as pearson_ic, round(avg(case when t <= k then y end), 8) as high, round(avg(case when l <= k then y end), 8) as low,
+      round(avg(case when t <= k then y end) - avg(case when l <= k then y end), 8) as long_short, round(avg(case when t <= k then (y > 0)::int end), 6) as hit_high, round(avg(case when l <= k then (y < 0)::int end), 6) as hit_low, avg(case when t <= k then y end) < avg(case when l <= k then y end) as wrong_tail
+    from r group by qi having count(*) >= 20 and stddev_samp(trades) >= 1e-12""")
 def _(p):
     out = regime.period_diagnostics(p.panel, "trades", "fwd_1q", "qi")
-    return rounded(rounded(out, 6, "rank_ic", "hit_high", "hit_low"), 8, "high", "low")
+    return rounded(rounded(out, 6, "score_mean", "score_sd", "rank_ic", "pearson_ic", "hit_high", "hit_low"), 8, "high", "low", "long_short")
 
 
 _GATED = """with m as (select day, level, round(level / lag(level) over (order by day) - 1, 9) as ret from {market}), g as (select day, ret, level, case when level < 140000 then 'low' when level > 152000 then 'high' else 'mid' end as regime from m where ret is not null)"""
@@ -168,15 +193,26 @@ def _(p):
     return _gated(p).select("day", "regime", "active", "ret_gated")
 
 
-@query("e27_summarize_gate", _GATED + """, x as (select ret, regime in ('low', 'high') as active, case when regime in ('low', 'high') then ret else 0 end as r2 from g)
-    select count(*) as n, round(avg(active::int), 6) as active_share, round(avg(ret) / stddev_samp(ret) * sqrt(252), 4) as sharpe_raw, round(avg(r2) / stddev_samp(r2) * sqrt(252), 4) as sharpe_gated, round(pow(exp(sum(ln(1 + ret))), 252 / count(*)) - 1, 4) as cagr_raw, round(pow(exp(sum(ln(1 + r2))), 252 / count(*)) - 1, 4) as cagr_gated from x""")
+_GATE_PARTS = """round(avg({r}) / stddev_samp({r}) * sqrt(252), 4) as {r}_sharpe_raw, round(avg({r}2) / stddev_samp({r}2) * sqrt(252), 4) as {r}_sharpe_gated, round(pow(exp(sum(ln(1 + {r}))), 252 / count(*)) - 1, 4) as {r}_cagr_raw, round(pow(exp(sum(ln(1 + {r}2))), 252 / count(*)) - 1, 4) as {r}_cagr_gated,
+      round(avg(case when active then {r} end), 6) as {r}_active, round(avg(case when not active then {r} end), 6) as {r}_inactive"""
+
+
+@query("e27_summarize_gate", _GATED + """, x as (select ret, ret / 2 as long_only, regime in ('low', 'high') as active, case when regime in ('low', 'high') then ret else 0 end as ret2, case when regime in ('low', 'high') then ret / 2 else 0 end as long_only2, level from g)
+    select count(*) as n, count(case when active then 1 end) as active_periods, count(case when not active then 1 end) as inactive_periods, round(avg(active::int), 6) as active_share, """ + ", ".join(_GATE_PARTS.format(r=r) for r in ("ret", "long_only")) + ", round(avg(case when active then level end), 4) as level_active, round(avg(case when not active then level end), 4) as level_inactive from x")
 def _(p):
-    return rounded(rounded(regime.summarize_gate(_gated(p), "ret", 252.0), 4, "sharpe_raw", "sharpe_gated", "cagr_raw", "cagr_gated"), 6, "active_share")
+    g = _gated(p).withColumn("long_only", F.col("ret") / 2).withColumn("long_only_gated", F.when(F.col("active"), F.col("long_only")).otherwise(0.0))
+    out = regime.summarize_gate(g, ["ret", "long_only"], 252.0, "level")
+    fine = [c for c in out.columns if c.endswith(("active_share", "ret_active", "ret_inactive", "only_active", "only_inactive"))]
+    return rounded(rounded(out, 6, *fine), 4, *[c for c, t in out.dtypes if t == "double" and c not in fine])
 
 
-@query("e37_long_only")
+@query("e37_long_only", """
+    with sc as (select * from {sql_panel} where trades is not null), sz as (select qi, count(*) as n from sc group by qi), lo as (select greatest(15, floor(quantile_cont(n, 0.5) / 2)) as least from sz),
+      gd as (select qi, trades, fwd_1q, ret, (rank() over (partition by qi order by trades) + (count(*) over (partition by qi, trades) - 1) / 2) / count(*) over (partition by qi) as p from sc where fwd_1q is not null and ret is not null),
+      mn as (select qi, count(*) as n, stddev_samp(trades) as sd, avg(case when p >= 0.9 then fwd_1q end) as f, avg(case when p >= 0.9 then ret end) as r from gd group by qi),
+      src as (select qi, 'fwd_1q' as series, f as ret from mn, lo where n >= least and sd >= 1e-12 union all select qi, 'ret', r from mn, lo where n >= least and sd >= 1e-12), """ + perf_sql("src", "series"))
 def _(p):
-    return rounded(sorts.long_only(p.panel, "trades", ["fwd_1q", "ret"], ["qi"], "security", ann=4.0, period="qi"))
+    return perf(sorts.long_only(p.panel, "trades", ["fwd_1q", "ret"], ["qi"], ann=4.0, period="qi"))
 
 
 def _surface(p):
@@ -204,25 +240,35 @@ _GRID = "with e as (select vec_id, (i - 1) // 8 as r, (i - 1) % 8 as c, embeddin
 
 @query("g3_roughness", _GRID + """, n as (select a.vec_id, a.r, a.c, a.x, u.x as up, d.x as dn, l.x as lf, g.x as rt from e a left join e u on u.vec_id = a.vec_id and u.r = a.r - 1 and u.c = a.c left join e d on d.vec_id = a.vec_id and d.r = a.r + 1 and d.c = a.c
       left join e l on l.vec_id = a.vec_id and l.r = a.r and l.c = a.c - 1 left join e g on g.vec_id = a.vec_id and g.r = a.r and g.c = a.c + 1)
-    select vec_id, round(avg(abs(up + dn + lf + rt - 4 * x)), 6) as laplacian, round((avg(abs(rt - x)) + avg(abs(dn - x))) / 2, 6) as variation, round(avg(abs(up + dn - 2 * x)), 6) as calendar from n group by vec_id""")
+    select vec_id, round(sqrt(avg((up + dn + lf + rt - 4 * x) * (up + dn + lf + rt - 4 * x))), 6) as laplacian, round(avg(abs(rt - x)) + avg(abs(dn - x)), 6) as variation, round(sqrt(avg((up + dn - 2 * x) * (up + dn - 2 * x))), 6) as calendar from n group by vec_id""")
 def _(p):
     return rounded(_surface(p).select("vec_id", X.surface_roughness(F.col("a"), 8, 8).alias("s")).select("vec_id", "s.*"))
 
 
-_MEDIANS = _GRID + """, m as (select a.vec_id, a.r, a.c, any_value(a.x) as x, quantile_cont(b.x, 0.5) as m from e a join e b on b.vec_id = a.vec_id and abs(b.r - a.r) <= 1 and abs(b.c - a.c) <= 1 group by a.vec_id, a.r, a.c), s as (select vec_id, quantile_cont(abs(x - m), 0.5) * 1.4826 as s from m group by vec_id)"""
+@query("g3_strike_order", """with e as (select vec_id, (i - 1) // 8 as r, 7 - (i - 1) % 8 as c, embedding[i]::double as x from {embeddings}, range(1, 65) t(i)),
+    n as (select a.vec_id, a.x, u.x as up, d.x as dn, l.x as lf, g.x as rt from e a left join e u on u.vec_id = a.vec_id and u.r = a.r - 1 and u.c = a.c left join e d on d.vec_id = a.vec_id and d.r = a.r + 1 and d.c = a.c left join e l on l.vec_id = a.vec_id and l.r = a.r and l.c = a.c - 1 left join e g on g.vec_id = a.vec_id and g.r = a.r and g.c = a.c + 1)
+    select vec_id, round(sqrt(avg((up + dn + lf + rt - 4 * x) * (up + dn + lf + rt - 4 * x))), 6) as laplacian, round(avg(abs(rt - x)) + avg(abs(dn - x)), 6) as variation from n group by vec_id""")
+def _(p):
+    return rounded(_surface(p).select("vec_id", X.surface_roughness(F.col("a"), 8, 8, list(range(7, -1, -1))).alias("s")).select("vec_id", "s.laplacian", "s.variation"))
+
+
+#: The 3 x 3 surroundings, where a place beyond the border is the nearest cell once more.
+_NEAR = _GRID + """, o as (select i - 1 as dr, j - 1 as dc, case when i = 1 then 2 else 1 end * case when j = 1 then 2 else 1 end as k from range(3) a(i), range(3) b(j)),
+      nb as (select a.vec_id, a.r, a.c, a.x, b.x as y, o.k from e a cross join o join e b on b.vec_id = a.vec_id and b.r = greatest(least(a.r + o.dr, 7), 0) and b.c = greatest(least(a.c + o.dc, 7), 0))"""
+_MEDIANS = _NEAR + """, m as (select vec_id, r, c, any_value(x) as x, quantile_cont(y, 0.5) as m from nb group by vec_id, r, c), md as (select vec_id, quantile_cont(x, 0.5) as md from e group by vec_id), s as (select vec_id, (quantile_cont(abs(x - md), 0.5) + 1e-6) * 1.4826 as s from e join md using (vec_id) group by vec_id)"""
 
 
-@query("g4_spike", _MEDIANS + " select vec_id, cast(count(case when s > 0 and abs(x - m) > 3 * s then 1 end) as int) as spikes, round(max(abs(x - m)) / nullif(any_value(s), 0), 6) as worst from m join s using (vec_id) group by vec_id")
+@query("g4_spike", _MEDIANS + " select vec_id, cast(count(case when abs(x - m) / s > 2 then 1 end) as int) as spikes, round(max(abs(x - m) / s), 6) as worst from m join s using (vec_id) group by vec_id")
 def _(p):
-    return rounded(_surface(p).select("vec_id", X.surface_spike(F.col("a"), 8, 8).alias("s")).select("vec_id", "s.*"))
+    return rounded(_surface(p).select("vec_id", X.surface_spike(F.col("a"), 8, 8, 2.0).alias("s")).select("vec_id", "s.*"))
 
 
-@query("g7_spike_repair", _MEDIANS + " select vec_id, round(sum(case when s > 0 and abs(x - m) > 3 * s then m else x end), 6) as total from m join s using (vec_id) group by vec_id")
+@query("g7_spike_repair", _MEDIANS + " select vec_id, round(sum(case when abs(x - m) > 2 * s then m else x end), 6) as total from m join s using (vec_id) group by vec_id")
 def _(p):
-    return rounded(_surface(p).select("vec_id", X.array_sum(X.spike_repair(F.col("a"), 8, 8)).alias("total")))
+    return rounded(_surface(p).select("vec_id", X.array_sum(X.spike_repair(F.col("a"), 8, 8, 2.0)).alias("total")))
 
 
-@query("g7_smooth", _GRID + """, k as (select a.vec_id, a.r, a.c, sum(b.x * (case when a.r = b.r then 2 else 1 end) * (case when a.c = b.c then 2 else 1 end)) / sum((case when a.r = b.r then 2 else 1 end) * (case when a.c = b.c then 2 else 1 end)) as g, avg(b.x) as box from e a join e b on b.vec_id = a.vec_id and abs(b.r - a.r) <= 1 and abs(b.c - a.c) <= 1 group by a.vec_id, a.r, a.c)
+@query("g7_smooth", _NEAR + """, k as (select vec_id, r, c, sum(k * y) / 16 as g, any_value(x) / 2 + avg(y) / 2 as box from nb group by vec_id, r, c)
     select vec_id, round(sum(abs(g)), 6) as gaussian, round(sum(abs(box)), 6) as box from k group by vec_id""")
 def _(p):
     total = lambda a: X.array_sum(F.transform(a, lambda x: F.abs(x)))
@@ -233,15 +279,20 @@ def _metrics(p):
     return _surface(p).select("vec_id", "label", X.surface_roughness(F.col("a"), 8, 8).alias("r"), X.surface_stats(F.col("a")).alias("s")).select("vec_id", "label", "r.laplacian", "r.variation", "s.dispersion")
 
 
-@query("g5_quality_score")
+_METRICS = _GRID + """, n as (select a.vec_id, a.x, u.x as up, d.x as dn, l.x as lf, g.x as rt from e a left join e u on u.vec_id = a.vec_id and u.r = a.r - 1 and u.c = a.c left join e d on d.vec_id = a.vec_id and d.r = a.r + 1 and d.c = a.c left join e l on l.vec_id = a.vec_id and l.r = a.r and l.c = a.c - 1 left join e g on g.vec_id = a.vec_id and g.r = a.r and g.c = a.c + 1),
+    k as (select vec_id, round(sqrt(avg((up + dn + lf + rt - 4 * x) * (up + dn + lf + rt - 4 * x))), 9) as laplacian, round(avg(abs(rt - x)) + avg(abs(dn - x)), 9) as variation from n group by vec_id), mt as (select k.*, label from k join {embeddings} using (vec_id))"""
+
+
+@query("g5_quality_score", _METRICS + """, md as (select quantile_cont(laplacian, 0.5) as ml, quantile_cont(variation, 0.5) as mv from mt where label < 5), sc as (select quantile_cont(abs(laplacian - ml), 0.5) * 1.4826 as sl, quantile_cont(abs(variation - mv), 0.5) * 1.4826 as sv from mt, md where label < 5),
+    z as (select vec_id, label, (greatest((laplacian - ml) / sl, 0) + greatest((variation - mv) / sv, 0)) / 2 as noise from mt, md, sc), ct as (select quantile_cont(noise, 0.95) as cut from z where label < 5) select vec_id, round(noise, 5) as noise, noise > cut as noisy from z, ct""")
 def _(p):
-    m, names = _metrics(p), ["laplacian", "variation"]
-    return rounded(A.score_quality(m, A.fit_quality(m.filter("label < 5"), names), names).select("vec_id", "noise", "noisy"))
+    m, names = rounded(_metrics(p), 9, "laplacian", "variation"), ["laplacian", "variation"]
+    return rounded(A.score_quality(m, A.fit_quality(m.filter("label < 5"), names, exact=True), names).select("vec_id", "noise", "noisy"), 5)
 
 
-@query("g6_drop_noisy")
+@query("g6_drop_noisy", _METRICS + """, ct as (select quantile_cont(laplacian, 0.9) as l, quantile_cont(variation, 0.9) as v from mt where label < 5) select label, count(*) as n from mt, ct where label < 5 and laplacian <= l and variation <= v group by label""")
 def _(p):
-    return A.drop_noisy(_metrics(p).filter("label < 5"), ["laplacian", "variation"], 0.9).groupBy("label").agg(F.count("*").alias("n"))
+    return A.drop_noisy(rounded(_metrics(p), 9, "laplacian", "variation").filter("label < 5"), ["laplacian", "variation"], 0.9, exact=True).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("g8_cell_winsor", _S + ", q as (select i, quantile_cont(x, 0.05) as lo, quantile_cont(x, 0.95) as hi from e where label < 5 group by i) select vec_id, round(sum(greatest(least(x, hi), lo)), 6) as total from e join q using (i) group by vec_id")
@@ -263,14 +314,16 @@ def _(p):
     return rounded(A.impute_cells(s, "a", "label").select("vec_id", X.array_sum(F.col("a")).alias("total")))
 
 
-@query("g11_image_metrics", _GRID + """, b as (select vec_id, r, c, (x > 0.1)::int as w from e), cols as (select vec_id, c, sum(case when r < 6 then w end) as s from b group by vec_id, c), k as (select vec_id, count(case when s = 0 then 1 end) as blank from cols group by vec_id)
-    select vec_id, round(avg(w), 6) as white, round(sum(case when r < 6 then w end) / 48, 6) as price_white, cast(any_value(blank) as int) as blank_columns, cast(coalesce(max(case when r < 6 and w = 1 then r end) - min(case when r < 6 and w = 1 then r end) + 1, 0) as int) as extent, round(sum(case when r < 3 then w end) / nullif(sum(case when r < 6 then w end), 0), 6) as balance from b join k using (vec_id) group by vec_id""")
+@query("g11_image_metrics", _GRID + """, b as (select vec_id, r, c, (x > 0.1)::int as w from e), k as (select vec_id, avg((s = 0)::int) as blank from (select vec_id, c, sum(case when r < 6 then w end) as s from b group by vec_id, c) group by vec_id), l as (select vec_id, avg((s > 0)::int) as extent from (select vec_id, r, sum(w) as s from b where r < 6 group by vec_id, r) group by vec_id)
+    select vec_id, round(avg(w), 6) as white, round(sum(case when r < 6 then w end) / 48, 6) as price_white, round(any_value(blank), 6) as blank_columns, round(any_value(extent), 6) as extent, round(sum(case when r >= 6 then w end) / (sum(case when r < 6 then w end) + 1e-9), 4) as balance from b join k using (vec_id) join l using (vec_id) group by vec_id""")
 def _(p):
     image = F.transform("a", lambda x: (x > 0.1).cast("int").cast("double"))
-    return rounded(_surface(p).select("vec_id", X.image_metrics(image, 8, 8, 6).alias("m")).select("vec_id", "m.*"))
+    out = _surface(p).select("vec_id", X.image_metrics(image, 8, 8, 6, 2).alias("m")).select("vec_id", "m.*")
+    return rounded(rounded(out, 4, "balance"), 6, "white", "price_white", "blank_columns", "extent")
 
 
-@query("g11_despeckle")
+@query("g11_despeckle", _GRID + """, b as (select vec_id, r, c, (x > 0.15)::int as w from e), n as (select a.vec_id, a.r, a.c, any_value(a.w) as w, sum(b.w) - any_value(a.w) as near from b a join b b on b.vec_id = a.vec_id and abs(b.r - a.r) <= 1 and abs(b.c - a.c) <= 1 group by a.vec_id, a.r, a.c)
+    select vec_id, cast(sum(case when near > 0 then w else 0 end) as int) as white from n group by vec_id""")
 def _(p):
     image = F.transform("a", lambda x: (x > 0.15).cast("int").cast("double"))
     return _surface(p).select("vec_id", X.array_sum(X.despeckle(image, 8, 8)).cast("int").alias("white"))
@@ -309,7 +362,12 @@ def _folds(p):
     return folds.quarter_folds(p.spark, lo, hi, 16, 6, 6)
 
 
-@query("m1_folds")
+@query("m1_folds", """
+    with b as (select min(qi) as lo, max(qi) as hi from {stocks}),
+      q as (select 'quarter' as kind, i as fold, lo + 6 * i as train_lo, lo + 6 * i + 9 as train_hi, 1 as valid_lo, 0 as valid_hi, lo + 6 * i + 10 as test_lo, lo + 6 * i + 15 as test_hi from b, range(1000) t(i) where lo + 6 * i + 15 <= hi),
+      m as (select 'month', i, 3 * lo + 12 * i, 3 * lo + 12 * i + 35, 3 * lo + 12 * i + 36, 3 * lo + 12 * i + 47, 3 * lo + 12 * i + 48, 3 * lo + 12 * i + 59 from b, range(1000) t(i) where 3 * lo + 12 * i + 59 <= 3 * hi),
+      p as (select 'period', i, lo + 4 * i, lo + 4 * i + 10, 1, 0, lo + 4 * i + 12, least(lo + 4 * i + 15, hi) from b, range(1000) t(i) where lo + 4 * i + 12 <= hi)
+    select kind, cast(fold as int) as fold, cast(train_lo as int) as train_lo, cast(train_hi as int) as train_hi, cast(valid_lo as int) as valid_lo, cast(valid_hi as int) as valid_hi, cast(test_lo as int) as test_lo, cast(test_hi as int) as test_hi from (select * from q union all select * from m union all select * from p) x""")
 def _(p):
     lo, hi = p["stocks"].agg(F.min("qi"), F.max("qi")).first()
     months = folds.month_folds(p.spark, lo * 3, hi * 3)
@@ -357,6 +415,22 @@ def _(p):
     return rounded(model.permutation_importance(fitted, x.filter("qi >= 7995").drop("__y"), ["trades", "tax", "frac_buy"], "fwd_1q"), 4)
 
 
+@query("m8_gain_importance")
+def _(p):
+    boosting = lambda: model.make_estimator("boosting", maxIter=5)
+    return rounded(model.gain_importance(_model_panel(p), _folds(p), ["trades", "tax", "frac_buy"], "fwd_1q", boosting), 6)
+
+
+@query("m3_estimators")
+def _(p):
+    x, out = _model_panel(p), None
+    for kind, options in (("ridge", {}), ("linear", {}), ("huber", {"maxIter": 20}), ("boosting", {"maxIter": 3}), ("forest", {"numTrees": 5})):
+        scored = model.walk_forward(x, _folds(p), ["trades", "tax"], "fwd_1q", lambda kind=kind, options=options: model.make_estimator(kind, **options))
+        part = stats.regression_metrics(scored, "fwd_1q", "y_pred").withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 4)
+
+
 @query("m9_ablate")
 def _(p):
     groups = {"flow": ["frac_buy", "net_buy"], "size": ["market_cap"]}
@@ -369,15 +443,25 @@ def _(p):
     return rounded(out.groupBy("model_bucket").agg(F.count("*").alias("n"), F.avg("y_pred").alias("mean")), 4)
 
 
-@query("s3_read_mapped", "select l_orderkey as orderkey, l_quantity as shares, cast(null as double) as market_cap from {lineitem} where l_linenumber = 1")
+@query("s3_read_mapped", "select l_orderkey as orderkey, l_linenumber as line, l_quantity as shares, cast(null as double) as market_cap from {lineitem}")
+def _(p):
+    return io.read_mapped(p["lineitem"], {"L_ORDERKEY": "orderkey", "L_LINENUMBER": "line", "l_quantity": "shares", "cap": "market_cap"}, ["orderkey"], {"market_cap": "double"})
+
+
+@query("s5_read_glob", "select l_returnflag, count(*) as n, 'lineitem.parquet' as source_file from {lineitem} group by l_returnflag")
+def _(p):
+    return io.read_glob(p.spark, f"{p.sf_dir}/lineitem.parquet").groupBy("l_returnflag", "source_file").agg(F.count("*").alias("n"))
+
+
+@query("p4_resolve", "select cast(l_orderkey as bigint) as k, l_quantity as x from {lineitem}")
 def _(p):
-    df = p["lineitem"].filter("l_linenumber = 1")
-    return io.read_mapped(df, {"L_ORDERKEY": "orderkey", "l_quantity": "shares", "cap": "market_cap"}, ["orderkey"], {"market_cap": "double"})
+    df = p["lineitem"]
+    return df.select(F.col(clean.resolve(df, "order_id", "L_OrderKey")).cast("long").alias("k"), F.col(clean.resolve(df, "shares", "L_QUANTITY", "quantity")).alias("x"))
 
 
-@query("s5_read_glob", "select n_regionkey, count(*) as n, 'nation.parquet' as source_file from {nation} group by n_regionkey")
+@query("w8_feasible", "select fund, security, qi, count(*) over (partition by fund, security order by qi range between 2 preceding and current row) = 3 as feasible from {dense}")
 def _(p):
-    return io.read_glob(p.spark, f"{p.sf_dir}/nation.parquet").groupBy("n_regionkey", "source_file").agg(F.count("*").alias("n"))
+    return lags.feasible(p["dense"].select("fund", "security", "qi"), ["fund", "security"], 3)
 
 
 @query("s7_check_coverage", "select count(*) as n, min(day) as first, max(day) as last from {market}")

@@ -9,19 +9,20 @@ from ..operators import lags, sorts, stats, xsec
 from .queries_basic import bucket_sql
 from .registry import query, rounded
 
-def nw_sql(source: str, keys: str, column: str, lags_: int = 0, period: str = "qi") -> str:
-    """A SELECT of keys, n, mean, t from a relation, with Bartlett weights."""
+def nw_sql(source: str, keys: str, column: str, lags_: int | tuple[str, int] = 0, period: str = "qi") -> str:
+    """A SELECT of keys, n, mean, t from a relation, with Bartlett weights; lags may be an expression, with its largest value."""
     by = f"partition by {keys}" if keys else ""
-    products = "".join(f", (x - m) * lag(x - m, {k}) over ({by} order by {period}) as p{k}" for k in range(1, lags_ + 1))
-    total = "sum(e * e)" + "".join(f" + 2 * {1 - k / (lags_ + 1)!r} * coalesce(sum(p{k}), 0)" for k in range(1, lags_ + 1))
+    lag_, most = lags_ if isinstance(lags_, tuple) else (str(lags_), lags_)
+    products = "".join(f", (x - m) * lag(x - m, {k}) over ({by} order by {period}) as p{k}" for k in range(1, most + 1))
+    total = "sum(e * e)" + "".join(f" + 2 * greatest(1 - {k} / (max(lg) + 1), 0) * coalesce(sum(p{k}), 0)" for k in range(1, most + 1))
     head = f"{keys}, " if keys else ""
     group = f" group by {keys}" if keys else ""
     return f"""select {head}count(*) as n, avg(x) as mean, case when count(*) >= 5 and ({total}) / count(*) / count(*) > 1e-18 then avg(x) / sqrt(({total}) / count(*) / count(*)) end as t
-      from (select *, x - m as e{products} from (select {head}{period}, {column} as x, avg({column}) over ({by}) as m from {source} where {column} is not null) a0) a1{group}"""
+      from (select *, x - m as e{products} from (select {head}{period}, {column} as x, {lag_} as lg, avg({column}) over ({by}) as m from {source} where {column} is not null) a0) a1{group}"""
 
 
 def spread_sql(panel: str, signal: str, ret: str, n: int = 5, keys: str = "", min_names: int = 20) -> str:
-    """A SELECT of the top-less-bottom spread by period."""
+    """A SELECT of the top-less-bottom spread by period: the mean of the last bucket less that of the first."""
     by = f"{keys}, qi" if keys else "qi"
     return f"""select {by}, avg(case when b = {n - 1} then y end) - avg(case when b = 0 then y end) as ret, count(case when b = {n - 1} then 1 end) as n_top, count(case when b = 0 then 1 end) as n_bottom from (
       select *, {bucket_sql('r', 'm', n)} as b from (
@@ -50,15 +51,17 @@ def _(p):
     return H.forward_returns(p["stocks"], ["security"], "ret", (1, 2)).select("security", "qi", "fwd_1q", "fwd_2q")
 
 
-@query("a4_trade_flags", "select fund, security, qi, held_now and v - p > 0 as buy, held_prev and v - p < 0 as sell from {sql_grid}")
+@query("a4_trade_flags", """
+    select fund, security, qi, held_now and aw - aw0 > 0 as buy, held_prev and aw - aw0 < 0 as sell, held_now and aw - aw0 > 0 as buy_aw, held_prev and aw - aw0 < 0 as sell_aw, held_now and w - w0 > 0 as buy_w, held_prev and w - w0 < 0 as sell_w,
+      held_now and mw - mw0 > 0 as buy_mw, held_prev and mw - mw0 < 0 as sell_mw, held_now and sh - sh0 > 0 as buy_sh, held_prev and sh - sh0 < 0 as sell_sh, held_now and w > 0 as hold_w, held_now and aw > 0 as hold_aw from {sql_grid}""")
 def _(p):
-    grid = lags.union_grid(p.weighted, "fund", "security", ["active_weight"])
-    return H.trade_flags(grid).select("fund", "security", "qi", "buy", "sell")
+    flags = H.trade_flags_by(lags.union_grid(p.weighted, "fund", "security", list(H.DEFINITIONS)))
+    return flags.select("fund", "security", "qi", "buy", "sell", *[f"{side}_{end}" for end in H.DEFINITIONS.values() for side in ("buy", "sell")], "hold_w", "hold_aw")
 
 
-@query("a5_breadth", "select security, qi, n_funds, n_buy, n_sell, round(n_buy / nullif(n_funds, 0), 6) as frac_buy, round((n_buy - n_sell) / nullif(n_buy + n_sell, 0), 6) as net_buy from {sql_breadth}")
+@query("a5_breadth", "select security, qi, n_funds, n_active, n_buy, n_sell, n_buy_aw, n_buy_w, n_buy_mw, n_buy_sh, n_funds_w, n_funds_aw, round(n_buy / n_active, 6) as frac_buy, n_buy - n_sell as net_buy from {sql_breadth}")
 def _(p):
-    return rounded(H.buying_breadth(p.weighted))
+    return rounded(H.breadth_by_definition(p.weighted))
 
 
 @query("a6_intensity", """
@@ -70,18 +73,18 @@ def _(p):
 
 
 @query("a7_own_disp", """
-    with r as (select *, row_number() over (partition by security, qi order by weight desc, fund) as k from {sql_weighted})
-    select security, qi, count(*) as n_holders, round(sum(weight), 6) as own_sum, round(max(weight), 6) as own_max, round(avg(weight), 6) as own_mean, round(sum(case when k <= 5 then weight end), 6) as own_top,
-      round(stddev_samp(active_weight), 6) as disp_sd, round(sum(abs(active_weight)), 6) as disp_sum, round(avg(abs(active_weight)), 6) as disp_mean, round(sum(weight * weight) / sum(weight) / sum(weight), 6) as own_hhi,
-      round(stddev_samp(active_weight) / nullif(abs(avg(active_weight)), 0), 3) as disp_cv from r group by security, qi""")
+    with b as (select fund, security, qi, market_cap, position_value / market_cap as own, position_value / sum(position_value) over f - market_cap / sum(market_cap) over f as aw from {book} where position_value > 0 and market_cap > 0 window f as (partition by fund, qi)),
+      z as (select *, (aw - avg(aw) over f) / nullif(stddev_samp(aw) over f, 0) as z, row_number() over (partition by security, qi order by own desc, fund) as k from b window f as (partition by fund, qi))
+    select security, qi, count(*) as n_funds, round(sum(own), 6) as inst_own, round(max(own), 6) as max_own, round(avg(own), 6) as mean_own, round(sum(case when k <= 5 then own end), 6) as top_own, round(sum(own * own), 6) as hhi_own,
+      round(stddev_samp(aw), 6) as disp_aw, round(sum(abs(aw)), 6) as sum_abs_aw, round(avg(abs(aw)), 6) as mean_abs_aw, round(stddev_samp(z), 5) as disp_z_aw, max(market_cap) as market_cap, round(stddev_samp(aw) / nullif(avg(abs(aw)), 0), 5) as disp_aw_cv from z group by security, qi""")
 def _(p):
-    out = H.own_disp_signals(p.weighted)
-    return rounded(rounded(out, 3, "disp_cv"), 6, *[c for c in out.columns if c.startswith(("own", "disp")) and c != "disp_cv"])
+    out = H.own_disp_signals(p["book"])
+    return rounded(rounded(out, 5, "disp_z_aw", "disp_aw_cv"), 6, *[c for c in out.columns if c not in ("security", "qi", "n_funds", "market_cap", "disp_z_aw", "disp_aw_cv")])
 
 
 @query("a8_pressure", """
-    select security, qi, count(*) as n_owning, round(avg(case when dollar_flow > 0 then 1 else 0 end), 6) as breadth, round(sum(dollar_flow), 6) as net, round(sum(abs(dollar_flow)), 6) as gross, round(sum(greatest(dollar_flow, 0)), 6) as buys, round(avg(weight_chg), 6) as weight_chg, round(avg(drift_chg), 6) as drift_chg,
-      round(sum(greatest(dollar_flow, 0)) / nullif(sum(abs(dollar_flow)), 0), 6) as dollar_breadth, round(sum(dollar_flow) / nullif(max(market_cap), 0), 6) as flow_cap from {sql_changes} where dollar_flow is not null group by security, qi""")
+    select security, qi, count(*) as n_owning, round(avg((label > 0)::int), 6) as buy_frac, round(avg((label < 0)::int), 6) as sell_frac, round(sum(dollar_flow), 6) as net, round(sum(abs(dollar_flow)), 6) as gross, round(avg(weight_chg), 6) as weight_chg, round(avg(drift_chg), 6) as drift_chg,
+      round(sum(case when label > 0 then position_value else 0 end) / nullif(sum(position_value), 0), 6) as dollar_buy_frac, round(sum(dollar_flow) / nullif(abs(max(market_cap)), 0), 6) as flow_cap from {sql_changes} where label is not null group by security, qi""")
 def _(p):
     return rounded(H.pressure(p.changes))
 
@@ -92,9 +95,9 @@ def _(p):
     return rounded(H.buy_ratios(p.changes))
 
 
-@query("a10_set_pressure", "select security, qi, round(avg(case when dollar_flow > 0 then 1 else 0 end), 6) as pressure from {sql_changes} where dollar_flow is not null group by security, qi")
+@query("a10_set_pressure", "select security, qi, round(avg((label > 0)::int), 6) as pressure from {sql_changes} where label is not null group by security, qi")
 def _(p):
-    return rounded(H.set_pressure(H.pressure(p.changes), "breadth").select("security", "qi", "pressure"))
+    return rounded(H.set_pressure(H.pressure(p.changes), "buy_frac").select("security", "qi", "pressure"))
 
 
 @query("a11_block_panel", """
@@ -115,9 +118,9 @@ def _(p):
 
 
 @query("a13_peer_rates", """
-    with l as (select inv_type, qi, case when shares > 30 then 1 when shares < 20 then -1 else 0 end as label from {book}), r as (select inv_type, qi, avg((label = 1)::int) as b, avg((label = -1)::int) as s from l group by inv_type, qi),
+    with l as (select inv_type, qi, case when shares > 30 then 1 when shares < 20 then -1 else 0 end as label from {book}), r as (select inv_type, qi, avg((label = 1)::int) as b, avg((label = -1)::int) as s, avg((label = 0)::int) as h from l group by inv_type, qi),
       c as (select distinct qi from r), f as (select inv_type, min(qi) as f from r group by inv_type), g as (select inv_type, qi from f join c on qi >= f)
-    select inv_type, qi + 1 as qi, round(last_value(b ignore nulls) over w, 6) as buy_rate, round(last_value(s ignore nulls) over w, 6) as sell_rate from g left join r using (inv_type, qi) window w as (partition by inv_type order by qi)""")
+    select inv_type, qi + 1 as qi, round(last_value(b ignore nulls) over w, 6) as buy_rate, round(last_value(s ignore nulls) over w, 6) as sell_rate, round(last_value(h ignore nulls) over w, 6) as hold_rate from g left join r using (inv_type, qi) window w as (partition by inv_type order by qi)""")
 def _(p):
     label = F.when(F.col("shares") > 30, 1).when(F.col("shares") < 20, -1).otherwise(0)
     return rounded(H.peer_rates(p["book"].withColumn("label", label), "inv_type"))
@@ -160,9 +163,10 @@ def _(p):
 
 
 @query("a18_corr_spearman", """
-    with r as (select rank() over (order by ret) + (count(*) over (partition by ret) - 1) / 2 as a, rank() over (order by trades) + (count(*) over (partition by trades) - 1) / 2 as b from {stocks}) select 'ret' as a, 'trades' as b, round(corr(a, b), 6) as corr from r""")
+    with r as (select rank() over (order by ret) + (count(*) over (partition by ret) - 1) / 2 as a, rank() over (order by trades) + (count(*) over (partition by trades) - 1) / 2 as b, rank() over (order by tax) + (count(*) over (partition by tax) - 1) / 2 as c from {stocks})
+    select 'ret' as a, 'trades' as b, round(corr(a, b), 6) as corr from r union all select 'ret', 'tax', round(corr(a, c), 6) from r union all select 'trades', 'tax', round(corr(b, c), 6) from r""")
 def _(p):
-    return rounded(stats.corr_matrix(p["stocks"], ["ret", "trades"], "spearman"))
+    return rounded(stats.corr_matrix(p["stocks"], ["ret", "trades", "tax"], "spearman"))
 
 
 @query("a19_missing_report", """
@@ -172,6 +176,20 @@ def _(p):
     return rounded(stats.missing_report(H.forward_returns(p["stocks"], ["security"], "ret", (1, 2)), ["fwd_1q", "fwd_2q"], ["qi"]))
 
 
+@query("a19_missing_by_bucket", "with b as (" + bucketed_sql("{sql_panel}", "trades", 10, "bucket", "trades is not null") + """), l as (select bucket, 'fwd_1q' as "column", fwd_1q as x from b union all select bucket, 'fwd_2q', fwd_2q from b)
+    select bucket, "column", count(*) as n, count(*) - count(x) as missing, round((count(*) - count(x)) / count(*), 6) as share from l group by bucket, "column" """)
+def _(p):
+    return rounded(stats.missing_by_bucket(H.forward_returns(p["stocks"], ["security"], "ret", (1, 2)), "trades", ["fwd_1q", "fwd_2q"]))
+
+
+@query("a19_partial_periods", """
+    with d as (select security, year(day) * 12 + month(day) as m, count(*) as days from {daily} where ret is not null group by all)
+    select quantile_cont(days, 0.5)::double as median_days, round(avg((days < 20)::int), 6) as under_stub, round(avg((days < 40)::int), 6) as under_short, count(case when days < 20 then 1 end) as stubs from d""")
+def _(p):
+    d = p["daily"].withColumn("m", F.year("day") * 12 + F.month("day"))
+    return rounded(stats.partial_periods(H.compound_returns(d, ["security", "m"], "ret")))
+
+
 @query("a20_bucket_balance", "with b as (" + bucketed_sql("{stocks}", "trades", 5, "bucket", "true") + """), k as (select qi, bucket, count(*) as k from b group by qi, bucket), d as (select qi, count(distinct trades) as distinct_values from {stocks} group by qi)
     select qi, count(*) as buckets, round(min(k) / sum(k), 6) as min_share, round(max(k) / sum(k), 6) as max_share, any_value(distinct_values) as distinct_values from k join d using (qi) group by qi""")
 def _(p):
@@ -211,9 +229,20 @@ def _(p):
 
 
 @query("s10_data_check", """
-    select count(*) as rows, count(distinct security) as entities, min(day) as first, max(day) as last, count(*) - count(distinct (security, day)) as duplicates, round(avg((ret is null)::int), 6) as ret_null, round(avg((ret < 0)::int), 6) as ret_negative, round(avg(ret), 6) as ret_mean, round(stddev_samp(ret), 6) as ret_sd, round(quantile_cont(ret, 0.5), 6) as ret_median from {daily}""")
+    select count(*) as rows, count(distinct security) as entities, min(day) as first, max(day) as last, count(*) - count(distinct (security, day)) as duplicates, round(avg((ret is null)::int), 6) as ret_null, round(avg((ret < 0)::int), 6) as ret_negative, round(avg(ret), 6) as ret_mean, round(stddev_samp(ret), 6) as ret_sd,
+      round(quantile_cont(ret, 0.01), 6) as ret_p1, round(quantile_cont(ret, 0.5), 6) as ret_median, round(quantile_cont(ret, 0.99), 6) as ret_p99 from {daily}""")
 def _(p):
-    return rounded(stats.data_check(p["daily"], "security", "day", ["ret"]))
+    return rounded(stats.data_check(p["daily"], "security", "day", ["ret"], exact=True))
+
+
+@query("s10_target_coverage", """
+    with l as (select strftime(day, '%Y-%m') as m, security, 'ret' as target, case when security % 7 <> 0 then ret end as x from {daily} union all select strftime(day, '%Y-%m'), security, 'turnover', turnover::double from {daily}),
+      k as (select target, m, count(distinct security) as k from l where x is not null group by target, m), b as (select min(m) as lo, max(m) as hi from l)
+    select t.target, t.n, round(t.null_share, 6) as null_share, s.median_names, s.least_names, s.periods, s.enough from (select target, count(x) as n, avg((x is null)::int) as null_share from l group by target) t
+      join (select target, quantile_cont(k, 0.5)::double as median_names, min(k) as least_names, count(case when m >= '1998-01' and m < '2030-01' then 1 end) as periods, count(case when m >= '1998-01' and m < '2030-01' and k >= 100 then 1 end) as enough from k group by target) s using (target)""")
+def _(p):
+    d = p["daily"].withColumn("ret", F.when(F.col("security") % 7 != 0, F.col("ret")))
+    return rounded(stats.target_coverage(d, ["ret", "turnover"], "security", F.date_format("day", "yyyy-MM"), 50, "1998-01", "2030-01"))
 
 
 @query("s10_coverage_by_month", "select strftime(day, '%Y-%m') as month, count(*) as n, count(*) >= 200 as enough from {daily} group by 1")
@@ -226,7 +255,7 @@ def flagship(p):
     return rounded(sorts.decile_spread(p.panel, "frac_buy", "fwd_1q"), 8)
 
 
-@query("e1_size_neutral_spread", "with z as (" + bucketed_sql("{sql_panel}", "market_cap", 3, "sz", "net_buy is not null and fwd_1q is not null and market_cap is not null") + "), m as (select *, count(*) over (partition by qi) as names from z), s as (" + spread_sql("(select * from m where names >= 20)", "net_buy", "fwd_1q", keys="sz", min_names=0) + ") select qi, round(avg(ret), 8) as ret, sum(n_top)::bigint as n_top, sum(n_bottom)::bigint as n_bottom from s group by qi")
+@query("e1_size_neutral_spread", "with z as (" + bucketed_sql("{sql_panel}", "market_cap", 3, "sz", "net_buy is not null and fwd_1q is not null and market_cap is not null") + "), m as (select *, count(*) over (partition by qi) as names from z), s as (" + spread_sql("(select * from m where names >= 20)", "net_buy", "fwd_1q", keys="sz") + ") select qi, round(avg(ret), 8) as ret, sum(n_top)::bigint as n_top, sum(n_bottom)::bigint as n_bottom from s group by qi")
 def _(p):
     return rounded(sorts.decile_spread(p.panel, "net_buy", "fwd_1q", size="market_cap"), 8)
 
@@ -236,23 +265,23 @@ def _(p):
     return rounded(rounded(stats.newey_west(sorts.decile_spread(p.panel, "trades", "fwd_1q"), [], "ret", 3), 8, "mean"), 4, "t")
 
 
-_PERF = """select {k}n, round(mean, 8) as mean, round(t, 4) as t, round(hit, 6) as hit, round(mean * {ann}, 6) as ann_ret, round(sd * sqrt({ann}), 6) as ann_vol, round(mean / nullif(sd, 0) * sqrt({ann}), 4) as sharpe,
-  round(case when w > 0 then pow(w, {ann} / n) - 1 end, 6) as geo, round(cum, 6) as cum, round(max_dd, 6) as max_dd"""
+_PERF = """select {k}n, round(mean, 8) as mean, round(t, 4) as t, round(mean / (nullif(sd, 0) / sqrt(n)), 4) as t_naive, round(hit, 6) as hit, round(mean * {ann}, 6) as ann_ret, round(sd * sqrt({ann}), 6) as ann_vol, round(mean / nullif(sd, 0) * sqrt({ann}), 4) as sharpe,
+  round(case when w > 0 then pow(w, {ann} / n) - 1 end, 6) as geo, round(w - 1, 6) as cum, round(max_dd, 6) as max_dd"""
 
 
-def perf_sql(source: str, keys: str, ann: float = 4.0, period: str = "qi") -> str:
+def perf_sql(source: str, keys: str, ann: float = 4.0, period: str = "qi", lags_: int | tuple[str, int] = 0, least: int = 8) -> str:
     """Common table expressions and a SELECT of the performance record of a relation with column ret (keys as column names)."""
     by, head = (f"partition by {keys}", f"{keys}, ") if keys else ("", "")
     join = f"join nw using ({keys})" if keys else ", nw"
     group = f"group by {keys}" if keys else ""
     return f"""g as (select *, exp(sum(ln(1 + ret)) over ({by} order by {period})) as wealth from {source}), d as (select *, wealth / max(wealth) over ({by} order by {period}) - 1 as dd from g),
-      a as (select {head}avg((ret > 0)::int) as hit, stddev_samp(ret) as sd, exp(sum(ln(1 + ret))) as w, sum(ret) as cum, min(dd) as max_dd from d {group}), nw as ({nw_sql(source, keys, 'ret', 0, period)})
-    {_PERF.format(k=head, ann=ann)} from a {join} where n >= 8"""
+      a as (select {head}avg((ret > 0)::int) as hit, stddev_samp(ret) as sd, exp(sum(ln(1 + ret))) as w, min(dd) as max_dd from d {group}), nw as ({nw_sql(source, keys, 'ret', lags_, period)})
+    {_PERF.format(k=head, ann=ann)} from a {join} where n >= {least}"""
 
 
 def perf(df):
     """The performance record rounded as its oracle is; only strategies with figures."""
-    return rounded(rounded(rounded(df.filter("mean is not null"), 8, "mean"), 4, "t", "sharpe"), 6, "hit", "ann_ret", "ann_vol", "geo", "cum", "max_dd")
+    return rounded(rounded(rounded(df.filter("mean is not null"), 8, "mean"), 4, "t", "t_naive", "sharpe"), 6, "hit", "ann_ret", "ann_vol", "geo", "cum", "max_dd")
 
 
 @query("e3_performance", "with s as (" + spread_sql("{sql_panel}", "frac_buy", "fwd_1q") + "), " + perf_sql("s", ""))
@@ -262,14 +291,34 @@ def _(p):
 
 @query("e4_evaluate", """
     with l as (select security, qi, unnest([{'signal': 'frac_buy', 'x': frac_buy}, {'signal': 'trades', 'x': trades::double}], recursive := true), fwd_1q, fwd_2q from {sql_panel}), m as (select security, qi, signal, x, 'fwd_1q' as horizon, fwd_1q as y from l union all select security, qi, signal, x, 'fwd_2q', fwd_2q from l),
-    s as (""" + spread_sql("m", "x", "y", keys="signal, horizon") + "), s2 as (select *, 'all' as sample from s union all select *, case when qi < 7995 then 'discovery' else 'validation' end from s), " + perf_sql("s2", "signal, horizon, sample"))
+    s as (""" + spread_sql("m", "x", "y", keys="signal, horizon") + "), s2 as (select *, 'all' as sample from s union all select *, case when qi < 7995 then 'discovery' else 'validation' end from s), " + perf_sql("s2", "signal, horizon, sample", lags_=("case when horizon = 'fwd_2q' then 1 else 0 end", 1)))
 def _(p):
     return perf(sorts.evaluate(p.panel, ["frac_buy", "trades"], ["fwd_1q", "fwd_2q"], F.col("qi") < 7995))
 
 
-@query("e5_sweep", None)
+_CELLS = """with l as (select security, qi, net_buy::double as x, fwd_1q as y, market_cap as cap, tie, size_groups, nonzero, missing from {sql_panel}, (values %s) t(tie), (values (1), (3)) k(size_groups), (values (true), (false)) z(nonzero), (values ('drop'), ('zero')) m(missing)
+      where net_buy is not null and (missing = 'zero' or fwd_1q is not null) and (not nonzero or net_buy <> 0)),
+    c as (select security, qi, x, coalesce(y, 0) as y, case when size_groups = 1 then 0 else cap end as cap, tie, size_groups, nonzero, missing from l where size_groups = 1 or cap is not null),
+    """
+_CELL = "tie, size_groups, nonzero, missing"
+
+
+def _split_sql(source: str, column: str, name: str, keys: str, n: str) -> str:
+    order = f"order by {column}, case when tie = 'random' then md5('0:' || security) end, security"
+    return f"select *, {bucket_sql('r_' + name, 'm_' + name, n)} as {name} from (select *, row_number() over (partition by {keys} {order}) as r_{name}, count(*) over (partition by {keys}) as m_{name} from {source}) q"
+
+
+_SWEPT = f"""m as (select {_CELL}, qi, sz, b, avg(y) as m, count(*) as k from y group by all), gg as (select {_CELL}, qi, sz, max_by(m, b) - min_by(m, b) as ret from m group by all having count(*) >= 2 and sum(k) >= 20), s as (select {_CELL}, qi, avg(ret) as ret from gg group by all), """
+
+
+@query("e5_sweep", _CELLS % "('random'), ('first')" + "x as (" + _split_sql("c", "cap", "sz", f"{_CELL}, qi", "size_groups") + "), y as (" + _split_sql("x", "x", "b", f"{_CELL}, qi, sz", "5") + "), " + _SWEPT + perf_sql("s", _CELL))
+def _(p):
+    return perf(sorts.sweep(p.panel, "net_buy", "fwd_1q", ties=("random", "first")))
+
+
+@query("e5_sweep_average")
 def _(p):
-    return perf(sorts.sweep(p.panel, "net_buy", "fwd_1q", sizes=(1,)))
+    return perf(sorts.sweep(p.panel, "net_buy", "fwd_1q", ties=("average",)))
 
 
 @query("e5_sweep_verdict", None)
@@ -277,10 +326,12 @@ def _(p):
     return sorts.sweep_verdict(sorts.sweep(p.panel, "net_buy", "fwd_1q", sizes=(1,), missing=("drop",)))
 
 
-@query("e5_sweep_definitions", None)
+@query("e5_sweep_definitions", """
+    with l as (select b.security, b.qi, p.fwd_1q as y, d.definition, d.k / b.n_active as x from {sql_breadth} b join {sql_panel} p using (security, qi), unnest([{'definition': 'active_weight', 'k': n_buy_aw}, {'definition': 'weight', 'k': n_buy_w}, {'definition': 'market_weight', 'k': n_buy_mw}, {'definition': 'shares', 'k': n_buy_sh}]) u(d)),
+    s as (""" + spread_sql("l", "x", "y", keys="definition") + "), " + perf_sql("s", "definition"))
 def _(p):
     stocks = H.forward_returns(p["stocks"], ["security"], "ret", (1,)).select("security", "qi", "fwd_1q")
-    return perf(sorts.sweep_definitions(p.weighted, ["active_weight", "weight", "market_weight", "shares"], stocks, "fwd_1q"))
+    return perf(sorts.sweep_definitions(p.weighted, H.DEFINITIONS, stocks, "fwd_1q"))
 
 
 @query("e6_combine_signal", """
@@ -324,6 +375,12 @@ def _(p):
     return rounded(sorts.strategy_spread(p.panel, "trades", "fwd_1q", "market_cap", 2), 8)
 
 
+@query("e10_report_strategy", "with c as (" + bucketed_sql("{sql_panel}", "market_cap", 3, "cond", "market_cap is not null") + "), s as (" + spread_sql("(select * from c where cond = 2)", "trades", "fwd_1q", min_names=10) + "), s2 as (select *, 'all' as sample from s union all select *, case when qi < 7995 then 'discovery' else 'validation' end from s), f as (select sample, min(qi) as \"first\", max(qi) as \"last\" from s2 group by sample), r as (with " + perf_sql("s2", "sample", lags_=1) + ") select 'large' as strategy, f.*, r.* exclude (sample) from r join f using (sample)")
+def _(p):
+    spread = sorts.strategy_spread(p.panel, "trades", "fwd_1q", "market_cap", 2)
+    return perf(sorts.report_strategy(spread, F.col("qi") < 7995, 2, "large"))
+
+
 _IC = """with r as (select qi, trades, fwd_1q, rank() over (partition by qi order by trades) + (count(*) over (partition by qi, trades) - 1) / 2 as a, rank() over (partition by qi order by fwd_1q) + (count(*) over (partition by qi, fwd_1q) - 1) / 2 as b from {sql_panel} where trades is not null and fwd_1q is not null),
     ic as (select qi, count(*) as n, case when count(*) >= 10 and stddev_samp(trades) > 0 and stddev_samp(fwd_1q) > 0 then corr(a, b) end as rank_ic, case when count(*) >= 10 and stddev_samp(trades) > 0 and stddev_samp(fwd_1q) > 0 then corr(trades, fwd_1q) end as pearson_ic from r group by qi)"""
 
@@ -344,9 +401,10 @@ def _(p):
     return rounded(rounded(sorts.alpha_sort(p.panel, "trades", ["fwd_1q", "fwd_2q"]), 8, "mean"), 4, "t")
 
 
-@query("e13_score_row", None)
+@query("e13_score_row", _IC + ", ics as (" + nw_sql("ic", "", "rank_ic") + "), sp as (" + spread_sql("{sql_panel}", "trades", "fwd_1q") + "), sps as (" + nw_sql("sp", "", "ret") + """), f as (select count(*) as rows, (sum(('0x' || substr(md5(security || '|' || qi), 1, 8))::bigint) % 4294967296)::bigint as fingerprint from {sql_panel} where trades is not null and fwd_1q is not null)
+    select round(ics.mean, 6) as ic, round(ics.t, 4) as ic_t, round(sps.mean, 8) as spread, round(sps.t, 4) as spread_t, rows, fingerprint from ics, sps, f""")
 def _(p):
-    return rounded(sorts.score_row(p.panel, "trades", "fwd_1q", "fwd_1q"))
+    return rounded(rounded(rounded(sorts.score_row(p.panel, "trades", "fwd_1q", "fwd_1q"), 6, "ic"), 8, "spread"), 4, "ic_t", "spread_t")
 
 
 @query("e14_beats_naive", """
@@ -357,18 +415,31 @@ def _(p):
     return rounded(stats.beats_naive(t, "target", "name", "ic", "is_model"))
 
 
-_FUND_SORT = """with fr as (select fund, qi, sum(weight * ret) / sum(weight) as fund_ret from {sql_weighted} group by fund, qi), ab as (select fund, qi, fund_ret - avg(fund_ret) over (partition by qi) as x from fr),
-    v as (select fund, qi, sum(position_value) as v from {holdings} group by fund, qi),
-    hs as (select fund, qi, case when count(x) over w1 = 1 then sum(x) over w1 end as h1, case when count(x) over w2 = 2 then sum(x) over w2 end as h2 from ab window w1 as (partition by fund order by qi range between 1 following and 1 following), w2 as (partition by fund order by qi range between 1 following and 2 following)),
-    l as (select fund, qi, v, 1 as h, h1 as y from v join hs using (fund, qi) union all select fund, qi, v, 2, h2 from v join hs using (fund, qi)), """
+_FUND_VALUE = "v as (select fund, qi, sum(position_value) as v from {holdings} group by fund, qi)"
+_CUMULATIVE = """fr as (select fund, qi, sum(weight * ret) / sum(weight) as fund_ret from {sql_weighted} group by fund, qi), ab as (select fund, qi, fund_ret - avg(fund_ret) over (partition by qi) as x from fr),
+    hs as (select fund, qi, case when count(x) over w1 = 1 then sum(x) over w1 end as h1, case when count(x) over w2 = 2 then sum(x) over w2 end as h2 from ab window w1 as (partition by fund order by qi range between 1 following and 1 following), w2 as (partition by fund order by qi range between 1 following and 2 following))"""
+_FROZEN = """gr as (select security, qi, case when count(ret) over w1 = 1 then exp(sum(ln(1 + ret)) over w1) - 1 end as g1, case when count(ret) over w2 = 2 then exp(sum(ln(1 + ret)) over w2) - 1 end as g2 from {stocks}
+      window w1 as (partition by security order by qi range between 1 following and 1 following), w2 as (partition by security order by qi range between 1 following and 2 following)),
+    fz as (select fund, qi, sum(weight * g1) / nullif(sum(case when g1 is not null then weight end), 0) as r1, sum(weight * g2) / nullif(sum(case when g2 is not null then weight end), 0) as r2 from {sql_weighted} join gr using (security, qi) group by fund, qi),
+    hs as (select fund, qi, r1 - avg(r1) over (partition by qi) as h1, r2 - avg(r2) over (partition by qi) as h2 from fz)"""
+_SORTED_FUNDS = "j as (select * from v join hs using (fund, qi)), b as (" + bucketed_sql("j", "v", 5, "bucket", "v is not null", "qi", "fund") + """), l as (select qi, bucket, 1 as h, h1 as y from b union all select qi, bucket, 2, h2 from b), m as (select h, bucket, qi, avg(y) as m from l where y is not null group by all),
+    e as (select * from m union all select h, -1, qi, max(case when bucket = 4 then m end) - max(case when bucket = 0 then m end) from m group by h, qi), s as (""" + nw_sql("e", "h, bucket", "m", ("h - 1", 1)) + "), o as (" + nw_sql("e", "h, bucket", "m") + ") select h, bucket, s.n, round(s.mean, 8) as mean, round(s.t, 4) as t, round(o.t, 4) as t_ols from s join o using (h, bucket)"
+
+
+def _fund_value(p):
+    return p["holdings"].groupBy("fund", "qi").agg(F.sum("position_value").alias("v"))
 
 
-@query("e15_fund_sort", _FUND_SORT + "b as (" + bucketed_sql("l", "v", 5, "bucket", "y is not null", "h, qi", "fund") + """), m as (select h, bucket, qi, avg(y) as m from b group by h, bucket, qi), e as (select * from m union all select h, -1, qi, max(case when bucket = 4 then m end) - max(case when bucket = 0 then m end) from m group by h, qi),
-    s as (""" + nw_sql("e", "h, bucket", "m", 1) + ") select h, bucket, n, round(mean, 8) as mean, round(t, 4) as t from s")
+@query("e15_fund_sort", f"with {_FUND_VALUE}, {_CUMULATIVE}, {_SORTED_FUNDS}")
 def _(p):
-    v = p["holdings"].groupBy("fund", "qi").agg(F.sum("position_value").alias("v"))
-    out = sorts.fund_sort(v, "v", H.fund_return(p.weighted).select("fund", "qi", "fund_ret"), 2, 1)
-    return rounded(rounded(out, 8, "mean"), 4, "t")
+    out = sorts.fund_sort(_fund_value(p), "v", H.fund_return(p.weighted).select("fund", "qi", "fund_ret"), 2, 1)
+    return rounded(rounded(out, 8, "mean"), 4, "t", "t_ols")
+
+
+@query("e16_frozen_fund_sort", f"with {_FUND_VALUE}, {_FROZEN}, {_SORTED_FUNDS}")
+def _(p):
+    out = sorts.frozen_fund_sort(_fund_value(p), "v", p.weighted, p["stocks"], 2, 1)
+    return rounded(rounded(out, 8, "mean"), 4, "t", "t_ols")
 
 
 @query("e16_frozen_fund_return", """
@@ -385,19 +456,25 @@ def _hits(p):
     return p.weighted.withColumn("hit", (F.col("shares") > 25).cast("int"))
 
 
-def _stock_sort_sql(returns: str) -> str:
-    acc = f"with {_HITS}, acc as (select security, qi, avg(hit) as acc from h group by security, qi), rr as ({returns}), j as (select * from acc join rr using (security, qi) where y is not null), b as (" + bucketed_sql("j", "acc", 5, "bucket", "true")
-    return acc + """), m as (select bucket, qi, avg(y) as m from b group by bucket, qi), e as (select * from m union all select -1, qi, max(case when bucket = 0 then m end) - max(case when bucket = 4 then m end) from m group by qi), s as (""" + nw_sql("e", "bucket", "m") + ") select bucket, n, round(mean, 8) as mean, round(t, 4) as t from s"
+_BY_ACCURACY = "b as (" + bucketed_sql("j", "acc", 5, "bucket", "true") + """), m as (select bucket, qi, avg(y) as m from b group by bucket, qi), e as (select * from m union all select -1, qi, max(case when bucket = 0 then m end) - max(case when bucket = 4 then m end) from m group by qi), """
 
 
-@query("e17_stock_sort", _stock_sort_sql("select security, qi, fwd_1q as y from {sql_panel}"))
+@query("e17_stock_sort", f"with {_HITS}, acc as (select security, qi, avg(hit) as acc from h group by security, qi), j as (select security, qi, acc, fwd_1q as y from acc join {{sql_panel}} using (security, qi) where fwd_1q is not null), {_BY_ACCURACY} s as (" + nw_sql("e", "bucket", "m") + ") select bucket, n, round(mean, 8) as mean, round(t, 4) as t from s")
 def _(p):
     return rounded(rounded(sorts.stock_sort(_hits(p), p.panel, "hit", "fwd_1q"), 8, "mean"), 4, "t")
 
 
-@query("e17_stock_sort_holders", _stock_sort_sql("select w.security, w.qi, round(avg(f.fund_ret), 12) as y from {sql_weighted} w join (select fund, qi, sum(weight * ret) / sum(weight) as fund_ret from {sql_weighted} group by fund, qi) f using (fund, qi) group by w.security, w.qi"))
+_HOLDERS = "c as (select h.security, h.qi, avg(hit) as acc, round(sum(weight * hs.h2) / sum(weight), 12) as y from h join hs using (fund, qi) where hs.h2 is not null group by h.security, h.qi), j as (select * from c where y is not null), " + _BY_ACCURACY + "s as (" + nw_sql("e", "bucket", "m", 1) + ") select bucket, n, round(mean, 8) as mean, round(t, 4) as t from s"
+
+
+@query("e17_stock_sort_holders", f"with {_HITS}, {_CUMULATIVE}, {_HOLDERS}")
 def _(p):
-    return rounded(rounded(sorts.stock_sort_holders(_hits(p), H.fund_return(p.weighted), "hit"), 8, "mean"), 4, "t")
+    return rounded(rounded(sorts.stock_sort_holders(_hits(p), H.fund_return(p.weighted), "hit", 2, 1), 8, "mean"), 4, "t")
+
+
+@query("e17_stock_sort_holders_frozen", f"with {_HITS}, {_FROZEN}, {_HOLDERS}")
+def _(p):
+    return rounded(rounded(sorts.stock_sort_holders(_hits(p), H.fund_return(p.weighted), "hit", 2, 1, returns=p["stocks"]), 8, "mean"), 4, "t")
 
 
 @query("e18_correct_incorrect", "with " + _HITS + """, y as (select *, max(ret) over (partition by fund, security order by qi range between 1 following and 1 following) as y from h), m as (select qi, case when hit = 1 then 'correct' else 'incorrect' end as "group", avg(y) as m from y where y is not null group by all),
@@ -406,7 +483,12 @@ def _(p):
     return rounded(rounded(sorts.correct_incorrect(_hits(p), "hit", "ret", k=1), 8, "mean"), 4, "t")
 
 
-@query("e19_compare_timings", None)
+def _timing_sql(name: str, k: int) -> str:
+    moved = f"max(ret) over (partition by fund, security order by qi range between {k} following and {k} following)" if k else "ret"
+    return f"""select '{name}' as timing, qi, case when hit = 1 then 'correct' else 'incorrect' end as "group", avg(y) as m from (select *, {moved} as y from h) z where y is not null group by all"""
+
+
+@query("e19_compare_timings", f"with {_HITS}, m as (" + " union all ".join(_timing_sql(n, k) for n, k in (("same", 0), ("next", 1), ("second", 2))) + """), e as (select timing, "group", qi, m from m union all select timing, 'difference', qi, max(case when "group" = 'correct' then m end) - max(case when "group" = 'incorrect' then m end) from m group by timing, qi), s as (""" + nw_sql("e", 'timing, "group"', "m") + ') select timing, "group", n, round(mean, 8) as mean, round(t, 4) as t from s')
 def _(p):
     return rounded(rounded(sorts.compare_timings(_hits(p), "hit", "ret", {"same": 0, "next": 1, "second": 2}), 8, "mean"), 4, "t")
 
@@ -438,6 +520,16 @@ def _(p):
     return rounded(rounded(sorts.filter_effect(p["book"], F.col("shares") > 25, "ret"), 8, "mean"), 4, "t")
 
 
+@query("e29_continuity_signal", """
+    with i as (select security, qi, ret, count(*) over (partition by security order by qi range between 1 preceding and current row) = 2 as f, max(ret) over (partition by security order by qi range between 1 following and 1 following) as fwd_1q from {stocks}),
+    l as (select qi, f, 'same' as "window", 0 as lags, ret as y from i union all select qi, f, 'next', 1, fwd_1q from i), g as (select "window", lags, qi, avg(case when f then y end) - avg(case when not f then y end) as spread from l where y is not null group by all), k as (select * from g where spread is not null),
+    s as (""" + nw_sql("k", '"window"', "spread", ("lags", 1)) + """), h as (select "window", avg((spread > 0)::int) as hit from k group by "window") select "window", n, round(mean, 8) as spread, round(t, 4) as t, round(hit, 6) as hit from s join h using ("window") where n >= 8""")
+def _(p):
+    d = H.forward_returns(lags.feasible(p["stocks"], ["security"], 2), ["security"], "ret", (1,))
+    out = sorts.continuity_signal(d, "feasible", {"same": ("ret", 0), "next": ("fwd_1q", 1)})
+    return rounded(rounded(rounded(out, 8, "spread"), 4, "t"), 6, "hit")
+
+
 @query("e30_selling_asymmetry", """
     with r as (select distinct fund, qi - 1 as qi from {book}), n as (select fund, security, qi - 1 as qi, position_value as v from {book}), t as (select b.ret, coalesce(n.v, 0) - b.position_value as c, n.v is null as x from {book} b join r using (fund, qi) left join n using (fund, security, qi))
     select count(*) as n, round(avg((c > 0)::int), 6) as buy_rate, round(avg((c < 0)::int), 6) as sell_rate, round(avg(x::int), 6) as exit_rate, round(count(case when x then 1 end) / count(case when c < 0 then 1 end), 6) as exit_share,
@@ -468,6 +560,15 @@ def _(p):
     return stats.leaderboard(t, "inv_type", "n", "fund", 5)
 
 
+@query("e33_side_by_side", """
+    select inv_type, round(avg(case when fund_size = 0 then ret end), 8) as "0_ret", round(avg(case when fund_size = 0 then shares end), 6) as "0_shares", round(avg(case when fund_size = 1 then ret end), 8) as "1_ret", round(avg(case when fund_size = 1 then shares end), 6) as "1_shares",
+      round(avg(case when fund_size = 1 then ret end) - avg(case when fund_size = 0 then ret end), 8) as "1_ret_diff", round(avg(case when fund_size = 1 then shares end) - avg(case when fund_size = 0 then shares end), 6) as "1_shares_diff" from {book} where inv_type = 402 or fund_size = 0 group by inv_type""")
+def _(p):
+    t = p["book"].filter("inv_type = 402 or fund_size = 0").groupBy("inv_type", "fund_size").agg(F.avg("ret").alias("ret"), F.avg("shares").alias("shares"))
+    out = stats.side_by_side(t, "inv_type", "fund_size", [0, 1], ["ret", "shares"])
+    return rounded(rounded(out, 8, *[c for c in out.columns if "_ret" in c]), 6, *[c for c in out.columns if "_shares" in c])
+
+
 @query("e34_sign_flip", """
     with m as (select security, round(avg(case when qi < 7995 then ret end), 9) as discovery, round(avg(case when qi >= 7995 then ret end), 9) as validation from {stocks} group by security) select security, discovery, validation, sign(discovery) * sign(validation) > 0 as agrees from m""")
 def _(p):
@@ -488,6 +589,20 @@ def _(p):
     return rounded(u.groupBy("universe").agg(F.count("*").alias("n"), F.avg("ret").alias("ret")), 8)
 
 
+@query("e36_universe_performance", """
+    with u as (select *, 'all' as universe from {sql_panel} union all select *, 'large' from {sql_panel} where market_cap > 1500000 union all select *, 'traded' from {sql_panel} where trades > 2), s as (""" + spread_sql("u", "trades", "fwd_1q", keys="universe") + "), " + perf_sql("s", "universe"))
+def _(p):
+    return perf(sorts.universe_performance(p.panel, {"all": F.lit(True), "large": F.col("market_cap") > 1500000, "traded": F.col("trades") > 2}, "trades", "fwd_1q"))
+
+
+@query("e36_universe_precision", f"""
+    with l as ({_LABELS}), u as (select 'all' as universe, fund, (y = pred)::int as hit from l union all select 'even', fund, (y = pred)::int from l where fund % 2 = 0),
+    f as (select universe, fund, avg(hit) as p, sum(hit) as h, count(*) as n from u group by all) select universe, count(*) as funds, sum(n)::bigint as n, round(sum(h) / sum(n), 6) as pooled, round(avg(p), 6) as fund_average from f group by universe""")
+def _(p):
+    hits = _labels(p).withColumn("hit", (F.col("y") == F.col("pred")).cast("int"))
+    return rounded(sorts.universe_precision(hits, {"all": F.lit(True), "even": F.col("fund") % 2 == 0}, "hit"))
+
+
 @query("e38_signal_profile", """
     with l as (select n_funds, 'n_buy' as signal, n_buy as x from {sql_panel} union all select n_funds, 'net_buy', net_buy from {sql_panel}) select signal, round(count(x) / count(*), 6) as "defined", count(distinct round(x, 9)) as distinct_values, round(count(case when x = 0 then 1 end) / count(*), 6) as zeros, round(corr(x, n_funds), 6) as corr_base from l group by signal""")
 def _(p):

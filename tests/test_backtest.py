@@ -9,15 +9,41 @@ from .helpers import rows
 
 
 def test_portfolio_timing(spark):
-    scores = [2, 1, 1, 2, 1, 2, 2, 1, 1, 2]
-    data = [(i // 2, "AB"[i % 2], float(s), 0.01 if i % 2 == 0 else -0.01) for i, s in enumerate(scores)]
+    """Three names, a signal every third date, held from two dates later; worked out by hand."""
+    scores = {0: (9, 5, 1), 3: (2, 8, 6), 6: (3, 4, 7)}
+    moves = {d: (0.10 + d / 100, 0.20 - d / 100, -0.05) for d in range(9)}
+    data = [(d, "XYZ"[k], float(scores.get(d, (0, 0, 0))[k]), moves[d][k]) for d in range(9) for k in range(3)]
     df = spark.createDataFrame(data, "date_no int, security string, score double, ret double")
-    path = backtest.strategy_path(df, df, 2, 1, 1)
-    got = {r.date_no: r.top for r in path.collect()}
-    assert sorted(got) == [1, 2, 3, 4]
-    assert [round(got[d], 6) for d in (1, 2, 3, 4)] == [0.01, 0.01, -0.01, -0.01]
-    blocks = {(r.signal_no, r.leg): (r.block_ret, r.complete) for r in backtest.block_returns(df, df, 2, 1, 1).collect()}
-    assert math.isclose(blocks[(0, "top")][0], 1.01**2 - 1) and math.isclose(blocks[(2, "top")][0], 0.99**2 - 1) and blocks[(2, "top")][1]
+    path = {r.date_no: r for r in backtest.strategy_path(df, df, 3, 2, 1).collect()}
+    # X leads from date 2 to 4, Y from 5 to 7, Z on 8; Z trails first, then X
+    assert {d: round(r.top, 9) for d, r in path.items()} == {2: 0.12, 3: 0.13, 4: 0.14, 5: 0.15, 6: 0.14, 7: 0.13, 8: -0.05}
+    assert {d: round(r.bottom, 9) for d, r in path.items()} == {2: -0.05, 3: -0.05, 4: -0.05, 5: 0.15, 6: 0.16, 7: 0.17, 8: 0.18}
+    blocks = {(r.signal_no, r.leg): r for r in backtest.block_returns(df, df, 3, 2, 1).collect()}
+    assert math.isclose(blocks[(0, "top")].block_ret, 1.12 * 1.13 * 1.14 - 1) and blocks[(0, "top")].complete
+    assert math.isclose(blocks[(3, "bottom")].block_ret, 1.15 * 1.16 * 1.17 - 1) and not blocks[(6, "top")].complete
+
+
+def test_strategy_summary_by_leg(spark):
+    path = spark.createDataFrame([(0, 0.1, 0.0, 0.1, 1.0, 0.5), (1, -0.1, 0.1, -0.2, 0.5, 0.5), (2, 0.3, 0.1, 0.2, 1.0, 1.0)], "date_no int, top double, bottom double, spread double, cover_top double, cover_bottom double")
+    events = spark.createDataFrame([("top", 0, "A"), ("top", 0, "B"), ("top", 2, "B"), ("top", 2, "C"), ("bottom", 0, "D"), ("bottom", 2, "D")], "leg string, signal_no int, security string")
+    got = {r.leg: r for r in backtest.summarize_strategy(path, events, ann=2.0).collect()}
+    assert math.isclose(got["top"].ann_ret, 0.2) and math.isclose(got["top"].coverage, 2.5 / 3) and math.isclose(got["spread"].coverage, 2 / 3)
+    assert got["top"].rebalances == 2 and (got["top"].turnover, got["bottom"].turnover, got["spread"].turnover) == (0.5, 0.0, 0.25)
+    assert got["top"].ann_turnover == 0.5 and got["spread"].ann_turnover == 0.25  # two dates are one year here
+
+
+def test_quantile_portfolio(spark):
+    """Six names a period, halves by rank with ties by id: turnover counts new names, costs are paid on both legs."""
+    one = [("a", 1, 10.0, 0.06, 1.0), ("b", 1, 10.0, 0.03, -5.0), ("c", 1, 8.0, 0.02, 3.0), ("d", 1, 3.0, 0.01, 1.0), ("e", 1, 2.0, 0.00, 1.0), ("f", 1, 1.0, -0.01, 2.0)]
+    two = [("a", 2, 9.0, 0.02, 1.0), ("b", 2, 1.0, 0.01, None), ("c", 2, 8.0, 0.04, 1.0), ("d", 2, 7.0, 0.06, 2.0), ("e", 2, 2.0, 0.03, None), ("f", 2, 3.0, 0.05, 0.0)]
+    few = [("a", 3, 1.0, 0.1, 1.0), ("b", 3, 2.0, 0.2, 1.0), ("c", 3, 3.0, 0.3, 1.0)]
+    df = spark.createDataFrame(one + two + few, "security string, qi int, score double, ret double, cap double")
+    got = {r.qi: r for r in backtest.build_portfolio(df, "score", "ret", ["qi"], 2, tcost=0.01).collect()}
+    assert sorted(got) == [1, 2]
+    assert math.isclose(got[1].long, 0.11 / 3) and math.isclose(got[1].short, 0.0, abs_tol=1e-12) and got[1].turnover == 1.0
+    assert math.isclose(got[2].long, 0.04) and math.isclose(got[2].short, 0.03) and math.isclose(got[2].turnover, 1 / 3) and math.isclose(got[2].net, 0.01 - 0.02 / 3)
+    weighed = {r.qi: r for r in backtest.build_portfolio(df, "score", "ret", ["qi"], 2, cap="cap").collect()}
+    assert math.isclose(weighed[1].long, (0.06 * 1 + 0.02 * 3) / 4) and math.isclose(weighed[2].short, 0.03)  # a leg without weights is equal
 
 
 def test_daily_rule_equals_plain_portfolio(spark):
@@ -75,6 +101,18 @@ def test_append_mode_emits_closed_windows(spark, tmp_path):
     assert [round(r.ret, 9) for r in spark.table("x1a").collect()] == [0.32]
 
 
+def test_snapshot_stream_equals_batch(spark, tmp_path):
+    data = [("2024-03-01 08:00:00", 1, "A", 5.0), ("2024-03-01 09:00:00", 2, "A", 6.0), ("2024-03-01 09:00:00", 3, "A", 7.0), ("2024-03-02 01:00:00", 4, "A", 8.0), ("2024-03-01 23:00:00", 5, "B", 9.0)]
+    df = spark.createDataFrame(data, "ts string, event_id long, k string, value double").selectExpr("cast(ts as timestamp) as ts", "event_id", "k", "value")
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = incremental.stream_snapshot(stream, "ts", ["k"], ["value"], ["event_id"], width="1 day").writeStream.format("memory").queryName("x2").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    got = rows(spark.table("x2"), "k", "value")
+    assert got == rows(incremental.stream_snapshot(df, "ts", ["k"], ["value"], ["event_id"], width="1 day"), "k", "value") == [("A", 7.0), ("A", 8.0), ("B", 9.0)]
+
+
 def test_sources(spark, tmp_path):
     from panelwise.sources import io
 

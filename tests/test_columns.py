@@ -77,16 +77,49 @@ def test_active_weights_add_up_to_zero(spark):
 
 
 def test_weight_drift(spark):
-    # 5 % of the book in a stock that gains 40 % while the book gains 10 %: undisturbed it is 6.3636 % of the next book
+    # 5 % of the book in a stock that then gains 40 % while the book gains 10 %: undisturbed it is 6.3636 % of the next book
     rest = (0.10 - 0.05 * 0.4) / 0.95
     base = [("f", "a", 1, 5.0, 1.0, 0.4), ("f", "b", 1, 95.0, 1.0, rest)]
     for next_a, expected in ((7.0, 0.0), (5.5, -0.013636)):
         rows_ = [*base, ("f", "a", 2, next_a, 1.0, 0.0), ("f", "b", 2, 110.0 - next_a, 1.0, 0.0)]
-        df = spark.createDataFrame([(*r, 1.0) for r in rows_], "fund string, security string, qi int, position_value double, shares double, ret double, market_cap double")
+        df = spark.createDataFrame([(*r, 1.0) for r in rows_], "fund string, security string, qi int, position_value double, shares double, next_ret double, market_cap double")
         got = holdings.position_changes(holdings.active_weight(df)).filter("security = 'a' and qi = 1").first()
         assert math.isclose(got.drift_chg, expected, abs_tol=1e-6)
 
 
+def test_pressure_by_hand(spark):
+    """Four funds hold one stock: up 50 %, up 0.4 % (inside the band), sold down, and not seen again."""
+    held = [("p", 1, 99.0, 100.0), ("p", 2, 149.0, 1.0), ("q", 1, 249.0, 300.0), ("q", 2, 250.0, 1.0), ("r", 1, 9.0, 600.0), ("r", 2, 4.0, 1.0), ("s", 1, 10.0, 50.0)]
+    df = spark.createDataFrame([(f, "x", q, sh, v, 1000.0, 0.1) for f, q, sh, v in held], "fund string, security string, qi int, shares double, position_value double, market_cap double, next_ret double")
+    got = holdings.pressure(holdings.position_changes(holdings.active_weight(df))).filter("qi = 1").first()
+    flows = [0.5 * 100, 1 / 250 * 300, -0.5 * 600]
+    assert got.n_owning == 3 and math.isclose(got.buy_frac, 1 / 3) and math.isclose(got.sell_frac, 1 / 3)
+    assert math.isclose(got.net, sum(flows)) and math.isclose(got.gross, sum(map(abs, flows))) and math.isclose(got.dollar_buy_frac, 0.1) and math.isclose(got.flow_cap, sum(flows) / 1000)
+
+
+def test_ownership_by_hand(spark):
+    held = [("p", "x", 30.0, 100.0), ("p", "y", 70.0, 300.0), ("q", "x", 50.0, 100.0), ("q", "y", 50.0, 300.0), ("r", "x", 0.0, 100.0)]
+    df = spark.createDataFrame([(f, s, 1, v, c) for f, s, v, c in held], "fund string, security string, qi int, position_value double, market_cap double")
+    got = holdings.own_disp_signals(df).filter("security = 'x'").first()
+    # shares of market value 0.3 and 0.5; active weights 0.3 - 0.25 and 0.5 - 0.25
+    assert (got.n_funds, got.market_cap) == (2, 100.0) and math.isclose(got.inst_own, 0.8) and math.isclose(got.max_own, 0.5) and math.isclose(got.hhi_own, 0.34) and math.isclose(got.top_own, 0.8)
+    assert math.isclose(got.sum_abs_aw, 0.3) and math.isclose(got.mean_abs_aw, 0.15) and math.isclose(got.disp_aw, 0.2 / math.sqrt(2)) and math.isclose(got.disp_aw_cv, 0.2 / math.sqrt(2) / 0.15)
+    # each fund scores its two positions plus and minus 1 / sqrt(2): no disagreement among scores
+    assert math.isclose(got.disp_z_aw, 0.0, abs_tol=1e-9)
+
+
+def test_breadth_by_hand(spark):
+    """x: p adds, q starts, r leaves; s held it too but reports no more."""
+    held = [("p", "x", 1, 10.0), ("p", "x", 2, 20.0), ("q", "y", 1, 5.0), ("q", "x", 2, 5.0), ("r", "x", 1, 5.0), ("r", "y", 2, 5.0), ("s", "x", 1, 5.0)]
+    df = spark.createDataFrame(held, "fund string, security string, qi int, shares double")
+    got = holdings.buying_breadth(df, "shares").filter("security = 'x' and qi = 2").first()
+    assert (got.n_funds, got.n_active, got.n_buy, got.n_sell, got.net_buy) == (2, 3, 2, 1, 1) and math.isclose(got.frac_buy, 2 / 3)
+    levels = df.withColumn("active_weight", F.lit(-0.5)).withColumn("weight", F.lit(0.5)).withColumn("market_weight", F.lit(1.0))
+    more = holdings.breadth_by_definition(levels).filter("security = 'x' and qi = 2").first()
+    # an underweight start is no purchase by active weight, but by weight; leaving an underweight is no sale
+    assert (more.n_buy, more.n_buy_aw, more.n_buy_w, more.n_buy_sh, more.n_sell, more.n_funds_w, more.n_funds_aw) == (0, 0, 1, 2, 0, 2, 0)
+
+
 def test_selling_an_underweight_is_no_buy(spark):
     grid = spark.createDataFrame([(False, True, 0.0, -0.1), (True, False, -0.1, 0.0), (True, True, 0.2, 0.1)], "held_now boolean, held_prev boolean, active_weight double, active_weight_prev double")
     got = [(r.buy, r.sell) for r in holdings.trade_flags(grid).collect()]
@@ -102,8 +135,13 @@ def test_grid_functions_agree_with_numpy(spark):
     got = df.select(X.surface_stats(F.col("a")).alias("s"), X.surface_spike(F.col("a"), 4, 5).alias("k"), X.spike_repair(F.col("a"), 4, 5).alias("r"), X.surface_roughness(F.col("a"), 4, 5).alias("g")).first()
     assert math.isclose(got.s.level, a.mean()) and math.isclose(got.s.dispersion, a.std())
     inner = a[:-2, 1:-1] + a[2:, 1:-1] + a[1:-1, :-2] + a[1:-1, 2:] - 4 * a[1:-1, 1:-1]
-    assert math.isclose(got.g.laplacian, np.abs(inner).mean())
-    assert got.k.spikes >= 1 and abs(got.r[12]) < 5
+    assert math.isclose(got.g.laplacian, np.sqrt((inner**2).mean()))
+    assert math.isclose(got.g.variation, np.abs(np.diff(a, axis=0)).mean() + np.abs(np.diff(a, axis=1)).mean()) and math.isclose(got.g.calendar, np.sqrt((np.diff(a, 2, axis=0) ** 2).mean()))
+    around = np.pad(a, 1, mode="edge")
+    medians = np.array([[np.median(around[i : i + 3, j : j + 3]) for j in range(5)] for i in range(4)])
+    z = np.abs(a - medians) / (1.4826 * (np.median(np.abs(a - np.median(a))) + 1e-6))
+    assert got.k.spikes == (z > 4).sum() >= 1 and math.isclose(got.k.worst, z.max())
+    assert np.allclose(got.r, np.where(z > 4, medians, a).ravel())
 
 
 def test_feasibility(spark):

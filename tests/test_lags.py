@@ -74,15 +74,16 @@ def test_guards_raise(spark):
 
 
 def test_forward_and_rolling_returns(spark):
-    r = [0.01, 0.02, -0.01, 0.03, 0.0, 0.04, -0.02, 0.01, 0.02, 0.03, 0.01]
+    r = [0.05, -0.04, 0.10, 0.25, -0.20, 0.02, 0.08, -0.5, 1.0]
     df = spark.createDataFrame([("A", i, x) for i, x in enumerate(r)], "security string, date_no int, ret double")
-    got = [x.fwd_5 for x in rolling.forward_return(df, ["security"], "ret", 5).orderBy("date_no").collect()]
-    assert math.isclose(got[0], math.prod(1 + x for x in r[1:6]) - 1, rel_tol=1e-12)
-    assert got[6:] == [None] * 5
-    gap = spark.createDataFrame([("A", i + (i >= 5), x) for i, x in enumerate(r)], "security string, date_no int, ret double")
-    assert rolling.forward_return(gap, ["security"], "ret", 5).orderBy("date_no").first().fwd_5 is None
-    long = {x.date_no: x.ret_5 for x in rolling.rolling_return_long(gap, ["security"], "ret", 5).collect()}
-    short = {x.date_no: x.ret_5 for x in rolling.rolling_return(gap, ["security"], "ret", 5).collect()}
+    got = [x.fwd_3 for x in rolling.forward_return(df, ["security"], "ret", 3).orderBy("date_no").collect()]
+    # 0.96 * 1.10 * 1.25 and 1.08 * 0.5 * 2.0
+    assert math.isclose(got[0], 0.32) and math.isclose(got[5], 0.08) and got[6:] == [None] * 3
+    gap = spark.createDataFrame([("A", i + 2 * (i >= 4), x) for i, x in enumerate(r)], "security string, date_no int, ret double")
+    forward = {x.date_no: x.fwd_3 for x in rolling.forward_return(gap, ["security"], "ret", 3).collect()}
+    assert math.isclose(forward[0], 0.32) and [forward[k] for k in (1, 2, 3)] == [None] * 3 and math.isclose(forward[7], 0.08)
+    long = {x.date_no: x.ret_3 for x in rolling.rolling_return_long(gap, ["security"], "ret", 3).collect()}
+    short = {x.date_no: x.ret_3 for x in rolling.rolling_return(gap, ["security"], "ret", 3).collect()}
     assert all((long[k] is None) == (short[k] is None) for k in short)
     assert all(math.isclose(long[k], short[k], rel_tol=1e-9) for k in short if short[k] is not None)
 
