@@ -191,7 +191,11 @@ def _frozen(df: DataFrame, returns: DataFrame, hmax: int, start: int, fund: str,
     for h in range(1, hmax + 1):
         frame = W.partitionBy(security).orderBy(period).rangeBetween(start, start + h - 1)
         grown[f"__g{h}"] = F.when(F.count("ret").over(frame) == h, F.product(1 + F.col("ret")).over(frame) - 1)
-    held = df.filter(F.col("weight").isNotNull()).select(fund, security, period, "weight").join(returns.select(security, period, "ret").withColumns(grown).drop("ret"), [security, period])
+    weighed = df.filter(F.col("weight").isNotNull()).select(fund, security, period, "weight")
+    # the window of a held security may begin after a period without a return of its own
+    starts = weighed.select(security, period).distinct().withColumns({"ret": F.lit(None).cast("double"), "__held": F.lit(True)})
+    every = returns.select(security, period, F.col("ret").cast("double").alias("ret"), F.lit(False).alias("__held")).unionByName(starts)
+    held = weighed.join(every.withColumns(grown).filter("__held").drop("ret", "__held"), [security, period])
     has = lambda h: F.col(f"__g{h}").isNotNull()
     value = [(F.sum(F.when(has(h), F.col("weight") * F.col(f"__g{h}"))) / F.nullif(F.sum(F.when(has(h), F.col("weight"))), F.lit(0.0))).alias(f"__h{h}") for h in range(1, hmax + 1)]
     by_fund = held.groupBy(fund, period).agg(*value)
@@ -207,9 +211,7 @@ def _sorted_funds(rows: DataFrame, variable: str, hmax: int, n: int, fund: str,
     ends = F.array(F.struct("bucket", "m"), F.struct(F.lit(-1).alias("bucket"), F.when(F.col("bucket") == n - 1, F.col("m")).when(F.col("bucket") == 0, -F.col("m")).alias("m")))
     # the spread is the sum of both ends' signed means, where both are there
     every = means.select("h", period, F.inline(ends)).filter("m is not null").groupBy("h", "bucket", period).agg(F.sum("m").alias("m"), F.count("*").alias("__k")).filter("bucket >= 0 or __k = 2")
-    t = newey_west(every, ["h", "bucket"], "m", F.lit(lags) if lags is not None else F.col("h") - 1, period, most=hmax - 1 if lags is None else lags)
-    plain = newey_west(every, ["h", "bucket"], "m", 0, period).select("h", "bucket", F.col("t").alias("t_ols"))
-    return t.join(plain, ["h", "bucket"])
+    return newey_west(every, ["h", "bucket"], "m", F.lit(lags) if lags is not None else F.col("h") - 1, period, most=hmax - 1 if lags is None else lags, plain="t_ols")
 
 
 def fund_sort(df: DataFrame, variable: str, fund_returns: DataFrame, hmax: int = 4, start: int = 0, n: int = 5, fund: str = "fund", category: Sequence[str] = (), period: str = PERIOD, lags: int | None = None) -> DataFrame:
@@ -319,9 +321,9 @@ def continuity_signal(df: DataFrame, flag: str, windows: Mapping[str, tuple[str,
     long = df.filter(F.col(flag).isNotNull()).select(period, F.col(flag).alias("__f"), F.inline(F.array(*cells))).filter("y is not null")
     gap = (F.avg(F.when(F.col("__f"), F.col("y"))) - F.avg(F.when(~F.col("__f"), F.col("y")))).alias("spread")
     series = long.groupBy("window", "__lags", period).agg(gap).filter("spread is not null")
-    t = newey_west(series, ["window"], "spread", F.col("__lags"), period, most=max(k for _, k in windows.values())).filter(F.col("n") >= min_n)
-    hits = series.groupBy("window").agg(F.avg((F.col("spread") > 0).cast("int")).alias("hit"))
-    return t.withColumnRenamed("mean", "spread").join(hits, "window")
+    hit = F.avg((F.col("spread") > 0).cast("int"))
+    t = newey_west(series, ["window"], "spread", F.col("__lags"), period, most=max(k for _, k in windows.values()), more={"hit": hit})
+    return t.filter(F.col("n") >= min_n).withColumnRenamed("mean", "spread")
 
 
 def selling_asymmetry(df: DataFrame, fund: str, security: str, value: str, ret: str, period: str = PERIOD) -> DataFrame:

@@ -32,17 +32,19 @@ def _mean_and_t(column: str, lags: int | Column, most: int, min_n: int, sample:
     return n, F.avg(column), F.when((n >= min_n) & (variance > 1e-18), F.avg(column) / F.sqrt(variance))
 
 
-def newey_west(df: DataFrame, keys: Sequence[str], column: str, lags: int | Column, period: str = "qi", min_n: int = 5, sample: bool = False, most: int | None = None) -> DataFrame:
+def newey_west(df: DataFrame, keys: Sequence[str], column: str, lags: int | Column, period: str = "qi", min_n: int = 5, sample: bool = False, most: int | None = None, plain: str | None = None, more: Mapping[str, Column] | None = None) -> DataFrame:
     """keys, n, mean, t: the t value of a mean with ``lags`` Bartlett-weighted autocovariances.
 
     Null for fewer than ``min_n`` values or a variance of 0. ``sample`` divides by n - 1 where there
     are no lags. Autocovariances pair successive values in the order of ``period``. ``lags`` may be a
-    column that is the same within a key, and ``most`` is then its largest value.
+    column that is the same within a key, and ``most`` is then its largest value. ``plain`` names a
+    column for the t value without lags; ``more`` are further aggregates of the same pass.
     """
     most = lags if isinstance(lags, int) else most
     rows = _lagged_errors(df.filter(F.col(column).isNotNull()), keys, column, most, period)
     n, mean, t = _mean_and_t(column, lags, most, min_n, sample)
-    return rows.groupBy(*keys).agg(n.alias("n"), mean.alias("mean"), t.alias("t"))
+    others = [_mean_and_t(column, 0, 0, min_n)[2].alias(plain)] if plain else []
+    return rows.groupBy(*keys).agg(n.alias("n"), mean.alias("mean"), t.alias("t"), *others, *[c.alias(name) for name, c in (more or {}).items()])
 
 
 def wealth(df: DataFrame, keys: Sequence[str], ret: str, period: str = "qi", peak_at_one: bool = False) -> DataFrame:

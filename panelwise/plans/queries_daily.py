@@ -44,20 +44,20 @@ def _(p):
       r as (select k, day, level, level as mean, 0.0::double as var, 1.0::double as sq from m where k = 1 union all
         select m.k, m.day, m.level, r.mean + 2 / 11 * (m.level - r.mean), (1 - 2 / 11) * (r.var + 2 / 11 * (m.level - r.mean) * (m.level - r.mean)), (1 - 2 / 11) * (1 - 2 / 11) * r.sq + 2 / 11 * (2 / 11) from r join m on m.k = r.k + 1),
       e as (select day, level, mean, case when k = 1 then 0 else sqrt(var / (1 - sq)) end + 1e-10 as std from r)
-    select day, round(level, 4) as level, round(mean, 4) as level_ewm, round(std, 4) as level_ewmstd, round(greatest(least(mean / std, 5), -5), 6) as mom_ratio from e""")
+    select day, level, round(mean, 4) as level_ewm, round(std, 4) as level_ewmstd, round(greatest(least(mean / std, 5), -5), 6) as mom_ratio from e""")
 def _(p):
     series = p["market"].withColumn("k", F.lit("m"))
     out = rolling.momentum_ratio(rolling.ewm(series, ["k"], "level", 10, "day"), "level_ewm", "level_ewmstd").drop("k")
-    return rounded(rounded(out, 4, "level", "level_ewm", "level_ewmstd"), 6, "mom_ratio")
+    return rounded(rounded(out, 4, "level_ewm", "level_ewmstd"), 6, "mom_ratio")
 
 
 @query("w15_rolling", """
     with a as (select day, level, avg(level) over w as m, coalesce(stddev_samp(level) over w, 0) as s, max(level) over w as x from {market} window w as (order by day rows between 4 preceding and current row))
-    select day, round(m, 4) as mean, round(s, 4) as std, round(x, 4) as max, round(greatest(least((level - (m - 2 * s)) / case when s = 0 then 1e-10 else 4 * s end, 1), 0), 6) as pctb, round((level - x) / case when x = 0 then 1e-10 else x end, 6) as dd from a""")
+    select day, round(m / level, 9) as mean, round(s, 4) as std, x as max, round(greatest(least((level - (m - 2 * s)) / case when s = 0 then 1e-10 else 4 * s end, 1), 0), 6) as pctb, round((level - x) / case when x = 0 then 1e-10 else x end, 6) as dd from a""")
 def _(p):
     r = rolling.rolling(p["market"].withColumn("k", F.lit(1)), ["k"], "level", 5, "day")
-    out = r.select("day", F.col("level_mean5").alias("mean"), F.col("level_std5").alias("std"), F.col("level_max5").alias("max"), F.col("level_pctb5").alias("pctb"), F.col("level_dd5").alias("dd"))
-    return rounded(rounded(out, 4, "mean", "std", "max"), 6, "pctb", "dd")
+    out = r.select("day", (F.col("level_mean5") / F.col("level")).alias("mean"), F.col("level_std5").alias("std"), F.col("level_max5").alias("max"), F.col("level_pctb5").alias("pctb"), F.col("level_dd5").alias("dd"))
+    return rounded(rounded(rounded(out, 9, "mean"), 4, "std"), 6, "pctb", "dd")
 
 
 @query("w16_rolling_corr", _N + " select security, date_no, round(case when count(*) over w >= 5 then corr(ret, turnover) over w end, 4) as corr_ret_turnover from x window w as (partition by security order by date_no rows between 9 preceding and current row)")

@@ -229,10 +229,10 @@ def _(p):
 
 
 @query("s10_data_check", """
-    select count(*) as rows, count(distinct security) as entities, min(day) as first, max(day) as last, count(*) - count(distinct (security, day)) as duplicates, round(avg((ret is null)::int), 6) as ret_null, round(avg((ret < 0)::int), 6) as ret_negative, round(avg(ret), 6) as ret_mean, round(stddev_samp(ret), 6) as ret_sd,
-      round(quantile_cont(ret, 0.01), 6) as ret_p1, round(quantile_cont(ret, 0.5), 6) as ret_median, round(quantile_cont(ret, 0.99), 6) as ret_p99 from {daily}""")
+    select count(*) as rows, count(distinct security) as entities, min(day) as first, max(day) as last, count(*) - count(distinct (security, day)) as duplicates, round(avg((ret is null)::int), 12) as ret_null, round(avg((ret < 0)::int), 12) as ret_negative, round(avg(ret), 12) as ret_mean, round(stddev_samp(ret), 12) as ret_sd,
+      round(quantile_cont(ret, 0.01), 12) as ret_p1, round(quantile_cont(ret, 0.5), 12) as ret_median, round(quantile_cont(ret, 0.99), 12) as ret_p99 from {daily}""")
 def _(p):
-    return rounded(stats.data_check(p["daily"], "security", "day", ["ret"], exact=True))
+    return rounded(stats.data_check(p["daily"], "security", "day", ["ret"], exact=True), 12)
 
 
 @query("s10_target_coverage", """
@@ -521,11 +521,11 @@ def _(p):
 
 
 @query("e29_continuity_signal", """
-    with i as (select security, qi, ret, count(*) over (partition by security order by qi range between 1 preceding and current row) = 2 as f, max(ret) over (partition by security order by qi range between 1 following and 1 following) as fwd_1q from {stocks}),
+    with i as (select fund, security, qi, ret, count(*) over (partition by fund, security order by qi range between 1 preceding and current row) = 2 as f, max(ret) over (partition by fund, security order by qi range between 1 following and 1 following) as fwd_1q from {book}),
     l as (select qi, f, 'same' as "window", 0 as lags, ret as y from i union all select qi, f, 'next', 1, fwd_1q from i), g as (select "window", lags, qi, avg(case when f then y end) - avg(case when not f then y end) as spread from l where y is not null group by all), k as (select * from g where spread is not null),
     s as (""" + nw_sql("k", '"window"', "spread", ("lags", 1)) + """), h as (select "window", avg((spread > 0)::int) as hit from k group by "window") select "window", n, round(mean, 8) as spread, round(t, 4) as t, round(hit, 6) as hit from s join h using ("window") where n >= 8""")
 def _(p):
-    d = H.forward_returns(lags.feasible(p["stocks"], ["security"], 2), ["security"], "ret", (1,))
+    d = H.forward_returns(lags.feasible(p["book"], ["fund", "security"], 2), ["fund", "security"], "ret", (1,))
     out = sorts.continuity_signal(d, "feasible", {"same": ("ret", 0), "next": ("fwd_1q", 1)})
     return rounded(rounded(rounded(out, 8, "spread"), 4, "t"), 6, "hit")
 
@@ -570,9 +570,9 @@ def _(p):
 
 
 @query("e34_sign_flip", """
-    with m as (select security, round(avg(case when qi < 7995 then ret end), 9) as discovery, round(avg(case when qi >= 7995 then ret end), 9) as validation from {stocks} group by security) select security, discovery, validation, sign(discovery) * sign(validation) > 0 as agrees from m""")
+    with m as (select security, round(avg(case when qi < 7995 then ret end), 12) as discovery, round(avg(case when qi >= 7995 then ret end), 12) as validation from {stocks} group by security) select security, discovery, validation, sign(discovery) * sign(validation) > 0 as agrees from m""")
 def _(p):
-    m = p["stocks"].groupBy("security", F.when(F.col("qi") < 7995, "discovery").otherwise("validation").alias("sample")).agg(F.round(F.avg("ret"), 9).alias("m"))
+    m = p["stocks"].groupBy("security", F.when(F.col("qi") < 7995, "discovery").otherwise("validation").alias("sample")).agg(F.round(F.avg("ret"), 12).alias("m"))
     return stats.sign_flip(m, "security", "m")
 
 
