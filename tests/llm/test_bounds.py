@@ -68,7 +68,23 @@ def test_a_word_has_its_whole_shape():
 
 
 def test_pii_of_an_empty_table(spark):
-    assert pii.detect_pii(spark.createDataFrame([], DOCS)).count() == 0 and tokens.op3_token_counts is not None
+    assert pii.detect_pii(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_other_scripts_leave_the_rest_of_a_text_to_both_tiers(spark):
+    with open(tokens.default_tokenizer(), encoding="utf-8") as f:
+        text = f.read()
+    counter, library = tokens.Counter(text, tokens.frequent_lengths(text)), tokens._load(text)
+    rng = random.Random(1)
+    parts = ["the", "Word", "it's", " ", "  ", "\n", "日本", "語", "привет", "😀", "é", "x1", "12", ",", "™", "αβγ", "\u2003", "a", "العربية", "e\u0301", "<|endoftext|>", "don't"]
+    for _ in range(500):
+        t = "".join(rng.choice(parts) + rng.choice(["", " ", " ", "  "]) for _ in range(rng.randrange(1, 60)))
+        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids)
+    words = " ".join("plain words of english text go here" for _ in range(4000))
+    for t, most in ((f"{words} 日本語 {words}", 50), (words[: tokens.LONG_TEXT + 5] + "語" * 10 + words, 50), (words + words, 0), ("語" * 70_000 + words, 70_020)):
+        counter.library = 0
+        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids) and counter.library <= most
+    assert tokens.count_tokens(spark.createDataFrame([], DOCS)).count() == 0
 
 
 def test_patterns_are_small():
