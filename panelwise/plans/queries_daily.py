@@ -329,7 +329,11 @@ def _(p):
     return _surface(p).select("vec_id", X.array_sum(X.despeckle(image, 8, 8)).cast("int").alias("white"))
 
 
-@query("g12_append_strip")
+@query("g12_append_strip", """
+    with sp as (select min(level) as lo, max(level) as hi from {market} where day <= date '1999-12-31'), sc as (select day, greatest(least((level - lo) / (hi - lo), 1), 0) as x from {market}, sp),
+      st as (select day as strip_day, sum(x) over w as total, count(*) over w as k from sc window w as (order by day rows between 7 preceding and current row)),
+      r as (select vec_id, date '1999-01-01' + cast(vec_id as int) as day from {embeddings}), j as (select vec_id, day, strip_day, total from r asof join (select * from st where k = 8) s on r.day >= s.strip_day)
+    select vec_id, cast(80 as int) as n, round(2 * total, 6) as strip from j where date_diff('day', strip_day, day) <= 7""")
 def _(p):
     rows = p["surface"].withColumn("a", F.col("embedding").cast("array<double>")).withColumn("day", F.date_add(F.lit("1999-01-01").cast("date"), F.col("vec_id").cast("int")))
     out = A.append_strip(rows, p["market"], "a", "day", "level", 8, 2, "1999-12-31")

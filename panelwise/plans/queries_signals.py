@@ -321,9 +321,10 @@ def _(p):
     return perf(sorts.sweep(p.panel, "net_buy", "fwd_1q", ties=("average",)))
 
 
-@query("e5_sweep_verdict", None)
+@query("e5_sweep_verdict", _CELLS % "('random'), ('first')" + "x as (" + _split_sql("c", "cap", "sz", f"{_CELL}, qi", "size_groups") + "), y as (" + _split_sql("x", "x", "b", f"{_CELL}, qi, sz", "5") + "), " + _SWEPT + "r as (" + nw_sql("s", _CELL, "ret") + """), v as (select t from r where n >= 8)
+    select count(t) as cells, count(case when abs(t) >= 2 then 1 end) as significant, count(case when t > 0 then 1 end) as positive, count(case when t < 0 then 1 end) as negative, count(case when t > 0 then 1 end) = count(t) or count(case when t < 0 then 1 end) = count(t) as agree from v""")
 def _(p):
-    return sorts.sweep_verdict(sorts.sweep(p.panel, "net_buy", "fwd_1q", sizes=(1,), missing=("drop",)))
+    return sorts.sweep_verdict(sorts.sweep(p.panel, "net_buy", "fwd_1q", ties=("random", "first")))
 
 
 @query("e5_sweep_definitions", """
