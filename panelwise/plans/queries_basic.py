@@ -315,9 +315,9 @@ def _(p):
 
 
 @query("w12_winsorize", """
-    with q as (select qi, quantile_cont(ret, 0.05) as lo, quantile_cont(ret, 0.95) as hi from {stocks} group by qi) select security, qi, round(greatest(least(ret, hi), lo), 8) as ret from {stocks} join q using (qi)""")
+    with q as (select qi, quantile_cont(ret, 0.05) as lo, quantile_cont(ret, 0.95) as hi from {stocks} group by qi) select security, qi, round(greatest(least(ret, hi), lo), 12) as ret from {stocks} join q using (qi)""")
 def _(p):
-    return rounded(xsec.winsorize(p["stocks"].select("security", "qi", "ret"), ["ret"], ["qi"], 0.05), 8)
+    return rounded(xsec.winsorize(p["stocks"].select("security", "qi", "ret"), ["ret"], ["qi"], 0.05), 12)
 
 
 @query("w13_lag_vol", """
@@ -442,10 +442,10 @@ def _(p):
     return joins.apply_grid(p["stocks"], cells).groupBy("qi", "n", "flag").agg(F.count("*").alias("rows"))
 
 
-@query("j3_attach", "select h.fund, h.qi, count(*) as n, count(s.ret) as matched, round(avg(s.ret), 8) as ret from {holdings} h left join {stocks} s on s.security = h.security and s.qi = h.qi group by h.fund, h.qi")
+@query("j3_attach", "select h.fund, h.qi, count(*) as n, count(s.ret) as matched, round(avg(s.ret), 12) as ret from {holdings} h left join {stocks} s on s.security = h.security and s.qi = h.qi group by h.fund, h.qi")
 def _(p):
     out = joins.attach(p["holdings"], p["stocks"].select("security", "qi", "ret"), SQ)
-    return rounded(out.groupBy("fund", "qi").agg(F.count("*").alias("n"), F.count("ret").alias("matched"), F.avg("ret").alias("ret")), 8)
+    return rounded(out.groupBy("fund", "qi").agg(F.count("*").alias("n"), F.count("ret").alias("matched"), F.avg("ret").alias("ret")), 12)
 
 
 @query("j13_expand_holdings", """

@@ -8,7 +8,7 @@ from panelwise.plans.fixtures import TABLES
 from panelwise.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["e1_decile_spread", "j2_union_grid", "t1_bucket_random", "a5_breadth", "e2_newey_west", "e9_double_sort", "w9_rolling_return", "g4_spike"]
+NAMES = ["e1_decile_spread", "j2_union_grid", "t1_bucket_random", "a5_breadth", "e2_newey_west", "e9_double_sort", "w9_rolling_return", "g4_spike", "a7_own_disp", "e4_evaluate", "e5_sweep", "e16_frozen_fund_sort", "e23_build_portfolio", "w14_ewm", "m1_folds"]
 
 
 def value(x):
