@@ -117,15 +117,14 @@ def quality_features(docs: DataFrame) -> DataFrame:
     n_repeat_words, n_upper, n_stop, n_shout, n_distinct (all long). Whole texts are counted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
+    stop = list(dict.fromkeys(STOP_WORDS))  # literals, which Spark makes a hash set
 
     def of_words(w: Column) -> Column:
-        small = F.filter(F.transform(w, lambda x: F.lower(x)), lambda x: F.length(x) <= 5)
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            F.size(F.filter(small, lambda x: F.array_contains(stop, x))).cast("long").alias("n_stop"),
+            F.size(F.filter(w, lambda x: (F.length(x) <= 5) & F.lower(x).isin(stop))).cast("long").alias("n_stop"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
             _covered(_window_hashes(w, 8), 8).alias("n_repeat_words"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("lines"),
