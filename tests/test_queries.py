@@ -1,5 +1,11 @@
 """A part of the registered queries against their SQL in DuckDB, at the smallest scale; the driver compares them all."""
 
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -31,3 +37,16 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_has_a_name_of_its_inventory_entry():
     assert len(QUERIES) > 150 and all(n[0] in "aegjmpstuwx" for n in QUERIES)
+
+
+def test_the_rest_imports_without_the_corpus_part(tmp_path):
+    """A copy without the optional subpackage registers the panel queries; one with a broken module in it raises."""
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here / "panelwise", tmp_path / "panelwise", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    run = lambda: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    assert run().returncode == 0, run().stderr
+    (tmp_path / "panelwise" / "llm").mkdir()
+    (tmp_path / "panelwise" / "llm" / "registry.py").write_text("import no_such_module")
+    assert "no_such_module" in run().stderr
