@@ -87,6 +87,15 @@ def test_other_scripts_leave_the_rest_of_a_text_to_both_tiers(spark):
     assert tokens.count_tokens(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    unset = N(getCheckpointDir=lambda: N(isDefined=lambda: False))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError):
+            common.shared_folder(N(sparkContext=N(master=master, _jsc=N(sc=lambda: unset)), conf=N(get=lambda *a: None)))
+
+
 def test_patterns_are_small():
     rng = random.Random(5)
     items = [(str(i), " ".join(f"w{rng.randrange(10**5)}" for _ in range(60))) for i in range(1000)]
