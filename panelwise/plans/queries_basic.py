@@ -442,10 +442,10 @@ def _(p):
     return joins.apply_grid(p["stocks"], cells).groupBy("qi", "n", "flag").agg(F.count("*").alias("rows"))
 
 
-@query("j3_attach", "select h.fund, h.qi, count(*) as n, count(s.ret) as matched, round(avg(s.ret), 12) as ret from {holdings} h left join {stocks} s on s.security = h.security and s.qi = h.qi group by h.fund, h.qi")
+@query("j3_attach", "select h.fund, h.qi, count(*) as n, count(s.ret) as matched, round(sum(s.ret), 9) as total from {holdings} h left join {stocks} s on s.security = h.security and s.qi = h.qi group by h.fund, h.qi")
 def _(p):
     out = joins.attach(p["holdings"], p["stocks"].select("security", "qi", "ret"), SQ)
-    return rounded(out.groupBy("fund", "qi").agg(F.count("*").alias("n"), F.count("ret").alias("matched"), F.avg("ret").alias("ret")), 12)
+    return rounded(out.groupBy("fund", "qi").agg(F.count("*").alias("n"), F.count("ret").alias("matched"), F.sum("ret").alias("total")), 9)
 
 
 @query("j13_expand_holdings", """
