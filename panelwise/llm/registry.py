@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op13_bpe
 from .decontaminate import op4_decontamination
 from .html import op5_html_text
 from .language import op6_language
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_near_duplicates": op10_near_duplicates,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}

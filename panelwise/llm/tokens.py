@@ -45,14 +45,18 @@ def _load(text: str):
     return Tokenizer.from_str(text)
 
 
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for. Fixed rule: printable bytes stand for themselves, others for 256 and up."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 def frequent_lengths(text: str, most: int = 50_000) -> dict[str, int]:
     """Tokens of the vocabulary's first ``most`` entries that are pre-tokens; ``text`` is the tokenizer's JSON."""
     import regex
 
     tokenizer, model = _load(text), json.loads(text)["model"]
-    # fixed rule of byte-level encodings: printable bytes stand for themselves, others for 256 and up
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    byte = byte_letters()
     whole, found = regex.compile(PRE_TOKEN), []
     for entry, _ in sorted(model["vocab"].items(), key=lambda x: x[1])[:most]:
         try:
