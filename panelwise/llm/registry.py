@@ -11,6 +11,7 @@ from .mixing import OP7_SQL, op7_mixing
 from .neardup import op10_near_duplicates
 from .pii import op9_pii
 from .quality import op2_quality
+from .ranked import OP11_SQL, op11_ranked_search
 from .tokens import op3_token_counts
 from .toxicity import op8_toxicity
 
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_pii": op9_pii,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_ranked_search": op11_ranked_search,
     "op13_bpe": op13_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_mixing": OP7_SQL, "op11_ranked_search": OP11_SQL}
