@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op13_bpe
+from .conversations import op12_conversation_repair
 from .decontaminate import op4_decontamination
 from .html import op5_html_text
 from .language import op6_language
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_ranked_search": op11_ranked_search,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_bpe": op13_bpe,
 }
 
