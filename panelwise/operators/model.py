@@ -1,4 +1,4 @@
-"""Walk-forward modelling with Spark ML."""
+"""Walk-forward modelling (M2-M10): least squares from additive sums, other learners by Spark ML."""
 
 from __future__ import annotations
 
@@ -14,12 +14,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import assign_folds
+from .linear import LeastSquares, walk_forward_linear
 from .rolling import har_features
-from .sorts import apply_feasibility, score_row
+from .sorts import apply_feasibility, score_rows
 from .stats import ic_summary, information_coefficient
 from .xsec import pct_bucket
 
 
+def learner(kind: str = "ridge", **options) -> Callable[[], Estimator] | LeastSquares:
+    """What ``walk_forward`` takes: least squares for 'ridge' (``alpha``, 1 by default) and 'linear', else ``make_estimator`` of the kind."""
+    if kind in ("ridge", "linear"):
+        return LeastSquares(options.pop("alpha", 1.0) if kind == "ridge" else 0.0, **options)
+    return lambda: make_estimator(kind, **options)
+
+
 def make_estimator(kind: str = "ridge", label: str = "__y", seed: int = 7, **options) -> Estimator:
     """'ridge', 'linear', 'huber', 'boosting' (absolute loss) or 'forest' on column ``__x``."""
     common = {"featuresCol": "__x", "labelCol": label, "predictionCol": "y_pred"}
@@ -56,12 +64,18 @@ def feature_pipeline(features: Sequence[str], estimator: Estimator, scale: bool
     return Pipeline(stages=[*stages, estimator])
 
 
-def walk_forward(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, estimator: Callable[[], Estimator] = make_estimator, period: str = "qi", label_end: str | None = None, scale: bool = False, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def walk_forward(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, estimator: Callable[[], Estimator] | LeastSquares = LeastSquares(), period: str = "qi", label_end: str | None = None, scale: bool = False, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Out-of-sample rows with ``fold`` and ``y_pred``: each fold's model is fitted on its training rows and scores its test rows.
 
     Training rows whose label window passes the fold's end (``label_end``) or without target are left
-    out; ``prepare`` transforms training rows only. Folds are few; the panel is computed once for them where there is a checkpoint folder.
+    out; ``prepare`` transforms training rows only. Least squares is fitted for all folds at once from
+    sums (``linear``); other learners are fitted fold by fold, for which the panel is computed once
+    where there is a checkpoint folder.
     """
+    if isinstance(estimator, LeastSquares):
+        if prepare:
+            raise ValueError("least squares takes training rows as they are: prepare the target as a column of its own")
+        return walk_forward_linear(df, folds, features, [target], None, (), estimator.alpha, period, label_end, names=("__target_name", "__spec")).select(*df.columns, "fold", "y_pred")
     panel = settled(assign_folds(df.withColumns({f: F.col(f).cast("double") for f in features}), folds, period, label_end).withColumn("__y", F.col(target).cast("double")))
     out = None
     for (fold,) in sorted(folds.select("fold").collect()):
@@ -100,31 +114,66 @@ def har(df: DataFrame, keys: Sequence[str], column: str, order: str, h: int, fol
     """Walk-forward linear regression of the value ``h`` rows ahead on its daily, weekly and monthly means."""
     rows = har_features(df, keys, column, order).withColumn("__target", F.lead(column, h).over(W.partitionBy(*keys).orderBy(order))).filter("har_m is not null")
     rows = rows.withColumn("__end", F.col(order) + h)
-    return walk_forward(rows, folds, ["har_d", "har_w", "har_m"], "__target", lambda: make_estimator("linear"), order, "__end").withColumnRenamed("__target", "target").drop("__end")
-
+    return walk_forward(rows, folds, ["har_d", "har_w", "har_m"], "__target", LeastSquares(0.0), order, "__end").withColumnRenamed("__target", "target").drop("__end")
 
-def model_table(df: DataFrame, folds: DataFrame, specs: Mapping[str, Sequence[str]], target: str, ret: str, raw: Sequence[str] = (), estimator: Callable[[], Estimator] = make_estimator, id: str = "security", period: str = "qi", horizon: int = 1, n: int = 5) -> DataFrame:
-    """spec, is_model and the score row of each feature set, and of raw characteristics on the same test periods."""
-    out, tested = None, None
-    for name, features in specs.items():
-        scored = walk_forward(df, folds, features, target, estimator, period)
-        tested = scored.select(period).distinct() if tested is None else tested
-        row = score_row(scored, "y_pred", target, ret, n, horizon, id, period).select(F.lit(name).alias("spec"), F.lit(True).alias("is_model"), "*")
-        out = row if out is None else out.unionByName(row)
-    for name in raw:
-        sample = df if tested is None else df.join(tested, period, "left_semi")
-        row = score_row(sample, name, target, ret, n, horizon, id, period).select(F.lit(name).alias("spec"), F.lit(False).alias("is_model"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
 
+def scored_specs(df: DataFrame, folds: DataFrame, specs: Mapping[str, Sequence[str]], returns: Mapping[str, tuple[str, int]], raw: Sequence[str] = (), estimator: Callable[[], Estimator] | LeastSquares = LeastSquares(), by: Sequence[str] = (), period: str = "qi", complete: bool = False, min_train: int = 1) -> DataFrame:
+    """Out-of-sample rows of each feature set, and of raw characteristics on the same rows: df, spec, is_model, target, horizon, __y, __ret, y_pred.
 
-def predict_returns(df: DataFrame, folds: DataFrame, features: Sequence[str], horizons: Mapping[str, int], rivals: Sequence[str] = (), id: str = "security", period: str = "qi", estimator: Callable[[], Estimator] = make_estimator) -> DataFrame:
-    """Score rows of models and rivals for each return column (with its horizon)."""
-    out = None
-    for column, h in horizons.items():
-        part = model_table(df, folds, {"model": features}, column, column, rivals, estimator, id, period, h).withColumn("target", F.lit(column))
-        out = part if out is None else out.unionByName(part)
-    return out
+    ``returns`` maps each target to the return that it is graded on and that return's horizon.
+    ``complete`` grades only rows that have all targets and features, so that all are compared on
+    one sample. With least squares all sets, targets and strata come from one pass of sums.
+    """
+    features = list(dict.fromkeys(f for own in specs.values() for f in own))
+    targets, first = list(returns), next(iter(specs))
+    if isinstance(estimator, LeastSquares):
+        scored = walk_forward_linear(df, folds, features, targets, specs, by, estimator.alpha, period, None, min_train)
+    else:
+        parts = [walk_forward(df, folds, own, t, estimator, period).withColumns({"target": F.lit(t), "spec": F.lit(name)}) for t in targets for name, own in specs.items()]
+        scored = parts[0]
+        for more in parts[1:]:
+            scored = scored.unionByName(more)
+    if complete:
+        scored = scored.dropna(subset=list(dict.fromkeys([*targets, *features])))
+    entry = lambda name, model, value: F.struct(F.lit(name).alias("spec") if isinstance(name, str) else name.alias("spec"), F.lit(model).alias("is_model"), value.cast("double").alias("y_pred"))
+    model = entry(F.col("spec"), True, F.col("y_pred"))
+    # a raw characteristic is graded on the rows of the first feature set
+    entries = F.when(F.col("spec") == first, F.array(model, *[entry(f, False, F.col(f)) for f in raw])).otherwise(F.array(model)) if raw else F.array(model)
+    pick = lambda of: F.coalesce(*[F.when(F.col("target") == t, F.col(of(t)).cast("double")) for t in targets])
+    horizon = F.coalesce(*[F.when(F.col("target") == t, F.lit(h)) for t, (_, h) in returns.items()])
+    each = scored.withColumns({"__y": pick(lambda t: t), "__ret": pick(lambda t: returns[t][0]), "horizon": horizon, "__e": F.explode(entries)})
+    return each.drop("spec", "y_pred").select("*", "__e.*").drop("__e")
+
+
+def model_table(df: DataFrame, folds: DataFrame, specs: Mapping[str, Sequence[str]], target: str, ret: str, raw: Sequence[str] = (), estimator: Callable[[], Estimator] | LeastSquares = LeastSquares(), id: str = "security", period: str = "qi", horizon: int = 1, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """by, spec, is_model and the score row of each feature set, and of raw characteristics on the same test rows; strata (``by``) have models and sorts of their own."""
+    rows = scored_specs(df, folds, specs, {target: (ret, horizon)}, raw, estimator, by, period)
+    return score_rows(rows, [*by, "spec", "is_model"], "y_pred", "__y", "__ret", n, horizon, id, period).drop("horizon", "periods")
+
+
+def stratified_table(df: DataFrame, folds: DataFrame, features: Sequence[str], returns: Mapping[str, tuple[str, int]], strata: Sequence[str], pooled: str | None = "all", estimator: LeastSquares = LeastSquares(), id: str = "security", period: str = "qi", n: int = 5, min_train: int = 300, complete: bool = True) -> DataFrame:
+    """strata, target, spec, is_model, horizon and the score row of every stratum: a model of all features, one of each feature, and each raw feature.
+
+    Models, medians and sorts are those of the stratum. ``strata`` may be one column or several, whose
+    combinations are blocks; with ``pooled`` every row also counts in the stratum of that name, and
+    with several columns in the blocks that are pooled over one of them or over all. Folds with fewer
+    than ``min_train`` training rows are left out.
+    """
+    rows = df
+    for s in strata:
+        own = F.col(s).cast("string")
+        rows = rows.withColumn(s, F.explode(F.array(own, F.lit(pooled)))) if pooled is not None else rows.withColumn(s, own)
+    specs = {"model:all": list(features)} | {f"model:{f}": [f] for f in features}
+    raw = {f: f"__raw_{i}" for i, f in enumerate(features)}
+    scored = scored_specs(rows.withColumns({r: F.col(f) for f, r in raw.items()}), folds, specs, returns, list(raw.values()), estimator, strata, period, complete, min_train)
+    named = F.coalesce(*[F.when(F.col("spec") == r, F.lit(f"raw:{f}")) for f, r in raw.items()], F.col("spec"))
+    return score_rows(scored.withColumn("spec", named), [*strata, "target", "spec", "is_model"], "y_pred", "__y", "__ret", n, max(h for _, h in returns.values()), id, period)
+
+
+def predict_returns(df: DataFrame, folds: DataFrame, features: Sequence[str], horizons: Mapping[str, int], rivals: Sequence[str] = (), id: str = "security", period: str = "qi", estimator: Callable[[], Estimator] | LeastSquares = LeastSquares()) -> DataFrame:
+    """target and score rows of models and rivals for each return column (with its horizon)."""
+    rows = scored_specs(df, folds, {"model": features}, {c: (c, h) for c, h in horizons.items()}, rivals, estimator, (), period)
+    return score_rows(rows, ["target", "spec", "is_model"], "y_pred", "__y", "__ret", 5, max(horizons.values()), id, period).drop("horizon", "periods")
 
 
 def ablate(df: DataFrame, folds: DataFrame, features: Sequence[str], groups: Mapping[str, Sequence[str]], target: str, ret: str, **options) -> DataFrame:

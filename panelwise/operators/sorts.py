@@ -168,12 +168,28 @@ def alpha_sort(df: DataFrame, score: str, returns: Sequence[str], n: int = 5, id
 
 def score_row(df: DataFrame, pred: str, target: str, ret: str, n: int = 5, horizon: int = 1, id: str = "security", period: str = PERIOD) -> DataFrame:
     """One row: mean IC and its t, mean spread per period and its t with horizon - 1 lags, rows and fingerprint of the sample."""
-    from .stats import fingerprint, ic_summary
+    row = score_rows(df.withColumn("horizon", F.lit(horizon)), (), pred, target, ret, n, horizon, id, period)
+    return row.select("ic", "ic_t", "spread", "spread_t", "rows", "fingerprint")
 
-    ic = ic_summary(information_coefficient(df, pred, target, [period]), [], "rank_ic", period, horizon - 1).select(F.col("mean").alias("ic"), F.col("t").alias("ic_t"))
-    spread = newey_west(decile_spread(df, pred, ret, n, id, period=period), [], "ret", horizon - 1, period).select((F.col("mean") / horizon).alias("spread"), F.col("t").alias("spread_t"))
-    good = df.filter(F.col(pred).isNotNull() & F.col(target).isNotNull())
-    return ic.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(fingerprint(good, [id, period])))
+
+def score_rows(df: DataFrame, by: Sequence[str], pred: str, target: str, ret: str, n: int = 5, most: int = 1, id: str = "security", period: str = PERIOD) -> DataFrame:
+    """by, horizon, periods, ic, ic_t, spread, spread_t, rows, fingerprint: the score row of every value of ``by``, all in one job.
+
+    Rows have their ``horizon`` (``most`` at most), the number of periods over which ``ret`` runs:
+    the spread is given per period and its t value has horizon - 1 lags.
+    """
+    from .stats import fingerprint
+
+    keys = [*by, "horizon"]
+    ic = newey_west(information_coefficient(df, pred, target, [*keys, period]), keys, "rank_ic", 0, period).select(*keys, F.col("mean").alias("ic"), F.col("t").alias("ic_t"))
+    spreads = decile_spread(df, pred, ret, n, id, keys, period=period)
+    spread = newey_west(spreads, keys, "ret", F.col("horizon") - 1, period, most=most - 1).select(*keys, F.col("n").alias("periods"), (F.col("mean") / F.col("horizon")).alias("spread"), F.col("t").alias("spread_t"))
+    sample = fingerprint(df.filter(F.col(pred).isNotNull() & F.col(target).isNotNull()), [id, period], keys)
+    out = sample
+    for part in (ic, spread):
+        part = part.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in part.columns if c not in keys])
+        out = out.join(part, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left").drop(*[f"__{k}" for k in keys])
+    return out.select(*keys, "periods", "ic", "ic_t", "spread", "spread_t", "rows", "fingerprint")
 
 
 def _cumulative(fund_returns: DataFrame, hmax: int, start: int, fund: str, period: str, category: Sequence[str]) -> DataFrame:

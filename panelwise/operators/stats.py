@@ -244,10 +244,10 @@ def matrix(df: DataFrame, rows: str, column: str, values: Sequence, cell: Column
     return df.groupBy(rows).pivot(column, list(values)).agg(cell)
 
 
-def fingerprint(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """rows and a hash of the sample that does not depend on its order (md5 words summed modulo 2 ** 32)."""
+def fingerprint(df: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, rows and a hash of the sample that does not depend on its order (md5 words summed modulo 2 ** 32)."""
     word = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count("*").alias("rows"), F.pmod(F.sum(word), F.lit(1 << 32)).cast("bigint").alias("fingerprint"))
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.pmod(F.sum(word), F.lit(1 << 32)).cast("bigint").alias("fingerprint"))
 
 
 def bin_summary(df: DataFrame, column: str, edges: Sequence[float], value: str) -> DataFrame:

@@ -9,11 +9,12 @@ from ..functions import arrays as X
 from ..functions import columns as C
 from ..operators import arrays as A
 from ..operators import backtest as B
-from ..operators import clean, folds, joins, lags, model, regime, rolling, sorts, stats
+from ..operators import clean, folds, joins, lags, linear, model, regime, rolling, sorts, stats, xsec
 from ..operators import holdings as H
 from ..sources import io
 from ..streaming import incremental
-from .queries_signals import perf, perf_sql
+from .model_sql import FOLDS, least_squares_sql, score_rows_sql
+from .queries_signals import bucketed_sql, perf, perf_sql
 from .registry import query, rounded
 
 _N = "with d as (select day, cast(row_number() over (order by day) - 1 as int) as date_no from (select distinct day from {daily})), x as (select security, day, ret, turnover, market_cap, date_no from {daily} join d using (day))"
@@ -379,12 +380,23 @@ def _(p):
     return joins.stack([f.withColumn("kind", F.lit(k)) for k, f in (("quarter", _folds(p)), ("month", months), ("period", periods))])
 
 
-@query("m2_walk_forward_ridge")
+_M2 = ["trades", "tax", "frac_buy"]
+
+
+@query("m2_walk_forward_ridge", f"with {FOLDS}, " + least_squares_sql("p", "{sql_panel}", "folds", _M2, "fwd_1q", 1.0) + """
+    select cast(fold as int) as fold, count(*) as n, round(avg(abs(fwd_1q - y_pred)), 4) as mae, round(sqrt(avg((fwd_1q - y_pred) ** 2)), 4) as rmse, round(1 - sum((fwd_1q - y_pred) ** 2) / nullif(var_pop(fwd_1q) * count(*), 0), 4) as r2, round(stddev_pop(abs(fwd_1q - y_pred)), 4) as std_abs from p where fwd_1q is not null group by fold""")
 def _(p):
-    out = model.walk_forward(_model_panel(p), _folds(p), ["trades", "tax", "frac_buy"], "fwd_1q")
+    out = model.walk_forward(_model_panel(p), _folds(p), _M2, "fwd_1q")
     return rounded(stats.regression_metrics(out, "fwd_1q", "y_pred", ["fold"]), 4)
 
 
+@query("m2_coefficients", f"with {FOLDS}, " + least_squares_sql("p", "{sql_panel}", "folds", _M2, "fwd_1q", 1.0) + """
+    select cast(fold as int) as fold, round(w0 / s0, 9) as trades, round(w1 / s1, 6) as tax, round(w2 / s2, 7) as frac_buy, round(my - w0 * m0 / s0 - w1 * m1 / s1 - w2 * m2 / s2, 7) as intercept from p_w0 join p_m using (fold)""")
+def _(p):
+    fitted = linear.fit_folds(_model_panel(p), _folds(p), _M2, ["fwd_1q"])
+    return fitted.select("fold", *[F.round(F.get("coef", F.lit(i)), d).alias(c) for i, (c, d) in enumerate(zip(_M2, (9, 6, 7)))], F.round("intercept", 7).alias("intercept"))
+
+
 @query("m4_walk_forward_class")
 def _(p):
     x = _model_panel(p).withColumn("label", C.trade_label("fwd_1q", 0.001)).withColumn("can_sell", F.col("trades") > 1)
@@ -392,7 +404,11 @@ def _(p):
     return rounded(out.filter("label is not null").groupBy("fold").agg(F.avg((F.col("pred") == F.col("label")).cast("int")).alias("precision"), F.count("*").alias("n")), 4)
 
 
-@query("m5_har")
+@query("m5_har", """with s as (select level, cast(day - date '1995-01-01' as int) as t from {market}),
+    h as (select level, t, avg(level) over (order by t rows between 4 preceding and current row) as har_w, avg(level) over (order by t rows between 21 preceding and current row) as har_m, count(*) over (order by t) as k, lead(level, 5) over (order by t) as target, t + 5 as e from s),
+    rows_ as (select level as har_d, har_w, har_m, target, t, e from h where k >= 22), edge as (select min(t) as lo, max(t) as hi from s),
+    folds as (select 0 as fold, lo as train_lo, lo + (hi - lo) * 2 // 3 - 1 as train_hi, lo + (hi - lo) * 2 // 3 as test_lo, hi as test_hi from edge), """ + least_squares_sql("p", "rows_", "folds", ["har_d", "har_w", "har_m"], "target", 0.0, "t", "e") + """
+    select cast(fold as int) as fold, count(*) as n, round(avg(abs(target - y_pred)), 2) as mae, round(sqrt(avg((target - y_pred) ** 2)), 2) as rmse, round(1 - sum((target - y_pred) ** 2) / nullif(var_pop(target) * count(*), 0), 2) as r2, round(stddev_pop(abs(target - y_pred)), 2) as std_abs from p where target is not null group by fold""")
 def _(p):
     series = p["market"].select(F.lit("m").alias("k"), "level", F.datediff("day", F.lit("1995-01-01")).alias("t"))
     lo, hi = series.agg(F.min("t"), F.max("t")).first()
@@ -400,16 +416,45 @@ def _(p):
     return rounded(stats.regression_metrics(model.har(series, ["k"], "level", "t", 5, f), "target", "y_pred", ["fold"]), 2)
 
 
-@query("m6_model_table")
+def _specs_sql(specs: dict, target: str, ret: str, raw=(), alpha: float = 1.0) -> str:
+    """CTEs: ``scored`` has spec, is_model, security, qi, y_pred, y and ret of every feature set and of raw characteristics."""
+    fits = ", ".join(least_squares_sql(f"p{i}", "{sql_panel}", "folds", own, target, alpha) for i, own in enumerate(specs.values()))
+    parts = [f"select '{name}' as spec, true as is_model, security, qi, y_pred, {target} as y, {ret} as ret from p{i}" for i, name in enumerate(specs)]
+    parts += [f"select '{r}', false, security, qi, cast({r} as double), {target}, {ret} from p0" for r in raw]
+    return f"{fits}, scored as ({' union all '.join(parts)})"
+
+
+_SCORES = "round(ic, 4) as ic, round(ic_t, 4) as ic_t, round(spread, 4) as spread, round(spread_t, 4) as spread_t, rows, fingerprint"
+_M6 = {"size": ["market_cap"], "all": ["trades", "tax", "frac_buy", "net_buy"]}
+
+
+@query("m6_model_table", f"with {FOLDS}, {_specs_sql(_M6, 'fwd_1q', 'fwd_1q', ['trades'])}, " + score_rows_sql("scored", "spec, is_model") + f" select spec, is_model, {_SCORES} from scores")
 def _(p):
-    specs = {"size": ["market_cap"], "all": ["trades", "tax", "frac_buy", "net_buy"]}
-    return rounded(model.model_table(_model_panel(p), _folds(p), specs, "fwd_1q", "fwd_1q", ["trades"]), 4)
+    return rounded(model.model_table(_model_panel(p), _folds(p), _M6, "fwd_1q", "fwd_1q", ["trades"]), 4)
 
 
-@query("m7_predict_returns")
+_M6_STRATA = ["trades", "ret"]
+_SIZED = bucketed_sql("{sql_panel}", "market_cap", 2, "size", "market_cap is not null")
+
+
+@query("m6_strata", f"with {FOLDS}, b as ({_SIZED}), s as (select security, qi, trades, ret, fwd_1q, cast(size as varchar) as size from b union all select security, qi, trades, ret, fwd_1q, 'all' from b), "
+       + ", ".join(least_squares_sql(f"p{i}", "s", "folds", own, "fwd_1q", 1.0, by="size") for i, own in enumerate([_M6_STRATA, *[[f] for f in _M6_STRATA]]))
+       + ", scored as (" + " union all ".join(["select size, 'model:all' as spec, true as is_model, security, qi, y_pred, fwd_1q as y, fwd_1q as ret, trades as t, ret as r from p0", *[f"select size, 'model:{f}', true, security, qi, y_pred, fwd_1q, fwd_1q, trades, ret from p{i + 1}" for i, f in enumerate(_M6_STRATA)], *[f"select size, 'raw:{f}', false, security, qi, cast({f} as double), fwd_1q, fwd_1q, trades, ret from p0" for f in _M6_STRATA]])
+       + "), whole as (select * from scored where y is not null and t is not null and r is not null), " + score_rows_sql("whole", "size, spec, is_model") + f" select size, 'fwd_1q' as target, spec, is_model, 1 as horizon, periods, {_SCORES} from scores")
+def _(p):
+    sized = xsec.bucket(p.panel.filter("market_cap is not null").select("security", "qi", "trades", "ret", "market_cap", "fwd_1q"), "market_cap", 2, ["qi"], "security", name="size", complete=True)
+    return rounded(model.stratified_table(sized, _folds(p), _M6_STRATA, {"fwd_1q": ("fwd_1q", 1)}, ["size"], min_train=1), 4)
+
+
+_M7 = {"model": ["trades", "tax", "frac_buy"]}
+
+
+@query("m7_predict_returns", f"with {FOLDS}, " + ", ".join(least_squares_sql(f"p{h}", "{sql_panel}", "folds", _M7["model"], f"fwd_{h}q", 1.0) for h in (1, 2))
+       + ", scored as (" + " union all ".join(f"select 'fwd_{h}q' as target, {h} as h, 'model' as spec, true as is_model, security, qi, y_pred, fwd_{h}q as y, fwd_{h}q as ret from p{h} union all select 'fwd_{h}q', {h}, 'trades', false, security, qi, cast(trades as double), fwd_{h}q, fwd_{h}q from p{h}" for h in (1, 2))
+       + "), " + score_rows_sql("scored", "target, spec, is_model", ("case when target = 'fwd_2q' then 1 else 0 end", 1), "case when target = 'fwd_2q' then 2 else 1 end") + f" select target, spec, is_model, {_SCORES} from scores")
 def _(p):
     x = p.panel.withColumn("trades", F.col("trades").cast("double"))
-    return rounded(model.predict_returns(x, _folds(p), ["trades", "tax", "frac_buy"], {"fwd_1q": 1, "fwd_2q": 2}, ["trades"]), 4)
+    return rounded(model.predict_returns(x, _folds(p), _M7["model"], {"fwd_1q": 1, "fwd_2q": 2}, ["trades"]), 4)
 
 
 @query("m8_permutation_importance")
@@ -429,16 +474,19 @@ def _(p):
 def _(p):
     x, out = _model_panel(p), None
     for kind, options in (("ridge", {}), ("linear", {}), ("huber", {"maxIter": 20}), ("boosting", {"maxIter": 3}), ("forest", {"numTrees": 5})):
-        scored = model.walk_forward(x, _folds(p), ["trades", "tax"], "fwd_1q", lambda kind=kind, options=options: model.make_estimator(kind, **options))
+        scored = model.walk_forward(x, _folds(p), ["trades", "tax"], "fwd_1q", model.learner(kind, **options))
         part = stats.regression_metrics(scored, "fwd_1q", "y_pred").withColumn("kind", F.lit(kind))
         out = part if out is None else out.unionByName(part)
     return rounded(out, 4)
 
 
-@query("m9_ablate")
+_M9 = {"all": ["trades", "tax", "frac_buy", "net_buy", "market_cap"], "without_flow": ["trades", "tax", "market_cap"], "without_size": ["trades", "tax", "frac_buy", "net_buy"]}
+
+
+@query("m9_ablate", f"with {FOLDS}, {_specs_sql(_M9, 'fwd_1q', 'fwd_1q')}, " + score_rows_sql("scored", "spec, is_model") + f" select spec, is_model, {_SCORES} from scores")
 def _(p):
     groups = {"flow": ["frac_buy", "net_buy"], "size": ["market_cap"]}
-    return rounded(model.ablate(_model_panel(p), _folds(p), ["trades", "tax", "frac_buy", "net_buy", "market_cap"], groups, "fwd_1q", "fwd_1q"), 4)
+    return rounded(model.ablate(_model_panel(p), _folds(p), _M9["all"], groups, "fwd_1q", "fwd_1q"), 4)
 
 
 @query("m10_bucketed_walk_forward")
