@@ -201,3 +201,25 @@ def walk_forward_linear(df: DataFrame, folds: DataFrame, features: Sequence[str]
     value = lambda j, f: F.coalesce(F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")), F.get("__ls.medians", F.lit(j)))
     score = sum((F.get("__ls.coef", F.lit(j)) * value(j, f) for j, f in enumerate(features)), F.col("__ls.intercept"))
     return joined.withColumns({names[0]: F.col("__ls.target"), names[1]: F.col("__ls.spec"), "y_pred": score}).drop("__ls")
+
+
+class FittedLinear(NamedTuple):
+    """One least-squares model; ``transform`` adds ``y_pred`` by an expression of its few numbers."""
+
+    features: list[str]
+    intercept: float
+    coef: list[float]
+    medians: list[float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        value = lambda f, m: F.coalesce(F.nanvl(F.col(f"`{f}`").cast("double"), F.lit(None).cast("double")), F.lit(float(m)))
+        return df.withColumn("y_pred", sum((float(c) * value(f, m) for f, c, m in zip(self.features, self.coef, self.medians)), F.lit(float(self.intercept))))
+
+
+def fit_linear(df: DataFrame, features: Sequence[str], target: str, alpha: float = 1.0) -> FittedLinear:
+    """Least squares on all rows of ``df`` that have the target."""
+    whole = df.sparkSession.createDataFrame([(0, 0, 0)], "fold int, train_lo int, train_hi int")
+    row = fit_folds(df.withColumn("__all", F.lit(0)), whole, features, [target], None, (), alpha, "__all").first()
+    if row is None:
+        raise ValueError("no training rows")
+    return FittedLinear(list(features), row["intercept"], list(row["coef"]), list(row["medians"]))

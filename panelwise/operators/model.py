@@ -17,7 +17,7 @@ from .joins import assign_folds
 from .linear import LeastSquares, walk_forward_linear
 from .rolling import har_features
 from .sorts import apply_feasibility, score_rows
-from .stats import ic_summary, information_coefficient
+from .stats import information_coefficient
 from .xsec import pct_bucket
 
 
@@ -182,24 +182,27 @@ def ablate(df: DataFrame, folds: DataFrame, features: Sequence[str], groups: Map
     return model_table(df, folds, {k: v for k, v in specs.items() if v}, target, ret, **options)
 
 
-def permutation_importance(model, df: DataFrame, features: Sequence[str], target: str, period: str = "qi", id: Sequence[str] = ("security",), seed: int = 0) -> DataFrame:
-    """feature, base_ic, shuffled_ic, importance: the drop in mean rank correlation when a feature is shuffled within its period.
+def permutation_importance(model, df: DataFrame, features: Sequence[str], target: str, period: str = "qi", id: Sequence[str] = ("security",), seed: int = 0, repeats: int = 1) -> DataFrame:
+    """feature, base_ic, shuffled_ic, importance: the drop in mean rank correlation when a feature is shuffled within its period, on average over ``repeats`` shuffles.
 
     Shuffling gives each row the value of the row at another random place of the period, by md5 of
-    seed and id, so that a rerun gives the same result.
+    seed and id, so that a rerun gives the same result. One window places all rows, each row meets
+    its donor once, and the rows with one feature replaced go through ``model`` together with the
+    rows as they are: one job, whatever the number of features.
     """
-
-    def mean_ic(rows: DataFrame) -> DataFrame:
-        return ic_summary(information_coefficient(model.transform(rows), "y_pred", target, [period]), [], "rank_ic", period).select(F.col("mean").alias("ic"))
-
-    base, out = mean_ic(df), None
-    place = lambda tag: F.row_number().over(W.partitionBy(period).orderBy(F.md5(F.concat_ws(":", F.lit(f"{seed}{tag}"), *[F.col(c).cast("string") for c in id]))))
-    for f in features:
-        donors = df.select(period, *id, F.col(f).alias("__v")).withColumn("__k", place("a")).select(period, "__k", "__v")
-        shuffled = df.withColumn("__k", place("b")).join(donors, [period, "__k"]).withColumn(f, F.col("__v")).drop("__k", "__v")
-        row = base.select(F.col("ic").alias("base_ic")).crossJoin(mean_ic(shuffled).select(F.col("ic").alias("shuffled_ic"))).select(F.lit(f).alias("feature"), "base_ic", "shuffled_ic", (F.col("base_ic") - F.col("shuffled_ic")).alias("importance"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    tagged = lambda tag: F.md5(F.concat_ws(":", F.concat((F.col("__rep") + seed).cast("string"), F.lit(tag)), *[F.col(c).cast("string") for c in id]))
+    place = lambda tag: F.row_number().over(W.partitionBy("__rep", period).orderBy(tagged(tag)))
+    each = df.withColumn("__rep", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    placed = each.withColumns({"__from": place("a"), "__to": place("b")})
+    donors = placed.select("__rep", period, F.col("__from").alias("__to"), F.struct(*[F.col(f) for f in features]).alias("__donor"))
+    variants = F.explode(F.array(F.lit(""), *[F.lit(f) for f in features]))
+    both = placed.join(donors, ["__rep", period, "__to"]).withColumn("__variant", variants).filter("__variant <> '' or __rep = 0")
+    swapped = both.withColumns({f: F.when(F.col("__variant") == f, F.col(f"__donor.{f}")).otherwise(F.col(f)) for f in features}).drop("__donor", "__from", "__to")
+    ic = information_coefficient(model.transform(swapped), "y_pred", target, ["__variant", "__rep", period])
+    means = ic.groupBy("__variant", "__rep").agg(F.avg("rank_ic").alias("ic")).groupBy("__variant").agg(F.avg("ic").alias("ic"))
+    base = means.filter("__variant = ''").select(F.col("ic").alias("base_ic"))
+    out = means.filter("__variant <> ''").crossJoin(F.broadcast(base))
+    return out.select(F.col("__variant").alias("feature"), "base_ic", F.col("ic").alias("shuffled_ic"), (F.col("base_ic") - F.col("ic")).alias("importance"))
 
 
 def gain_importance(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, estimator: Callable[[], Estimator], period: str = "qi") -> DataFrame:

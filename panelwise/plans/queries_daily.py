@@ -13,7 +13,7 @@ from ..operators import clean, folds, joins, lags, linear, model, regime, rollin
 from ..operators import holdings as H
 from ..sources import io
 from ..streaming import incremental
-from .model_sql import FOLDS, least_squares_sql, score_rows_sql
+from .model_sql import FOLDS, ic_sql, least_squares_sql, score_rows_sql
 from .queries_signals import bucketed_sql, perf, perf_sql
 from .registry import query, rounded
 
@@ -464,6 +464,22 @@ def _(p):
     return rounded(model.permutation_importance(fitted, x.filter("qi >= 7995").drop("__y"), ["trades", "tax", "frac_buy"], "fwd_1q"), 4)
 
 
+_M8_SCORE = "my + w0 * (f0 - m0) / s0 + w1 * (f1 - m1) / s1 + w2 * (f2 - m2) / s2"
+
+
+@query("m8_permutation_linear", "with folds as (select 0 as fold, 0 as train_lo, 7994 as train_hi, 7995 as test_lo, 99999 as test_hi), " + least_squares_sql("p", "{sql_panel}", "folds", _M2, "fwd_1q", 1.0) + """,
+    r as (select k as rep, security, qi, trades, tax, frac_buy, fwd_1q from {sql_panel}, range(2) t(k) where qi >= 7995 and fwd_1q is not null),
+    o as (select *, row_number() over (partition by rep, qi order by md5((3 + rep) || 'a:' || security)) as gives, row_number() over (partition by rep, qi order by md5((3 + rep) || 'b:' || security)) as takes from r),
+    d as (select o.rep, o.qi, o.security, o.fwd_1q, o.trades as t0, o.tax as t1, o.frac_buy as t2, g.trades as g0, g.tax as g1, g.frac_buy as g2 from o join o g on o.rep = g.rep and o.qi = g.qi and o.takes = g.gives),
+    v as (select '' as feature, rep, qi, fwd_1q, t0 as f0, t1 as f1, t2 as f2 from d where rep = 0 union all select 'trades', rep, qi, fwd_1q, g0, t1, t2 from d union all select 'tax', rep, qi, fwd_1q, t0, g1, t2 from d union all select 'frac_buy', rep, qi, fwd_1q, t0, t1, g2 from d),
+    s as (select feature, rep, qi, fwd_1q, """ + _M8_SCORE + " as y_pred from v, p_w0 join p_m using (fold)), ic as (" + ic_sql("s", "feature, rep, qi", "y_pred", "fwd_1q") + """), a as (select feature, avg(x) as ic from (select feature, rep, avg(rank_ic) as x from ic group by feature, rep) y group by feature)
+    select a.feature, round(b.ic, 6) as base_ic, round(a.ic, 6) as shuffled_ic, round(b.ic - a.ic, 6) as importance from a, a b where b.feature = '' and a.feature <> ''""")
+def _(p):
+    x = _model_panel(p).filter("fwd_1q is not null")
+    fitted = linear.fit_linear(x.filter("qi < 7995"), _M2, "fwd_1q")
+    return rounded(model.permutation_importance(fitted, x.filter("qi >= 7995"), _M2, "fwd_1q", seed=3, repeats=2))
+
+
 @query("m8_gain_importance")
 def _(p):
     boosting = lambda: model.make_estimator("boosting", maxIter=5)
@@ -480,6 +496,13 @@ def _(p):
     return rounded(out, 4)
 
 
+@query("m3_least_squares", f"with {FOLDS}, " + ", ".join(least_squares_sql(f"p{i}", "{sql_panel}", "folds", ["trades", "tax"], "fwd_1q", alpha) for i, alpha in enumerate((1.0, 0.0)))
+       + " " + " union all ".join(f"select '{kind}' as kind, count(*) as n, round(avg(abs(fwd_1q - y_pred)), 5) as mae, round(sqrt(avg((fwd_1q - y_pred) ** 2)), 5) as rmse, round(1 - sum((fwd_1q - y_pred) ** 2) / nullif(var_pop(fwd_1q) * count(*), 0), 5) as r2, round(stddev_pop(abs(fwd_1q - y_pred)), 5) as std_abs from p{i} where fwd_1q is not null" for i, kind in enumerate(("ridge", "linear"))))
+def _(p):
+    kinds = [stats.regression_metrics(model.walk_forward(_model_panel(p), _folds(p), ["trades", "tax"], "fwd_1q", model.learner(kind)), "fwd_1q", "y_pred").withColumn("kind", F.lit(kind)) for kind in ("ridge", "linear")]
+    return rounded(joins.stack(kinds), 5)
+
+
 _M9 = {"all": ["trades", "tax", "frac_buy", "net_buy", "market_cap"], "without_flow": ["trades", "tax", "market_cap"], "without_size": ["trades", "tax", "frac_buy", "net_buy"]}
 
 

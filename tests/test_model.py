@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from panelwise.operators import folds, model
+from panelwise.operators import folds, linear, model
 
 
 def _panel(spark, periods=12, names=30):
@@ -50,3 +50,17 @@ def test_importance_finds_the_feature_that_matters(spark):
     fitted = model.feature_pipeline(["a", "b"], model.make_estimator("linear", label="y")).fit(df)
     drop = {r.feature: r.importance for r in model.permutation_importance(fitted, df, ["a", "b"], "y").collect()}
     assert drop["a"] > 0.5 > abs(drop["b"])
+
+
+def test_importance_takes_one_job_for_any_number_of_features(spark):
+    _, df = _panel(spark, 8)
+    wide = df.selectExpr("*", *[f"a * {k} + b as f{k}" for k in range(6)])
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for k, features in enumerate((["a"], ["a", *[f"f{k}" for k in range(6)]])):
+        fitted = linear.fit_linear(wide, features, "y")
+        spark.sparkContext.setJobGroup(f"importance{k}", "")
+        got = model.permutation_importance(fitted, wide, features, "y", repeats=2).collect()
+        counts.append(len(tracker.getJobIdsForGroup(f"importance{k}")))
+        assert {r.feature for r in got} == set(features)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert counts[0] == counts[1]
