@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.arrays import is_complete
 from .clean import whole_quantile
-from .joins import asof_series
+from .joins import asof_series, assign_folds
 from .lags import month_end
+from .linear import borders, over_folds, product_sums, stretch, unpacked
 
 
 def read_array_panel(df: DataFrame, column: str, n: int, entity: str, date: str) -> DataFrame:
@@ -94,6 +99,71 @@ def _times(weight):
     return body
 
 
+class LowRank(NamedTuple):
+    """What a fold's training rows say of the cells: mean, deviation (1 without spread), all eigenvalues and the first axes (k x n) of the standardised cells."""
+
+    mean: np.ndarray
+    sd: np.ndarray
+    eigenvalues: np.ndarray
+    axes: np.ndarray
+    n: int
+
+
+def fold_axes(df: DataFrame, folds: DataFrame, column: str, n: int, k: int, period: str, label_end: str | None = None, scale: bool = True) -> dict[int, LowRank]:
+    """Principal axes of each fold's training rows, from sums of the cells' products by stretch of time: the panel is read once for all folds.
+
+    Rows that do not have ``n`` finite cells are left out. What comes to the driver are n * (n + 3) / 2
+    sums a fold. Folds without training rows have no entry.
+    """
+    points, spans = borders(folds)
+    span = df.sparkSession.createDataFrame(spans, "fold int, first int, beyond int")
+    rows = df.filter(is_complete(F.col(column), n)).select(stretch(period, points).alias("seg"), stretch(label_end or period, points).alias("seg_end"), F.col(column).cast("array<double>").alias("x"))
+
+    def build(batch: pa.RecordBatch):
+        cells = np.asarray(batch.column(2).flatten(), np.float64).reshape(len(batch), n)
+        return lambda at: [(0, np.column_stack([cells[at], np.ones(len(at))]))]
+
+    found = {}
+    for row in over_folds(product_sums(rows, ["seg", "seg_end"], build), span, []).collect():
+        g = unpacked(np.asarray(row["sums"]))
+        count = g[n, n]
+        mean = g[:n, n] / count
+        cov = g[:n, :n] / count - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0.0)) if scale else np.ones(n)
+        sd[sd < 1e-8] = 1.0
+        values, vectors = np.linalg.eigh(cov / np.outer(sd, sd))
+        found[row["fold"]] = LowRank(mean, sd, np.maximum(values[::-1], 0.0), vectors[:, ::-1][:, :k].T, round(count))
+    return found
+
+
+def denoise_folds(df: DataFrame, folds: DataFrame, column: str, n: int, k: int, period: str, label_end: str | None = None, scale: bool = True) -> DataFrame:
+    """The test rows of every fold with ``fold``, ``<column>_low`` (rank-``k`` reconstruction from the fold's training rows alone) and ``recon_rmse``.
+
+    One pass makes the sums of all folds and one scores the rows; a fold's axes reach the tasks in a
+    broadcast of folds * n * (k + 3) numbers. Rows without ``n`` finite cells are left out.
+    """
+    fitted = fold_axes(df, folds, column, n, k, period, label_end, scale)
+    tests = assign_folds(df.filter(is_complete(F.col(column), n)), folds.select("fold", F.lit(1).alias("train_lo"), F.lit(0).alias("train_hi"), F.lit(1).alias("valid_lo"), F.lit(0).alias("valid_hi"), "test_lo", "test_hi"), period).drop("role")
+    sent = df.sparkSession.sparkContext.broadcast(fitted)
+    schema = StructType([*tests.schema.fields, StructField(f"{column}_low", ArrayType(DoubleType())), StructField("recon_rmse", DoubleType())])
+    at, of = tests.columns.index(column), tests.columns.index("fold")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.asarray(batch.column(at).flatten(), np.float64).reshape(len(batch), n)
+            fold, low = np.asarray(batch.column(of)), np.full((len(batch), n), np.nan)
+            for f in np.unique(fold):
+                if (own := sent.value.get(int(f))) is not None:
+                    z = (cells[fold == f] - own.mean) / own.sd
+                    low[fold == f] = z @ own.axes.T @ own.axes * own.sd + own.mean
+            known = np.array([int(f) in sent.value for f in fold], bool)
+            error = np.sqrt(((cells - low) ** 2).mean(1))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * n, pa.int32()), pa.array(low.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(error)], names=[f.name for f in schema.fields]).filter(pa.array(known))
+
+    return tests.mapInArrow(run, schema)
+
+
 def impute_cells(df: DataFrame, column: str, period: str) -> DataFrame:
     """Fills null and NaN cells with the median of the same cell in the period."""
     cells = df.select(period, F.posexplode(column).alias("__i", "__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))

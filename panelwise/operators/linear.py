@@ -10,7 +10,7 @@ small solutions: the panel is read a fixed number of times and nothing is fitted
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -31,75 +31,100 @@ class LeastSquares(NamedTuple):
     alpha: float = 1.0
 
 
-def _borders(folds: DataFrame) -> tuple[list[int], list[tuple]]:
+def borders(folds: DataFrame) -> tuple[list[int], list[tuple]]:
     """Where stretches begin, and (fold, first, beyond) by number of stretch of each fold's training range."""
     rows = [(r["fold"], r["train_lo"], r["train_hi"] + 1) for r in folds.select("fold", "train_lo", "train_hi").collect()]
     points = sorted({x for _, a, b in rows for x in (a, b)})
     return points, [(f, points.index(a) + 1, points.index(b) + 1) for f, a, b in rows]
 
 
-def _stretch(column: str, points: Sequence[int]) -> Column:
+def stretch(column: str, points: Sequence[int]) -> Column:
     """Number of borders at or before a period."""
     return sum(((F.col(column) >= p).cast("int") for p in points[1:]), (F.col(column) >= points[0]).cast("int"))
 
 
-def _upper(width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(width)
+def product_sums(rows: DataFrame, keys: Sequence[str], build: Callable[[pa.RecordBatch], Callable[[np.ndarray], Iterable[tuple[int, np.ndarray]]]]) -> DataFrame:
+    """keys, t, i, v: sums over the rows of each key of the products z'z, upper triangle, of matrices z with tag t.
 
-
-def gram_sums(df: DataFrame, points: Sequence[int], features: Sequence[str], targets: Sequence[str], by: Sequence[str] = (), period: str = "qi", label_end: str | None = None) -> DataFrame:
-    """by, target, seg, seg_end, i, v: sums of the products of the columns (v, m, 1, y), upper triangle, over rows of a stretch whose target is there.
-
-    Rows of a batch are multiplied as matrices; sums of equal keys are added up by Spark. NaN counts as missing.
+    ``keys`` are the first columns of ``rows``. ``build`` takes a batch and gives a function from row
+    numbers of one key to tagged matrices. A task multiplies matrices and holds the sums of its keys
+    up to ``HELD`` bytes; Spark adds up what tasks give.
     """
-    by, features, targets = list(by), list(features), list(targets)
-    number = lambda c: F.col(c).cast("double")
-    keys = [*by, "seg", "seg_end"]
-    rows = df.select(*by, _stretch(period, points).alias("seg"), _stretch(label_end or period, points).alias("seg_end"), *[number(f).alias(f"x{i}") for i, f in enumerate(features)], *[number(t).alias(f"y{i}") for i, t in enumerate(targets)])
-    p, width = len(features), 2 * len(features) + 2
-    upper = _upper(width)
+    names = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
+        kinds = None
 
         def flush():
             ids = list(held)
-            n = len(upper[0])
-            arrays = [pa.array([k[c] for k in ids for _ in range(n)], kinds[c]) for c in range(len(keys))]
-            arrays += [pa.array(np.repeat([k[-1] for k in ids], n), pa.int32()), pa.array(np.tile(np.arange(n), len(ids)), pa.int32()), pa.array(np.concatenate([held[k] for k in ids]))]
+            sizes = [len(held[k]) for k in ids]
+            arrays = [pa.array([k[c] for k, n in zip(ids, sizes) for _ in range(n)], kinds[c]) for c in range(len(names))]
+            arrays += [pa.array(np.repeat([k[-1] for k in ids], sizes), pa.int32()), pa.array(np.concatenate([np.arange(n) for n in sizes]), pa.int32()), pa.array(np.concatenate([held[k] for k in ids]))]
             held.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=[*keys, "t", "i", "v"])
+            return pa.RecordBatch.from_arrays(arrays, names=[*names, "t", "i", "v"])
 
-        kinds = None
         for batch in batches:
-            kinds = [f.type for f in batch.schema][: len(keys)]
-            values = np.column_stack([batch.column(len(keys) + k).to_numpy(zero_copy_only=False) for k in range(p + len(targets))]).astype(np.float64)
+            kinds = [f.type for f in batch.schema][: len(names)]
             code = np.zeros(len(batch), np.int64)
-            for k in range(len(keys)):
+            for k in range(len(names)):
                 coded = batch.column(k).dictionary_encode(null_encoding="encode")
                 code = np.unique(code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
             order = np.argsort(code, kind="stable")
             groups = np.split(order, np.flatnonzero(np.diff(code[order])) + 1) if len(order) else []
+            matrices = build(batch)
             for at in groups:
-                name = tuple(batch.column(k)[int(at[0])].as_py() for k in range(len(keys)))
-                x = values[at, :p]
-                m = np.isnan(x)
-                a = np.column_stack([np.where(m, 0.0, x), m, np.ones(len(at))])
-                for t in range(len(targets)):
-                    y = values[at, p + t]
-                    good = ~np.isnan(y)
-                    if good.any():
-                        z = np.column_stack([a[good], y[good]])
-                        key = (*name, t)
-                        held[key] = held.get(key, 0.0) + (z.T @ z)[upper]
-            if len(held) * len(upper[0]) * 8 > HELD:
+                name = tuple(batch.column(k)[int(at[0])].as_py() for k in range(len(names)))
+                for tag, z in matrices(at):
+                    held[*name, tag] = held.get((*name, tag), 0.0) + (z.T @ z)[np.triu_indices(z.shape[1])]
+            if sum(len(v) for v in held.values()) * 8 > HELD:
                 yield flush()
         if held:
             yield flush()
 
-    schema = ", ".join([*[f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by], "seg int, seg_end int, t int, i int, v double"])
-    sums = rows.mapInArrow(run, schema).groupBy(*keys, "t", "i").agg(F.sum("v").alias("v"))
-    return sums.select(*by, F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("t") + 1).alias("target"), "seg", "seg_end", "i", "v")
+    schema = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names], "t int, i int, v double"])
+    return rows.mapInArrow(run, schema).groupBy(*names, "t", "i").agg(F.sum("v").alias("v"))
+
+
+def unpacked(sums: np.ndarray) -> np.ndarray:
+    """The symmetric matrix of an upper triangle."""
+    p = (int(np.sqrt(8 * len(sums) + 1)) - 1) // 2
+    g = np.zeros((p, p))
+    g[np.triu_indices(p)] = sums
+    return g + np.triu(g, 1).T
+
+
+def gram_sums(df: DataFrame, points: Sequence[int], features: Sequence[str], targets: Sequence[str], by: Sequence[str] = (), period: str = "qi", label_end: str | None = None) -> DataFrame:
+    """by, target, seg, seg_end, i, v: sums of the products of the columns (v, m, 1, y) over rows of a stretch whose target is there; NaN counts as missing."""
+    by, features, targets = list(by), list(features), list(targets)
+    number = lambda c: F.col(c).cast("double")
+    keys, p = [*by, "seg", "seg_end"], len(features)
+    rows = df.select(*by, stretch(period, points).alias("seg"), stretch(label_end or period, points).alias("seg_end"), *[number(f).alias(f"x{i}") for i, f in enumerate(features)], *[number(t).alias(f"y{i}") for i, t in enumerate(targets)])
+
+    def build(batch: pa.RecordBatch):
+        values = np.column_stack([batch.column(len(keys) + k).to_numpy(zero_copy_only=False) for k in range(p + len(targets))]).astype(np.float64)
+
+        def matrices(at: np.ndarray):
+            x = values[at, :p]
+            m = np.isnan(x)
+            a = np.column_stack([np.where(m, 0.0, x), m, np.ones(len(at))])
+            for t in range(len(targets)):
+                y = values[at, p + t]
+                good = ~np.isnan(y)
+                if good.any():
+                    yield t, np.column_stack([a[good], y[good]])
+
+        return matrices
+
+    named = F.element_at(F.array(*[F.lit(t) for t in targets]), F.col("t") + 1).alias("target")
+    return product_sums(rows, keys, build).select(*by, named, "seg", "seg_end", "i", "v")
+
+
+def over_folds(sums: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, fold, sums (array): the sums of each fold's stretches."""
+    held = sums.join(F.broadcast(spans), F.col("seg").between(F.col("first"), F.col("beyond") - 1) & (F.col("seg_end") < F.col("beyond")))
+    each = held.groupBy(*keys, "fold", "i").agg(F.sum("v").alias("v"))
+    return each.groupBy(*keys, "fold").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("sums")).select(*keys, "fold", F.col("sums.v").alias("sums"))
 
 
 def fold_medians(df: DataFrame, points: Sequence[int], spans: DataFrame, features: Sequence[str], targets: Sequence[str], by: Sequence[str] = (), period: str = "qi", label_end: str | None = None, k: int = SKETCH) -> DataFrame:
@@ -108,7 +133,7 @@ def fold_medians(df: DataFrame, points: Sequence[int], spans: DataFrame, feature
     A sketch holds all values while they are fewer than about ``k``, so that medians of small tables
     are exact; of two middle values the lower one is taken.
     """
-    seg = [_stretch(period, points).alias("seg"), _stretch(label_end or period, points).alias("seg_end")]
+    seg = [stretch(period, points).alias("seg"), stretch(label_end or period, points).alias("seg_end")]
     value = lambda f, t: F.when(F.col(t).isNotNull() & ~F.isnan(F.col(t).cast("double")) & ~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
     sketches = F.array(*[F.struct(F.lit(t).alias("target"), F.array(*[F.col(f"s{i}_{j}") for j in range(len(features))]).alias("s")) for i, t in enumerate(targets)])
     each = df.groupBy(*by, *seg).agg(*[F.kll_sketch_agg_double(value(f, t), F.lit(k)).alias(f"s{i}_{j}") for i, t in enumerate(targets) for j, f in enumerate(features)])
@@ -125,10 +150,8 @@ def solve(sums: np.ndarray, medians: np.ndarray, chosen: Sequence[int], alpha: f
     Features without spread, and those never seen, have coefficient 0; without a penalty, of equally
     good solutions the shortest one on the standardised scale is taken.
     """
-    p = (int(np.sqrt(8 * len(sums) + 1)) - 1) // 2
-    g = np.zeros((p, p))
-    g[_upper(p)] = sums
-    g = g + np.triu(g, 1).T
+    g = unpacked(sums)
+    p = len(g)
     f = (p - 2) // 2
     # columns of the filled features: v + median * m
     fill = np.zeros((p, f + 2))
@@ -157,15 +180,13 @@ def fit_folds(df: DataFrame, folds: DataFrame, features: Sequence[str], targets:
     """
     features, targets, by = list(features), list(targets), list(by)
     specs = dict(specs or {"all": features})
-    points, spans = _borders(folds)
+    points, spans = borders(folds)
     spark = df.sparkSession
     span = spark.createDataFrame(spans, "fold int, first int, beyond int")
-    stretches = gram_sums(df, points, features, targets, by, period, label_end)
-    held = stretches.join(F.broadcast(span), F.col("seg").between(F.col("first"), F.col("beyond") - 1) & (F.col("seg_end") < F.col("beyond")))
-    sums = held.groupBy(*by, "target", "fold", "i").agg(F.sum("v").alias("v")).groupBy(*by, "target", "fold").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("sums"))
+    sums = over_folds(gram_sums(df, points, features, targets, by, period, label_end), span, [*by, "target"])
     medians = fold_medians(df, points, span, features, targets, by, period, label_end)
     keys = [*by, "target", "fold"]
-    both = sums.alias("a").join(medians.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("a.*", "b.medians").select(*keys, F.col("sums.v").alias("sums"), "medians")
+    both = sums.alias("a").join(medians.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select(*[F.col(f"a.`{k}`") for k in keys], "a.sums", "b.medians")
     chosen = {name: [features.index(f) for f in own] for name, own in specs.items()}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -308,6 +308,18 @@ def _(p):
     return rounded(A.pca_denoise(s.filter("label < 5"), s, "a", 5).groupBy("label").agg(F.avg("recon_rmse").alias("recon_rmse")), 4)
 
 
+@query("g9_denoise_folds", """with c as (select vec_id, label, (select avg(x) from (select unnest(embedding)::double as x)) as c1, (select stddev_pop(x) from (select unnest(embedding)::double as x)) as c2 from {embeddings}),
+    folds as (select i as fold, 0 as train_lo, 2 * i + 3 as train_hi, 2 * i + 4 as test_lo, 2 * i + 5 as test_hi from range(3) t(i)),
+    f as (select fold, avg(c1) as m1, avg(c2) as m2, stddev_pop(c1) as s1, stddev_pop(c2) as s2, case when corr(c1, c2) < 0 then -1 else 1 end as sg from c join folds on label between train_lo and train_hi group by fold),
+    z as (select vec_id, fold, c1, c2, m1, m2, s1, s2, sg, ((c1 - m1) / s1 + sg * (c2 - m2) / s2) / 2 as w from c join folds on label between test_lo and test_hi join f using (fold))
+    select vec_id, fold::int as fold, round(m1 + s1 * w, 6) as level, round(m2 + s2 * sg * w, 6) as dispersion, round(sqrt(((c1 - m1 - s1 * w) ** 2 + (c2 - m2 - s2 * sg * w) ** 2) / 2), 6) as recon_rmse from z""")
+def _(p):
+    pairs = _surface(p).select("vec_id", F.col("label").cast("int").alias("label"), X.surface_stats(F.col("a")).alias("s")).select("vec_id", "label", F.array("s.level", "s.dispersion").alias("a"))
+    schedule = folds.period_folds(p.spark, list(range(10)), "expanding", 4, 2)
+    out = A.denoise_folds(pairs, schedule, "a", 2, 1, "label")
+    return rounded(out.select("vec_id", "fold", F.col("a_low")[0].alias("level"), F.col("a_low")[1].alias("dispersion"), "recon_rmse"))
+
+
 @query("g10_impute_cells", _S + """, h as (select vec_id, label, i, case when (vec_id + i) % 11 <> 0 then x end as x from e), m as (select label, i, quantile_cont(x, 0.5) as m from h where x is not null group by label, i) select vec_id, round(sum(coalesce(x, m)), 6) as total from h left join m using (label, i) group by vec_id""")
 def _(p):
     holes = F.transform("a", lambda x, i: F.when((F.col("vec_id") + i + 1) % 11 != 0, x))
