@@ -31,7 +31,7 @@ class Patterns:
     items. Shift tables have eight cells or more for each pattern, so that most stay free.
     """
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
         self.names = [name for name, _ in items]
         body, offsets = buffer_of(pa.array([text for _, text in items], pa.large_string()))
         self.low = LETTERED[body]
@@ -104,7 +104,7 @@ class Patterns:
 
 def _pieces(benchmark: DataFrame, window: int, longest: int) -> DataFrame:
     """item_id (string), text, words: the items, those of more than ``longest`` words in pieces that overlap by a window less one word."""
-    texts = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    texts = benchmark.filter("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     split = F.filter(F.split("text", BETWEEN), lambda x: x != "")
     counted = texts.withColumn("words", F.size(split))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("words") - window + 1), F.lit(longest))
@@ -117,7 +117,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     Items reach the workers in broadcasts of about ``most_words`` words, some 40 MB; a larger
     benchmark is searched in several passes whose results are merged by row, so that no broadcast
-    grows with it. Items without an id or without words find nothing.
+    grows with it. Items without an id mark words but are in no list; items without words find nothing.
     """
     pieces = _pieces(benchmark, window, max(1, most_words // 8))
     size = pieces.agg(F.sum("words")).first()[0] or 0
@@ -152,7 +152,7 @@ def _search(docs: DataFrame, patterns) -> DataFrame:
                 items: list[set] = [set() for _ in range(high - low)]
                 for row, word, n, found in patterns.value.search(LETTERED[part], hashes, starts, ends, first):
                     spans[row].append({"start": word - int(first[row]), "end": word - int(first[row]) + n})
-                    items[row].update(patterns.value.names[i] for i in found)
+                    items[row].update(name for i in found if (name := patterns.value.names[i]) is not None)
                 for x in spans:
                     x.sort(key=lambda s: (s["start"], s["end"]))
                 yield pa.RecordBatch.from_arrays(
