@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.columns import compounded, corr, log_return
+from .scan import exponential, sliding_extreme
 
 #: Fixed value: what stands in for a zero divisor.
 EPS = 1e-10
@@ -61,11 +60,37 @@ def forward_return(df: DataFrame, keys: Sequence[str], ret: str, h: int, order:
 def rolling(df: DataFrame, keys: Sequence[str], column: str, w: int, order: str) -> DataFrame:
     """Adds mean, deviation (0 for one row), maximum, Bollinger %B within 0 and 1, and drawdown from the peak, of the last ``w`` rows or as many as there are."""
     f = W.partitionBy(*keys).orderBy(order).rowsBetween(-(w - 1), 0)
+    names = {c: f"{column}_{c}{w}" for c in ("mean", "std", "max")}
+    return _bands(df.withColumns({names["mean"]: F.avg(column).over(f), names["std"]: F.coalesce(F.stddev_samp(column).over(f), F.lit(0.0)), names["max"]: F.max(column).over(f)}), column, w)
+
+
+def _bands(df: DataFrame, column: str, w: int) -> DataFrame:
+    """Bollinger %B and drawdown from mean, deviation and maximum."""
     mean, std, peak = F.col(f"{column}_mean{w}"), F.col(f"{column}_std{w}"), F.col(f"{column}_max{w}")
-    out = df.withColumns({f"{column}_mean{w}": F.avg(column).over(f), f"{column}_std{w}": F.coalesce(F.stddev_samp(column).over(f), F.lit(0.0)), f"{column}_max{w}": F.max(column).over(f)})
     some = lambda c: F.when(c == 0, F.lit(EPS)).otherwise(c)
     pctb = (F.col(column) - (mean - 2 * std)) / some(4 * std)
-    return out.withColumns({f"{column}_pctb{w}": F.when(pctb.isNotNull(), F.least(F.greatest(pctb, F.lit(0.0)), F.lit(1.0))), f"{column}_dd{w}": (F.col(column) - peak) / some(peak)})
+    return df.withColumns({f"{column}_pctb{w}": F.when(pctb.isNotNull(), F.least(F.greatest(pctb, F.lit(0.0)), F.lit(1.0))), f"{column}_dd{w}": (F.col(column) - peak) / some(peak)})
+
+
+def rolling_long(df: DataFrame, keys: Sequence[str], column: str, w: int, order: str) -> DataFrame:
+    """The columns of ``rolling`` for wide windows, by work that does not grow with ``w``: the maximum from prefixes and suffixes of blocks, the moments from differences of running sums.
+
+    Running sums are taken of the distance from the key's first value. A deviation below 1e-7 of that
+    distance's size is rounding, and counts as 0.
+    """
+    by = W.partitionBy(*keys).orderBy(order)
+    run = by.rowsBetween(W.unboundedPreceding, 0)
+    out = sliding_extreme(df, keys, column, w, order, f"{column}_max{w}")
+    away = F.col(column).cast("double") - F.first(column, ignorenulls=True).over(run).cast("double")
+    out = out.withColumn("__z", away)
+    out = out.withColumns({"__n": F.count(column).over(run), "__s": F.coalesce(F.sum("__z").over(run), F.lit(0.0)), "__q": F.coalesce(F.sum(F.col("__z") * F.col("__z")).over(run), F.lit(0.0))})
+    inside = lambda c: F.col(c) - F.coalesce(F.lag(c, w).over(by), F.lit(0))
+    out = out.withColumns({"__wn": inside("__n"), "__ws": inside("__s"), "__wq": inside("__q"), "__base": F.first(column, ignorenulls=True).over(run).cast("double")})
+    n = F.nullif(F.col("__wn"), F.lit(0))
+    square = F.col("__wq") - F.col("__ws") * F.col("__ws") / n
+    variance = F.when(square > 1e-14 * F.col("__q"), square).otherwise(0.0) / F.nullif(F.col("__wn") - 1, F.lit(0))
+    out = out.withColumns({f"{column}_mean{w}": F.when(n == 1, F.col(f"{column}_max{w}").cast("double")).otherwise(F.col("__base") + F.col("__ws") / n), f"{column}_std{w}": F.coalesce(F.sqrt(variance), F.lit(0.0))})
+    return _bands(out.drop("__z", "__n", "__s", "__q", "__wn", "__ws", "__wq", "__base"), column, w).select(*df.columns, *[f"{column}_{c}{w}" for c in ("mean", "std", "max", "pctb", "dd")])
 
 
 def rolling_corr(df: DataFrame, keys: Sequence[str], a: str, b: str, w: int, order: str, min_n: int = 5) -> DataFrame:
@@ -75,21 +100,16 @@ def rolling_corr(df: DataFrame, keys: Sequence[str], a: str, b: str, w: int, ord
     return df.withColumn(f"corr_{a}_{b}", F.when(both >= min_n, corr(a, b, f)))
 
 
-def ewm(df: DataFrame, keys: Sequence[str], column: str, span: int, order: str) -> DataFrame:
-    """Adds ``<column>_ewm`` and ``<column>_ewmstd``: recursive exponentially weighted mean and deviation (0 for one row, plus ``EPS``).
+def ewm(df: DataFrame, keys: Sequence[str], column: str, span: float, order: str, width: int = 4096) -> DataFrame:
+    """Adds ``<column>_ewm`` and ``<column>_ewmstd``: recursive exponentially weighted mean and deviation (0 for one value, plus ``EPS``).
 
-    The recursion has no closed form that stays finite on long series, so one asset at a time goes
-    through pandas; an asset's series has one row a date.
+    The weights are those of ``adjust=False`` with gaps counted: a missing value keeps the figures of
+    the row before it, and the next one weighs what was by its distance in rows. Rows are null before
+    a key's first value. The series is cut into blocks of ``width`` units of ``order``, a number, date or
+    timestamp that no two rows of a key share, so that a long series divides over tasks.
     """
-    schema = StructType([*df.schema.fields, StructField(f"{column}_ewm", DoubleType()), StructField(f"{column}_ewmstd", DoubleType())])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        weighted = rows[column].ewm(span=span, adjust=False)
-        rows[f"{column}_ewm"], rows[f"{column}_ewmstd"] = weighted.mean(), weighted.std().fillna(0.0) + EPS
-        return rows
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    out = exponential(df, keys, column, span, order, width, f"{column}_ewm", f"{column}_ewmstd")
+    return out.withColumn(f"{column}_ewmstd", F.coalesce(f"{column}_ewmstd", F.lit(0.0)) + EPS)
 
 
 def momentum_ratio(df: DataFrame, mean: str, std: str, limit: float = 5.0, name: str = "mom_ratio") -> DataFrame:

@@ -52,6 +52,15 @@ def _(p):
     return rounded(rounded(out, 4, "level_ewm", "level_ewmstd"), 6, "mom_ratio")
 
 
+@query("w15_rolling_long", """
+    with a as (select day, level, avg(level) over w as m, coalesce(stddev_samp(level) over w, 0) as s, max(level) over w as x from {market} window w as (order by day rows between 251 preceding and current row))
+    select day, round(m / level, 7) as mean, round(s, 3) as std, x as max, round(greatest(least((level - (m - 2 * s)) / case when s = 0 then 1e-10 else 4 * s end, 1), 0), 6) as pctb, round((level - x) / case when x = 0 then 1e-10 else x end, 6) as dd from a""")
+def _(p):
+    r = rolling.rolling_long(p["market"].withColumn("k", F.lit(1)), ["k"], "level", 252, "day")
+    out = r.select("day", (F.col("level_mean252") / F.col("level")).alias("mean"), F.col("level_std252").alias("std"), F.col("level_max252").alias("max"), F.col("level_pctb252").alias("pctb"), F.col("level_dd252").alias("dd"))
+    return rounded(rounded(rounded(out, 7, "mean"), 3, "std"), 6, "pctb", "dd")
+
+
 @query("w15_rolling", """
     with a as (select day, level, avg(level) over w as m, coalesce(stddev_samp(level) over w, 0) as s, max(level) over w as x from {market} window w as (order by day rows between 4 preceding and current row))
     select day, round(m / level, 9) as mean, round(s, 4) as std, x as max, round(greatest(least((level - (m - 2 * s)) / case when s = 0 then 1e-10 else 4 * s end, 1), 0), 6) as pctb, round((level - x) / case when x = 0 then 1e-10 else x end, 6) as dd from a""")
