@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .clean import require_unique
+from .scan import time_block
 
 
 def attach(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -52,20 +53,31 @@ def asof_series(df: DataFrame, series: DataFrame, date: str, value: str, toleran
     return df.join(filled.select(date, value, f"{value}_date"), date, "left")
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, value: str, tolerance: int | None = None) -> DataFrame:
-    """Adds ``value`` and ``<value>_date`` of each key's last row of ``right`` on or before ``on``.
+def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, value: str, tolerance: int | None = None, width: int | None = None) -> DataFrame:
+    """Adds ``value`` and ``<value>_date`` of each key's last row of ``right`` on or before ``on``; equal dates match, of several such rows the largest value.
 
-    Rows of both sides are sorted together once for each key; equal dates match.
+    A key's time line is cut into blocks of ``width`` (days of a date, seconds of a timestamp, units of
+    a number; about a quarter, a week or 4,096 by default), and rows of both sides are sorted
+    together once for each key and block. What enters a block is the last row of the blocks before
+    it: one small aggregate finds it, and it joins the block's rows as one more point.
     """
-    tagged = left.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__at", F.lit(None).cast(right.schema[on].dataType))
-    points = right.filter(F.col(value).isNotNull()).select(*keys, on, F.col(value).alias("__v"), F.col(on).alias("__at"), F.lit(0).alias("__side"))
-    by = W.partitionBy(*keys).orderBy(on, "__side").rowsBetween(W.unboundedPreceding, 0)
-    both = tagged.unionByName(points, allowMissingColumns=True)
-    filled = both.withColumn(value, F.last("__v", ignorenulls=True).over(by)).withColumn(f"{value}_date", F.last("__at", ignorenulls=True).over(by)).filter("__side = 1")
+    width = width or {"date": 92, "timestamp": 604_800, "timestamp_ntz": 604_800}.get(left.schema[on].dataType.typeName(), 4096)
+    ks = [*keys, "__block"]
+    kind, at = right.schema[value].dataType, right.schema[on].dataType
+    points = right.filter(F.col(value).isNotNull() & F.col(on).isNotNull()).select(*keys, on, F.struct(F.col(on).alias("at"), F.col(value).alias("v")).alias("__p"), F.lit(0).alias("__side"))
+    points = points.withColumn("__block", time_block(points, on, width))
+    none = F.lit(None).cast(f"struct<at: {at.simpleString()}, v: {kind.simpleString()}>")
+    tagged = left.withColumns({"__p": none, "__side": F.lit(1)}).withColumn("__block", time_block(left, on, width))
+    light = tagged.select(*ks, "__p").unionByName(points.select(*ks, "__p")).groupBy(*ks).agg(F.max("__p").alias("__p"))
+    entering = light.withColumn("__p", F.max("__p").over(W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1))).filter("__p is not null and __block is not null")
+    both = tagged.unionByName(points, allowMissingColumns=True).unionByName(entering.withColumn("__side", F.lit(-1)), allowMissingColumns=True)
+    by = W.partitionBy(*ks).orderBy(F.col("__side") >= 0, on, "__side").rowsBetween(W.unboundedPreceding, 0)
+    filled = both.withColumn("__p", F.max("__p").over(by)).filter("__side = 1")
+    filled = filled.withColumns({value: F.when(F.col(on).isNotNull(), F.col("__p.v")), f"{value}_date": F.when(F.col(on).isNotNull(), F.col("__p.at"))})
     if tolerance is not None:
         fresh = F.datediff(on, f"{value}_date") <= tolerance
         filled = filled.withColumns({value: F.when(fresh, F.col(value)), f"{value}_date": F.when(fresh, F.col(f"{value}_date"))})
-    return filled.drop("__side", "__v", "__at")
+    return filled.drop("__side", "__p", "__block")
 
 
 def align_sample(df: DataFrame, columns: Sequence[str], keys: Sequence[str] | None = None) -> DataFrame:

@@ -104,10 +104,20 @@ def run_length(df: DataFrame, keys: Sequence[str], period: str = "qi") -> DataFr
 
 
 def past_rates(df: DataFrame, keys: Sequence[str], flags: Sequence[str], period: str = "qi") -> DataFrame:
-    """Adds ``<flag>_n`` and ``<flag>_rate``: number and mean of a 0/1 flag over the key's strictly earlier periods."""
-    past = W.partitionBy(*keys).orderBy(period).rangeBetween(W.unboundedPreceding, -1)
-    counts = {f"{f}_n": F.count(f).over(past) for f in flags}
-    return df.withColumns(counts).withColumns({f"{f}_rate": F.sum(F.col(f).cast("double")).over(past) / F.nullif(F.col(f"{f}_n"), F.lit(0)) for f in flags})
+    """Adds ``<flag>_n`` and ``<flag>_rate``: number and mean of a 0/1 flag over the key's strictly earlier periods.
+
+    Rows are counted by key and period first, running sums go over these few counts, and come back to
+    the rows by key and period, so that no task sorts a key's whole history.
+    """
+    counts = df.groupBy(*keys, period).agg(*[F.count(f).alias(f"__n{i}") for i, f in enumerate(flags)], *[F.sum(F.col(f).cast("double")).alias(f"__s{i}") for i, f in enumerate(flags)])
+    past = W.partitionBy(*keys).orderBy(period).rowsBetween(W.unboundedPreceding, -1)
+    made = {}
+    for i, f in enumerate(flags):
+        n = F.coalesce(F.sum(f"__n{i}").over(past), F.lit(0))
+        made |= {f"{f}_n": n, f"{f}_rate": F.sum(f"__s{i}").over(past) / F.nullif(n, F.lit(0))}
+    on = [*keys, period]
+    running = counts.withColumns(made).select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(on)], *made)
+    return df.join(running, [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(on)]).drop(*[f"__k{i}" for i in range(len(on))])
 
 
 def lag_vol(df: DataFrame, keys: Sequence[str], column: str, k: int = 4, period: str = "qi") -> DataFrame:

@@ -24,7 +24,7 @@ def time_block(df: DataFrame, order: str, width: int) -> Column:
     """Number of the block of ``width`` units (whole numbers; days of a date, seconds of a timestamp) that holds ``order``."""
     kind = df.schema[order].dataType.typeName()
     c = F.col(order)
-    value = F.unix_date(c) if kind == "date" else F.unix_seconds(c) if kind == "timestamp" else c
+    value = F.unix_date(c) if kind == "date" else F.unix_seconds(c.cast("timestamp")) if kind.startswith("timestamp") else c
     return F.floor(value / width).cast("long")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import clean, joins, lags, xsec
+from ..operators import presence as pres
 from .registry import query, rounded
 
 FS, SQ = ["fund", "security"], ["security", "qi"]
@@ -201,11 +202,10 @@ def _(p):
 
 
 @query("j7_asof_market", """
-    with d as (select distinct cast(l_shipdate as date) as day from {lineitem}), m as (select day as at, level from {market} where day_of(day) % 3 = 0)
-    select d.day, case when date_diff('day', m.at, d.day) <= 7 then m.level end as level, case when date_diff('day', m.at, d.day) <= 7 then m.at end as level_date from d asof left join m on d.day >= m.at""".replace("day_of(day)", "dayofmonth(day)"))
+    with d as (select distinct cast(l_shipdate as date) as day from {lineitem}), m as (select day as at, level from {market})
+    select d.day, case when date_diff('day', m.at, d.day) <= 7 then m.level end as level, case when date_diff('day', m.at, d.day) <= 7 then m.at end as level_date from d asof left join m on d.day >= m.at""")
 def _(p):
-    series = p["market"].filter(F.dayofmonth("day") % 3 == 0)
-    return joins.asof_series(p["lineitem"].select(F.to_date("l_shipdate").alias("day")).distinct(), series, "day", "level", 7)
+    return joins.asof_series(p["lineitem"].select(F.to_date("l_shipdate").alias("day")).distinct(), p["market"], "day", "level", 7)
 
 
 @query("j7_asof_keyed", """
@@ -240,6 +240,23 @@ def _(p):
     return lags.held_count(d, FS, 4).withColumn("feasible", F.col("held") == 4)
 
 
+@query("j10_presence", """
+    with d as (select distinct o_custkey as id, cast(year(o_orderdate) * 12 + month(o_orderdate) as bigint) as m from {orders}), a as (select *, m - row_number() over (partition by id order by m) as i from d)
+    select id, m, row_number() over (partition by id order by m) as seen, row_number() over (partition by id, i order by m) as run, count(*) over (partition by id order by m range between 2 preceding and current row) as held_3, count(*) over (partition by id order by m range between 69 preceding and current row) as held_70 from a""")
+def _(p):
+    o = p["orders"].select(F.col("o_custkey").alias("id"), C.month_index("o_orderdate").alias("m"))
+    return pres.presence_measures(pres.presence(o, ["id"], "m"), ["id"], (3, 70), "m")
+
+
+@query("p13_history_bits", """
+    with a as (select fund, security, qi, row_number() over (partition by fund, security order by qi) as k, count(*) over (partition by fund, security order by qi range between 2 preceding and current row) as c from {holdings})
+    select fund, security, qi, 'seen' as rule from a where k >= 3 union all select fund, security, qi, 'consecutive' from a where c >= 3 union all select fund, security, qi, 'covered' from a where c = 3""")
+def _(p):
+    h = p["holdings"].select("fund", "security", "qi")
+    parts = {"seen": pres.with_history(h, FS, 3), "consecutive": pres.with_history(h, FS, 3, consecutive=True), "covered": pres.covered(h, FS, 3)}
+    return joins.stack([x.withColumn("rule", F.lit(k)) for k, x in parts.items()])
+
+
 @query("j11_merge_checked", "select h.fund, h.security, h.qi, s.market_cap from {holdings} h left join {stocks} s on s.security = h.security and s.qi = h.qi")
 def _(p):
     return joins.merge_checked(p["holdings"].select("fund", "security", "qi"), p["stocks"].select("security", "qi", "market_cap"), SQ)
@@ -264,10 +281,10 @@ def _(p):
 
 
 @query("u1_stack", """
-    select 'holdings' as part, fund, security, qi, shares, cast(null as double) as market_cap from {holdings} where qi % 4 = 0 union all select 'stocks', null, security, qi, null, market_cap from {stocks} where qi % 4 = 1""")
+    select 'holdings' as part, fund, security, qi, shares, cast(null as double) as market_cap from {holdings} union all select 'stocks', null, security, qi, null, market_cap from {stocks}""")
 def _(p):
-    a = p["holdings"].filter("qi % 4 = 0").select(F.lit("holdings").alias("part"), "fund", "security", "qi", "shares")
-    return joins.stack([a, p["stocks"].filter("qi % 4 = 1").select(F.lit("stocks").alias("part"), "security", "qi", "market_cap")])
+    a = p["holdings"].select(F.lit("holdings").alias("part"), "fund", "security", "qi", "shares")
+    return joins.stack([a, p["stocks"].select(F.lit("stocks").alias("part"), "security", "qi", "market_cap")])
 
 
 @query("w1_lag_block", """
@@ -308,7 +325,8 @@ def _(p):
 
 
 @query("w7_past_rates", """
-    with a as (select fund, qi, security, case when shares > 25 then 1 else 0 end as big from {holdings}) select fund, security, qi, count(big) over w as big_n, cast(sum(big) over w as double) / nullif(count(big) over w, 0) as big_rate from a window w as (partition by fund order by qi range between unbounded preceding and 1 preceding)""")
+    with c as (select fund, qi, count(*) as n, sum(case when shares > 25 then 1 else 0 end) as s from {holdings} group by fund, qi), r as (select fund, qi, coalesce(sum(n) over w, 0)::bigint as big_n, sum(s) over w as t from c window w as (partition by fund order by qi rows between unbounded preceding and 1 preceding))
+    select fund, security, qi, big_n, cast(t as double) / nullif(big_n, 0) as big_rate from {holdings} join r using (fund, qi)""")
 def _(p):
     h = p["holdings"].select("fund", "security", "qi", (F.col("shares") > 25).cast("int").alias("big"))
     return lags.past_rates(h, ["fund"], ["big"]).drop("big")
