@@ -50,20 +50,18 @@ def array_median(a: Column) -> Column:
         low, high = F.floor((n - 1) / F.lit(2)).cast("int"), F.floor(n / F.lit(2)).cast("int")
         return (F.get(s, low).cast("double") + F.get(s, high).cast("double")) / 2
 
-    return _let(F.array_sort(F.array_compact(a)), of)
+    return _let(F.sort_array(F.array_compact(a)), of)
 
 
-def surface_stats(a: Column, sigmas: float = 3.0) -> Column:
-    """Struct of level (mean), dispersion (deviation), cov and extreme (share of cells beyond ``sigmas`` deviations)."""
+def surface_stats(a: Column, low: float = 0.02, high: float = 1.5) -> Column:
+    """Struct of level (mean), dispersion (deviation), cov and extreme (share of cells outside the plausible range ``low`` to ``high``)."""
 
     def of(b: Column) -> Column:
+        outside = F.size(F.filter(b, lambda x: (x < low) | (x > high))) / F.nullif(F.size(F.array_compact(b)), F.lit(0))
         return _let(
             F.struct(array_mean(b).alias("m"), array_std(b).alias("s")),
-            lambda p: F.struct(
-                p["m"].alias("level"), p["s"].alias("dispersion"), (p["s"] / F.nullif(F.abs(p["m"]), F.lit(0.0))).alias("cov"),
-                (F.size(F.filter(b, lambda x: F.abs(x - p["m"]) > sigmas * p["s"])) / F.nullif(F.size(b), F.lit(0))).alias("extreme"),
-            ),
-        )
+            lambda p: F.struct(p["m"].alias("level"), p["s"].alias("dispersion"), (p["s"] / F.nullif(F.abs(p["m"]), F.lit(0.0))).alias("cov"), outside.alias("extreme")),
+        )
 
     return _let(a, of)
 
@@ -92,15 +90,34 @@ def surface_roughness(a: Column, h: int, w: int, order: Sequence[int] | None = N
     return _let(a, of)
 
 
-def _near(b: Column, h: int, w: int, r: Column, c: Column) -> list[Column]:
-    """The 3 x 3 surroundings of a cell, row by row; beyond the border the nearest cell stands again."""
-    inside = lambda x, n: F.least(F.greatest(x, F.lit(0)), F.lit(n - 1))
-    return [F.get(b, inside(r + i, h) * w + inside(c + j, w)).cast("double") for i in (-1, 0, 1) for j in (-1, 0, 1)]
+def surroundings(h: int, w: int, order: Sequence[int] | None) -> list[list[int]]:
+    """For each cell the places of its 3 x 3 surroundings, row by row; beyond the border the nearest cell stands again.
+
+    ``order`` lists the columns in the order of the strike: left and right are neighbours in that order.
+    """
+    strike = list(order) if order is not None else list(range(w))
+    if sorted(strike) != list(range(w)):
+        raise ValueError("order must name every column once")
+    place = {c: k for k, c in enumerate(strike)}
+    inside = lambda x, n: min(max(x, 0), n - 1)
+    return [[inside(r + i, h) * w + strike[inside(place[c] + j, w)] for i in (-1, 0, 1) for j in (-1, 0, 1)] for r in range(h) for c in range(w)]
+
 
+def _table(rows: Sequence[Sequence[int]]) -> Column:
+    """Places as a constant array of structs c0, c1, .."""
+    return F.array(*[F.struct(*[F.lit(x).alias(f"c{k}") for k, x in enumerate(row)]) for row in rows])
 
-def neighbour_median(a: Column, h: int, w: int) -> Column:
-    """Array of the medians of each cell's 3 x 3 surroundings, the border repeated outwards."""
-    return _let(a, lambda b: _cells(h, w, lambda r, c: array_median(F.array(*_near(b, h, w, r, c)))))
+
+def neighbour_median(a: Column, h: int, w: int, order: Sequence[int] | None = None) -> Column:
+    """Array of the medians of each cell's 3 x 3 surroundings, the border repeated outwards, nulls left out; ``order`` lists the columns in the order of the strike."""
+    near = F.array(*[F.array(*map(F.lit, n)) for n in surroundings(h, w, order)])
+    cells = lambda b, p: F.transform(p, lambda i: F.get(b, i).cast("double"))
+
+    def of(b: Column) -> Column:
+        whole = F.transform(near, lambda p: F.get(F.sort_array(cells(b, p)), F.lit(4)))
+        return F.when(F.forall(b, lambda x: x.isNotNull()), whole).otherwise(F.transform(near, lambda p: array_median(cells(b, p))))
+
+    return _let(a, of)
 
 
 def _robust_scale(b: Column) -> Column:
@@ -108,31 +125,29 @@ def _robust_scale(b: Column) -> Column:
     return _let(array_median(b), lambda m: (array_median(F.transform(b, lambda x: F.abs(x - m))) + 1e-6) * 1.4826)
 
 
-def surface_spike(a: Column, h: int, w: int, k: float = 4.0) -> Column:
-    """Struct of spikes (cells further than ``k`` robust scales of the grid from the median of their surroundings) and worst (the largest such distance in scales)."""
+def surface_spike(a: Column, h: int, w: int, k: float = 4.0, order: Sequence[int] | None = None) -> Column:
+    """Struct of spikes (cells further than ``k`` robust scales of the grid from the median of their surroundings) and worst (the largest such distance in scales); ``order`` as in ``neighbour_median``."""
 
     def of(b: Column) -> Column:
-        z = _let(_robust_scale(b), lambda s: F.zip_with(b, neighbour_median(b, h, w), lambda x, m: F.abs(x - m) / s))
+        z = _let(_robust_scale(b), lambda s: F.zip_with(b, neighbour_median(b, h, w, order), lambda x, m: F.abs(x - m) / s))
         return _let(z, lambda z: F.struct(F.size(F.filter(z, lambda x: x > k)).alias("spikes"), F.array_max(z).alias("worst")))
 
     return _let(a, of)
 
 
-def spike_repair(a: Column, h: int, w: int, k: float = 4.0) -> Column:
-    """The grid with spiking cells replaced by the median of their surroundings."""
-    return _let(a, lambda b: _let(_robust_scale(b), lambda s: F.zip_with(b, neighbour_median(b, h, w), lambda x, m: F.when(F.abs(x - m) > k * s, m).otherwise(x.cast("double")))))
+def spike_repair(a: Column, h: int, w: int, k: float = 4.0, order: Sequence[int] | None = None) -> Column:
+    """The grid with spiking cells replaced by the median of their surroundings; cells keep their places, ``order`` says which are neighbours."""
+    return _let(a, lambda b: _let(_robust_scale(b), lambda s: F.zip_with(b, neighbour_median(b, h, w, order), lambda x, m: F.when(F.abs(x - m) > k * s, m).otherwise(x.cast("double")))))
 
 
-def smooth(a: Column, h: int, w: int, strength: float = 0.5, kernel: str = "box") -> Column:
-    """The grid mixed with its 3 x 3 weighted mean, the border repeated outwards; kernel 'box' or 'gaussian' (1-2-1 twice)."""
+def smooth(a: Column, h: int, w: int, strength: float = 0.5, kernel: str = "box", order: Sequence[int] | None = None) -> Column:
+    """The grid mixed with its 3 x 3 weighted mean, the border repeated outwards; kernel 'box' or 'gaussian' (1-2-1 twice); ``order`` as in ``spike_repair``."""
     weights = {"box": [1] * 9, "gaussian": [1, 2, 1, 2, 4, 2, 1, 2, 1]}[kernel]
+    near = _table(surroundings(h, w, order))
 
     def of(b: Column) -> Column:
-        def around(r: Column, c: Column) -> Column:
-            total = sum((x * k for x, k in zip(_near(b, h, w, r, c), weights)), F.lit(0.0))
-            return (1 - strength) * F.get(b, r * w + c).cast("double") + strength * total / sum(weights)
-
-        return _cells(h, w, around)
+        value = lambda p, k: F.get(b, p[f"c{k}"]).cast("double")
+        return F.transform(near, lambda p: (1 - strength) * value(p, 4) + strength * sum((value(p, k) * weights[k] for k in range(1, 9)), value(p, 0) * weights[0]) / sum(weights))
 
     return _let(a, of)
 
@@ -154,18 +169,11 @@ def image_metrics(a: Column, h: int, w: int, ph: int, vh: int) -> Column:
 
 
 def despeckle(a: Column, h: int, w: int) -> Column:
-    """The 0/1 image without white pixels that have no white neighbour."""
+    """The 0/1 image without white pixels none of whose four neighbours (above, below, left, right) is white."""
+    here = [(r, c) for r in range(h) for c in range(w)]
+    beside = F.array(*[F.array(*[F.lit(x * w + y) for x, y in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)) if 0 <= x < h and 0 <= y < w]) for r, c in here])
 
     def of(b: Column) -> Column:
-        def pixel(r: Column, c: Column) -> Column:
-            near = F.lit(0.0)
-            for i in (-1, 0, 1):
-                for j in (-1, 0, 1):
-                    if i or j:
-                        inside = (r + i >= 0) & (r + i < h) & (c + j >= 0) & (c + j < w)
-                        near = near + F.when(inside, F.get(b, (r + i) * w + c + j).cast("double")).otherwise(0.0)
-            return F.when(near > 0, F.get(b, r * w + c).cast("double")).otherwise(0.0)
-
-        return _cells(h, w, pixel)
+        return F.zip_with(b, beside, lambda x, near: F.when((x > 0) & ~F.exists(near, lambda i: F.get(b, i) > 0), 0.0).otherwise(x.cast("double")))
 
     return _let(a, of)

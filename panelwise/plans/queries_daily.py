@@ -239,9 +239,9 @@ def _(p):
     return rounded(wide.select("vec_id", X.array_sum(a).alias("total"), F.size(a).cast("long").alias("n")))
 
 
-@query("g2_surface_stats", _S + ", m as (select vec_id, avg(x) as m, stddev_pop(x) as s from e group by vec_id) select vec_id, round(any_value(m), 6) as level, round(any_value(s), 6) as dispersion, round(any_value(s / nullif(abs(m), 0)), 3) as cov, round(count(case when abs(x - m) > 2 * s then 1 end) / 64, 6) as extreme from e join m using (vec_id) group by vec_id")
+@query("g2_surface_stats", _S + ", m as (select vec_id, avg(x) as m, stddev_pop(x) as s from e group by vec_id) select vec_id, round(any_value(m), 6) as level, round(any_value(s), 6) as dispersion, round(any_value(s / nullif(abs(m), 0)), 3) as cov, round(count(case when x < -0.1 or x > 0.2 then 1 end) / 64, 6) as extreme from e join m using (vec_id) group by vec_id")
 def _(p):
-    out = _surface(p).select("vec_id", X.surface_stats(F.col("a"), 2.0).alias("s")).select("vec_id", "s.*")
+    out = _surface(p).select("vec_id", X.surface_stats(F.col("a"), -0.1, 0.2).alias("s")).select("vec_id", "s.*")
     return rounded(rounded(out, 3, "cov"), 6, "level", "dispersion", "extreme")
 
 
@@ -285,6 +285,26 @@ def _(p):
     return rounded(_surface(p).select("vec_id", total(X.smooth(F.col("a"), 8, 8, 1.0, "gaussian")).alias("gaussian"), total(X.smooth(F.col("a"), 8, 8)).alias("box")))
 
 
+#: The columns in the order of the strike, for the queries below, and each column's place in it.
+_STRIKE = [3, 2, 1, 0, 7, 6, 5, 4]
+_STRIKE_GRID = "with e as (select vec_id, (i - 1) // 8 as r, (i - 1) % 8 as m, [" + ", ".join(str(_STRIKE.index(c)) for c in range(8)) + "][(i - 1) % 8 + 1] as c, embedding[i]::double as x from {embeddings}, range(1, 65) t(i))"
+_STRIKE_MEDIANS = _MEDIANS.replace(_GRID, _STRIKE_GRID)
+
+
+@query("g4_spike_strike_order", _STRIKE_MEDIANS + " select vec_id, cast(count(case when abs(x - m) / s > 2 then 1 end) as int) as spikes, round(max(abs(x - m) / s), 6) as worst from m join s using (vec_id) group by vec_id")
+def _(p):
+    return rounded(_surface(p).select("vec_id", X.surface_spike(F.col("a"), 8, 8, 2.0, _STRIKE).alias("s")).select("vec_id", "s.*"))
+
+
+@query("g7_strike_order", _STRIKE_MEDIANS + """, k as (select vec_id, r, c, sum(k * y) / 16 as g from nb group by vec_id, r, c), pl as (select distinct r, c, m as place from e)
+    select m.vec_id, round(sum((r * 8 + place + 1) * case when abs(x - m) > 2 * s then m else x end), 5) as repaired, round(sum((r * 8 + place + 1) * (0.7 * x + 0.3 * g)), 5) as smoothed from m join s using (vec_id) join k using (vec_id, r, c) join pl using (r, c) group by m.vec_id""")
+def _(p):
+    # weighted by place, so that a cell in another place shows
+    total = lambda a: X.array_sum(F.transform(a, lambda x, i: x * (i + 1)))
+    out = _surface(p).select("vec_id", total(X.spike_repair(F.col("a"), 8, 8, 2.0, _STRIKE)).alias("repaired"), total(X.smooth(F.col("a"), 8, 8, 0.3, "gaussian", _STRIKE)).alias("smoothed"))
+    return rounded(out, 5)
+
+
 def _metrics(p):
     return _surface(p).select("vec_id", "label", X.surface_roughness(F.col("a"), 8, 8).alias("r"), X.surface_stats(F.col("a")).alias("s")).select("vec_id", "label", "r.laplacian", "r.variation", "s.dispersion")
 
@@ -344,7 +364,7 @@ def _(p):
     return rounded(rounded(out, 4, "balance"), 6, "white", "price_white", "blank_columns", "extent")
 
 
-@query("g11_despeckle", _GRID + """, b as (select vec_id, r, c, (x > 0.15)::int as w from e), n as (select a.vec_id, a.r, a.c, any_value(a.w) as w, sum(b.w) - any_value(a.w) as near from b a join b b on b.vec_id = a.vec_id and abs(b.r - a.r) <= 1 and abs(b.c - a.c) <= 1 group by a.vec_id, a.r, a.c)
+@query("g11_despeckle", _GRID + """, b as (select vec_id, r, c, (x > 0.15)::int as w from e), n as (select a.vec_id, a.r, a.c, any_value(a.w) as w, sum(b.w) - any_value(a.w) as near from b a join b b on b.vec_id = a.vec_id and abs(b.r - a.r) + abs(b.c - a.c) <= 1 group by a.vec_id, a.r, a.c)
     select vec_id, cast(sum(case when near > 0 then w else 0 end) as int) as white from n group by vec_id""")
 def _(p):
     image = F.transform("a", lambda x: (x > 0.15).cast("int").cast("double"))
