@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import corr
+from .clean import whole_quantile
 from .lags import lag_column, realised_trade
 from .stats import abnormal, information_coefficient, newey_west, performance
 from .xsec import average_rank, bucket, equal_bucket, rank_pct, size_groups
@@ -258,12 +259,12 @@ def frozen_fund_return(df: DataFrame, returns: DataFrame, h: int, fund: str = "f
     )
 
 
-def _accuracy_sort(rows: DataFrame, ret: str, n: int, security: str, period: str, lags: int) -> DataFrame:
-    """bucket, n, mean, t of a return by buckets of acc; bucket -1 is bottom less top."""
+def _accuracy_sort(rows: DataFrame, ret: str, n: int, security: str, period: str, lags: int, plain: str | None = None) -> DataFrame:
+    """bucket, n, mean, t (and the t value without lags, ``plain``) of a return by buckets of acc; bucket -1 is bottom less top."""
     means = bucket(rows.filter(F.col(ret).isNotNull() & F.col("acc").isNotNull()), "acc", n, [period], security, complete=True).groupBy("bucket", period).agg(F.avg(ret).alias("m"))
     ends = F.array(F.struct("bucket", "m"), F.struct(F.lit(-1).alias("bucket"), F.when(F.col("bucket") == 0, F.col("m")).when(F.col("bucket") == n - 1, -F.col("m")).alias("m")))
     every = means.select(period, F.inline(ends)).filter("m is not null").groupBy("bucket", period).agg(F.sum("m").alias("m"), F.count("*").alias("__k")).filter("bucket >= 0 or __k = 2")
-    return newey_west(every, ["bucket"], "m", lags, period)
+    return newey_west(every, ["bucket"], "m", lags, period, plain=plain)
 
 
 def stock_sort(predictions: DataFrame, returns: DataFrame, hit: str, ret: str, n: int = 5, security: str = "security", period: str = PERIOD, lags: int = 0) -> DataFrame:
@@ -278,12 +279,14 @@ def stock_sort_holders(
     """The same buckets, with what the security's holders earn: their cumulative benchmark-adjusted returns over ``hmax`` periods, weighted by their weight in the security.
 
     ``predictions`` has fund, security, qi, weight and ``hit``. Accuracy counts holders with a return
-    only. With ``returns`` the holdings are frozen at t. t has hmax - 1 lags.
+    only. With ``returns`` the holdings are frozen at t. t has hmax - 1 lags, t_ols none;
+    ``median_holders`` is the median number of holders of a security and period.
     """
     cumulative = _cumulative(fund_returns.filter("fund_ret is not null"), hmax, start, fund, period, ()) if returns is None else _frozen(predictions, returns, hmax, start, fund, security, period)
     held = predictions.filter(F.col("weight").isNotNull()).join(cumulative.select(fund, period, F.col(f"__h{hmax}").alias("__c")).filter("__c is not null"), [fund, period])
-    stocks = held.groupBy(security, period).agg(F.avg(hit).alias("acc"), (F.sum(F.col("weight") * F.col("__c")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("holders_ret"))
-    return _accuracy_sort(stocks, "holders_ret", n, security, period, hmax - 1)
+    stocks = held.groupBy(security, period).agg(F.avg(hit).alias("acc"), (F.sum(F.col("weight") * F.col("__c")) / F.nullif(F.sum("weight"), F.lit(0.0))).alias("holders_ret"), F.count("*").alias("n_holders")).filter("holders_ret is not null and acc is not null")
+    holders = stocks.agg(whole_quantile("n_holders", 0.5).alias("median_holders"))
+    return _accuracy_sort(stocks, "holders_ret", n, security, period, hmax - 1, "t_ols").crossJoin(F.broadcast(holders))
 
 
 def correct_incorrect(predictions: DataFrame, hit: str, ret: str, keys: Sequence[str] = ("fund", "security"), k: int = 0, period: str = PERIOD, lags: int = 0) -> DataFrame:
@@ -303,6 +306,52 @@ def compare_timings(predictions: DataFrame, hit: str, ret: str, timings: dict[st
     return out
 
 
+def evaluation_table(
+    predictions: DataFrame, stock_returns: DataFrame, fund_returns: DataFrame, hit: str, timings: Mapping[str, int], universes: dict[str, Column] | None = None,
+    hmax: int = 4, n: int = 5, ret: str = "ret", fund: str = "fund", security: str = "security", period: str = PERIOD,
+) -> DataFrame:
+    """universe, timing, n_funds, n_rows, precision and three spreads with their t values, of the same predictions under each timing and in each universe.
+
+    A timing is the number of periods from the prediction to the return that grades it.
+    ``gap`` is the return of correct less that of incorrect positions; ``stock_spread`` sorts
+    securities by their accuracy, bottom less top; ``fund_spread`` sorts funds by their precision,
+    top less bottom, on benchmark-adjusted returns over ``hmax`` periods. ``predictions`` has fund,
+    security, qi, ``hit`` and ``ret``; returns are taken by security (``stock_returns``) and by fund
+    (fund_ret). Rows are repeated with universe and timing as keys of each sort, so that all cells
+    are computed together.
+    """
+    names, keys = list(timings), ["universe", "timing"]
+    ahead = lambda rows, by: rows.withColumns({f"__y{i}": lag_column(ret, by, -k, period) if k else F.col(ret) for i, k in enumerate(timings.values())})
+    melted = lambda c: F.inline(F.array(*[F.struct(F.lit(t).alias("timing"), F.col(f"{c}{i}").cast("double").alias("y")) for i, t in enumerate(names)]))
+    rows = compare_universes(ahead(predictions.filter(F.col(hit).isNotNull()), [fund, security]), universes or {"all": F.lit(True)})
+
+    graded = rows.select("universe", fund, period, hit, melted("__y")).filter("y is not null")
+    mean = lambda right: F.avg(F.when((F.col(hit) == 1) == F.lit(right), F.col("y")))
+    gap = newey_west(graded.groupBy(*keys, period).agg((mean(True) - mean(False)).alias("m")), keys, "m", 0, period).select(*keys, F.col("mean").alias("gap"), F.col("t").alias("gap_t"))
+
+    def spread(placed: DataFrame, top_first: bool, lags: int, name: str) -> DataFrame:
+        means = placed.groupBy(*keys, period).agg(F.avg(F.when(F.col("__b") == n - 1, F.col("y"))).alias("__top"), F.avg(F.when(F.col("__b") == 0, F.col("y"))).alias("__low"))
+        m = (F.col("__top") - F.col("__low")) * (1 if top_first else -1)
+        return newey_west(means.withColumn("m", m), keys, "m", lags, period).select(*keys, F.col("mean").alias(f"{name}_spread"), F.col("t").alias(f"{name}_t"))
+
+    stocks = rows.groupBy("universe", security, period).agg(F.avg(hit).alias("__acc"))
+    later = ahead(stock_returns.select(security, period, ret), [security]).select(security, period, melted("__y")).filter("y is not null")
+    by_stock = spread(bucket(stocks.join(later, [security, period]), "__acc", n, [*keys, period], security, name="__b", complete=True), False, 0, "stock")
+
+    funds = rows.groupBy("universe", fund, period).agg(F.avg(hit).alias("__acc"))
+    adjusted = abnormal(fund_returns.filter("fund_ret is not null"), "fund_ret", [period])
+    windows = {}
+    for i, k in enumerate(timings.values()):
+        frame = W.partitionBy(fund).orderBy(period).rangeBetween(k, k + hmax - 1)
+        windows[f"__c{i}"] = F.when(F.count("abnormal").over(frame) == hmax, F.sum("abnormal").over(frame))
+    held = adjusted.withColumns(windows).select(fund, period, melted("__c")).filter("y is not null")
+    by_fund = spread(bucket(funds.join(held, [fund, period]), "__acc", n, [*keys, period], fund, name="__b", complete=True), True, hmax - 1, "fund")
+
+    whole = rows.groupBy("universe", fund).agg(F.avg(hit).alias("__p"), F.count("*").alias("__n")).groupBy("universe").agg(F.count("*").alias("n_funds"), F.sum("__n").alias("n_rows"), F.avg("__p").alias("precision"))
+    cells = whole.withColumn("timing", F.explode(F.array(*[F.lit(t) for t in names])))
+    return cells.join(gap, keys, "left").join(by_stock, keys, "left").join(by_fund, keys, "left").select(*keys, "n_funds", "n_rows", "precision", "gap", "gap_t", "stock_spread", "stock_t", "fund_spread", "fund_t")
+
+
 def fund_variables(predictions: DataFrame, hit: str, fund: str = "fund", period: str = PERIOD, weight: str = "weight", trade: str = "weight_chg") -> DataFrame:
     """fund, qi: precision, value-weighted turnover and count turnover."""
     moved = F.col(trade).isNotNull()

@@ -465,17 +465,17 @@ def _(p):
     return rounded(rounded(sorts.stock_sort(_hits(p), p.panel, "hit", "fwd_1q"), 8, "mean"), 4, "t")
 
 
-_HOLDERS = "c as (select h.security, h.qi, avg(hit) as acc, round(sum(weight * hs.h2) / sum(weight), 12) as y from h join hs using (fund, qi) where hs.h2 is not null group by h.security, h.qi), j as (select * from c where y is not null), " + _BY_ACCURACY + "s as (" + nw_sql("e", "bucket", "m", 1) + ") select bucket, n, round(mean, 8) as mean, round(t, 4) as t from s"
+_HOLDERS = "c as (select h.security, h.qi, avg(hit) as acc, round(sum(weight * hs.h2) / sum(weight), 12) as y, count(*) as holders from h join hs using (fund, qi) where hs.h2 is not null group by h.security, h.qi), j as (select * from c where y is not null), " + _BY_ACCURACY + "s as (" + nw_sql("e", "bucket", "m", 1) + "), s0 as (" + nw_sql("e", "bucket", "m") + ") select bucket, s.n, round(s.mean, 8) as mean, round(s.t, 4) as t, round(s0.t, 4) as t_ols, (select quantile_disc(holders, 0.5) from j) as median_holders from s join s0 using (bucket)"
 
 
 @query("e17_stock_sort_holders", f"with {_HITS}, {_CUMULATIVE}, {_HOLDERS}")
 def _(p):
-    return rounded(rounded(sorts.stock_sort_holders(_hits(p), H.fund_return(p.weighted), "hit", 2, 1), 8, "mean"), 4, "t")
+    return rounded(rounded(sorts.stock_sort_holders(_hits(p), H.fund_return(p.weighted), "hit", 2, 1), 8, "mean"), 4, "t", "t_ols")
 
 
 @query("e17_stock_sort_holders_frozen", f"with {_HITS}, {_FROZEN}, {_HOLDERS}")
 def _(p):
-    return rounded(rounded(sorts.stock_sort_holders(_hits(p), H.fund_return(p.weighted), "hit", 2, 1, returns=p["stocks"]), 8, "mean"), 4, "t")
+    return rounded(rounded(sorts.stock_sort_holders(_hits(p), H.fund_return(p.weighted), "hit", 2, 1, returns=p["stocks"]), 8, "mean"), 4, "t", "t_ols")
 
 
 @query("e18_correct_incorrect", "with " + _HITS + """, y as (select *, max(ret) over (partition by fund, security order by qi range between 1 following and 1 following) as y from h), m as (select qi, case when hit = 1 then 'correct' else 'incorrect' end as "group", avg(y) as m from y where y is not null group by all),
@@ -494,6 +494,40 @@ def _(p):
     return rounded(rounded(sorts.compare_timings(_hits(p), "hit", "ret", {"same": 0, "next": 1, "second": 2}), 8, "mean"), 4, "t")
 
 
+def _evaluation_sql(universes: dict[str, str], timings: dict[str, int], hmax: int = 2) -> str:
+    """SQL of ``evaluation_table``: universes are conditions on the predictions."""
+    ahead = lambda by, k: f"max(ret) over (partition by {by} order by qi range between {k} following and {k} following)" if k else "ret"
+    each = " union all ".join(f"select '{u}' as universe, z.* from z where {rule}" for u, rule in universes.items())
+    melt = lambda source, head, c: " union all ".join(f"select {head}'{t}' as timing, {c}{i} as y from {source}" for i, t in enumerate(timings))
+    cumulative = ", ".join(f"case when count(x) over w{i} = {hmax} then sum(x) over w{i} end as c{i}" for i in range(len(timings)))
+    frames = ", ".join(f"w{i} as (partition by fund order by qi range between {k} following and {k + hmax - 1} following)" for i, k in enumerate(timings.values()))
+    spread = lambda source, sign: f"select universe, timing, qi, {sign} * (avg(case when b = 4 then y end) - avg(case when b = 0 then y end)) as m from {source} group by all"
+    return f"""with z as (select *, {', '.join(f"{ahead('fund, security', k)} as y{i}" for i, k in enumerate(timings.values()))} from (select fund, security, qi, case when shares > 25 then 1 else 0 end as hit, ret, weight, is_us from {{sql_weighted}}) h0), r as ({each}),
+    g as ({melt('r', 'universe, fund, qi, hit, ', 'y')}), gm as (select universe, timing, qi, avg(case when hit = 1 then y end) - avg(case when hit <> 1 then y end) as m from g where y is not null group by all), gs as ({nw_sql('gm', 'universe, timing', 'm')}),
+    a as (select universe, security, qi, avg(hit) as acc from r group by all), l as (select security, qi, {', '.join(f"{ahead('security', k)} as y{i}" for i, k in enumerate(timings.values()))} from {{stocks}}), ll as ({melt('l', 'security, qi, ', 'y')}),
+    aj as (select universe, timing, a.security, qi, acc, y from a join ll using (security, qi) where y is not null), ab as ({bucketed_sql('aj', 'acc', 5, 'b', 'true', 'universe, timing, qi')}), am as ({spread('ab', -1)}), ss as ({nw_sql('am', 'universe, timing', 'm')}),
+    fr as (select fund, qi, sum(weight * ret) / sum(weight) as fund_ret from {{sql_weighted}} group by fund, qi), fx as (select fund, qi, fund_ret - avg(fund_ret) over (partition by qi) as x from fr), fc as (select fund, qi, {cumulative} from fx window {frames}), fl as ({melt('fc', 'fund, qi, ', 'c')}),
+    fa as (select universe, fund, qi, avg(hit) as acc from r group by all), fj as (select universe, timing, fa.fund, qi, acc, y from fa join fl using (fund, qi) where y is not null), fb as ({bucketed_sql('fj', 'acc', 5, 'b', 'true', 'universe, timing, qi', 'fund')}), fm as ({spread('fb', 1)}), fs as ({nw_sql('fm', 'universe, timing', 'm', hmax - 1)}),
+    w as (select universe, count(*) as n_funds, sum(n)::bigint as n_rows, avg(p) as precision from (select universe, fund, avg(hit) as p, count(*) as n from r group by all) group by universe)
+    select w.universe, t.timing, n_funds, n_rows, round(precision, 6) as precision, round(gs.mean, 8) as gap, round(gs.t, 4) as gap_t, round(ss.mean, 8) as stock_spread, round(ss.t, 4) as stock_t, round(fs.mean, 8) as fund_spread, round(fs.t, 4) as fund_t
+    from w cross join (values {', '.join(f"('{t}')" for t in timings)}) t(timing) left join gs on gs.universe = w.universe and gs.timing = t.timing left join ss on ss.universe = w.universe and ss.timing = t.timing left join fs on fs.universe = w.universe and fs.timing = t.timing"""
+
+
+def _evaluated(p, timings, universes=None):
+    out = sorts.evaluation_table(_hits(p), p["stocks"], H.fund_return(p.weighted).select("fund", "qi", "fund_ret"), "hit", timings, universes, 2)
+    return rounded(rounded(rounded(out, 6, "precision"), 8, "gap", "stock_spread", "fund_spread"), 4, "gap_t", "stock_t", "fund_t")
+
+
+@query("e19_timing_table", _evaluation_sql({"all": "true"}, {"same": 0, "next": 1, "second": 2}))
+def _(p):
+    return _evaluated(p, {"same": 0, "next": 1, "second": 2})
+
+
+@query("e36_universe_table", _evaluation_sql({"all": "true", "us": "is_us", "heavy": "weight > 0.03"}, {"next": 1}))
+def _(p):
+    return _evaluated(p, {"next": 1}, {"all": F.lit(True), "us": F.col("is_us"), "heavy": F.col("weight") > 0.03})
+
+
 @query("e20_pred_vs_turnover", """
     with f as (select fund, qi, avg(case when shares > 25 then 1 else 0 end) as precision, sum(abs(weight_chg)) as tv from {sql_changes} group by fund, qi), g as (select *, precision - avg(precision) over (partition by qi) as a, tv - avg(tv) over (partition by qi) as b from f where tv is not null) select round(corr(precision, tv), 6) as pooled, round(corr(a, b), 6) as "within", count(*) as n from g""")
 def _(p):
