@@ -9,7 +9,7 @@ from ..functions import arrays as X
 from ..functions import columns as C
 from ..operators import arrays as A
 from ..operators import backtest as B
-from ..operators import clean, folds, joins, lags, linear, model, regime, rolling, sorts, stats, xsec
+from ..operators import clean, folds, joins, lags, linear, model, regime, rolling, sketches, sorts, stats, xsec
 from ..operators import holdings as H
 from ..sources import io
 from ..streaming import incremental
@@ -331,6 +331,31 @@ def _(p):
     return rounded(A.cell_winsor(s.filter("label < 5"), s, "a", 0.05).select("vec_id", X.array_sum(F.col("a")).alias("total")))
 
 
+@query("g8_winsor_folds", _S + """, folds as (select i as fold, 2 * i as train_lo, 2 * i + 3 as train_hi, 2 * i + 4 as test_lo, 2 * i + 5 as test_hi from range(3) t(i)),
+    q as (select fold, i, quantile_disc(x, 0.05) as lo, quantile_disc(x, 0.95) as hi from e join folds on label between train_lo and train_hi group by fold, i)
+    select vec_id, fold::int as fold, round(sum(i * greatest(least(x, hi), lo)), 6) as total from e join folds on label between test_lo and test_hi join q using (fold, i) group by vec_id, fold""")
+def _(p):
+    s = _surface(p).select("vec_id", F.col("label").cast("int").alias("label"), "a")
+    out = sketches.winsor_folds(s, folds.period_folds(p.spark, list(range(10)), "rolling", 4, 2), "a", "label", 0.05)
+    return rounded(out.select("vec_id", "fold", X.array_sum(F.transform("a", lambda x, i: x * (i + 1))).alias("total")))
+
+
+@query("g6_drop_noisy_folds", _METRICS + """, folds as (select i as fold, 2 * i as train_lo, 2 * i + 3 as train_hi from range(3) t(i)), ct as (select fold, quantile_disc(laplacian, 0.9) as l, quantile_disc(variation, 0.9) as v from mt join folds on label between train_lo and train_hi group by fold)
+    select fold::int as fold, label, count(*) as n from mt join folds on label between train_lo and train_hi join ct using (fold) where laplacian <= l and variation <= v group by fold, label""")
+def _(p):
+    m = rounded(_metrics(p), 9, "laplacian", "variation").withColumn("label", F.col("label").cast("int"))
+    return sketches.drop_noisy_folds(m, folds.period_folds(p.spark, list(range(10)), "rolling", 4, 2), ["laplacian", "variation"], "label", 0.9).groupBy("fold", "label").agg(F.count("*").alias("n"))
+
+
+@query("a28_describe_ranges", _METRICS + """, r as (select * from (values ('early', 0, 4), ('late', 3, 9)) t(name, lo, hi)), l as (select label, 'laplacian' as "column", laplacian as x from mt union all select label, 'variation', variation from mt)
+    select name, "column", count(*) as n, quantile_disc(x, 0.25) as q25, quantile_disc(x, 0.5) as q50, quantile_disc(x, 0.99) as q99 from l join r on label between lo and hi group by name, "column\"""")
+def _(p):
+    m = rounded(_metrics(p), 9, "laplacian", "variation")
+    ranges = p.spark.createDataFrame([("early", 0, 4), ("late", 3, 9)], "name string, lo int, hi int")
+    each = sketches.period_sketches(m, ["laplacian", "variation"], ["label"])
+    return sketches.describe_ranges(sketches.over_ranges(each, ranges, ["laplacian", "variation"], "label"), ["laplacian", "variation"], (0.25, 0.5, 0.99))
+
+
 @query("g9_pca_denoise")
 def _(p):
     s = _surface(p).select("vec_id", "label", "a")
@@ -559,6 +584,54 @@ def _(p):
     return rounded(out.groupBy("model_bucket").agg(F.count("*").alias("n"), F.avg("y_pred").alias("mean")), 4)
 
 
+@query("s1_read_holdings", "select cast(fund as varchar) as fund, security, day, cast(inv_type as varchar) as inv_type, shares, position_value, market_cap from {book} where is_us and inv_type = 401")
+def _(p):
+    root = io.scratch_folder(p.spark)
+    raw = p["book"].select(F.concat(F.lit("00"), F.col("fund").cast("string")).alias("LgcyInvestorId"), "day", "security", F.concat(F.col("inv_type").cast("string"), F.lit(".0")).alias("InvTypeCode"), F.when(F.col("is_us"), "yes").otherwise("no").alias("isUs"), F.col("shares").alias("SharesHld"), F.col("position_value").alias("ShsHldVal"), F.col("market_cap").alias("MARKET_CAP"), "tax")
+    years = range(*p["book"].agg(F.min(F.year("day")), F.max(F.year("day")) + 1).first())
+    for y in years:
+        raw.filter(F.year("day") == y).write.parquet(f"{root}/{y}.parquet")
+    return io.read_holdings(p.spark, root, [1980, *years], True, "401").select("fund", "security", "day", "inv_type", "shares", "position_value", "market_cap")
+
+
+@query("s2_read_signal", "select make_date(qi // 4, 1, 1) + cast(qi % 4 as int) as date, security as perm_id, case when trades > 1 then tax end as value from {stocks}")
+def _(p):
+    path = f"{io.scratch_folder(p.spark)}/signals"
+    day = F.date_add(F.make_date(F.floor(F.col("qi") / 4).cast("int"), F.lit(1), F.lit(1)), F.col("qi") % 4)
+    rows = p["stocks"].select(day.alias("date"), F.concat(F.lit(" "), "security").alias("perm_id"), F.lit("t").alias("trade_id"), F.inline(F.array(F.struct(F.lit("tax").alias("signal_name"), F.when(F.col("trades") > 1, F.col("tax")).otherwise(float("nan")).alias("signal_val")), F.struct(F.lit("ret").alias("signal_name"), F.col("ret").alias("signal_val")))))
+    rows.write.option("header", True).csv(path)
+    return io.read_signal_csv(p.spark, path, "tax")
+
+
+@query("s8_read_daily", "select day, security, case when ret * 40 >= -1 then round(ret * 40, 6) end as \"TRET_T1D\", case when turnover - 2 >= 0 then turnover - 2.0 end as turnover_21day, cast(market_cap as double) as market_cap, round(abs(ret), 9) as price from {daily}")
+def _(p):
+    path = f"{io.scratch_folder(p.spark)}/daily.parquet"
+    raw = p["daily"].select(F.col("day").cast("string").alias("Day"), "security", (F.col("ret") * 40).cast("string").alias("tret_t1d"), (F.col("turnover") - 2).alias("turnover_21day"), F.col("market_cap").cast("string").alias("market_cap"), F.col("ret").alias("PRC"), "turnover")
+    raw.write.parquet(path)
+    return rounded(rounded(io.read_daily(p.spark, path), 6, "TRET_T1D"), 9, "price")
+
+
+@query("s9_write_results", "select qi, 'wide.csv' as kind, count(*) as n, round(sum(ret), 6) as total from {stocks} group by qi union all select qi, 'parts', count(*), round(sum(tax), 6) from {stocks} group by qi union all select null, 'config', 2, null")
+def _(p):
+    root = io.scratch_folder(p.spark)
+    s = p["stocks"]
+    io.write_results({"wide": s.select("security", "qi", "ret")}, f"{root}/csv", "csv")
+    io.write_results({"parts": s.select("security", "qi", "tax")}, f"{root}/parquet", partition_by=["qi"])
+    io.write_config(p.spark, {"n": 5, "name": "run"}, f"{root}/config")
+    wide = p.spark.read.csv(f"{root}/csv/wide", schema="security string, qi int, ret double", header=True).groupBy("qi").agg(F.lit("wide.csv").alias("kind"), F.count("*").alias("n"), F.sum("ret").alias("total"))
+    parts = p.spark.read.parquet(f"{root}/parquet/parts").groupBy("qi").agg(F.lit("parts").alias("kind"), F.count("*").alias("n"), F.sum("tax").alias("total"))
+    settings = F.from_json("value", "n int, name string")
+    config = p.spark.read.text(f"{root}/config").select(F.lit(None).cast("int").alias("qi"), F.lit("config").alias("kind"), F.when((settings["n"] == 5) & (settings["name"] == "run"), F.lit(2)).cast("long").alias("n"), F.lit(None).cast("double").alias("total"))
+    return rounded(joins.stack([wide, parts, config]))
+
+
+@query("s9_panel_layout", "select fund, security, qi, shares, max(shares) over w as shares_lag1 from {dense} window w as (partition by fund, security order by qi range between 1 preceding and 1 preceding)")
+def _(p):
+    root = io.scratch_folder(p.spark)
+    laid = io.write_panel(p["dense"].select("fund", "security", "qi", "shares"), f"panel_{root[-8:]}".replace("-", "_"), ["fund"], "qi", 16, f"{root}/panel")
+    return lags.exact_lag(laid, ["fund", "security"], ["shares"])
+
+
 @query("s3_read_mapped", "select l_orderkey as orderkey, l_linenumber as line, l_quantity as shares, cast(null as double) as market_cap from {lineitem}")
 def _(p):
     return io.read_mapped(p["lineitem"], {"L_ORDERKEY": "orderkey", "L_LINENUMBER": "line", "l_quantity": "shares", "cap": "market_cap"}, ["orderkey"], {"market_cap": "double"})

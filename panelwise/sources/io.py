@@ -97,3 +97,28 @@ def write_config(spark: SparkSession, config: Mapping, path: str) -> None:
     import json
 
     spark.createDataFrame([(json.dumps(dict(config), default=str, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir; where that is unset, a local one in local mode and an error on a cluster."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return tempfile.mkdtemp(prefix="panelwise-")
+    return f"{folder.rstrip('/')}/panelwise-{uuid.uuid4().hex}"
+
+
+def write_panel(df: DataFrame, table: str, keys: Sequence[str], period: str = "qi", buckets: int = 200, path: str | None = None) -> DataFrame:
+    """Saves ``df`` as a catalog table laid out for lags: bucketed by ``keys``, each bucket one file sorted by keys and period. Returns the table.
+
+    Windows and aggregates by the keys, or by more columns than these, read it without a shuffle,
+    and joins with a table of the same layout too. ``buckets`` should leave a bucket small enough for a task.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, period)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
