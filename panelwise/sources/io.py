@@ -117,7 +117,7 @@ def write_panel(df: DataFrame, table: str, keys: Sequence[str], period: str = "q
     """Saves ``df`` as a catalog table laid out for lags: bucketed by ``keys``, each bucket one file sorted by keys and period. Returns the table.
 
     Windows and aggregates by the keys, or by more columns than these, read it without a shuffle,
-    and joins with a table of the same layout too. ``buckets`` should leave a bucket small enough for a task.
+    and so do joins by just these keys with a table of the same layout. ``buckets`` should leave a bucket small enough for a task.
     """
     writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, period)
     (writer.option("path", path) if path else writer).saveAsTable(table)
