@@ -106,26 +106,27 @@ class Codes:
         return best, p[np.arange(len(p)), best], margin
 
 
-def train_language(docs: DataFrame, each: int = 500, longest: int = 50_000, most: int = 4000, languages: int = 1000) -> Codes:
-    """The codes learned from about ``each`` texts a language, ``most`` in all at most.
+def train_language(docs: DataFrame, each: int = 500, longest: int = 50_000, most: int = 4000, floor: int = 8) -> Codes:
+    """The codes learned from about ``each`` texts a language, about ``most`` in all, but ``floor`` a language at least.
 
     The sample is bounded: of each language the rows whose hash of doc_id and text falls below the
     share that gives ``each`` different rows, among training rows (crc32 of doc_id modulo 4 is not 2)
     with a lang and a text of 20 to ``longest`` characters; repeated rows count once. Shares come from
     counts that combine on the map side, so that no task sorts a language. With more languages than
-    most / each, each has fewer rows; of more than ``languages`` languages those with most rows are
-    learned.
+    most / each, each has fewer rows. Every language with a training row is learned: the row of its
+    smallest hash is always in the sample, which grows with the number of languages alone.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.length("text").between(20, longest)).filter(~held_out(4, 2))
     rows = known.select("lang", "text", *row_ids())
-    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("r1", 0.02).alias("d")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    place = F.shiftrightunsigned(F.xxhash64("r1", "r2", F.lit("language")), 11) * F.lit(2.0**-53)
+    counted = rows.withColumn("place", place).groupBy("lang").agg(F.approx_count_distinct("r1", 0.02).alias("d"), F.min("place").alias("first")).collect()
     codes = Codes(sorted(r["lang"] for r in counted))
     if len(counted) < 2:
         return codes
-    each = max(1, min(each, most // len(counted)))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], each / max(1, r["d"])) for r in counted], "lang string, share double")
-    place = F.shiftrightunsigned(F.xxhash64("r1", "r2", F.lit("language")), 11) * F.lit(2.0**-53)
-    chosen = rows.join(F.broadcast(shares), "lang").withColumn("place", place / F.col("share")).filter("place < 1")
+    each = max(min(floor, each), min(each, most // len(counted)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], max(each / max(1, r["d"]), r["first"]), r["first"]) for r in counted], "lang string, share double, first double")
+    near = rows.join(F.broadcast(shares), "lang").withColumn("place", place).filter("place <= share")
+    chosen = near.withColumn("place", F.when(F.col("place") == F.col("first"), -1.0).otherwise(F.col("place") / F.col("share")))
     texts = chosen.groupBy("lang", "r1", "r2").agg(F.first("text").alias("text"), F.first("place").alias("place")).select("text", "lang", "place")
 
     def run(batches):
@@ -136,7 +137,7 @@ def train_language(docs: DataFrame, each: int = 500, longest: int = 50_000, most
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in small], pa.binary()), *(batch.column(k).slice(low, high - low) for k in (1, 2))], names=["profile", "label", "place"])
 
     number = {lang: i for i, lang in enumerate(codes.languages)}
-    sample = texts.mapInArrow(run, "profile binary, label string, place double").orderBy("place").limit(most).toArrow()
+    sample = texts.mapInArrow(run, "profile binary, label string, place double").orderBy("place").limit(max(most, floor * len(counted))).toArrow()
     found = sorted((number[k], p) for k, p in zip(sample["label"].to_pylist(), sample["profile"].to_pylist()))
     x = np.frombuffer(b"".join(p for _, p in found), np.uint8).reshape(len(found), CELLS).astype(np.float32) / 255
     codes.fit(x, np.array([k for k, _ in found]))

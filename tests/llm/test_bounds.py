@@ -39,7 +39,7 @@ def test_language_sample_is_bounded(spark, one_id, monkeypatch):
     got = language.identify_language(one_id, codes)
     assert got.count() == 20_000 and got.join(one_id.select(*common.row_ids(), "lang").distinct(), ["r1", "r2"]).filter("lang = lang_pred").count() > 19_000
     assert language.identify_language(one_id.limit(0), codes).count() == 0
-    assert language.train_language(one_id, languages=1).languages == ["en"]
+    assert language.train_language(one_id.filter("lang = 'en'")).languages == ["en"]
 
 
 def test_toxicity_sample_is_bounded(spark, one_id, monkeypatch):
@@ -204,3 +204,15 @@ def test_quality_posterior_equals_brute_force(spark):
     assert all(abs(g - r.quality) < 1e-9 for g, r in zip(good, scored))
     assert all(r.kept == (not r.base_failed and g >= 0.5) for g, r in zip(good, scored))
     assert brute.quality_counts("a b")[0] == 2
+
+
+def test_every_language_with_a_training_row_is_learned(spark):
+    rng = random.Random(66)
+    word = lambda k: "".join(chr(97 + (rng.randrange(5) * 7 + k) % 26) for _ in range(6))
+    rows = [(i, " ".join(word(0) for _ in range(12)), "common") for i in range(400)]
+    rows += [(1000 + 10 * k + j, " ".join(word(k) for _ in range(12)), f"rare{k:02d}") for k in range(1, 26) for j in range(6)]
+    codes = language.train_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), each=20, most=30, floor=2)
+    assert codes.languages == sorted({r[2] for r in rows})
+    # the sample has the floor of rows, not one language's
+    wide = language.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"), codes)
+    assert wide.filter("lang_pred like 'rare%'").count() > 0
