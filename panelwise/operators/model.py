@@ -218,12 +218,19 @@ def gain_importance(df: DataFrame, folds: DataFrame, features: Sequence[str], ta
     return each.crossJoin(F.broadcast(each.agg(F.sum("gain").alias("__all")))).withColumn("gain_share", F.col("gain") / F.nullif(F.col("__all"), F.lit(0.0))).drop("__all")
 
 
-def bucketed_walk_forward(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, by: str, n: int, floor: int = 50, id: str = "security", period: str = "qi", estimator: Callable[[], Estimator] = make_estimator) -> DataFrame:
-    """A model of its own for each per-period bucket of ``by``; buckets with fewer than ``floor`` rows are left out."""
-    placed = pct_bucket(df, by, n, [period], id, "model_bucket")
-    sizes = {r["model_bucket"]: r["count"] for r in placed.filter("model_bucket is not null").groupBy("model_bucket").count().collect()}
-    out = None
-    for b in sorted(k for k, v in sizes.items() if v >= floor):
+def bucketed_walk_forward(df: DataFrame, folds: DataFrame, features: Sequence[str], target: str, by: str, n: int, floor: int = 50, id: str = "security", period: str = "qi", estimator: Callable[[], Estimator] | LeastSquares = LeastSquares()) -> DataFrame:
+    """A model of its own for each per-period bucket of ``by`` (``model_bucket``); buckets with fewer than ``floor`` rows are left out.
+
+    With least squares the buckets are strata of one pass of sums. Other learners are fitted bucket by
+    bucket, on a panel that is placed and computed once where there is a checkpoint folder.
+    """
+    placed = pct_bucket(df, by, n, [period], id, "model_bucket").filter("model_bucket is not null")
+    enough = placed.groupBy("model_bucket").agg(F.count("*").alias("__n")).filter(F.col("__n") >= floor).select("model_bucket")
+    if isinstance(estimator, LeastSquares):
+        kept = placed.join(enough, "model_bucket", "left_semi").select(*placed.columns)
+        return walk_forward_linear(kept, folds, features, [target], None, ["model_bucket"], estimator.alpha, period, names=("__target_name", "__spec")).select(*placed.columns, "fold", "y_pred")
+    placed, out = settled(placed), None
+    for (b,) in sorted(enough.collect()):
         part = walk_forward(placed.filter(F.col("model_bucket") == b), folds, features, target, estimator, period)
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -578,7 +578,7 @@ def _(p):
     return rounded(model.ablate(_model_panel(p), _folds(p), _M9["all"], groups, "fwd_1q", "fwd_1q"), 4)
 
 
-@query("m10_bucketed_walk_forward")
+@query("m10_bucketed_walk_forward", f"with {FOLDS}, src as (select *, cast(ceil(row_number() over (partition by qi order by market_cap, security) * 2 / count(*) over (partition by qi)) - 1 as int) as model_bucket from {{sql_panel}} where fwd_1q is not null and market_cap is not null), " + least_squares_sql("p", "src", "folds", ["trades", "tax"], "fwd_1q", 1.0, by="model_bucket") + " select model_bucket, count(*) as n, round(avg(y_pred), 4) as mean from p group by model_bucket")
 def _(p):
     out = model.bucketed_walk_forward(_model_panel(p).filter("fwd_1q is not null"), _folds(p), ["trades", "tax"], "fwd_1q", "market_cap", 2)
     return rounded(out.groupBy("model_bucket").agg(F.count("*").alias("n"), F.avg("y_pred").alias("mean")), 4)

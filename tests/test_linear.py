@@ -97,3 +97,14 @@ def test_strata_and_blocks_are_pooled(spark):
     assert best["model:all"] > best["model:a"] > 0.5 and abs(best["model:b"] + best["raw:b"]) < 1e-9
     same = {r.rows for r in out.filter("group = 'all' and half = 'all'").collect()}
     assert len(same) == 1  # one sample for all
+
+
+def test_buckets_have_models_of_their_own(spark):
+    rows, df = panel(spark, 12, 60)
+    schedule = folds.quarter_folds(spark, 1, 12, 6, 2, 3)
+    out = model.bucketed_walk_forward(df, schedule, ["a"], "y", "a", 3, floor=10)
+    assert set(out.columns) == {*df.columns, "model_bucket", "fold", "y_pred"}
+    assert {r.model_bucket for r in out.select("model_bucket").distinct().collect()} == {0, 1, 2}
+    assert model.bucketed_walk_forward(df, schedule, ["a"], "y", "a", 3, floor=10_000).count() == 0
+    one = {(r.fold, r.security, r.qi): r.y_pred for r in model.walk_forward(out.filter("model_bucket = 1").select(*df.columns).distinct().unionByName(df.limit(0)), schedule, ["a"], "y").collect()}
+    assert one.keys() <= {(r.fold, r.security, r.qi) for r in out.collect()}
