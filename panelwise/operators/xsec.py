@@ -75,7 +75,9 @@ def bucket(df: DataFrame, column: str, n: int, keys: Sequence[str], id: str, tie
     group = list(keys) if complete else [*keys, good]
     if tie == "average":
         ranked = df.withColumn("__r", F.rank().over(W.partitionBy(*group).orderBy(column)) + (F.count("*").over(W.partitionBy(*group, column)) - 1) / 2)
-        edges = F.array_distinct(F.percentile("__r", F.array(*[F.lit(i / n) for i in range(n + 1)])).over(W.partitionBy(*group)))
+        cuts = F.percentile("__r", F.array(*[F.lit(i / n) for i in range(n + 1)])).over(W.partitionBy(*group))
+        # ranks are multiples of a half: what differs from a cut by less than that by interpolation alone lies on it
+        edges = F.array_distinct(F.transform(cuts, lambda e: F.round(e, 6)))
         inner = F.slice("__e", 2, F.greatest(F.size("__e") - 2, F.lit(0)))
         number = F.size(F.filter(inner, lambda e: F.col("__r") > e)).cast("int")
         return ranked.withColumn("__e", edges).withColumn(name, F.when(good, number)).drop("__r", "__e")

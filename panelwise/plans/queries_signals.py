@@ -316,7 +316,14 @@ def _(p):
     return perf(sorts.sweep(p.panel, "net_buy", "fwd_1q", ties=("random", "first")))
 
 
-@query("e5_sweep_average")
+def _average_sql(source: str, column: str, name: str, keys: str, n: int) -> str:
+    """A SELECT of all columns and the bucket of average ranks, cut at their percentiles, distinct cuts only."""
+    ranks = f"select *, rank() over (partition by {keys} order by {column}) + (count(*) over (partition by {keys}, {column}) - 1) / 2 as r_{name} from {source}"
+    edges = f"select *, list_transform(quantile_cont(r_{name}, [{', '.join(f'{i}/{n}' for i in range(n + 1))}]) over (partition by {keys}), lambda e: round(e, 6)) as e_{name} from ({ranks}) q0"
+    return f"select *, len(list_filter(list_distinct(e_{name}), lambda e: e > list_min(e_{name}) and e < list_max(e_{name}) and e < r_{name}))::int as {name} from ({edges}) q1"
+
+
+@query("e5_sweep_average", _CELLS % "('average')" + "".join(f"x{k} as (" + _average_sql(f"(select * from c where size_groups = {k})", "cap", "sz", f"{_CELL}, qi", k) + "), " for k in (1, 3)) + "y as (" + _average_sql("(select * from x1 union all select * from x3)", "x", "b", f"{_CELL}, qi, sz", 5) + "), " + _SWEPT + perf_sql("s", _CELL))
 def _(p):
     return perf(sorts.sweep(p.panel, "net_buy", "fwd_1q", ties=("average",)))
 
