@@ -247,11 +247,12 @@ def _borders(light: DataFrame) -> dict[int, dict]:
 
 
 def plan_edits(light: DataFrame) -> DataFrame:
-    """KEY, place, edits, roles, faults, illegal, new_turn of every row of ``ordered_rows``.
+    """KEY, place, block, whole, edits, roles, faults, illegal, new_turn of every row of ``ordered_rows``.
 
     ``edits`` are the initials of the row's edits with insertions before it and, on a conversation's
     last row, after it; ``roles`` and ``faults`` have a letter for each edit (k own role, u, a, d;
-    b blank, d duplicate, t truncated, - none). ``illegal`` counts bad neighbours up to the row.
+    b blank, d duplicate, t truncated, - none). ``illegal`` counts bad neighbours up to the row. A
+    ``block`` holds up to ``BLOCK`` rows of a conversation; ``whole`` says that it holds all of them.
     """
     sent = light.sparkSession.sparkContext.broadcast(_borders(light))
 
@@ -262,10 +263,13 @@ def plan_edits(light: DataFrame) -> DataFrame:
         know, count = sent.value.get(p.pid, {}), p.column["n"].to_pylist()
         blank, turn = p.column["blank"].to_pylist(), p.column["turn"].to_pylist()
         legal = {(0, 1), (1, 2), (2, 1)}
+        block, whole = np.zeros(p.size, np.int64), np.zeros(p.size, bool)
         out = {c: [] for c in ("edits", "roles", "faults", "illegal", "new_turn")}
         for k, (low, high) in enumerate(zip(p.begins, p.ends)):
             before = know.get("before") if k == 0 else None
             after = know.get("after") if k == len(p.begins) - 1 else None
+            block[low:high] = low + np.arange(high - low) // BLOCK
+            whole[low:high] = before is None and after is None and high - low <= BLOCK
             previous, earlier = (before["initial"], before["turn"]) if before else (None, None)
             steps = table.walk(p.kinds[low:high], before["state"] if before else 0, after or FINISH)
             for i, (edits, roles, q) in zip(range(low, high), steps):
@@ -278,11 +282,11 @@ def plan_edits(light: DataFrame) -> DataFrame:
                 out["illegal"].append(more + (previous is not None and (previous, p.initials[i]) not in legal))
                 out["new_turn"].append(int(turn[i] is not None and turn[i] != earlier))
                 previous, earlier = p.initials[i], turn[i]
-        place = pa.array((np.int64(p.pid) << np.int64(36)) + np.arange(p.size))
-        columns = {c: p.column[c] for c in KEY} | {"place": place} | {c: pa.array(v, pa.string() if c in ("edits", "roles", "faults") else pa.int64()) for c, v in out.items()}
+        base = np.int64(p.pid) << np.int64(36)
+        columns = {c: p.column[c] for c in KEY} | {"place": pa.array(base + np.arange(p.size)), "block": pa.array(base + block), "whole": pa.array(whole)} | {c: pa.array(v, pa.string() if c in ("edits", "roles", "faults") else pa.int64()) for c, v in out.items()}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return light.mapInArrow(run, "ck string, turn long, role string, t1 long, t2 long, place long, edits string, roles string, faults string, illegal long, new_turn long")
+    return light.mapInArrow(run, "ck string, turn long, role string, t1 long, t2 long, place long, block long, whole boolean, edits string, roles string, faults string, illegal long, new_turn long")
 
 
 def _with_texts(rows: DataFrame) -> DataFrame:
@@ -318,8 +322,9 @@ SUMS = ["new_turn", "blank", "duplicate", "truncated", "illegal", "cost"]
 def repair_report(rows: DataFrame) -> DataFrame:
     """ck (see ``conversation_key``), gaps, blank, duplicate, truncated, illegal, cost, audit (initials of the edits), repaired_sha256 (of ``role:text`` of what remains, joined by newlines) for each conversation of ``rows``; see ``repair_conversations``.
 
-    Lines are put together in blocks first; one task then takes a conversation's blocks in turn and
-    carries the hash on, holding one block at a time.
+    Lines are put together in blocks first. Where a block holds the whole conversation, as nearly all
+    do, its hash is the result and no text goes further; of the others one task takes the blocks in
+    turn and carries the hash on, holding one block at a time.
     """
     number = lambda c, letter: F.length(c) - F.length(F.translate(c, letter, ""))
     kept = F.zip_with(_letters("edits"), _letters("faults"), lambda e, f: (f == "t") & (e != "D"))
@@ -327,19 +332,22 @@ def repair_report(rows: DataFrame) -> DataFrame:
     line = lambda e, r: F.when(e == "D", F.lit(None)).otherwise(F.concat(F.when(r == "u", F.lit("user")).when(r == "a", F.lit("assistant")).otherwise(F.col("role")), F.lit(":"), F.when(e == "I", F.lit("")).otherwise(F.col("text"))))
     lines = F.filter(F.zip_with(_letters("edits"), _letters("roles"), line), lambda x: x.isNotNull())
     each = _with_texts(rows).select(
-        "ck", "place", F.shiftright("place", 10).alias("block"), "turn", "edits", F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("lines"),
+        "ck", "place", "block", "whole", "turn", "edits", F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("lines"),
         "new_turn", number("faults", "b").alias("blank"), number("faults", "d").alias("duplicate"), number("faults", "t").alias("truncated"), "illegal", cost.alias("cost"),
     )
     inner = F.sort_array(F.collect_list(F.struct("place", "edits", "lines")))
-    blocks = each.groupBy("ck", "block").agg(inner.alias("parts"), *[F.sum(c).cast("long").alias(c) for c in SUMS], F.min("turn").alias("low"), F.max("turn").alias("high"))
-    blocks = blocks.select("ck", "block", F.array_join("parts.edits", "").alias("edits"), F.when(F.exists("parts", lambda x: x["lines"].isNotNull()), F.array_join("parts.lines", "\n")).alias("lines"), *SUMS, "low", "high")
+    blocks = each.groupBy("ck", "block", "whole").agg(inner.alias("parts"), *[F.sum(c).cast("long").alias(c) for c in SUMS], F.min("turn").alias("low"), F.max("turn").alias("high"))
+    text = F.when(F.exists("parts", lambda x: x["lines"].isNotNull()), F.array_join("parts.lines", "\n"))
+    joined = blocks.select("ck", "block", "whole", F.array_join("parts.edits", "").alias("edits"), text.alias("text"), *SUMS, "low", "high")
+    given, rest = F.when(F.col("whole"), F.sha2(F.coalesce("text", F.lit("")), 256)), F.when(~F.col("whole"), F.col("text"))
+    blocks = joined.select("ck", "block", "edits", rest.alias("lines"), given.alias("given"), *SUMS, "low", "high")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = None, []
 
         def close(x):
             gaps = x["high"] - x["low"] + 1 - x["new_turn"] if x["high"] is not None else 0
-            return {"ck": x["ck"], "gaps": gaps, "audit": "".join(x["edits"]), "repaired_sha256": x["sha"].hexdigest()} | {c: x[c] for c in SUMS[1:]}
+            return {"ck": x["ck"], "gaps": gaps, "audit": "".join(x["edits"]), "repaired_sha256": x["given"] or x["sha"].hexdigest()} | {c: x[c] for c in SUMS[1:]}
 
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
@@ -347,7 +355,7 @@ def repair_report(rows: DataFrame) -> DataFrame:
                 if own is None or own["ck"] != row["ck"]:
                     if own is not None:
                         done.append(close(own))
-                    own = {"ck": row["ck"], "edits": [], "sha": hashlib.sha256(), "any": False, "low": None, "high": None} | dict.fromkeys(SUMS, 0)
+                    own = {"ck": row["ck"], "edits": [], "sha": hashlib.sha256(), "given": row["given"], "any": False, "low": None, "high": None} | dict.fromkeys(SUMS, 0)
                 own["edits"].append(row["edits"])
                 if row["lines"] is not None:
                     own["sha"].update(("\n" if own["any"] else "").encode() + row["lines"].encode())

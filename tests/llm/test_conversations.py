@@ -116,7 +116,7 @@ def test_odd_rows(spark):
     assert repair_report(df.limit(0)).count() == 0 and repair_conversations(df.limit(0)).count() == 0
 
 
-def test_one_conversation_over_many_partitions(spark):
+def test_one_conversation_over_many_partitions(spark, monkeypatch):
     dice = random.Random(5)
     rows = [(1, t, dice.choice(["user", "assistant", "user", "assistant", "system", "tool"]), dice.choice(["", "same.", f"text {t}", f"text {t}.", f"line {t}\nmore!"])) for t in range(700)]
     rows += [(2, t, "user", f"{t}.") for t in range(3)] + [(0, t, "assistant", f"{t}") for t in range(4)]
@@ -129,6 +129,7 @@ def test_one_conversation_over_many_partitions(spark):
         light = ordered_rows(df)
         pieces = {r[0] for r in light.filter("ck = '=1'").select("pid").distinct().collect()}
         assert len(pieces) > 10
+        monkeypatch.setattr(conversations, "BLOCK", 7)
         have = {r["ck"]: tuple(r[c] for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")) for r in repair_report(df).collect()}
     finally:
         for k, v in keep.items():
