@@ -63,7 +63,7 @@ _STOP = frozenset(STOP_WORDS)
 
 #: The first pass: stop-word share that is full evidence, characters at which a block's stop words and its length count in full,
 #: weights of links, of a mark of ownership, of standing in an article, outside of the one that there is, and in an aside.
-STOPS, ENOUGH, LONG, LINKS, MARK, INSIDE, OUTSIDE, BESIDE = 0.2, 140, 800, 3.0, 2.0, 3.0, 3.0, 4.0
+STOPS, ENOUGH, LONG, LINKS, MARK, INSIDE, OUTSIDE, BESIDE = 0.2, 140, 800, 3.0, 2.0, 3.0, 1.1, 4.0
 #: Scores from which a block is text, and up to which it is not.
 TEXT, NO_TEXT = 0.8, -0.5
 

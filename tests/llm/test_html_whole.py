@@ -38,3 +38,12 @@ def test_many_unclosed_elements_take_time_in_proportion():
     begin = time.time()
     main_text("<div><b><p>x<li>y</i>" * 20_000 + "<button>" * 2000)
     assert time.time() - begin < 20
+
+
+def test_dense_text_outside_an_article_element_is_text():
+    told = "The people of the town were told that the river would rise again in the night and that they should leave their houses. "
+    story = [told * 3 + f"This was part {k} of it." for k in range(6)]
+    page = "<body><div class=nav><a href=x>Home</a> <a href=y>News</a></div><article class=card><p>A short teaser of the story.</p></article><div>" + "".join(f"<p>{p}</p>" for p in story) + "<p>Share</p></div><footer>All of it is ours.</footer></body>"
+    assert main_text(page).split("\n")[1:7] == story and "Home" not in main_text(page) and "ours" not in main_text(page)
+    thin = "<body><article><p>" + told * 4 + "</p></article><div><p>Read more</p><p>Seen 12 times</p></div></body>"
+    assert main_text(thin) == (told * 4).strip()
