@@ -31,13 +31,13 @@ def contamination(docs, items):
         w = LETTERED.findall(lower(text))
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows[tuple(w[k : k + n])].add(str(item))
+            windows[tuple(w[k : k + n])].update([] if item is None else [str(item)])
     out = {}
     for i, text in docs:
         w, hit, found = LETTERED.findall(lower(text)), set(), set()
         for n in {len(x) for x in windows}:
             for k in range(len(w) - n + 1):
-                if own := windows.get(tuple(w[k : k + n])):
+                if (own := windows.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     found |= own
         out[i] = (len(w), len(hit), sorted(found))
