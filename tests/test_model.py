@@ -64,3 +64,17 @@ def test_importance_takes_one_job_for_any_number_of_features(spark):
         assert {r.feature for r in got} == set(features)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert counts[0] == counts[1]
+
+
+def test_classes_follow_a_feature_that_tells_them(spark):
+    rows = [(f"n{i:02d}", q, float(i % 3 - 1) + 0.01 * (i % 7), i % 3 - 1, i % 2 == 0) for q in range(1, 9) for i in range(30)]
+    df = spark.createDataFrame(rows, "security string, qi int, a double, label int, can_sell boolean")
+    schedule = folds.quarter_folds(spark, 1, 8, 6, 2, 2)
+    out = model.walk_forward_class(df, schedule, ["a"], "label", "can_sell", trees=5, depth=3).collect()
+    assert len(out) == schedule.count() * 2 * 30
+    for r in out:
+        assert abs(r.p_sell + r.p_hold + r.p_buy - 1) < 1e-9
+        if r.can_sell or r.label >= 0:
+            assert r.pred == r.label and abs(r.p_sell_f + r.p_hold_f + r.p_buy_f - 1) < 1e-9
+        else:
+            assert r.pred != -1  # selling is ruled out
