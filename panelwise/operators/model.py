@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Estimator, Pipeline
@@ -45,11 +46,12 @@ def make_estimator(kind: str = "ridge", label: str = "__y", seed: int = 7, **opt
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once, where the session names a checkpoint folder; otherwise ``df`` as it is. Spark frees the files when the result is no longer used."""
+    """``df`` computed once, where the session names a checkpoint folder; otherwise ``df`` as it is, with a warning. Spark frees the files when the result is no longer used."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            warnings.warn("no checkpoint folder is set: the panel is computed anew for each model", stacklevel=2)
             return df
         sc.setCheckpointDir(folder)
     return df.checkpoint()
