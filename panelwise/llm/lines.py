@@ -1,11 +1,13 @@
-"""Line dedup by windows of two lines, in DataFrame functions only.
+"""Line dedup by content-defined chunks, in DataFrame functions only.
 
 A line's place counts the lines that have a word, so that blank lines neither divide a passage nor
-belong to it. Every two successive lines of which both occur again make a window, keyed by a hash
-over the hashes of the two. A repeated passage of any two lines or more is thus found line by line,
-whatever stands beside it. Windows that occur again are removed everywhere but at their first place
-(by doc_id, then row, then place). Successive ones that follow the same stretch of the same document
-are made one stretch, which goes only after its bytes have been compared with those of the first place.
+belong to it. Successive lines that occur again are cut into chunks where a rolling hash over the
+hashes of two lines meets a condition, so that boundaries depend on content alone and shift with it.
+Chunks that occur again are matched as wholes. Where a passage begins or ends inside a chunk, or runs
+on over a boundary, matches are extended line by line: every two successive lines that no matched
+chunk holds are joined by their rolling hash. A repeated passage of any two lines or more is thus
+found whole, whatever stands beside it. What occurs again is removed everywhere but at its first
+place (by doc_id, then row, then place), after its bytes have been compared with those of that place.
 """
 
 from __future__ import annotations
@@ -32,8 +34,12 @@ def _word_number(line: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1
 
 
-def line_windows(docs: DataFrame, long_line: int | None = None) -> DataFrame:
-    """Windows of repeated lines: r1, r2, doc_id, i (first line), n (lines), k (hash of the line hashes).
+#: A chunk ends after a line whose rolling hash is 0 modulo this: so many lines are a chunk on average.
+CHUNK = 8
+
+
+def line_places(docs: DataFrame, long_line: int | None = None) -> DataFrame:
+    """Repeated lines: r1, r2, doc_id, i (place), h (hash), w (words, with ``long_line``), k (rolling hash of this line and the next, null where that is no repeated line), c (chunk), ends (the chunk's last line).
 
     No text is shuffled here; a line's hash, count and place are. Counting by hash combines on the
     map side, so that a line in a third of all documents is a few rows for each task.
@@ -43,12 +49,29 @@ def line_windows(docs: DataFrame, long_line: int | None = None) -> DataFrame:
     # repeated rows of one document are one document
     placed = _lines(docs).select("r1", "r2", "doc_id", "i", "h", words.alias("w")).join(again, "h", "left_semi").repartition("r1", "r2").groupBy("r1", "r2", "i").agg(F.first("doc_id").alias("doc_id"), F.first("h").alias("h"), F.first("w").alias("w"))
     by = W.partitionBy("r1", "r2").orderBy("i")
-    pair = F.when(F.lead("i").over(by) == F.col("i") + 1, F.struct(F.lit(2).alias("n"), F.xxhash64("h", F.lead("h").over(by)).alias("k")))
+    rolled = placed.withColumn("k", F.when(F.lead("i").over(by) == F.col("i") + 1, F.xxhash64("h", F.lead("h").over(by))))
+    ended = rolled.withColumn("ends", F.col("k").isNull() | (F.pmod(F.shiftright("k", 20), F.lit(CHUNK)) == 0))
+    begins = F.coalesce(F.lag("ends").over(by), F.lit(False)).cast("int")
+    return ended.withColumn("__b", begins).withColumn("c", F.sum("__b").over(by.rowsBetween(W.unboundedPreceding, 0))).drop("__b")
+
+
+def repeated_chunks(places: DataFrame) -> DataFrame:
+    """Chunks of three lines or more that occur again, but for their first place: r1, r2, c, s (first line), n (lines), f1, f2, first_s."""
+    lines = F.sort_array(F.collect_list(F.struct("i", "h")))
+    chunks = places.groupBy("r1", "r2", "c").agg(F.first("doc_id").alias("doc_id"), F.min("i").alias("s"), F.count("*").cast("int").alias("n"), F.xxhash64(F.transform(lines, lambda x: x["h"])).alias("k")).filter("n > 2")
+    firsts = chunks.groupBy("k", "n").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "r1", "r2", "s")).alias("first")).filter("times > 1")
+    firsts = firsts.select("k", "n", F.col("first.r1").alias("f1"), F.col("first.r2").alias("f2"), F.col("first.s").alias("first_s"))
+    return chunks.join(firsts, ["k", "n"]).filter("r1 != f1 or r2 != f2 or s != first_s").select("r1", "r2", "c", "s", "n", "f1", "f2", "first_s")
+
+
+def line_windows(places: DataFrame, matched: DataFrame, long_line: int | None = None) -> DataFrame:
+    """Windows that no matched chunk holds: r1, r2, doc_id, i (first line), n (lines), k (hash of the line hashes)."""
+    left = places.join(matched.select("r1", "r2", "c", F.lit(True).alias("held")), ["r1", "r2", "c"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    pair = F.when(F.col("k").isNotNull() & ~(F.col("held") & ~F.col("ends")), F.struct(F.lit(2).alias("n"), F.col("k").alias("k")))
     if not long_line:
-        return placed.withColumn("pair", pair).filter("pair is not null").select("r1", "r2", "doc_id", "i", "pair.n", "pair.k")
-    alone = F.when(F.col("w") >= long_line, F.struct(F.lit(1).alias("n"), F.col("h").alias("k")))
-    paired = placed.withColumn("pair", pair).withColumn("alone", alone)
-    return paired.select("r1", "r2", "doc_id", "i", F.explode(F.array_compact(F.array("pair", "alone"))).alias("x")).select("r1", "r2", "doc_id", "i", "x.n", "x.k")
+        return left.withColumn("x", pair).filter("x is not null").select("r1", "r2", "doc_id", "i", "x.n", "x.k")
+    alone = F.when((F.col("w") >= long_line) & ~F.col("held"), F.struct(F.lit(1).alias("n"), F.col("h").alias("k")))
+    return left.select("r1", "r2", "doc_id", "i", F.explode(F.array_compact(F.array(pair, alone))).alias("x")).select("r1", "r2", "doc_id", "i", "x.n", "x.k")
 
 
 def repeated_stretches(docs: DataFrame, long_line: int | None = None) -> DataFrame:
@@ -57,7 +80,9 @@ def repeated_stretches(docs: DataFrame, long_line: int | None = None) -> DataFra
     A window that overlaps its own first place is no repeat. A long line alone counts where no
     repeated window of two lines covers it.
     """
-    every = cut(line_windows(docs, long_line))
+    places = cut(line_places(docs, long_line))
+    matched = cut(repeated_chunks(places))
+    every = line_windows(places, matched, long_line)
     firsts = every.groupBy("k", "n").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "r1", "r2", "i")).alias("first")).filter("c > 1")
     firsts = cut(firsts.select("k", "n", F.col("first.r1").alias("f1"), F.col("first.r2").alias("f2"), F.col("first.i").alias("first_i")))
     later = every.join(firsts, ["k", "n"]).filter("r1 != f1 or r2 != f2 or i >= first_i + n").select("r1", "r2", "i", "n", "f1", "f2", "first_i")
@@ -69,7 +94,8 @@ def repeated_stretches(docs: DataFrame, long_line: int | None = None) -> DataFra
     begun = later.withColumn("begins", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
     numbered = begun.withColumn("stretch", F.sum("begins").over(by.rowsBetween(W.unboundedPreceding, 0)))
     found = numbered.groupBy("r1", "r2", "n", "stretch").agg(F.min("i").alias("s"), F.count("*").alias("c"), F.first("f1").alias("f1"), F.first("f2").alias("f2"), F.min("first_i").alias("first_s"))
-    return found.select("r1", "r2", "s", (F.col("c") + F.col("n") - 1).cast("int").alias("n"), "f1", "f2", "first_s")
+    found = found.select("r1", "r2", "s", (F.col("c") + F.col("n") - 1).cast("int").alias("n"), "f1", "f2", "first_s")
+    return found.union(matched.select("r1", "r2", "s", "n", "f1", "f2", "first_s"))
 
 
 def dedup_lines(docs: DataFrame, long_line: int | None = None) -> DataFrame:

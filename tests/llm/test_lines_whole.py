@@ -62,3 +62,27 @@ def test_line_dedup_equals_brute_force(spark):
 def test_one_line_is_no_passage_whatever_its_length(spark):
     data = [(i, f"own {i}\n" + " ".join(f"w{k}" for k in range(n)) + f"\nend {i}") for i in range(3) for n in (39, 40, 400)]
     assert all(r.n_removed == 0 for r in lines.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect())
+
+
+def test_chunks_are_shift_resistant_and_windows_extend_them(spark):
+    rng = random.Random(21)
+    passage = [f"line {rng.randrange(10**6)} of it" for _ in range(60)]
+    texts = ["\n".join(passage), "\n".join(["one of its own", *passage, "and another"]), "\n".join(["x y"] * 3 + passage[5:40] + ["z w"]), "\n".join(passage[7:9])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    places = lines.cut(lines.line_places(df))
+    by_doc = {d: [(r.h, r.c) for r in sorted(x, key=lambda r: r.i)] for d, x in _grouped(places.collect()).items()}
+    cut_after = {d: {h for (h, c), (_, after) in zip(x, x[1:]) if c != after} for d, x in by_doc.items()}
+    assert len(cut_after[0]) > 2 and cut_after[0] == cut_after[1]  # the same boundaries, wherever the passage stands
+    matched = lines.repeated_chunks(places)
+    assert {r.n for r in matched.collect()} and matched.filter("f1 = r1 and f2 = r2").count() == 0
+    left = lines.line_windows(places, lines.cut(matched)).count()
+    assert left < places.filter("k is not null").count()
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(df).collect()}
+    assert got[0] == (texts[0], 0) and got[1] == ("one of its own\nand another", 60) and got[2] == ("x y\nx y\nx y\nz w", 35) and got[3] == ("", 2)
+
+
+def _grouped(found):
+    by = {}
+    for r in found:
+        by.setdefault(r.doc_id, []).append(r)
+    return by
