@@ -3,14 +3,17 @@
 One scan leaves a sketch for each period (or stretch of time) and column. A range's quantiles come
 from merging its sketches: another training range needs no second scan, and nothing is sorted. A
 sketch holds all values while they are fewer than about ``k``; beyond, its rank error is about
-2.3 / k (0.1 percent for 2,048), whatever the number of rows or of merged sketches.
+2.3 / k (0.1 percent for 2,048), whatever the number of rows or of merged sketches. Where the value
+itself is asked for, ``range_quantiles`` takes from sketches only where to look for it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import assign_folds
@@ -19,6 +22,8 @@ from .linear import borders, stretch
 K = 2048
 #: Points of a sketch's distribution from which deviations from a median are taken.
 GRID = 1000
+#: How far on either side of a quantile, in shares of the rows, its value is looked for first.
+SLACK = 0.003
 
 
 def _finite(c: str) -> Column:
@@ -63,14 +68,55 @@ def describe_ranges(sketches: DataFrame, columns: Sequence[str], quantiles: Sequ
     return sketches.select(*keys, F.inline(cells))
 
 
+def range_quantiles(df: DataFrame, ranges: DataFrame, column: str, quantiles: Sequence[float], period: str = "qi", by: Sequence[str] = (), k: int = K) -> DataFrame:
+    """name, by, n and q0, q1, ..: for each range (as in ``over_ranges``) and key the exact quantiles, the smallest value whose share of values at or below it is that or more.
+
+    Merged sketches give two values around each quantile. Counts of the rows below and between them
+    say on which side of them its rank lies, whatever the sketch's error, and only the distinct values
+    found there are put in order: about 2 * ``SLACK`` of the rows. The table is read three times.
+    """
+    keys, x = ["name", *by], F.col("__x")
+    sketches = over_ranges(period_sketches(df, [column], [period, *by], k), ranges, [column], period, by)
+    near = sketches.select(*keys, *[sketch_quantile(column, min(max(q + s, 0.0), 1.0)).alias(f"__{c}{i}") for i, q in enumerate(quantiles) for c, s in (("a", -SLACK), ("b", SLACK))])
+    values = df.select(period, *by, _finite(column).alias("__x")).filter(x.isNotNull())
+    rows = values.join(F.broadcast(ranges), F.col(period).between(F.col("lo"), F.col("hi"))).select(*keys, "__x")
+    parts = [[F.any_value(f"__a{i}").alias(f"__a{i}"), F.any_value(f"__b{i}").alias(f"__b{i}"), F.count_if(x < F.col(f"__a{i}")).alias(f"__below{i}"), F.count_if(x <= F.col(f"__b{i}")).alias(f"__upto{i}")] for i in range(len(quantiles))]
+    counted = rows.join(F.broadcast(near), keys).groupBy(*keys).agg(F.count("*").alias("n"), *[c for own in parts for c in own])
+
+    def wanted(i: int, q: float) -> Column:
+        rank = F.greatest(F.ceil(F.col("n") * F.lit(Decimal(str(q)))).cast("long"), F.lit(1))
+        below, upto = F.col(f"__below{i}"), F.col(f"__upto{i}")
+        # values beyond ``over`` and before ``under``, both exclusive, or from a to b
+        over, under = F.when(rank > upto, F.col(f"__b{i}")), F.when(rank <= below, F.col(f"__a{i}"))
+        return F.struct(F.lit(i).alias("__q"), (rank - F.when(rank > upto, upto).when(rank > below, below).otherwise(0)).alias("__rank"), over.alias("__over"), under.alias("__under"), F.col(f"__a{i}").alias("__a"), F.col(f"__b{i}").alias("__b"))
+
+    places = counted.select(*keys, "n", F.inline(F.array(*[wanted(i, round(q, 12)) for i, q in enumerate(quantiles)])))
+    there = F.when(F.col("__over").isNotNull(), x > F.col("__over")).when(F.col("__under").isNotNull(), x < F.col("__under")).otherwise(x.between(F.col("__a"), F.col("__b")))
+    found = rows.join(F.broadcast(places), keys).filter(there).groupBy(*keys, "n", "__q", "__rank", "__x").agg(F.count("*").alias("__k"))
+    upto = F.sum("__k").over(W.partitionBy(*keys, "__q").orderBy("__x"))
+    chosen = found.withColumn("__upto", upto).filter((F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__k") < F.col("__rank")))
+    return chosen.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("__q") == i, x)).alias(f"q{i}") for i in range(len(quantiles))])
+
+
+def _training(df: DataFrame, folds: DataFrame, period: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its stretch of time ``__seg``, and the stretches (name, lo, hi) of each fold's training range."""
+    points, spans = borders(folds)
+    return df.withColumn("__seg", stretch(period, points)), df.sparkSession.createDataFrame([(f, a, b - 1) for f, a, b in spans], "name int, lo int, hi int")
+
+
 def _fold_sketches(df: DataFrame, folds: DataFrame, columns: Sequence[str], period: str, by: Sequence[str] = (), k: int = K) -> DataFrame:
     """fold, by and the sketches of each fold's training rows; one scan for all folds."""
-    points, spans = borders(folds)
-    ranges = df.sparkSession.createDataFrame([(f, a, b - 1) for f, a, b in spans], "name int, lo int, hi int")
-    each = period_sketches(df.withColumn("__seg", stretch(period, points)), columns, ["__seg", *by], k)
+    rows, ranges = _training(df, folds, period)
+    each = period_sketches(rows, columns, ["__seg", *by], k)
     return over_ranges(each, ranges, columns, "__seg", by).withColumnRenamed("name", "fold")
 
 
+def _fold_quantiles(cells: DataFrame, folds: DataFrame, quantiles: Sequence[float], period: str, k: int) -> DataFrame:
+    """fold, __i, n, q0, q1, ..: exact quantiles of ``__x`` by ``__i`` over each fold's training rows."""
+    rows, ranges = _training(cells, folds, period)
+    return range_quantiles(rows, ranges, "__x", quantiles, "__seg", ["__i"], k).withColumnRenamed("name", "fold")
+
+
 def _tests(df: DataFrame, folds: DataFrame, period: str) -> DataFrame:
     none = folds.select("fold", F.lit(1).alias("train_lo"), F.lit(0).alias("train_hi"), F.lit(1).alias("valid_lo"), F.lit(0).alias("valid_hi"), "test_lo", "test_hi")
     return assign_folds(df, none, period).drop("role")
@@ -97,8 +143,9 @@ def score_quality_folds(df: DataFrame, folds: DataFrame, metrics: Sequence[str],
 
 
 def drop_noisy_folds(df: DataFrame, folds: DataFrame, metrics: Sequence[str], period: str, q: float = 0.95, k: int = K) -> DataFrame:
-    """The training rows of every fold, with ``fold``, that are at or below the fold's own ``q`` quantile in each of the metrics."""
-    cuts = _fold_sketches(df, folds, metrics, period, (), k).select("fold", *[sketch_quantile(m, q).alias(f"__q_{m}") for m in metrics])
+    """The training rows of every fold, with ``fold``, that are at or below the fold's own exact ``q`` quantile in each of the metrics."""
+    cells = df.select(period, F.inline(F.array(*[F.struct(F.lit(i).alias("__i"), F.col(m).cast("double").alias("__x")) for i, m in enumerate(metrics)])))
+    cuts = _fold_quantiles(cells, folds, (q,), period, k).groupBy("fold").agg(*[F.max(F.when(F.col("__i") == i, F.col("q0"))).alias(f"__q_{m}") for i, m in enumerate(metrics)])
     train = assign_folds(df, folds, period).filter("role = 'train'").drop("role").join(F.broadcast(cuts), "fold")
     for m in metrics:
         train = train.filter(F.col(m) <= F.col(f"__q_{m}"))

@@ -61,3 +61,35 @@ def test_scale_by_sketches(spark):
     df = spark.createDataFrame([(q, float(v)) for q in range(4) for v in (0, 2, 3, 4)], "qi int, x double")
     assert {r.x for r in sketches.autoscale_sketch(df, "x", "qi").collect()} == {0.0, 0.02, 0.03, 0.04}
     assert {r.x for r in sketches.autoscale_sketch(df, "x", "qi", 10).collect()} == {0.0, 2.0, 3.0, 4.0}
+
+
+def test_range_quantiles_are_exact_beyond_the_size_of_a_sketch(spark):
+    rows, df = values(spark, 30_000)
+    ranges = spark.createDataFrame([("a", 0, 3), ("b", 2, 9), ("c", 50, 60)], "name string, lo int, hi int")
+    # with k = 8 the values that the sketch gives lie far off, and ranks outside of them
+    for k in (8, sketches.K):
+        got = {r.name: r for r in sketches.range_quantiles(df, ranges, "x", (0.0, 0.05, 0.5, 0.95, 1.0), k=k).collect()}
+        for name, lo, hi in (("a", 0, 3), ("b", 2, 9)):
+            own = np.array([x for q, x in rows if lo <= q <= hi and x is not None])
+            assert got[name].n == len(own)
+            assert [got[name][f"q{i}"] for i in range(5)] == [np.quantile(own, q, method="inverted_cdf") for q in (0.0, 0.05, 0.5, 0.95, 1.0)]
+        assert "c" not in got
+
+
+def test_quantiles_of_tied_values(spark):
+    df = spark.createDataFrame([(0, i % 2, float(x)) for i in range(2) for x in [3] * 5000 + [1] * 100 + [7] * 20], "qi int, i int, x double")
+    ranges = spark.createDataFrame([("a", 0, 0)], "name string, lo int, hi int")
+    got = sketches.range_quantiles(df, ranges, "x", (0.001, 0.5, 0.999), by=["i"], k=8).collect()
+    assert sorted(tuple(r) for r in got) == [("a", i, 5120, 1.0, 3.0, 7.0) for i in (0, 1)]
+
+
+def test_noisy_rows_of_large_folds_are_cut_exactly(spark):
+    dice = np.random.default_rng(5)
+    rows = [(i, i % 8, float(a), float(b)) for i, (a, b) in enumerate(dice.lognormal(size=(16_000, 2)))]
+    df = spark.createDataFrame(rows, "id int, qi int, a double, b double")
+    schedule = folds.period_folds(spark, list(range(8)), "rolling", 3, 2)
+    kept = {(r.fold, r.id) for r in sketches.drop_noisy_folds(df, schedule, ["a", "b"], "qi", 0.9).collect()}
+    for f in schedule.collect():
+        train = [r for r in rows if f.train_lo <= r[1] <= f.train_hi]
+        a, b = (np.quantile([r[c] for r in train], 0.9, method="inverted_cdf") for c in (2, 3))
+        assert {i for g, i in kept if g == f.fold} == {r[0] for r in train if r[2] <= a and r[3] <= b}
