@@ -125,10 +125,10 @@ def _tests(df: DataFrame, folds: DataFrame, period: str) -> DataFrame:
 def winsor_folds(df: DataFrame, folds: DataFrame, column: str, period: str, p: float = 0.01, k: int = K) -> DataFrame:
     """The test rows of every fold with ``fold`` and the array's cells clipped at the cell's p and 1 - p quantiles over the fold's training rows.
 
-    The limits, two numbers a fold and cell, are broadcast. Null cells stay; cells without training values are not clipped.
+    The limits are exact (``range_quantiles``); two numbers a fold and cell, they are broadcast. Null cells stay; cells without training values are not clipped.
     """
     cells = df.select(period, F.posexplode(column).alias("__i", "__x"))
-    fitted = _fold_sketches(cells, folds, ["__x"], period, ["__i"], k).select("fold", F.struct("__i", sketch_quantile("__x", p).alias("lo"), sketch_quantile("__x", 1 - p).alias("hi")).alias("__l"))
+    fitted = _fold_quantiles(cells, folds, (p, 1 - p), period, k).select("fold", F.struct("__i", F.col("q0").alias("lo"), F.col("q1").alias("hi")).alias("__l"))
     limits = fitted.groupBy("fold").agg(F.map_from_entries(F.collect_list(F.struct(F.col("__l.__i"), F.col("__l")))).alias("__m"))
     bounded = F.transform(F.col(column), lambda x, i: F.when(x.isNotNull(), F.coalesce(F.greatest(F.least(x.cast("double"), F.col("__m")[i]["hi"]), F.col("__m")[i]["lo"]), x.cast("double"))))
     return _tests(df, folds, period).join(F.broadcast(limits), "fold", "left").withColumn(column, bounded).drop("__m")

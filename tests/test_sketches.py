@@ -93,3 +93,16 @@ def test_noisy_rows_of_large_folds_are_cut_exactly(spark):
         train = [r for r in rows if f.train_lo <= r[1] <= f.train_hi]
         a, b = (np.quantile([r[c] for r in train], 0.9, method="inverted_cdf") for c in (2, 3))
         assert {i for g, i in kept if g == f.fold} == {r[0] for r in train if r[2] <= a and r[3] <= b}
+
+
+def test_cells_of_large_folds_are_clipped_at_exact_limits(spark):
+    dice = np.random.default_rng(6)
+    rows = [(i, i % 8, [float(x) for x in dice.lognormal(size=2)]) for i in range(16_000)]
+    df = spark.createDataFrame(rows, "id int, qi int, a array<double>")
+    schedule = folds.period_folds(spark, list(range(8)), "rolling", 3, 2)
+    got = {(r.fold, r.id): r.a for r in sketches.winsor_folds(df, schedule, "a", "qi", 0.1).collect()}
+    for f in schedule.collect():
+        train = np.array([r[2] for r in rows if f.train_lo <= r[1] <= f.train_hi])
+        lo, hi = (np.quantile(train, q, axis=0, method="inverted_cdf") for q in (0.1, 0.9))
+        assert all(got.pop((f.fold, r[0])) == list(np.clip(r[2], lo, hi)) for r in rows if f.test_lo <= r[1] <= f.test_hi)
+    assert not got
