@@ -32,9 +32,12 @@ def read_mapped(df: DataFrame, col_map: Mapping[str, str], required: Sequence[st
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in found.items() if old], *nulls)
 
 
-def read_holdings(spark: SparkSession, root: str, years: Sequence[int], us_only: bool = False, inv_type: str | None = None, fund_columns: Sequence[str] = ("LgcyInvestorId", "InvestorId", "fund")) -> DataFrame:
-    """Yearly files <root>/<year>.parquet, those that exist, with canonical ids, flags and names; only needed columns are read."""
-    paths = [p for p in (f"{root}/{y}.parquet" for y in years) if _exists(spark, p)]
+def read_holdings(spark: SparkSession, root: str, years: Sequence[int], us_only: bool = False, inv_type: str | None = None, fund_columns: Sequence[str] = ("LgcyInvestorId", "InvestorId", "fund"), name: str = "{year}.parquet") -> DataFrame:
+    """Yearly files <root>/<year>.parquet, those that exist, with canonical ids, flags and names; only needed columns are read.
+
+    ``name`` says how a year's file or folder is called, as in "year={year}" for tables that Spark divided by year.
+    """
+    paths = [p for p in (f"{root}/{name.format(year=y)}" for y in years) if _exists(spark, p)]
     if not paths:
         raise FileNotFoundError(f"no year of {list(years)} under {root}")
     raw = spark.read.option("mergeSchema", True).parquet(*paths)
