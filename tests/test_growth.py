@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrameWriter
 
+from panelwise.operators import model
 from panelwise.plans import queries_daily  # noqa: F401
 from panelwise.plans.registry import QUERIES
 from panelwise.sources import io
@@ -22,3 +23,9 @@ def test_holdings_of_a_table_divided_by_year(spark, tmp_path):
     raw.write.partitionBy("year").parquet(str(tmp_path / "t"))
     got = io.read_holdings(spark, str(tmp_path / "t"), [2021, 2023, 2024], name="year={year}")
     assert rows(got, "fund", "position_value") == [("1", 5.0), ("2", 6.0)]
+
+
+def test_the_panel_of_the_permutation_query_is_computed_once(spark, monkeypatch):
+    seen, whole = [], model.settled
+    monkeypatch.setattr(model, "settled", lambda df: seen.append(df.columns) or whole(df))
+    assert QUERIES["m8_permutation_importance"](spark, SF).count() == 3 and len(seen) == 1
