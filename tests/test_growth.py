@@ -1,8 +1,10 @@
 """Steps whose cost once grew faster than their tables: how often tables are read, and what a task has to hold."""
 
+import random
+
 from pyspark.sql import DataFrameWriter
 
-from panelwise.operators import model
+from panelwise.operators import lags, model
 from panelwise.plans import queries_daily  # noqa: F401
 from panelwise.plans.registry import QUERIES
 from panelwise.sources import io
@@ -12,6 +14,10 @@ from .helpers import rows
 SF = "/root/testdata/sf0.001"
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_yearly_files_are_written_in_one_pass(spark, monkeypatch):
     writes, whole = [], DataFrameWriter.parquet
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: writes.append(a) or whole(self, *a, **k))
@@ -29,3 +35,20 @@ def test_the_panel_of_the_permutation_query_is_computed_once(spark, monkeypatch)
     seen, whole = [], model.settled
     monkeypatch.setattr(model, "settled", lambda df: seen.append(df.columns) or whole(df))
     assert QUERIES["m8_permutation_importance"](spark, SF).count() == 3 and len(seen) == 1
+
+
+def test_forward_fill_reads_the_table_once_beside_the_calendar(spark):
+    dice = random.Random(3)
+    held = [(f, s, q, dice.choice([None, 1.0, 2.0])) for f in range(6) for s in range(5) for q in (1, 2, 3, 5, 6, 9) if dice.random() < 0.5]
+    df = spark.createDataFrame(held, "f int, s int, q int, x double").repartition(3)
+    got = lags.dense_ffill(df, ["f", "s"], ["x"], "q")
+    calendar, want = sorted({q for _, _, q, _ in held}), []
+    for f, s in {(f, s) for f, s, _, _ in held}:
+        own = {q: x for a, b, q, x in held if (a, b) == (f, s)}
+        for q in (q for q in calendar if q >= min(own)):
+            known = [own[p] for p in sorted(own) if p <= q and own[p] is not None]
+            want.append((f, s, q, known[-1] if known else None))
+    assert rows(got) == sorted(want, key=repr)
+    assert "SortMergeJoin" not in plan(got)
+    odd = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 1.0), ("a", None, 2.0), ("b", 3, 3.0), (None, 1, 4.0), ("z", None, 5.0)], "k string, q int, x double")
+    assert rows(lags.dense_ffill(odd, ["k"], ["x"], "q")) == sorted([("a", 1, 1.0), ("a", 1, 1.0), ("a", 3, 1.0), ("b", 3, 3.0), (None, 1, None), (None, 3, None)], key=repr)
