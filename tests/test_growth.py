@@ -52,3 +52,17 @@ def test_forward_fill_reads_the_table_once_beside_the_calendar(spark):
     assert "SortMergeJoin" not in plan(got)
     odd = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 1.0), ("a", None, 2.0), ("b", 3, 3.0), (None, 1, 4.0), ("z", None, 5.0)], "k string, q int, x double")
     assert rows(lags.dense_ffill(odd, ["k"], ["x"], "q")) == sorted([("a", 1, 1.0), ("a", 1, 1.0), ("a", 3, 1.0), ("b", 3, 3.0), (None, 1, None), (None, 3, None)], key=repr)
+
+
+def test_the_grid_of_holdings_now_and_before_holds_no_hash_tables(spark):
+    dice = random.Random(4)
+    held = [(f, s, q, dice.choice([None, 0.0, 1.0, -2.0])) for f in range(8) for s in "ABCDE" for q in range(1, 9) for _ in range(dice.choice([0, 0, 1, 1, 2])) if (f + q) % 4]
+    grid = lags.union_grid(spark.createDataFrame(held, "fund int, security string, qi int, w double").repartition(3), "fund", "security", ["w"])
+    steps = plan(grid)
+    reports, level = {(f, q) for f, _, q, _ in held}, {}
+    for f, s, q, w in held:
+        level.setdefault((f, s, q), []).append(w)
+    top = lambda k: max([x for x in level.get(k, []) if x is not None], default=0.0)
+    keys = {k for f, s, q in level for k in ((f, s, q), (f, s, q + 1)) if (k[0], k[2]) in reports}
+    assert rows(grid) == sorted([(f, s, q, top((f, s, q)), top((f, s, q - 1)), (f, s, q) in level, (f, s, q - 1) in level) for f, s, q in keys], key=repr)
+    assert "HashAggregate" not in steps and steps.count("Sort [") == 1
