@@ -318,12 +318,17 @@ def evaluation_table(
     top less bottom, on benchmark-adjusted returns over ``hmax`` periods. ``predictions`` has fund,
     security, qi, ``hit`` and ``ret``; returns are taken by security (``stock_returns``) and by fund
     (fund_ret). Rows are repeated with universe and timing as keys of each sort, so that all cells
-    are computed together.
+    are computed together. Graded predictions and fund returns, which several figures use, are
+    computed once (``io.stored``).
     """
+    from ..sources.io import stored
+
     names, keys = list(timings), ["universe", "timing"]
     ahead = lambda rows, by: rows.withColumns({f"__y{i}": lag_column(ret, by, -k, period) if k else F.col(ret) for i, k in enumerate(timings.values())})
     melted = lambda c: F.inline(F.array(*[F.struct(F.lit(t).alias("timing"), F.col(f"{c}{i}").cast("double").alias("y")) for i, t in enumerate(names)]))
-    rows = compare_universes(ahead(predictions.filter(F.col(hit).isNotNull()), [fund, security]), universes or {"all": F.lit(True)})
+    rules = universes or {"all": F.lit(True)}
+    graded = ahead(predictions.filter(F.col(hit).isNotNull()), [fund, security]).select(fund, security, period, hit, *[f"__y{i}" for i in range(len(names))], *[rule.alias(f"__u{i}") for i, rule in enumerate(rules.values())])
+    rows = compare_universes(stored(graded), {name: F.col(f"__u{i}") for i, name in enumerate(rules)})
 
     graded = rows.select("universe", fund, period, hit, melted("__y")).filter("y is not null")
     mean = lambda right: F.avg(F.when((F.col(hit) == 1) == F.lit(right), F.col("y")))
@@ -339,7 +344,7 @@ def evaluation_table(
     by_stock = spread(bucket(stocks.join(later, [security, period]), "__acc", n, [*keys, period], security, name="__b", complete=True), False, 0, "stock")
 
     funds = rows.groupBy("universe", fund, period).agg(F.avg(hit).alias("__acc"))
-    adjusted = abnormal(fund_returns.filter("fund_ret is not null"), "fund_ret", [period])
+    adjusted = abnormal(stored(fund_returns.filter("fund_ret is not null").select(fund, period, "fund_ret")), "fund_ret", [period])
     windows = {}
     for i, k in enumerate(timings.values()):
         frame = W.partitionBy(fund).orderBy(period).rangeBetween(k, k + hmax - 1)

@@ -116,6 +116,19 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/panelwise-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as parquet in a ``scratch_folder``, of which each use reads the columns it needs; on a cluster without such a folder ``df`` as it is, with a warning."""
+    import warnings
+
+    try:
+        path = f"{scratch_folder(df.sparkSession)}/rows.parquet"
+    except RuntimeError:
+        warnings.warn("no checkpoint folder is set: the rows are computed anew for each use", stacklevel=2)
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_panel(df: DataFrame, table: str, keys: Sequence[str], period: str = "qi", buckets: int = 200, path: str | None = None) -> DataFrame:
     """Saves ``df`` as a catalog table laid out for lags: bucketed by ``keys``, each bucket one file sorted by keys and period. Returns the table.
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import DataFrameWriter
 
 from panelwise.operators import lags, model
-from panelwise.plans import queries_daily  # noqa: F401
+from panelwise.plans import queries_daily, queries_signals  # noqa: F401
 from panelwise.plans.registry import QUERIES
 from panelwise.sources import io
 
@@ -66,3 +66,13 @@ def test_the_grid_of_holdings_now_and_before_holds_no_hash_tables(spark):
     keys = {k for f, s, q in level for k in ((f, s, q), (f, s, q + 1)) if (k[0], k[2]) in reports}
     assert rows(grid) == sorted([(f, s, q, top((f, s, q)), top((f, s, q - 1)), (f, s, q) in level, (f, s, q - 1) in level) for f, s, q in keys], key=repr)
     assert "HashAggregate" not in steps and steps.count("Sort [") == 1
+
+
+def test_evaluation_tables_grade_the_predictions_once(spark, monkeypatch):
+    kept, whole = [], io.stored
+    monkeypatch.setattr(io, "stored", lambda df: kept.append(df.columns) or whole(df))
+    for name in ("e19_timing_table", "e36_universe_table"):
+        got = QUERIES[name](spark, SF)
+        # the table itself reads what was kept, and the tables only for the securities' returns
+        assert len(kept) == 2 and got._jdf.queryExecution().optimizedPlan().toString().count("l_suppkey") == 0
+        kept.clear()
