@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import holdings as H
 from ..operators import lags, sorts, stats, xsec
+from ..sources import io
 from .queries_basic import bucket_sql
 from .registry import query, rounded
 
@@ -521,7 +522,8 @@ def _evaluation_sql(universes: dict[str, str], timings: dict[str, int], hmax: in
 
 
 def _evaluated(p, timings, universes=None):
-    out = sorts.evaluation_table(_hits(p), p["stocks"], H.fund_return(p.weighted).select("fund", "qi", "fund_ret"), "hit", timings, universes, 2)
+    held = io.stored(_hits(p).select("fund", "security", "qi", "hit", "ret", "weight", "is_us"))
+    out = sorts.evaluation_table(held, p["stocks"], H.fund_return(held).select("fund", "qi", "fund_ret"), "hit", timings, universes, 2)
     return rounded(rounded(rounded(out, 6, "precision"), 8, "gap", "stock_spread", "fund_spread"), 4, "gap_t", "stock_t", "fund_t")
 
 
