@@ -11,15 +11,17 @@ from .helpers import rows
 
 
 def test_query_of_estimators_fits_whole_learners(spark, monkeypatch):
-    seen = []
+    seen, kept = [], []
 
     def record(df, schedule, features, target, estimator, *rest):
         seen.append(estimator if isinstance(estimator, model.LeastSquares) else estimator())
         return df.withColumn("y_pred", F.lit(0.0))
 
     monkeypatch.setattr(model, "walk_forward", record)
+    monkeypatch.setattr(model, "settled", lambda df: kept.append(df) or df)
     QUERIES["m3_estimators"](spark, "/root/testdata/sf0.001")
     ridge, linear, huber, boosting, forest = seen
+    assert len(kept) == 1  # all five read one panel
     assert (ridge.alpha, linear.alpha) == (1.0, 0.0)
     assert huber.getMaxIter() == 100
     assert (boosting.getMaxIter(), boosting.getMaxDepth(), boosting.getLossType(), boosting.getStepSize()) == (300, 4, "squared", 0.03)
